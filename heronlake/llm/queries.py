@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronlake.llm import bpe
+from heronlake.llm import bpe, toxicity
 from heronlake.llm.common import read
 
 
@@ -30,7 +30,13 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe.encode(read(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.classify(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
+    "op8_toxicity": op8_toxicity,
 }
 ORACLE: dict[str, str] = {}
