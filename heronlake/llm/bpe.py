@@ -48,7 +48,8 @@ class WordBpe:
     library's own split are the one known difference.
     """
 
-    def __init__(self, text: str | bytes) -> None:
+    def __init__(self, text: str | bytes, plain: bool = False) -> None:
+        """plain: names of special tokens inside a text are ordinary text, and decoded texts aren't needed."""
         spec = json.loads(text)
         kinds = [n["type"] for n in spec["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"] or spec.get("decoder") or spec["model"]["type"] != "BPE":
@@ -74,6 +75,8 @@ class WordBpe:
             self.made[r] = i
         self.pairs = np.array(sorted(ranks), np.int64)
         self.pair_ranks = np.array([self.rank_of[k] for k in self.pairs.tolist()], np.int32)
+        self.plain = plain
+        self.end = max(self.special.values(), default=len(self.names) - 1)
         self.stops = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.known: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}
@@ -176,9 +179,13 @@ class WordBpe:
                 split[-1].append(piece)
         words = list({w for x in split for w in x})
         names = self.names
+        merged = self.merge([w.encode() for w in words])
+        if self.plain:
+            ids = dict(zip(words, [i.tobytes() for i in merged], strict=True))
+            known.update((c, ids[x[0]] if len(x) == 1 else b"".join([ids[w] for w in x])) for c, x in zip(new, split, strict=True))
+            return
         values = {
-            w: (i.tobytes(), " ".join([names[k] for k in i.tolist()]))
-            for w, i in zip(words, self.merge([w.encode() for w in words]), strict=True)
+            w: (i.tobytes(), " ".join([names[k] for k in i.tolist()])) for w, i in zip(words, merged, strict=True)
         }
         for c, x in zip(new, split, strict=True):
             if len(x) == 1:
@@ -216,6 +223,16 @@ class WordBpe:
             out.append((b"".join([x for x, _ in found]), " ".join([y for x, y in found if x])))
         return out
 
+    def encode_ids(self, texts: list[str | None]) -> list[bytes]:
+        """The ids alone; special tokens aren't looked for. For tokenizers made with plain=True."""
+        cut = [self._chunks(t) if t else [] for t in texts]
+        seen: set[str] = set()
+        for c in cut:
+            seen.update(c)
+        self.learn(seen)
+        get = self.known.__getitem__
+        return [b"".join(map(get, c)) for c in cut]
+
     def _chunks(self, text: str) -> list[str]:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
@@ -243,15 +260,15 @@ def load(path: str) -> bytes:
         return f.read()
 
 
-_LOADED: dict[int, WordBpe] = {}
+_LOADED: dict[tuple[int, bool], WordBpe] = {}
 
 
-def loaded(raw: bytes) -> WordBpe:
+def loaded(raw: bytes, plain: bool = False) -> WordBpe:
     """One tokenizer for each worker process, so its cache outlives a task."""
-    key = hash(raw)
+    key = hash(raw), plain
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = WordBpe(raw)
+        _LOADED[key] = WordBpe(raw, plain)
     return _LOADED[key]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronlake.llm import bpe, toxicity
+from heronlake.llm import bpe, flat, secrets, toxicity
 from heronlake.llm.common import read
 
 
@@ -26,17 +26,29 @@ def bpe_digests(encoded: DataFrame) -> DataFrame:
     )
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat.token_counts(read(spark, sf_dir, "documents"), vocabulary())
+
+
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe.encode(read(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.classify(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
+    "op6_secrets": op6_secrets,
     "op8_toxicity": op8_toxicity,
 }
 ORACLE: dict[str, str] = {}
