@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronlake.llm import bpe, flat, secrets, toxicity
+from heronlake.llm import bpe, decontam, flat, secrets, toxicity
 from heronlake.llm.common import read
 
 
@@ -30,6 +30,42 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.token_counts(read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
+OP2_SQL = r"""
+WITH word_lists AS (
+  SELECT 0 AS side, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL
+  SELECT 1, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+), windows AS (
+  SELECT DISTINCT id AS item_id, least(10, len(w)) AS n, w[i : i + least(10, len(w)) - 1] AS phrase
+  FROM (SELECT *, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM word_lists WHERE side = 1 AND len(w) > 0)
+), lengths AS (SELECT DISTINCT n FROM windows), places AS (
+  SELECT id AS doc_id, n, i, w[i : i + n - 1] AS phrase FROM (
+    SELECT id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM word_lists, lengths WHERE side = 0 AND len(w) >= n)
+), found AS (SELECT doc_id, item_id, i, p.n FROM places p JOIN windows USING (n, phrase)
+), hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY 1
+), item AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS x FROM found) GROUP BY 1)
+SELECT id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM word_lists LEFT JOIN hit ON hit.doc_id = id LEFT JOIN item ON item.doc_id = id WHERE side = 0
+"""
+
+
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe.encode(read(spark, sf_dir, "documents"), vocabulary()))
 
@@ -47,8 +83,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_decontamination": op2_decontamination,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op6_secrets": op6_secrets,
     "op8_toxicity": op8_toxicity,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_decontamination": OP2_SQL}
