@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronlake.llm import bpe, decontam, flat, secrets, toxicity
+from heronlake.llm import bpe, decontam, flat, linededup, secrets, toxicity
 from heronlake.llm.common import read
 
 
@@ -81,11 +81,23 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup(read(spark, sf_dir, "documents"))
+    spans = F.transform("removed", lambda x: F.concat_ws(":", x["a"].cast("string"), x["b"].cast("string")))
+    return found.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_kept"),
+        F.concat_ws(",", spans).alias("removed"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op6_secrets": op6_secrets,
+    "op9_line_dedup": op9_line_dedup,
     "op8_toxicity": op8_toxicity,
 }
 ORACLE: dict[str, str] = {"op2_decontamination": OP2_SQL}
