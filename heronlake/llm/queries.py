@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronlake.llm import bpe, decontam, flat, linededup, secrets, toxicity
+from heronlake.llm import bpe, decontam, flat, linededup, neardup, secrets, toxicity
 from heronlake.llm.common import read
 
 
@@ -70,6 +70,10 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe.encode(read(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op5_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans"
@@ -96,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
+    "op5_embedding_neardup": op5_embedding_neardup,
     "op6_secrets": op6_secrets,
     "op9_line_dedup": op9_line_dedup,
     "op8_toxicity": op8_toxicity,
