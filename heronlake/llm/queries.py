@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronlake.llm import bpe, decontam, flat, linededup, neardup, secrets, toxicity
+from heronlake.llm import bpe, decontam, flat, linededup, neardup, order, secrets, toxicity
 from heronlake.llm.common import read
 
 
@@ -96,7 +96,12 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.training_order(read(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op10_training_order": op10_training_order,
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
