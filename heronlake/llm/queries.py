@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronlake.llm import bpe, decontam, flat, linededup, neardup, order, secrets, toxicity
+from heronlake.llm import bpe, decontam, flat, licenses, linededup, neardup, order, secrets, toxicity
 from heronlake.llm.common import read
 
 
@@ -80,6 +80,20 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents"))
+    confirmed = F.filter("paragraphs", lambda p: p["confirmed"])
+    return found.select(
+        "doc_id",
+        F.size("paragraphs").cast("long").alias("n_candidates"),
+        F.size(confirmed).cast("long").alias("n_confirmed"),
+        F.concat_ws(",", "families").alias("families"),
+        F.concat_ws(
+            ",", F.transform(confirmed, lambda p: F.concat_ws(":", p["line"].cast("string"), p["family"]))
+        ).alias("matches"),
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return toxicity.classify(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
@@ -108,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_embedding_neardup": op5_embedding_neardup,
     "op6_secrets": op6_secrets,
     "op9_line_dedup": op9_line_dedup,
+    "op7_licenses": op7_licenses,
     "op8_toxicity": op8_toxicity,
 }
 ORACLE: dict[str, str] = {"op2_decontamination": OP2_SQL}
