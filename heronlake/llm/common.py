@@ -61,7 +61,7 @@ def map_rows(
     """Rows of Python values made from runs of rows, through Arrow.
 
     ``make`` runs once in each task and returns a function that gets a list of values for each of ``columns``, and
-    yields output rows; its attribute ``done``, if any, is called at the end of the task. Runs and outgoing batches are cut by bytes, so memory is bounded by :data:`BATCH_BYTES` and the
+    yields output rows; its attribute ``done``, if any, is called at the end of the task and may return last rows. Runs and outgoing batches are cut by bytes, so memory is bounded by :data:`BATCH_BYTES` and the
     longest row.
     """
     from pyspark.sql.types import StructType
@@ -88,10 +88,10 @@ def map_rows(
                     if held > BATCH_BYTES or len(rows) >= 20_000:
                         yield batch()
                         rows, held = [], 0
+        if hasattr(work, "done"):
+            rows += work.done() or ()
         if rows:
             yield batch()
-        if hasattr(work, "done"):
-            work.done()
 
     return df.select(*columns).mapInArrow(run, out)
 

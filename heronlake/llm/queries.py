@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronlake.llm import bpe, decontam, flat, licenses, linededup, neardup, order, secrets, toxicity
+from heronlake.llm import bpe, decontam, flat, jaccard, licenses, linededup, neardup, order, secrets, toxicity
 from heronlake.llm.common import read
 
 
@@ -66,6 +66,10 @@ FROM word_lists LEFT JOIN hit ON hit.doc_id = id LEFT JOIN item ON item.doc_id =
 """
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(read(spark, sf_dir, "documents"))
+
+
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(bpe.encode(read(spark, sf_dir, "documents"), vocabulary()))
 
@@ -118,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_training_order": op10_training_order,
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op5_embedding_neardup": op5_embedding_neardup,
     "op6_secrets": op6_secrets,
