@@ -138,9 +138,11 @@ def matches(tests: Tests, terms: bytes, counts: np.ndarray, places: np.ndarray,
         phrase = local[rows[:, 1:]]
         on = (phrase >= 0).all(axis=1)
         phrase, items = phrase[on], rows[on, 0]
+        if not len(phrase):
+            continue
         size = counts[phrase]
         rare = np.argsort(size, axis=1, kind="stable")
-        least = np.take_along_axis(size, rare[:, :1], 1)[:, 0] if len(phrase) else np.zeros(0, np.int64)
+        least = np.take_along_axis(size, rare[:, :1], 1)[:, 0]
         cuts = np.searchsorted(np.cumsum(least), np.arange(0, int(least.sum()), CANDIDATES), side="right")
         for a, b in zip(cuts, [*cuts[1:], len(phrase)], strict=True):
             if a == b:
