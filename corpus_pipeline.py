@@ -1,22 +1,64 @@
-"""A corpus pipeline of the training-data operators; a part of heronlake.llm."""
+"""A corpus pipeline of the training-data operators; a part of heronlake.llm.
+
+Each stage reads what the one before it wrote. A stage decides by doc_id: rows that share an id stay or go together, and
+rows with a null id are kept by the stages that compare documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from heronlake.llm import bpe
+from heronlake.llm import bpe, decontam, jaccard, linededup, toxicity
+from heronlake.llm.common import read, stored
 from heronlake.llm.queries import bpe_digests, vocabulary
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out the documents that the toxicity classifier rejects."""
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, also=tuple(c for c in docs.columns if c != "doc_id"))
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete later repeated runs of lines, and documents of which nothing is left; n_chars follows the text."""
+    found = linededup.dedup(docs)
+    emptied = (F.size("removed") > 0) & (F.trim(F.regexp_replace("text", r"\s+", " ")) == "")
+    length = F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", length).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, that of the smallest id, of each group that five-word shingles link at 0.8."""
+    found = jaccard.link(docs, k=5, threshold="0.8")
+    return docs.join(found.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leave out documents that hold a passage of the benchmark."""
+    found = decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode and decode what is left; the last stage."""
+    """Encode what is left and decode it again; the last stage."""
     return bpe_digests(bpe.encode(docs, vocabulary()))
 
 
-STAGES = [("bpe", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("BPE encoding and decoding", encode),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the documents of a data folder."""
-    raise NotImplementedError
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return docs
