@@ -110,8 +110,9 @@ def row_key(key: str, text: str) -> F.Column:
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(rk, spans): for each row, by its key, the disjoint spans of characters that repeat earlier ones, in order."""
     found = fingerprints(docs, key, text)
+    # every table here grows with the texts, so none is ever broadcast
     shared = stored(found.groupBy("print").agg(F.sum("many").alias("n")).where("n > 1").select("print"), "prints")
-    places = found.join(shared, "print").select(
+    places = found.join(shared.hint("merge"), "print").select(
         "id", "rk", F.explode(F.arrays_zip("own", "first", "last")).alias("w")
     )
     places = stored(places.select("id", "rk", "w.own", "w.first", "w.last"), "windows")
@@ -119,7 +120,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         F.min(F.struct("id", "rk", "first", "last")).alias("f"), F.count(F.lit(1)).alias("n")
     )
     start = stored(start.where("n > 1").select("own", "f.*").toDF("own", "id0", "rk0", "first0", "last0"), "windows")
-    later = places.join(start, "own").where("rk != rk0 OR first != first0")
+    later = places.join(start.hint("merge"), "own").where("rk != rk0 OR first != first0")
     same = F.col("rk") == F.col("rk0")  # a run that overlaps its first occurrence begins after it
     later = later.select("rk", F.when(same, F.greatest("first", "last0")).otherwise(F.col("first")).alias("a"), F.col("last").alias("b"))
     later = later.where("a < b").distinct()
@@ -152,7 +153,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     """
     spans = repeats(docs, key, text)
     plain = docs.drop("removed").withColumn("_rk", row_key(key, text))
-    found = plain.join(spans.withColumnRenamed("rk", "_rk").withColumnRenamed("spans", "removed"), "_rk", "left")
+    spans = spans.withColumnRenamed("rk", "_rk").withColumnRenamed("spans", "removed")
+    found = plain.join(spans.hint("merge"), "_rk", "left")
     starts = F.concat(F.array(F.lit(0)), F.transform("removed", lambda x: x["b"]))
     ends = F.concat(F.transform("removed", lambda x: x["a"]), F.array(F.length(text)))
     kept = F.concat_ws(
