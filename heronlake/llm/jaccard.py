@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from heronlake.llm.common import components, ddl, map_rows, stored
+from heronlake.llm.common import components, ddl, map_rows, slices, stored
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-#: Counters of each of the sketch's two rows; pieces in which a task sends them; bits of the filter for nodes to verify.
-WIDTH, PIECES, FILTER = 1 << 18, 8, 1 << 24
+#: Counters of each of the sketch's two rows; pieces in which a task sends them; bits of the filter for texts to verify;
+#: buckets of a set's parities.
+WIDTH, PIECES, FILTER, BITS = 1 << 18, 8, 1 << 24, 2048
 #: Sets below this size index singles beside combinations.
 SMALL = 40
 #: Nodes that a task remembers, not to index copies twice.
@@ -142,30 +143,36 @@ def signatures(tokens: np.ndarray, classes: np.ndarray, t: Fraction) -> np.ndarr
     return np.unique(np.concatenate(out))
 
 
+def parity(tokens: np.ndarray) -> bytes:
+    """Whether each of BITS buckets holds an odd number of a set's tokens."""
+    return np.packbits((np.bincount((tokens >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
+
+
 def described(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, Sketch]:
-    """(key, n, node) of each row, stored, and the sketch over all of them."""
+    """(key, rk, n, node, bits) of each row, stored, and the sketch over all of them."""
 
     def make() -> Callable:
         shingler = Shingler(k)
         rows = np.zeros((2, WIDTH), np.int64)
 
-        def some(keys: list, texts: list):
+        def some(keys: list, rks: list, texts: list):
             sets = shingler.sets(texts)
             every = np.concatenate(sets)
             for r, at in zip(rows, places(every), strict=True):
                 r += np.bincount(at, minlength=WIDTH)
-            for x, s in zip(keys, sets, strict=True):
-                yield x, len(s), node_of(s) if len(s) else None, None, None
+            for x, rk, s in zip(keys, rks, sets, strict=True):
+                yield x, rk, len(s), node_of(s) if len(s) else None, parity(s) if len(s) else None, None, None
 
         def done() -> list:
             parts = np.split(rows.ravel().astype("<i4"), PIECES)
-            return [(None, 0, None, i, p.tobytes()) for i, p in enumerate(parts)] if rows.any() else []
+            return [(None, 0, 0, None, None, i, p.tobytes()) for i, p in enumerate(parts)] if rows.any() else []
 
         some.done = done
         return some
 
     kind = ddl(docs, key)
-    both = stored(map_rows(docs, [key, text], f"{kind}, n bigint, node bigint, piece int, counts binary", make), "described")
+    schema = f"{kind}, rk bigint, n bigint, node bigint, bits binary, piece int, counts binary"
+    both = stored(map_rows(keyed(docs, key, text), [key, "_rk", text], schema, make), "described")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -184,7 +191,11 @@ def described(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame,
     size = len(flat) // PIECES
     for r in parts.collect():  # the sketch, whose size is fixed
         flat[r.piece * size : (r.piece + 1) * size] += np.frombuffer(bytes(r.counts), "<i8")
-    return both.where("piece IS NULL").select(key, "n", "node"), Sketch(rows)
+    return both.where("piece IS NULL").drop("piece", "counts"), Sketch(rows)
+
+
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(key, text).withColumn("_rk", F.xxhash64(key, text))
 
 
 def indexed(docs: DataFrame, key: str, text: str, k: int, t: Fraction, sketch: Sketch) -> DataFrame:
@@ -192,8 +203,6 @@ def indexed(docs: DataFrame, key: str, text: str, k: int, t: Fraction, sketch: S
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from heronlake.llm.common import slices
-
         shingler, classes, seen = Shingler(k), held.value.classes, set()
         for b in batches:
             for part in slices(b):
@@ -266,41 +275,68 @@ def shared(index: DataFrame) -> DataFrame:
     return stored(found.where("NOT edge").drop("edge").unionByName(at_edge), "shared")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, text: str, k: int, t: Fraction) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar, stored."""
+def plausible(pairs: DataFrame, rows: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs that their sizes and parities allow, with a row key of each node's: (a, b, ra, rb), stored.
+
+    Buckets of different parity hold at least one token of one set only, and similar sets differ by no more than
+    (1 - t)/(1 + t) of their sizes' sum, so no similar pair is lost.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    profile = rows.join(wanted.hint("merge"), "node", "left_semi").groupBy("node").agg(
+        F.min(F.struct("rk", "n", "bits")).alias("p")
+    )
+    profile = stored(profile.select("node", "p.*"), "profile")
+    left, right = (profile.toDF(x, f"r{x}", f"n{x}", f"bits{x}") for x in "ab")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (6, 7))
+                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                total = b.column(4).to_numpy() + b.column(5).to_numpy()
+                good = (t.denominator + t.numerator) * apart <= (t.denominator - t.numerator) * total
+                yield pa.RecordBatch.from_arrays(b.columns[:4], names=["a", "b", "ra", "rb"]).filter(pa.array(good))
+
+    both = both.where(similar_sizes("na", "nb", t)).select("a", "b", "ra", "rb", "na", "nb", "bitsa", "bitsb")
+    return stored(both.mapInArrow(check, "a bigint, b bigint, ra bigint, rb bigint"), "plausible")
+
+
+def similar_sizes(a: str, b: str, t: Fraction) -> str:
+    return f"{t.denominator}L * least({a}, {b}) >= {t.numerator}L * greatest({a}, {b})"
+
+
+def verified(docs: DataFrame, pairs: DataFrame, rows: DataFrame, key: str, text: str, k: int, t: Fraction) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are similar, stored."""
     spark = docs.sparkSession
-    slot = F.pmod(F.xxhash64("x"), F.lit(FILTER))
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
-    bits = nodes.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(
+    pairs = plausible(pairs, rows, t)
+    ends = pairs.select(F.explode(F.array("ra", "rb")).alias("rk")).distinct()
+    slot = F.pmod("rk", F.lit(FILTER))
+    bits = ends.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(s % 64 as int))")).alias("m")
     )
     words = np.zeros(FILTER // 64, np.uint64)
-    for r in bits.toLocalIterator():  # FILTER / 64 rows at most; no row is lost to it, it only keeps sets from being sent
+    for r in bits.toLocalIterator():  # FILTER / 64 rows at most; it loses none, it only keeps texts from being cut again
         words[r.w] = np.int64(r.m).view(np.uint64)
     held = spark.sparkContext.broadcast(words)
-    from heronlake.llm.common import slices
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
         shingler, seen, wanted = Shingler(k), set(), held.value
         for b in batches:
+            at = np.mod(b.column(0).to_numpy(), FILTER)
+            b = b.filter(pa.array((wanted[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
             for part in slices(b):
                 names, values = [], []
-                for s in shingler.sets(part.column(0).to_pylist()):
-                    if not len(s) or (node := node_of(s)) in seen:
-                        continue
-                    if len(seen) < SEEN:
-                        seen.add(node)
-                    h = xxh64_intdigest(node.to_bytes(8, "little", signed=True), seed=42)
-                    at = (h - (1 << 64) if h >> 63 else h) % FILTER
-                    if int(wanted[at >> 6]) >> (at & 63) & 1:
+                for s in shingler.sets(part.column(1).to_pylist()):
+                    if len(s) and (node := node_of(s)) not in seen:
+                        if len(seen) < SEEN:
+                            seen.add(node)
                         names.append(node)
                         values.append(s.tobytes())
                 if names:
                     yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(values, pa.binary())], names=["x", "tokens"])
 
-    known = docs.select(text).mapInArrow(sets, "x bigint, tokens binary")
+    known = keyed(docs, key, text).select("_rk", text).mapInArrow(sets, "x bigint, tokens binary")
     known = stored(known.groupBy("x").agg(F.first("tokens").alias("tokens")), "sets")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,8 +351,8 @@ def verified(docs: DataFrame, pairs: DataFrame, text: str, k: int, t: Fraction)
                 good.append(t.denominator * same >= t.numerator * (len(p) + len(q) - same))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    right = pairs.join(known.select(F.col("x").alias("b"), F.col("tokens").alias("y")), "b")
-    both = right.join(known.select(F.col("x").alias("a"), F.col("tokens").alias("x")), "a")
+    right = pairs.select("a", "b").join(known.toDF("b", "y").hint("merge"), "b")
+    both = right.join(known.toDF("a", "x").hint("merge"), "a")
     return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "links")
 
 
@@ -335,22 +371,19 @@ def link(
     rows, sketch = described(docs, key, text, k)
     common = shared(indexed(docs, key, text, k, t, sketch))
 
-    def similar_sizes(a: str, b: str) -> str:
-        return f"{t.denominator}L * least({a}, {b}) >= {t.numerator}L * greatest({a}, {b})"
-
-    star = common.where(f"node != pivot AND {similar_sizes('n', 'pn')}")
+    star = common.where(f"node != pivot AND {similar_sizes('n', 'pn', t)}")
     star = stored(star.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "pairs")
-    links = verified(docs, star, text, k, t)
+    links = verified(docs, star, rows, key, text, k, t)
     parts = stored(components(links), "parts")
     placed = common.select("sig", "node", "n").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     placed = stored(placed.select("sig", "node", "n", "part"), "placed")
     several = placed.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("sig")
     open_ = stored(placed.join(stored(several, "several"), "sig"), "open")
     a, b = (open_.select("sig", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}")) for x in "ab")
-    rest = a.join(b, "sig").where(f"a < b AND pa != pb AND {similar_sizes('na', 'nb')}").select("a", "b").distinct()
+    rest = a.join(b, "sig").where(f"a < b AND pa != pb AND {similar_sizes('na', 'nb', t)}").select("a", "b").distinct()
     rest = stored(rest.join(star, ["a", "b"], "left_anti"), "pairs")
     if rest.limit(1).count():
-        more = verified(docs, rest, text, k, t)
+        more = verified(docs, rest, rows, key, text, k, t)
         parts = stored(components(links.unionByName(more)), "parts")
     named = stored(rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")), "named")
     least = stored(named.where("part IS NOT NULL").groupBy("part").agg(F.min(key).alias("least")), "least")
