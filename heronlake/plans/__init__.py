@@ -1,0 +1,6 @@
+"""All queries of the engine's own operators."""
+
+from heronlake.plans import activity, corpus, social, web
+from heronlake.plans.registry import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "activity", "corpus", "social", "web"]
