@@ -18,6 +18,7 @@ comparison, so a group of copies costs about one comparison a text.
 
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from fractions import Fraction
@@ -33,7 +34,9 @@ from heronlake.llm.common import components, ddl, map_rows, slices, stored
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Counters of each of the sketch's two rows; pieces in which a task sends them; bits of the filter for texts to verify;
 #: buckets of a set's parities.
-WIDTH, PIECES, FILTER, BITS = 1 << 18, 8, 1 << 24, 2048
+WIDTH, PIECES, FILTER, BITS = 1 << 20, 8, 1 << 24, 2048
+#: Bytes of text that are cut at once.
+RUN = 1 << 20
 #: Sets below this size index singles beside combinations.
 SMALL = 40
 #: Nodes that a task remembers, not to index copies twice.
@@ -60,7 +63,7 @@ class Shingler:
         self.hashes = np.zeros(0, np.uint64)
 
     def sets(self, texts: list[str | None]) -> list[np.ndarray]:
-        if len(self.ids) > 300_000:
+        if len(self.ids) > 150_000:
             self._reset()
         known, parts, sizes = len(self.ids), [], []
         for t in texts:
@@ -108,20 +111,22 @@ class Sketch:
         self.rows = rows
         self.low = max(64.0, 6 * float(np.sqrt(self.median.max())))
 
-    def classes(self, tokens: np.ndarray) -> np.ndarray:
-        """1 for rare tokens, 2 and 3 for ever more frequent ones."""
+    def classes(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """1 for rare tokens, 2 and 3 for ever more frequent ones; and a finer rank of frequency within the classes."""
         a, b = places(tokens)
         excess = np.minimum(self.rows[0][a] - self.median[0], self.rows[1][b] - self.median[1])
-        return 1 + (excess > self.low).astype(np.int64) + (excess > 16 * self.low)
+        noise = np.sqrt(self.median.max()) + 1
+        finer = np.where(excess < 2 * noise, 0, excess / noise).astype(np.int64)
+        return 1 + (excess > self.low).astype(np.int64) + (excess > 16 * self.low), finer
 
 
-def signatures(tokens: np.ndarray, classes: np.ndarray, t: Fraction) -> np.ndarray:
-    """The hashes that a set is indexed by."""
+def signatures(tokens: np.ndarray, classes: np.ndarray, finer: np.ndarray, t: Fraction) -> np.ndarray:
+    """The hashes that a set is indexed by; any order of tokens that all sets share is right, rarer ones first is fast."""
     n = len(tokens)
     lost, differ = int((1 - t) * n), int((1 - t) / t * n)
     if not differ:  # only an equal set is as similar
         return np.zeros(0, np.uint64)
-    order = np.lexsort((tokens, classes))
+    order = np.lexsort((tokens, finer, classes))
     ranked, kinds = tokens[order], classes[order]
     count = [int((kinds == k).sum()) for k in (1, 2, 3)]
     singles = min(count[0], lost + 1)
@@ -148,6 +153,14 @@ def parity(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount((tokens >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64), minlength=BITS) & 1).astype(bool)).tobytes()
 
 
+def packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), "<i8")
+
+
 def described(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, Sketch]:
     """(key, rk, n, node, bits) of each row, stored, and the sketch over all of them."""
 
@@ -164,8 +177,8 @@ def described(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame,
                 yield x, rk, len(s), node_of(s) if len(s) else None, parity(s) if len(s) else None, None, None
 
         def done() -> list:
-            parts = np.split(rows.ravel().astype("<i4"), PIECES)
-            return [(None, 0, 0, None, None, i, p.tobytes()) for i, p in enumerate(parts)] if rows.any() else []
+            parts = np.split(rows.ravel().astype("<i8"), PIECES)
+            return [(None, 0, 0, None, None, i, packed(p)) for i, p in enumerate(parts)] if rows.any() else []
 
         some.done = done
         return some
@@ -178,11 +191,8 @@ def described(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame,
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for piece, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total[piece] = total.get(piece, 0) + np.frombuffer(counts, counts_kind(counts)).astype("<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["piece", "counts"])
-
-    def counts_kind(raw: bytes) -> str:
-        return "<i4" if len(raw) == 2 * WIDTH // PIECES * 4 else "<i8"
+                total[piece] = total.get(piece, 0) + unpacked(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([packed(c) for c in total.values()], pa.binary())], names=["piece", "counts"])
 
     parts = both.where("piece IS NOT NULL").select("piece", "counts").mapInArrow(add, "piece int, counts binary")
     parts = parts.repartition(PIECES, "piece").mapInArrow(add, "piece int, counts binary")
@@ -190,7 +200,7 @@ def described(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame,
     flat = rows.ravel()
     size = len(flat) // PIECES
     for r in parts.collect():  # the sketch, whose size is fixed
-        flat[r.piece * size : (r.piece + 1) * size] += np.frombuffer(bytes(r.counts), "<i8")
+        flat[r.piece * size : (r.piece + 1) * size] += unpacked(bytes(r.counts))
     return both.where("piece IS NULL").drop("piece", "counts"), Sketch(rows)
 
 
@@ -205,13 +215,13 @@ def indexed(docs: DataFrame, key: str, text: str, k: int, t: Fraction, sketch: S
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, classes, seen = Shingler(k), held.value.classes, set()
         for b in batches:
-            for part in slices(b):
+            for part in slices(b, RUN):
                 sigs, nodes, sizes = [], [], []
                 for s in shingler.sets(part.column(0).to_pylist()):
                     if len(s) and (node := node_of(s)) not in seen:
                         if len(seen) < SEEN:
                             seen.add(node)
-                        own = signatures(s, classes(s), t)
+                        own = signatures(s, *classes(s), t)
                         sigs.append(own)
                         nodes.append(np.full(len(own), node))
                         sizes.append(np.full(len(own), len(s), np.int32))
@@ -325,7 +335,7 @@ def verified(docs: DataFrame, pairs: DataFrame, rows: DataFrame, key: str, text:
         for b in batches:
             at = np.mod(b.column(0).to_numpy(), FILTER)
             b = b.filter(pa.array((wanted[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
-            for part in slices(b):
+            for part in slices(b, RUN):
                 names, values = [], []
                 for s in shingler.sets(part.column(1).to_pylist()):
                     if len(s) and (node := node_of(s)) not in seen:
