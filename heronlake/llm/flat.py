@@ -113,7 +113,7 @@ def scan(paths: DataFrame, end: int, width: str) -> DataFrame:
         blocks.repartition("path", "block"), ["path", "total", "block"], "path string, block bigint, ends array<bigint>", find
     )
     found = stored(found.withColumn("g", F.expr(f"block div {GROUP}")), "blocks")
-    own = found.select("path", "g", "block", F.size("ends").cast("long").alias("n"), F.element_at("ends", -1).alias("last"))
+    own = found.select("path", "g", "block", F.size("ends").cast("long").alias("n"), F.try_element_at("ends", F.lit(-1)).alias("last"))
     groups = own.groupBy("path", "g").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
     before = W.partitionBy("path").orderBy("g").rowsBetween(W.unboundedPreceding, -1)
     groups = groups.select(

@@ -226,7 +226,7 @@ def _judged(x: Column, model: Model) -> Column:
     classes = _numbers(range(len(FAMILIES)), "int")
 
     def scored(g: Column) -> Column:
-        at = F.transform(g, lambda s: F.pmod(F.xxhash64(s), F.lit(BUCKETS)).cast("int"))
+        at = F.array_distinct(F.transform(g, lambda s: F.pmod(F.xxhash64(s), F.lit(BUCKETS)).cast("int")))
         return _with(
             at,
             lambda a: F.transform(
