@@ -210,8 +210,8 @@ def _grams(text: Column) -> Column:
     return _with(
         words,
         lambda w: F.array_distinct(
-            F.concat(w, F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b)))
-        ),
+            F.concat(w, F.array_compact(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))))
+        ),  # the last word has no right neighbour
     )
 
 
