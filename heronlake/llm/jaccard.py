@@ -26,6 +26,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -35,6 +36,8 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 #: Counters of each of the sketch's two rows; pieces in which a task sends them; bits of the filter for texts to verify;
 #: buckets of a set's parities.
 WIDTH, PIECES, FILTER, BITS = 1 << 20, 8, 1 << 24, 2048
+FOLDS = 4
+FOLD = [f"f{i}" for i in range(FOLDS)]
 #: Bytes of text that are cut at once.
 RUN = 1 << 20
 #: Sets below this size index singles beside combinations.
@@ -161,8 +164,13 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(raw), "<i8")
 
 
+def folded(bits: bytes) -> list[int]:
+    """The parities of FOLDS * 64 buckets, each of which unites some of the finer ones."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, "<i8").reshape(-1, FOLDS), axis=0).tolist()
+
+
 def described(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, Sketch]:
-    """(key, rk, n, node, bits) of each row, stored, and the sketch over all of them."""
+    """(key, rk, n, node, bits, f0, f1, ...) of each row, stored, and the sketch over all of them."""
 
     def make() -> Callable:
         shingler = Shingler(k)
@@ -174,17 +182,19 @@ def described(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame,
             for r, at in zip(rows, places(every), strict=True):
                 r += np.bincount(at, minlength=WIDTH)
             for x, rk, s in zip(keys, rks, sets, strict=True):
-                yield x, rk, len(s), node_of(s) if len(s) else None, parity(s) if len(s) else None, None, None
+                bits = parity(s)
+                node = (node_of(s), bits, *folded(bits)) if len(s) else (None,) * (2 + FOLDS)
+                yield x, rk, len(s), *node, None, None
 
         def done() -> list:
             parts = np.split(rows.ravel().astype("<i8"), PIECES)
-            return [(None, 0, 0, None, None, i, packed(p)) for i, p in enumerate(parts)] if rows.any() else []
+            return [(None, 0, 0, *(None,) * (2 + FOLDS), i, packed(p)) for i, p in enumerate(parts)] if rows.any() else []
 
         some.done = done
         return some
 
-    kind = ddl(docs, key)
-    schema = f"{kind}, rk bigint, n bigint, node bigint, bits binary, piece int, counts binary"
+    kind, folds = ddl(docs, key), " bigint, ".join(FOLD)
+    schema = f"{kind}, rk bigint, n bigint, node bigint, bits binary, {folds} bigint, piece int, counts binary"
     both = stored(map_rows(keyed(docs, key, text), [key, "_rk", text], schema, make), "described")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,6 +295,29 @@ def shared(index: DataFrame) -> DataFrame:
     return stored(found.where("NOT edge").drop("edge").unionByName(at_edge), "shared")
 
 
+def profiles(rows: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
+    """Columns of one row of each node, stored."""
+    found = rows.join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min(F.struct(*columns)).alias("p"))
+    return stored(found.select("node", "p.*"), "profile")
+
+
+def crossing(open_: DataFrame, rows: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b): nodes of different components that share a combination and that sizes and coarse parities allow.
+
+    A node's combinations are in order of their hashes. Where two nodes also have the same combination before this one,
+    they meet there as well, so the pair isn't made again here; what two nodes share in a row makes one pair, at its start.
+    """
+    folds = profiles(rows, open_.select("node").distinct(), *FOLD)
+    before = F.lag("sig").over(W.partitionBy("node").orderBy("sig"))
+    known = stored(open_.join(folds.hint("merge"), "node").withColumn("before", before), "open")
+    a, b = (known.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "part", "before", *FOLD))) for x in "ab")
+    apart = " + ".join(f"bit_count({f}_a ^ {f}_b)" for f in FOLD)
+    near = f"{t.denominator + t.numerator}L * ({apart}) <= {t.denominator - t.numerator}L * (n_a + n_b)"
+    first = "(before_a IS NULL OR before_b IS NULL OR before_a != before_b)"
+    met = a.join(b.hint("merge"), "sig").where(f"node_a < node_b AND part_a != part_b AND {first} AND {similar_sizes('n_a', 'n_b', t)} AND {near}")
+    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def plausible(pairs: DataFrame, rows: DataFrame, t: Fraction) -> DataFrame:
     """The pairs that their sizes and parities allow, with a row key of each node's: (a, b, ra, rb), stored.
 
@@ -292,10 +325,7 @@ def plausible(pairs: DataFrame, rows: DataFrame, t: Fraction) -> DataFrame:
     (1 - t)/(1 + t) of their sizes' sum, so no similar pair is lost.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    profile = rows.join(wanted.hint("merge"), "node", "left_semi").groupBy("node").agg(
-        F.min(F.struct("rk", "n", "bits")).alias("p")
-    )
-    profile = stored(profile.select("node", "p.*"), "profile")
+    profile = profiles(rows, wanted, "rk", "n", "bits")
     left, right = (profile.toDF(x, f"r{x}", f"n{x}", f"bits{x}") for x in "ab")
     both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
 
@@ -385,18 +415,17 @@ def link(
     star = stored(star.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "pairs")
     links = verified(docs, star, rows, key, text, k, t)
     parts = stored(components(links), "parts")
-    placed = common.select("sig", "node", "n").join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    placed = common.select("sig", "node", "n").join(parts.hint("merge"), "node", "left").withColumn("part", F.coalesce("component", "node"))
     placed = stored(placed.select("sig", "node", "n", "part"), "placed")
     several = placed.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("sig")
-    open_ = stored(placed.join(stored(several, "several"), "sig"), "open")
-    a, b = (open_.select("sig", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("part").alias(f"p{x}")) for x in "ab")
-    rest = a.join(b, "sig").where(f"a < b AND pa != pb AND {similar_sizes('na', 'nb', t)}").select("a", "b").distinct()
-    rest = stored(rest.join(star, ["a", "b"], "left_anti"), "pairs")
+    open_ = stored(placed.join(stored(several, "several").hint("merge"), "sig"), "open")
+    rest = crossing(open_, rows, t)
+    rest = stored(rest.join(star.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     if rest.limit(1).count():
         more = verified(docs, rest, rows, key, text, k, t)
         parts = stored(components(links.unionByName(more)), "parts")
-    named = stored(rows.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")), "named")
+    named = stored(rows.select(key, "n", "node").join(parts.hint("merge"), "node", "left").withColumn("part", F.coalesce("component", "node")), "named")
     least = stored(named.where("part IS NOT NULL").groupBy("part").agg(F.min(key).alias("least")), "least")
-    return named.join(least, "part", "left").select(
+    return named.join(least.hint("merge"), "part", "left").select(
         key, F.col("n").alias("n_shingles"), F.coalesce("least", key).alias("component_id")
     )
