@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heronlake.functions import ocr
 from heronlake.functions import text as X
 from heronlake.plans.registry import query
 from heronlake.sources.tables import table
@@ -305,3 +306,134 @@ def export_text(spark: SparkSession, d: str) -> DataFrame:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         t = F.replace(t, F.lit(a), F.lit(b))
     return table(spark, d, "documents").select("doc_id", t.alias("html"))
+
+
+TABLES = [("+--+--+\n| a | b |\n+--+--+\n| 1 | 2 |\n+--+--+\n\ntext", 1, "a,b;1,2"), ("| x |\n| y |", 0, ""), ("plain", 0, "")]
+
+
+@query(f"SELECT s, n AS n_tables, c AS cells FROM {_values(TABLES, 's, n, c')}")
+def ascii_tables(spark: SparkSession, d: str) -> DataFrame:
+    found = _rows(spark, [(s,) for s, *_ in TABLES], "s string").withColumn("t", ocr.tables(F.col("s")))
+    rows = F.transform(F.flatten("t"), lambda r: F.array_join(r, ","))
+    return found.select("s", F.size("t").alias("n_tables"), F.array_join(rows, ";").alias("cells"))
+
+
+JAPANESE = [("光学文学認識", "光学文字認識"), ("バターンとフアイル", "パターンとファイル"), ("ロ", "ル"), ("ok", "ok")]
+
+
+@query(f"SELECT s, c AS corrected FROM {_values(JAPANESE, 's, c')}")
+def jp_correct(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, [(s,) for s, _ in JAPANESE], "s string").select("s", ocr.corrected(F.col("s")).alias("corrected"))
+
+
+SOCIAL = [
+    ("web.facebook.com/a?b=1#c", "https://www.facebook.com/www.facebook.com/a"), (" https://web.facebook.com/x/?y=1 ", "https://www.facebook.com/x/"),
+    ("https://www.facebook.com/watch?v=1", "https://www.facebook.com/watch?v=1"), ("/page", "https://www.facebook.com/page"),
+]
+
+
+@query(f"SELECT s, u AS url FROM {_values(SOCIAL, 's, u')}")
+def social_url(spark: SparkSession, d: str) -> DataFrame:
+    u = F.replace(F.trim("s"), F.lit("web.facebook.com"), F.lit("www.facebook.com"))
+    u = F.when(F.contains(u, F.lit("watch")), u).otherwise(F.substring_index(F.substring_index(u, "?", 1), "#", 1))
+    full = F.when(u.startswith("http"), u).otherwise(F.concat(F.lit("https://www.facebook.com/"), F.regexp_replace(u, "^/+", "")))
+    return _rows(spark, [(s,) for s, _ in SOCIAL], "s string").select("s", full.alias("url"))
+
+
+MEDIA = [("a.MP4?x=1", "", "video/mp4"), ("a/video/1", "", "video/mp4"), ("a.webm", "", "video/webm"), ("a.png", "application/octet-stream", "image/png"), ("a", "text/css; q", "text/css"), ("a", "", "image/jpeg")]
+
+
+@query(f"SELECT u, h, t AS type FROM {_values(MEDIA, 'u, h, t')}")
+def media_type(spark: SparkSession, d: str) -> DataFrame:
+    low = F.substring_index(F.lower("u"), "?", 1)
+    known = (
+        F.when((F.col("h") != "") & (F.col("h") != "application/octet-stream"), F.trim(F.substring_index("h", ";", 1)))
+        .when(low.endswith(".mp4") | F.contains(low, F.lit("video")), "video/mp4").when(low.endswith(".webm"), "video/webm")
+        .when(low.endswith(".png"), "image/png").when(low.endswith(".gif"), "image/gif").when(low.endswith(".webp"), "image/webp").otherwise("image/jpeg")
+    )
+    return _rows(spark, [r[:2] for r in MEDIA], "u string, h string").select("u", "h", known.alias("type"))
+
+
+CLEANED = [("a <b>x</b>  y", "a x y"), ("strong>z", "z"), ("end <div", "end"), ("a\n\nb", "a b")]
+_TAGS = "strong|em|b|i|p|u|s|span|div|h[1-6]|li|ul|ol|br|hr|a|img|table|tr|td|th"
+
+
+@query(f"SELECT s, c AS cleaned FROM {_values(CLEANED, 's, c')}")
+def llm_text_clean(spark: SparkSession, d: str) -> DataFrame:
+    t = F.regexp_replace("s", r"</?[a-zA-Z][a-zA-Z0-9]*[^>]*>", "")
+    t = F.regexp_replace(t, rf"(?i)(?<!<)(?:{_TAGS})\s*>", "")
+    t = F.regexp_replace(t, rf"(?i)<\s*(?:{_TAGS})\s*$", " ")
+    return _rows(spark, [(s,) for s, _ in CLEANED], "s string").select("s", X.collapse(t).alias("cleaned"))
+
+
+AUDIO = [
+    ("https://x/a?efg=eyJ2ZW5jb2RlX3RhZyI6ImRhc2hfYXVkaW8ifQ", True), ("https://x/a?efg=eyJ2ZW5jb2RlX3RhZyI6InZpZGVvX2F1ZGlvIn0", False),
+    ("https://x/dash_audio_1", True), ("https://x/v.mp4", False), ("https://x/v?type=audio", True),
+]
+
+
+@query("SELECT u, a::INT AS audio_only FROM " + _values([(u, int(a)) for u, a in AUDIO], "u, a"))
+def audio_only_url(spark: SparkSession, d: str) -> DataFrame:
+    """By the tag in the encoded parameter where there is one, else by telling parts of the address."""
+    raw = F.regexp_extract("u", "[?&]efg=([^&]+)", 1)
+    padded = F.concat(raw, F.substring(F.lit("==="), 1, ((4 - F.length(raw) % 4) % 4).cast("int")))
+    tag = F.lower(F.coalesce(F.get_json_object(F.when(raw != "", F.unbase64(padded).cast("string")), "$.vencode_tag"), F.lit("")))
+    audio, video = F.contains(tag, F.lit("audio")), F.contains(tag, F.lit("video"))
+    known = F.when(audio & ~video, True).when(video, False).otherwise(F.lower("u").rlike(r"/dash_audio[_/]|_audio_only|[?&]type=audio|heaac[^v]"))
+    return _rows(spark, [(u,) for u, _ in AUDIO], "u string").select("u", known.cast("int").alias("audio_only"))
+
+
+@query("""SELECT event_id, props->>'$.k' AS k, coalesce(nullif(props->>'$.id', ''), md5(props)[1:12]) AS post_id FROM events""")
+def post_node(spark: SparkSession, d: str) -> DataFrame:
+    """A post's fields from its JSON, with a hash for an id that is missing."""
+    id_ = F.nullif(F.get_json_object("props", "$.id"), F.lit(""))
+    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(id_, F.substring(F.md5("props"), 1, 12)).alias("post_id"))
+
+
+@query("""SELECT a.doc_id, coalesce(nullif(a.lang, 'fr'), b.s, a.lang) AS lang, CASE WHEN a.n_chars < 500 THEN coalesce(b.q, 0) ELSE a.n_chars END::BIGINT AS n
+FROM documents a LEFT JOIN (SELECT doc_id, 'filled' AS s, quality AS q FROM labels) b USING (doc_id)""")
+def post_enrich(spark: SparkSession, d: str) -> DataFrame:
+    """Fields are filled from the other side only where they are empty."""
+    other = table(spark, d, "labels").select("doc_id", F.lit("filled").alias("s"), F.col("quality").cast("bigint").alias("q"))
+    met = table(spark, d, "documents").join(other, "doc_id", "left")
+    n = F.when(F.col("n_chars") < 500, F.coalesce("q", F.lit(0))).otherwise(F.col("n_chars"))
+    return met.select("doc_id", F.coalesce(F.nullif("lang", F.lit("fr")), "s", "lang").alias("lang"), n.alias("n"))
+
+
+@query("""SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'past' WHEN ts > TIMESTAMP '2024-01-20 23:59:59' THEN 'future' ELSE 'in' END AS place FROM events""")
+def post_date_range(spark: SparkSession, d: str) -> DataFrame:
+    ts = F.col("ts")
+    place = F.when(ts < F.expr("TIMESTAMP_NTZ '2024-01-10'"), "past").when(ts > F.expr("TIMESTAMP_NTZ '2024-01-20 23:59:59'"), "future").otherwise("in")
+    return table(spark, d, "events").select("event_id", place.alias("place"))
+
+
+@query("SELECT user_id AS key, arg_max(event_type, event_id) AS value FROM events GROUP BY ALL")
+def health_lww(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("value"), "event_id")
+    return rows.groupBy("key").agg(F.max_by("value", "event_id").alias("value"))
+
+
+@query("SELECT doc_id, lang AS name, source || ':' || lang AS handle FROM documents")
+def profile_norm(spark: SparkSession, d: str) -> DataFrame:
+    js = F.to_json(F.struct(F.struct("lang", "source").alias("user")))
+    parts = [F.get_json_object(js, f"$.user.{k}") for k in ("lang", "source")]
+    return table(spark, d, "documents").select("doc_id", parts[0].alias("name"), F.concat_ws(":", parts[1], parts[0]).alias("handle"))
+
+
+@query("SELECT doc_id, string_agg(lower(w), ' ' ORDER BY i) AS text FROM (SELECT doc_id, unnest(range(1, 4)) AS i, unnest(string_split(text, ' ')[1:3]) AS w FROM documents) WHERE w IS NOT NULL GROUP BY doc_id")
+def parse_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Words of a page's result, shaped by a transform over its array."""
+    words = F.transform(F.slice(F.split("text", " "), 1, 3), F.lower)
+    return table(spark, d, "documents").select("doc_id", F.array_join(words, " ").alias("text"))
+
+
+@query("SELECT page_id, coalesce(length(html), 0) > 1500 AND page_id % 3 <> 0 AS ok, CASE WHEN page_id % 3 = 0 THEN 'fallback' ELSE 'native' END AS source FROM pages")
+def scrape_gate(spark: SparkSession, d: str) -> DataFrame:
+    failed = F.col("page_id") % 3 == 0
+    return table(spark, d, "pages").select("page_id", ((F.length("html") > 1500) & ~failed).alias("ok"), F.when(failed, "fallback").otherwise("native").alias("source"))
+
+
+@query("SELECT doc_id, 'Summary of ' || source || chr(10) || left(text, 500) || chr(10) || printf('%.1f%%', (n_chars % 1000) / 10.0::DOUBLE) AS md FROM documents")
+def export_summary(spark: SparkSession, d: str) -> DataFrame:
+    share = F.format_string("%.1f%%", (F.col("n_chars") % 1000) / F.lit(10.0))
+    return table(spark, d, "documents").select("doc_id", F.concat_ws("\n", F.concat(F.lit("Summary of "), "source"), F.substring("text", 1, 500), share).alias("md"))
