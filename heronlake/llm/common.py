@@ -50,6 +50,12 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a stored table that nothing reads any more."""
+    if files := table.inputFiles():
+        remove(table.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """A table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

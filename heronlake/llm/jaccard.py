@@ -30,13 +30,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from heronlake.llm.common import components, ddl, map_rows, slices, stored
+from heronlake.llm.common import components, ddl, discard, map_rows, slices, stored
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Counters of each of the sketch's two rows; pieces in which a task sends them; bits of the filter for texts to verify;
 #: buckets of a set's parities.
 WIDTH, PIECES, FILTER, BITS = 1 << 20, 8, 1 << 24, 2048
-FOLDS = 4
+FOLDS = 8
 FOLD = [f"f{i}" for i in range(FOLDS)]
 #: Bytes of text that are cut at once.
 RUN = 1 << 20
@@ -393,7 +393,9 @@ def verified(docs: DataFrame, pairs: DataFrame, rows: DataFrame, key: str, text:
 
     right = pairs.select("a", "b").join(known.toDF("b", "y").hint("merge"), "b")
     both = right.join(known.toDF("a", "x").hint("merge"), "a")
-    return stored(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "links")
+    links = stored(both.select("a", "b", "x", "y").mapInArrow(check, "a bigint, b bigint"), "links")
+    discard(known)
+    return links
 
 
 def link(
@@ -409,7 +411,9 @@ def link(
     """
     t = Fraction(threshold)
     rows, sketch = described(docs, key, text, k)
-    common = shared(indexed(docs, key, text, k, t, sketch))
+    index = indexed(docs, key, text, k, t, sketch)
+    common = shared(index)
+    discard(index)  # what is left of it is stored in common
 
     star = common.where(f"node != pivot AND {similar_sizes('n', 'pn', t)}")
     star = stored(star.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "pairs")
