@@ -1,11 +1,13 @@
 """Line dedup by winnowing over line hashes.
 
-A line is a line of the text, or a sentence of a longer one. From each line on, a window holds as many lines as make up
-:data:`LEAST_WORDS` words; its smallest line hash is its fingerprint, with lines of five words or more before shorter ones.
-Any run that two texts share holds the same windows, so its fingerprints are found in both (the guarantee of winnowing,
-Schleimer et al., 2003). Positions with a fingerprint that occurs once are dropped; the others are joined and matched
-window by window, both ways around the fingerprint, and overlapping windows make up the longest common runs. Every
-occurrence of a run but the first, in the order of ids and places, is deleted.
+A line is a line of the text, or a sentence of a longer one. A window holds as few lines as make up :data:`LEAST_WORDS`
+words, from a line on or back from a line; its smallest line hash is its fingerprint, with lines of five words or more
+before shorter ones. Any run that two texts share holds the same windows, so its fingerprints are found in both (the
+guarantee of winnowing, Schleimer et al., 2003). Positions with a fingerprint that occurs once are dropped; the others are
+joined and matched window by window. A line of a common run with too few words before it in the run is in the window from
+the run's first line on, and any other ends a window that lies in the run, so the windows of both directions make up the
+longest common runs, to their last line. Every occurrence of a run but the first, in the order of ids and places, is
+deleted.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def windows(texts: list[str | None], least: int = LEAST_WORDS):
-    """For each text its windows, in order: (fingerprints, their lines in the text, window hashes, first characters, ends)."""
+    """For each text its windows, by start and end: (fingerprints, their lines in the text, window hashes, first characters, ends)."""
     hashes, sizes, starts, ends, bounds = [], [], [], [], [0]
     for t in texts:
         at = 0
@@ -54,7 +56,11 @@ def windows(texts: list[str | None], least: int = LEAST_WORDS):
     limit = np.repeat(bounds[1:], np.diff(bounds))
     to = np.searchsorted(words, words[:-1] + least)  # lines i to to[i] have enough words
     whole = np.flatnonzero(to <= limit) if n else np.zeros(0, np.int64)
-    to = to[whole]
+    # back from an end, the window from line i is the shortest while the one from line i + 1 on ends later
+    until = np.minimum(np.append(to[1:], n + 1)[whole], limit[whole] + 1) if n else whole
+    ends_of = np.maximum(until - to[whole], 1)
+    nth = np.arange(ends_of.sum()) - np.repeat(np.cumsum(ends_of) - ends_of, ends_of)
+    whole, to = np.repeat(whole, ends_of), np.repeat(to[whole], ends_of) + nth
     short = (np.array(sizes, np.int64) < LONG).astype(np.uint64)
     rank = (h >> np.uint64(1)) | (short << np.uint64(63))
     level, table = np.zeros(len(whole), np.int64), [rank]

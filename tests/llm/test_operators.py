@@ -305,6 +305,43 @@ def test_line_dedup_equals_brute_force(spark):
     assert len(linededup.dedup(frame(spark, [(1, passage), (1, passage)])).where("size(removed) = 0").collect()) == 2
 
 
+def longest_runs(texts, least=linededup.LEAST_WORDS):
+    """The lines of each text, by numbers, that lie in a longest common run with an earlier place; lines are strings."""
+    out = {}
+    for i, lines in enumerate(texts):
+        gone = set()
+        for a in range(len(lines)):
+            for j in range(i + 1):
+                for b in range(a if j == i else len(texts[j])):
+                    n = 0
+                    while a + n < len(lines) and b + n < (a if j == i else len(texts[j])) and lines[a + n] == texts[j][b + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in lines[a : a + n]) >= least:
+                        gone |= set(range(a, a + n))
+        out[i] = gone
+    return out
+
+
+def test_line_dedup_deletes_longest_common_runs(spark):
+    r = random.Random(8)
+    pool = [" ".join(f"w{i}x{k}" for k in range(r.choice([1, 2, 4, 9, 15, 30, 45]))) for i in range(60)]
+    runs = [r.sample(pool, r.randint(2, 9)) for _ in range(8)]
+    texts = []
+    for i in range(40):
+        lines = []
+        for k in r.sample(range(8), 3):
+            a = r.randint(0, 1)
+            lines += [f"own {i} {k} {w}" for w in range(r.randint(0, 3))] + runs[k][a : r.randint(2, 9)]
+        texts.append(lines)
+    first, last = " ".join(f"a{k}" for k in range(45)), " ".join(f"b{k}" for k in range(30))
+    texts += [["x", first, last, "y"], ["z", first, last, "v"], ["u", first, last]]  # 45 + 30 words
+    want = longest_runs(texts)
+    got = {r.doc_id: r.text for r in linededup.dedup(frame(spark, [(i, "\n".join(x)) for i, x in enumerate(texts)])).collect()}
+    for i, lines in enumerate(texts):
+        assert [x for x in got[i].split("\n") if x] == [x for k, x in enumerate(lines) if k not in want[i]], i
+    assert got[41] == "z\nv" and got[42] == "u\n" and sum(map(len, want.values())) > 100
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 1000, 70001])
 def test_permutation_is_a_bijection_and_depends_on_the_key(n):
     a = order.permute(np.arange(n), n, b"a")
