@@ -1,9 +1,11 @@
 """Licence scans with DataFrame functions only.
 
-A paragraph is a line of a text. One with a legal cue word is described by its hashed words and word pairs, and a sparse
-logistic regression gives the probability of each licence family and of none. The probabilities are calibrated by a
-temperature, and a threshold makes what is uncertain unknown. A prediction stands only if the paragraph's word pairs agree
-with a template of that family. The model is trained in numpy on the driver, from templates alone, so its size and its
+A paragraph is a line of a text, or neighbouring lines without a blank one between them, as notices are wrapped: from each
+line on, every run up to the one whose further lines hold as many words as the longest template. One with a legal cue word
+is described by its hashed words and word pairs, and a sparse logistic regression gives the probability of each licence
+family and of none. The probabilities are calibrated by a temperature, and a threshold makes what is uncertain unknown. A
+prediction stands only if the paragraph's word pairs agree with a template of that family, and if no paragraph that shares
+a line with it agrees better. The model is trained in numpy on the driver, from templates alone, so its size and its
 training don't depend on the data; scoring is one projection of the scan.
 """
 
@@ -121,6 +123,8 @@ CUES = (
 BUCKETS, NONE = 4096, "none"
 FAMILIES = (NONE, *TEMPLATES)
 SPLIT = "[^a-z0-9]+"
+#: What stands before the words of a line in comments and quotes.
+MARKS = r"^[\s#*/;>%!|-]+"
 
 
 def grams(text: str) -> list[str]:
@@ -129,6 +133,10 @@ def grams(text: str) -> list[str]:
     return list(dict.fromkeys([*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]))  # noqa: B905
 
 
+#: Words of the longest template.
+LONGEST = max(len([x for x in re.split(SPLIT, t.lower()) if x]) for ts in TEMPLATES.values() for t in ts)
+
+
 def bucket(gram: str) -> int:
     h = xxh64_intdigest(gram, seed=42)  # as the SQL function has it
     return (h - (1 << 64) if h >> 63 else h) % BUCKETS
@@ -221,7 +229,7 @@ def _with(value: Column, use) -> Column:
 
 
 def _judged(x: Column, model: Model) -> Column:
-    """(line, family, probability, agreement, confirmed) of a struct of a line number and a paragraph."""
+    """(line, last, family, probability, agreement, confirmed) of a struct of two line numbers and a paragraph."""
     flat, bias = _numbers(model.weights.ravel()), _numbers(model.bias)
     classes = _numbers(range(len(FAMILIES)), "int")
 
@@ -248,6 +256,7 @@ def _judged(x: Column, model: Model) -> Column:
         probability = 1 / total
         return F.struct(
             x["line"].alias("line"),
+            x["last"].alias("last"),
             F.element_at(_strings(FAMILIES), best + 1).alias("family"),
             probability.alias("probability"),
             agree.alias("agreement"),
@@ -257,29 +266,80 @@ def _judged(x: Column, model: Model) -> Column:
     return _with(_grams(x["text"]), lambda g: _with(scored(g), lambda z: decided(g, z)))
 
 
+def _standing(judged: Column) -> Column:
+    """The lines, and those longer paragraphs that stand; where paragraphs share lines, one of them."""
+    order = F.array_sort(
+        F.transform(
+            F.filter(judged, lambda x: x["confirmed"]),
+            lambda x: F.struct((-x["agreement"]).alias("less"), (x["last"] - x["line"]).alias("more"), x["line"].alias("line"), x["last"].alias("last")),
+        )
+    )
+    taken = F.aggregate(
+        order,
+        F.expr("cast(array() as array<struct<line:int,last:int>>)"),
+        lambda done, x: F.when(F.exists(done, lambda y: (y["line"] <= x["last"]) & (x["line"] <= y["last"])), done).otherwise(
+            F.concat(done, F.array(F.struct(x["line"].alias("line"), x["last"].alias("last"))))
+        ),
+    )
+
+    def stands(taken: Column) -> Column:
+        marked = F.transform(
+            judged, lambda x: x.withField("confirmed", x["confirmed"] & F.exists(taken, lambda y: (y["line"] == x["line"]) & (y["last"] == x["last"])))
+        )
+        return F.array_sort(F.filter(marked, lambda x: x["confirmed"] | (x["line"] == x["last"])))
+
+    return _with(taken, stands)
+
+
 def scan(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, families, paragraphs): one row for each input row, over its whole text.
 
-    ``paragraphs`` has each line with a cue word: its number from 0, the family (none for no licence), the calibrated
-    probability, the share of a template's word pairs that it holds, and whether the prediction is confirmed.
+    ``paragraphs`` has each line with a cue word, and wrapped notices: the numbers of the first and last line from 0, the
+    family (none for no licence), the calibrated probability, the share of a template's word pairs that it holds, and
+    whether the prediction is confirmed. Of confirmed paragraphs that share a line the one that agrees best stands, or else
+    the shortest.
     ``families`` holds the confirmed families, sorted. Null and empty texts have no paragraphs, the key may be null,
     repeated rows stay, other columns are ignored. No shuffle and no Python.
     """
     model = model or fit()
-    lines = F.transform(F.split(F.col(text), "\n"), lambda p, i: F.struct(i.alias("line"), p.alias("text")))
 
-    def cued(x: Column) -> Column:
-        low, found = F.lower(x["text"]), F.lit(False)
+    def cued(t: Column) -> Column:
+        low, found = F.lower(t), F.lit(False)
         for c in CUES:
             found = found | F.contains(low, F.lit(c))
         return found
 
-    low = F.lower(F.col(text))
-    any_cue = F.lit(False)
-    for c in CUES:
-        any_cue = any_cue | F.contains(low, F.lit(c))
-    none = F.filter(lines, lambda x: F.lit(False))
-    candidates = F.when(F.coalesce(any_cue, F.lit(False)), F.filter(lines, cued)).otherwise(none)
-    found = docs.select(F.col(key), F.coalesce(F.transform(candidates, lambda x: _judged(x, model)), F.array()).alias("paragraphs"))
+    kind = "struct<line:int,last:int,text:string>"
+    any_cue = F.coalesce(cued(F.col(text)) | cued(F.regexp_replace(text, r"\s*\n" + MARKS[1:-1] + "*", " ")), F.lit(False))
+    lines = F.when(any_cue, F.split(F.col(text), "\n")).otherwise(F.expr("cast(array() as array<string>)"))
+
+    def counted(t: Column) -> Column:
+        bare = F.rtrim(F.regexp_replace(F.regexp_replace(t, MARKS, ""), "\r$", ""))
+        words = F.size(F.filter(F.split(F.lower(bare), SPLIT), lambda w: w != ""))
+        return F.struct(bare.alias("text"), words.alias("n"))
+
+    def runs(every: Column, i: Column) -> Column:
+        """The paragraphs of two lines or more from line i on that hold a cue; each line has a word, so few can follow."""
+        own = every[i]
+        start = F.struct(own["text"].alias("text"), F.lit(0).alias("n"), (own["n"] > 0).alias("open"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
+
+        def longer(a: Column, x: Column) -> Column:
+            on = a["open"] & (x["n"] > 0) & (a["n"] < LONGEST)
+            joined = F.concat_ws(" ", a["text"], x["text"])
+            row = F.struct(i.alias("line"), (i + F.size(a["out"]) + 1).cast("int").alias("last"), joined.alias("text"))
+            return F.when(on, F.struct(joined.alias("text"), (a["n"] + x["n"]).alias("n"), F.lit(True).alias("open"), F.concat(a["out"], F.array(row)).alias("out"))).otherwise(
+                F.struct(a["text"].alias("text"), a["n"].alias("n"), F.lit(False).alias("open"), a["out"].alias("out"))
+            )
+
+        following = F.slice(every, i + 2, F.lit(LONGEST))
+        return F.aggregate(following, start, longer, lambda a: F.when(cued(a["text"]), F.filter(a["out"], lambda x: cued(x["text"]))).otherwise(F.filter(a["out"], lambda x: F.lit(False))))
+
+    def candidates(every: Column) -> Column:
+        return F.flatten(F.transform(every, lambda _, i: runs(every, i)))
+
+    single = F.filter(F.transform(lines, lambda p, i: F.struct(i.alias("line"), i.alias("last"), p.alias("text"))), lambda x: cued(x["text"]))
+    wrapped = _with(F.transform(lines, counted), candidates)
+    judged = F.transform(F.concat(single, wrapped), lambda x: _judged(x, model))
+    found = docs.select(F.col(key), F.coalesce(_with(judged, _standing), F.array()).alias("paragraphs"))
     families = F.array_sort(F.array_distinct(F.transform(F.filter("paragraphs", lambda p: p["confirmed"]), lambda p: p["family"])))
     return found.select(key, families.alias("families"), "paragraphs")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 from fractions import Fraction
 
@@ -231,6 +232,27 @@ def test_licences(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_wrapped_licence_notices(spark):
+    notices = {
+        "mit": licenses.TEMPLATES["mit"][2], "gpl": licenses.TEMPLATES["gpl"][1], "lgpl": licenses.TEMPLATES["lgpl"][1],
+        "bsd": licenses.TEMPLATES["bsd"][2], "isc": licenses.TEMPLATES["isc"][1],
+    }
+    texts, want = [], []
+    for family, notice in notices.items():
+        for width in (30, 50, 72):
+            for before in ("", "# ", " * "):
+                lines = textwrap.wrap(notice, width)
+                texts.append((len(texts), "\n".join(["A tool for maps.", "", *(before + x for x in lines), "", "It draws them."])))
+                want.append(family)
+    one = [(len(texts), "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."), (len(texts) + 1, "released into the public\ndomain\n\nunder no licence\n\nof ours")]
+    got = {r.doc_id: r for r in licenses.scan(frame(spark, texts + one)).collect()}
+    for i, family in enumerate(want):
+        assert got[i].families == [family], (texts[i], got[i])
+        assert all(2 <= p.line <= p.last for p in got[i].paragraphs if p.confirmed)
+    assert got[len(texts)].families == ["apache", "mit"] and sum(p.confirmed for p in got[len(texts)].paragraphs) == 2
+    assert "Python" not in licenses.scan(frame(spark, one))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_licence_scores_equal_numpy(spark):
     model = licenses.fit()
     text = "You may obtain a copy of the License under the GPL, version 2."
