@@ -287,6 +287,7 @@ def test_long_texts_score_in_pieces(monkeypatch):
 
 
 def brute_lines(texts, least=linededup.LEAST_WORDS):
+    """Spans of every run of lines, of any length, that occurs at an earlier place; a run may overlap its first occurrence."""
     seen, out = {}, {}
     for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0)):
         lines, at = [], 0
@@ -294,19 +295,17 @@ def brute_lines(texts, least=linededup.LEAST_WORDS):
             if x.strip():
                 lines.append((x.strip(), len(x.split()), at, min(len(t), at + len(x) + 1)))
             at += len(x) + 1
-        spans = []
+        gone = []
         for a in range(len(lines)):
-            n, b = 0, a
-            while b < len(lines) and n < least:
-                n, b = n + lines[b][1], b + 1
-            if n < least:
-                break
-            key = tuple(x[0] for x in lines[a:b])
-            if key in seen:
-                spans.append((max(lines[a][2], seen[key][1] if seen[key][0] == i else 0), lines[b - 1][3]))
-            else:
-                seen[key] = i, lines[b - 1][3]
-        out[i] = decontam.merged(s for s in spans if s[0] < s[1])
+            for b in range(a + 1, len(lines) + 1):
+                key = tuple(x[0] for x in lines[a:b])
+                if sum(x[1] for x in lines[a:b]) < least:
+                    continue
+                if key not in seen:
+                    seen[key] = i, lines[b - 1][3]
+                    continue
+                gone.append((max(lines[a][2], seen[key][1] if seen[key][0] == i else 0), lines[b - 1][3]))
+        out[i] = decontam.merged(s for s in gone if s[0] < s[1])
     return out
 
 
