@@ -11,19 +11,20 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heronlake.llm.common import ddl, map_rows
 
 LONG = 200
-#: Chunks (words between white space) that each of two generations of the cache holds, about.
-CACHE = 150_000
+#: Chunks (words between white space), and pieces of them, that each of two generations of the caches holds, about.
+CACHE = 250_000
 #: Cells of the rank arrays that are merged together.
 CELLS = 400_000
 SHIFT = 20
@@ -31,6 +32,45 @@ NONE = 2**31 - 1
 #: Unicode's White_Space; str.split() also takes U+001C to U+001F.
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Upper-case letters that the library's lower-casing knows and Unicode 15.1 doesn't, as (first, last, first
+#: lower-case letter).
+LATER_CASE = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x0264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x019B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+#: Code points that normalise by Unicode 15.1, and not by the older tables of the library: marks that it takes
+#: for characters without a combining class, and the second half of a pair that it doesn't compose.
+LATER_MARKS = (
+    (0x07FD, 0x07FD), (0x0898, 0x089F), (0x08CA, 0x08D3), (0x0C3C, 0x0C3C), (0x0D3B, 0x0D3C), (0x0EBA, 0x0EBA), (0x1715, 0x1715),
+    (0x1ABF, 0x1ACE), (0x1DF6, 0x1DFA), (0xA82C, 0xA82C), (0x10EAB, 0x10EAC), (0x10EFD, 0x10EFF), (0x10F46, 0x10F50), (0x10F82, 0x10F85),
+    (0x11070, 0x11070), (0x1133B, 0x1133B), (0x1145E, 0x1145E), (0x11839, 0x1183A), (0x11930, 0x11930), (0x1193D, 0x1193E), (0x11943, 0x11943),
+    (0x119E0, 0x119E0), (0x11A34, 0x11A34), (0x11A47, 0x11A47), (0x11A99, 0x11A99), (0x11D42, 0x11D42), (0x11D44, 0x11D45),
+    (0x11D97, 0x11D97), (0x11F41, 0x11F42), (0x16FF0, 0x16FF1), (0x1E08F, 0x1E08F), (0x1E130, 0x1E136), (0x1E2AE, 0x1E2AE), (0x1E2EC, 0x1E2EF), (0x1E4EC, 0x1E4EF),
+)
+#: Letters and numbers of Unicode 16, which the library's split knows, beside those of 15.1.
+LATER = {
+    "L": (
+        (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+        (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1),
+        (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF),
+        (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+    ),
+    "N": ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)),
+}
+_LATER_MARK = re.compile("([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in LATER_MARKS) + "])")
+_LATER_CASE = {a + i: to + i for a, b, to in LATER_CASE for i in range(b - a + 1)}
+_NEEDS_CASE = re.compile("[" + "".join(map(chr, _LATER_CASE)) + "]")
+
+
+@cache
+def ranges(major: str) -> str:
+    """The code points of a major category in Unicode 16, whose classes the library's split has, as a character class."""
+    inside = np.zeros(sys.maxunicode + 3, np.int8)
+    inside[1:-1] = [unicodedata.category(chr(c))[0] == major for c in range(sys.maxunicode + 1)]
+    for a, b in LATER[major]:
+        inside[a + 1 : b + 2] = 1
+    edges = np.flatnonzero(np.diff(inside)).reshape(-1, 2).tolist()
+    return "".join(f"{chr(a)}-{chr(b - 1)}" for a, b in edges)
 
 
 def byte_glyphs() -> list[str]:
@@ -40,12 +80,33 @@ def byte_glyphs() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
+class Memory:
+    """A cache of two generations: when the young one is full it becomes the old one, so memory is bounded."""
+
+    def __init__(self) -> None:
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that aren't known; the others are in the young generation from now on."""
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        new, old, out = self.new, self.old, []
+        for k in keys:
+            if k not in new:
+                if (value := old.get(k)) is not None:
+                    new[k] = value
+                else:
+                    out.append(k)
+        return out
+
+
 class WordBpe:
     """The tokenizer that a ``tokenizers`` JSON file of this kind describes.
 
     It covers files with NFC, white space and lower-case normalisers, a split pattern, byte-level pieces, word-end
-    suffixes and no decoder; anything else is refused. Characters that were assigned after the Unicode version of the
-    library's own split are the one known difference.
+    suffixes and no decoder; anything else is refused. The library uses three versions of Unicode: 16 for the split, an older
+    one for NFC and a later one for lower case. What they have beside Python's own (15.1) are the tables above.
     """
 
     def __init__(self, text: str | bytes, plain: bool = False) -> None:
@@ -56,7 +117,11 @@ class WordBpe:
             raise ValueError("this tokenizer file has parts that WordBpe doesn't know")
         model = spec["model"]
         suffix = model["end_of_word_suffix"] or ""
-        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + r"|\n")
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        # chunks hold no white space, but a line feed between two of them
+        for name, members in ((r"\p{L}", ranges("L")), (r"\p{N}", ranges("N")), (r"\s", r"\n")):
+            pattern = pattern.replace(name, members)
+        self.pieces = re.compile(pattern + r"|\n")
         vocab = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = [""] * (1 + max([*vocab.values(), *self.special.values()]))
@@ -78,8 +143,7 @@ class WordBpe:
         self.plain = plain
         self.end = max(self.special.values(), default=len(self.names) - 1)
         self.stops = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.chunks, self.words = Memory(), Memory()
 
     def _ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The rank of each pair; NONE where the pair can't merge or an end is padding (below 0)."""
@@ -118,8 +182,11 @@ class WordBpe:
             low = ranks.argmin(axis=1)
             best = ranks[np.arange(len(rows)), low]
             if (done := best == NONE).any():
-                for k, p in zip(rows[done], parts[done], strict=True):
-                    out[k] = p[p >= 0].astype("<u4")
+                whole = parts[done]
+                mask = whole >= 0
+                ids, ends = whole[mask].astype("<u4"), mask.sum(axis=1).cumsum().tolist()
+                for k, x, y in zip(rows[done].tolist(), [0, *ends], ends, strict=False):
+                    out[k] = ids[x:y]
                 if done.all():
                     return
                 rows, parts, ranks, low, best = (x[~done] for x in (rows, parts, ranks, low, best))
@@ -154,42 +221,38 @@ class WordBpe:
         return np.array([p for p, a in zip(parts, alive, strict=True) if a], "<u4")
 
     def learn(self, chunks: set[str]) -> None:
-        """Put the ids and the decoded text of words between white space in the cache.
-
-        The cache has two generations. When the young one is full it becomes the old one, so memory is bounded.
-        """
-        known, older = self.known, self.older
-        if len(known) > CACHE:
-            self.older = older = known
-            self.known = known = {}
-        new = []
-        for c in chunks:
-            if c not in known:
-                if (value := older.get(c)) is not None:
-                    known[c] = value
-                else:
-                    new.append(c)
+        """Put the ids and the decoded text of words between white space in the cache."""
+        new = self.chunks.missing(chunks)
         if not new:
             return
-        split: list[list[str]] = [[]]
-        for piece in self.pieces.findall("\n".join(new)):
-            if piece == "\n":
-                split.append([])
+        split: dict[str, list[str]] = {}
+        several = [c for c in new if not (c.isascii() and c.isalpha())]  # letters alone are one piece
+        if several:
+            parts: list[str] = []
+            at = iter(several)
+            for piece in self.pieces.findall("\n".join(several)):
+                if piece == "\n":
+                    split[next(at)] = parts
+                    parts = []
+                else:
+                    parts.append(piece)
+            split[next(at)] = parts
+        words = {w for x in split.values() for w in x}
+        words.update(c for c in new if c not in split)
+        if unknown := self.words.missing(words):
+            merged, names = self.merge([w.encode() for w in unknown]), self.names
+            if self.plain:
+                self.words.new.update(zip(unknown, [i.tobytes() for i in merged], strict=True))
             else:
-                split[-1].append(piece)
-        words = list({w for x in split for w in x})
-        names = self.names
-        merged = self.merge([w.encode() for w in words])
-        if self.plain:
-            ids = dict(zip(words, [i.tobytes() for i in merged], strict=True))
-            known.update((c, ids[x[0]] if len(x) == 1 else b"".join([ids[w] for w in x])) for c, x in zip(new, split, strict=True))
-            return
-        values = {
-            w: (i.tobytes(), " ".join([names[k] for k in i.tolist()])) for w, i in zip(words, merged, strict=True)
-        }
-        for c, x in zip(new, split, strict=True):
-            if len(x) == 1:
-                known[c] = values[x[0]]
+                values = [(i.tobytes(), " ".join([names[k] for k in i.tolist()])) for i in merged]
+                self.words.new.update(zip(unknown, values, strict=True))
+        known, values = self.chunks.new, self.words.new
+        for c in new:
+            x = split.get(c)
+            if x is None or len(x) == 1:
+                known[c] = values[x[0] if x else c]
+            elif self.plain:
+                known[c] = b"".join([values[w] for w in x])
             else:
                 known[c] = b"".join([values[w][0] for w in x]), " ".join([values[w][1] for w in x])
 
@@ -219,7 +282,7 @@ class WordBpe:
                 if isinstance(p, str):
                     found.append((self.special[p].to_bytes(4, "little"), p))
                 else:
-                    found += map(self.known.__getitem__, p)
+                    found += map(self.chunks.new.__getitem__, p)
             out.append((b"".join([x for x, _ in found]), " ".join([y for x, y in found if x])))
         return out
 
@@ -230,13 +293,15 @@ class WordBpe:
         for c in cut:
             seen.update(c)
         self.learn(seen)
-        get = self.known.__getitem__
+        get = self.chunks.new.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
     def _chunks(self, text: str) -> list[str]:
-        if not text.isascii() and not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        text = lower(text)
+        try:
+            text.encode("latin-1")  # such a text is in NFC, and nothing in it is special
+            text = text.lower()
+        except UnicodeEncodeError:
+            text = lower(nfc(text))
         return text.split() if not ODD_SPACE.search(text) else [c for c in SPACE.split(text) if c]
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
@@ -251,7 +316,15 @@ class WordBpe:
 
 def lower(text: str) -> str:
     """Lower case character by character: a final sigma isn't told apart."""
-    return (text.replace("Σ", "σ") if "Σ" in text else text).lower()
+    text = text.replace("Σ", "σ") if "Σ" in text else text
+    return (text.translate(_LATER_CASE) if _NEEDS_CASE.search(text) else text).lower()
+
+
+def nfc(text: str) -> str:
+    """NFC by the library's tables: nothing is reordered or composed across what they don't know."""
+    if _LATER_MARK.search(text):
+        return "".join([unicodedata.normalize("NFC", x) if i % 2 == 0 else x for i, x in enumerate(_LATER_MARK.split(text))])
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
 def load(path: str) -> bytes:

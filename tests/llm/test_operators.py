@@ -58,6 +58,16 @@ def test_bpe_equals_the_library(spark):
     assert long.merge([word])[0].tolist() == long._merge_long(word).tolist()
 
 
+def test_bpe_knows_all_code_points():
+    tok, own = Tokenizer.from_file(queries.vocabulary()), bpe.WordBpe(bpe.load(queries.vocabulary()))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for k, form in enumerate(("a{}b1{}2!{}?", "e{}\u0301x {}")):
+        for i in range(0, len(points), 50_000):
+            texts = [form.replace("{}", c) for c in points[i : i + 50_000]]
+            want = [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+            assert [x for x, _ in own.encode_many(texts)] == want, (k, i)
+
+
 def test_token_counts_across_blocks(spark, monkeypatch):
     tok = bpe.WordBpe(bpe.load(queries.vocabulary()), plain=True)
     got = Counter((r.doc_id, r.n_tokens) for r in flat.token_counts(frame(spark, ODD), queries.vocabulary()).collect())
