@@ -148,13 +148,23 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
         out.add(f)
     rows = stored(dealt.mapInArrow(run, out), "later")
     discard(found)
-    # two heads for each task, so this side is as small as the number of tasks
+    # two heads for each task, so what the driver gets and sends is as small as the number of tasks
     heads = rows.where("head").groupBy("print", "own").agg(F.min(F.struct("id", "rk", "first", "b")).alias("f"))
-    heads = heads.select("print", "own", F.col("f.rk").alias("rk0"), F.col("f.first").alias("first0"), F.col("f.b").alias("last0"))
-    same = F.col("rk") == F.col("rk0")
-    ends = rows.where("edge").join(F.broadcast(heads), ["print", "own"]).where(~(same & (F.col("first") == F.col("first0"))))
-    ends = ends.select("id", "rk", F.when(same, F.greatest("first", "last0")).otherwise(F.col("first")).alias("a"), "b").where("a < b")
-    return rows.where("NOT edge").select("id", "rk", "a", "b").unionByName(ends)
+    held = docs.sparkSession.sparkContext.broadcast({(r[0], r[1]): (r.f.rk, r.f.first, r.f.b) for r in heads.collect()})
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What is later among the rows of windows that may span tasks."""
+        for b in batches:
+            rk, first, last = (b.column(i).to_numpy() for i in (1, 6, 3))
+            start = [held.value[x] for x in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
+            rk0, first0, last0 = np.array(start, np.int64).reshape(-1, 3).T
+            same = rk == rk0
+            a = np.where(same, np.maximum(first, last0), first).astype(np.int32)
+            columns = [b.column(0), b.column(1), pa.array(a), b.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=names[:4]).filter(pa.array(~(same & (first == first0)) & (a < last)))
+
+    ends = rows.where("edge").select(*names[:7]).mapInArrow(settle, T.StructType(out.fields[:4]))
+    return rows.where("NOT edge").select(*names[:4]).unionByName(ends)
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
