@@ -3,24 +3,32 @@
 Texts become sequences of a fixed number of token ids. Sequence i of N goes to slot p(i), where p is a keyed Feistel
 permutation on the next even number of bits, walked until it falls below N; it needs no shuffle buffer and no table. Slots
 are range-partitioned into shards, so slot s is at byte (s mod per_shard) * stride of shard s div per_shard, and a reader
-resumes by seeking. A shard that is already whole is left as it is, so a run that was cut off carries on.
+resumes by seeking. Sequences travel to their shard in compressed blocks, and a shard is put together in one buffer of its
+fixed size, so nothing is sorted. A shard that is already whole is left as it is, so a run that was cut off carries on; a
+header file in the folder says which corpus, key and stride the shards are of, and shards of any other are deleted.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heronlake.llm import bpe
-from heronlake.llm.common import ddl, map_rows, scratch, stored
+from heronlake.llm.common import scratch, slices, stored
 from heronlake.llm.flat import kind, opened
 
 LENGTH, PER_SHARD, ROUNDS = 256, 8192, 6
+#: Bytes of tokens that a task gathers before it deals them out; bytes of shards that one task writes, about.
+HELD, WRITTEN = 16 << 20, 256 << 20
 
 
 def round_keys(key: bytes) -> list[int]:
@@ -47,110 +55,173 @@ def permute(values: np.ndarray, n: int, key: bytes) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def ragged(data: bytes, ends: np.ndarray) -> pa.Array:
+    """A binary column of runs of bytes that end at ``ends``."""
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def sequences(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """(key, part, n_tokens, tokens): each text, with an end-of-document id, cut into rows of ``length`` ids, stored.
+    """(key, part, n_tokens, tokens, task, nth): each text, with an end-of-document id, in rows of ``length`` ids, stored.
 
-    The last row of a text is filled up with end-of-document ids; n_tokens doesn't count those. A null or empty text is one
-    row with its end alone.
+    The last row of a text may be shorter. A null or empty text is one row with its end alone. Rows are numbered within the
+    task that made them, so the table as it is stored tells their order.
     """
     held = docs.sparkSession.sparkContext.broadcast(bpe.load(vocabulary))
 
-    def make() -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = bpe.loaded(held.value, plain=True)
-        width = kind(len(tok.names))
-
-        def some(keys: list, texts: list):
-            for k, raw in zip(keys, tok.encode_ids(texts), strict=True):
-                n = len(raw) // 4 + 1
-                ids = np.full(-(-n // length) * length, tok.end, width)
-                ids[: n - 1] = np.frombuffer(raw, "<u4")
-                data, stride = ids.tobytes(), length * ids.itemsize
-                for i in range(len(ids) // length):
-                    yield k, i, min(length, n - i * length), data[i * stride : (i + 1) * stride]
+        width, end = kind(len(tok.names)), int(tok.end).to_bytes(4, "little")
+        task, nth = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            for b in slices(batch):
+                raw = tok.encode_ids(b.column(1).to_pylist())
+                ids = np.frombuffer(b"".join([x + end for x in raw]), "<u4").astype(width)
+                sizes = np.array([len(x) // 4 + 1 for x in raw])
+                many = -(-sizes // length)
+                of = np.repeat(np.arange(len(raw)), many)
+                part = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+                n = np.minimum(length, sizes[of] - part * length)
+                item = ids.itemsize
+                tokens = ragged(ids.tobytes(), np.cumsum(n) * item)
+                place = pa.array(np.arange(nth, nth + len(of)))
+                nth += len(of)
+                columns = [b.column(0).take(pa.array(of)), pa.array(part), pa.array(n), tokens, pa.array(np.full(len(of), task, np.int32)), place]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "part", "n_tokens", "tokens", "task", "nth"])
+
+    out = T.StructType([T.StructField(key, docs.schema[key].dataType)])
+    for f in T.StructType.fromDDL("part bigint, n_tokens bigint, tokens binary, task int, nth bigint"):
+        out.add(f)
+    return stored(docs.select(F.col(key), F.col(text)).mapInArrow(run, out), "sequences", "zstd")
+
+
+def prepared(folder: str, header: dict) -> None:
+    """The folder, without the shards of another corpus, key or stride than those of the header."""
+    fs, base = opened(folder)
+    fs.create_dir(base, recursive=True)
+    at, text = f"{base}/order.json", json.dumps(header, sort_keys=True)
+    if fs.get_file_info(at).is_file:
+        with fs.open_input_file(at) as f:
+            if f.read().decode() == text:
+                return
+    for info in fs.get_file_info(shards_of(base)):  # the header goes first, so a run that is cut off here starts anew
+        if info.path == at or info.base_name.startswith(("shard-", "_shard-")):
+            fs.delete_file(info.path)
+    with fs.open_output_stream(at) as f:
+        f.write(text.encode())
 
-        return some
 
-    schema = f"{ddl(docs, key)}, part bigint, n_tokens bigint, tokens binary"
-    return stored(map_rows(docs, [key, text], schema, make), "sequences")
+def shards_of(path: str):
+    """What lists a folder of shards."""
+    from pyarrow.fs import FileSelector
 
+    return FileSelector(path)
 
-def numbered(rows: DataFrame) -> tuple[DataFrame, int]:
-    """The rows of a stored table with numbers 0..n-1 in ``number``, and n.
 
-    A row's number is its place in its file and the rows of the files before it, by name, so it doesn't depend on how the
-    table is read. The driver gets one row for each file.
-    """
-    file, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    located = rows.withColumn("_file", F.regexp_extract(file, "[^/]+$", 0)).withColumn("_place", place)
-    sizes = sorted((r[0], r[1]) for r in located.groupBy("_file").count().collect())
-    first, total = [], 0
-    for name, n in sizes:
-        first.append((name, total))
-        total += n
-    offsets = rows.sparkSession.createDataFrame(first, "_file string, _first bigint")
-    # as many rows as files, each of which the driver has just listed
-    joined = located.join(F.broadcast(offsets), "_file")
-    return joined.withColumn("number", F.col("_first") + F.col("_place")).drop("_file", "_place", "_first"), total
+def shard_name(shard: int) -> str:
+    return f"shard-{shard:08d}.bin"
 
 
 def materialise(
-    rows: DataFrame, folder: str, secret: bytes = b"epoch-0", per_shard: int = PER_SHARD, key: str = "doc_id"
+    rows: DataFrame, vocabulary: str, folder: str, secret: bytes = b"epoch-0", per_shard: int = PER_SHARD, length: int = LENGTH, key: str = "doc_id"
 ) -> DataFrame:
     """Write the sequences to shards; (key, part, n_tokens, slot, shard, offset, token_sha256), a row for each sequence.
 
-    ``rows`` is the table of :func:`sequences`; ``secret`` selects the order. Each shard is one task's sorted run, written
-    under another name and renamed when it is whole; whole shards of an earlier run stay. Without rows there are no shards.
+    ``rows`` is the table of :func:`sequences`; ``secret`` selects the order; a sequence is filled up with end-of-document
+    ids to its stride. Each shard is written by one task under another name and renamed when it is whole; whole shards of
+    an earlier run over the same table, key and stride stay. Without rows there are no shards.
     """
     spark = rows.sparkSession
-    placed, total = numbered(rows)
-    first = rows.select("tokens").first()
-    stride = len(first[0]) if first else 0
-
-    def slots() -> Callable:
-        def some(numbers: list, *rest: list):
-            yield from zip(permute(np.array(numbers), total, secret).tolist(), *rest, strict=True)
-
-        return some
-
-    kept = [key, "part", "n_tokens", "tokens"]
-    slotted = map_rows(placed, ["number", *kept], f"slot bigint, {ddl(rows, *kept)}", slots)
+    tok = bpe.WordBpe(bpe.load(vocabulary), plain=True)
+    width, end = np.dtype(kind(len(tok.names))), tok.end
+    stride = length * width.itemsize
+    # a row for each task that made sequences
+    tasks = rows.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("nth", key, "part", "tokens")).alias("x"))
+    first, total, corpus = {}, 0, hashlib.sha256(secret)
+    for r in tasks.orderBy("task").collect():
+        first[r.task], total = total, total + r.n
+        corpus.update(f"{r.task},{r.n},{r.x};".encode())
+    prepared(folder, {"corpus": corpus.hexdigest(), "sequences": total, "length": length, "width": width.str, "per_shard": per_shard})
+    held = spark.sparkContext.broadcast(first)
     shards = max(1, -(-total // per_shard))
 
-    def write() -> Callable:
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[pa.RecordBatch] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            b = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+            start = np.array([held.value[t] for t in b.column(4).to_pylist()], np.int64)
+            slot = permute(start + b.column(5).to_numpy(), total, secret)
+            order = np.argsort(slot, kind="stable")
+            b, slot = b.take(pa.array(order)), slot[order]
+            shard = slot // per_shard
+            cuts = np.concatenate([np.flatnonzero(np.diff(shard, prepend=-1)), [len(shard)]]).astype(np.int32)
+            n = b.column(2).to_numpy()
+            tokens = [pa.compress(b"".join(b.column(3).slice(x, y - x).to_pylist()), "zstd", asbytes=True) for x, y in zip(cuts, cuts[1:])]  # noqa: B905
+            sizes = np.add.reduceat(n, cuts[:-1]) * width.itemsize
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), c) for c in (pa.array(slot), b.column(0), b.column(1), pa.array(n))]
+            columns = [pa.array(shard[cuts[:-1]]), *lists, pa.array(sizes), pa.array(tokens, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "slots", "keys", "parts", "sizes", "bytes", "tokens"])
+
+        for batch in batches:
+            for b in slices(batch):
+                rows.append(b)
+                size += b.nbytes
+                if size > HELD:
+                    yield out()
+                    rows, size = [], 0
+        if size:
+            yield out()
+
+    kept = T.ArrayType(rows.schema[key].dataType)
+    block = T.StructType.fromDDL("shard bigint, slots array<bigint>, parts array<bigint>, sizes array<bigint>, bytes bigint, tokens binary")
+    block = T.StructType([*block.fields[:2], T.StructField("keys", kept), *block.fields[2:]])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = opened(folder)
-        fs.create_dir(base, recursive=True)
-        state: dict = {"shard": None}
-
-        def close() -> None:
-            if state["shard"] is not None and state["out"]:
-                state["out"].close()
-                fs.move(state["at"], f"{base}/{name(state['shard'])}")
-
-        def some(slot: list, keys: list, parts: list, sizes: list, tokens: list):
-            for s, k, p, n, t in zip(slot, keys, parts, sizes, tokens, strict=True):
-                shard = s // per_shard
-                if shard != state["shard"]:
-                    close()
-                    there = fs.get_file_info(f"{base}/{name(shard)}")
-                    whole = there.is_file and there.size == min(per_shard, total - shard * per_shard) * stride
-                    at = f"{base}/_{shard}-{uuid.uuid4().hex}"
-                    state.update(shard=shard, at=at, out=None if whole else fs.open_output_stream(at))
-                if state["out"]:
-                    state["out"].write(t)
-                yield k, p, n, s, shard, s % per_shard * stride, hashlib.sha256(t).hexdigest()
-
-        some.done = close
-        return some
-
-    def name(shard: int) -> str:
-        return f"shard-{shard:08d}.bin"
-
-    # a shard's slots are dense, so shards are even; each is one key of this exchange
-    dealt = slotted.withColumn("shard", F.expr(f"slot div {per_shard}"))
-    parts = min(shards, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartitionByRange(parts, "shard").sortWithinPartitions("slot")
-    schema = f"{ddl(rows, key)}, part bigint, n_tokens bigint, slot bigint, shard bigint, offset bigint, token_sha256 string"
-    return stored(map_rows(dealt, ["slot", *kept], schema, write), "order")
+        shard, parts, data = None, [], b""
+
+        def out() -> pa.RecordBatch:
+            slots, keys, parts_, sizes = (pa.concat_arrays([p[i] for p in parts]) for i in range(4))
+            slot, n = slots.to_numpy(), sizes.to_numpy()
+            many = min(per_shard, total - shard * per_shard)
+            whole = np.full((many, length), end, width)
+            ids = np.frombuffer(b"".join([p[4] for p in parts]), width)
+            at = (slot - shard * per_shard).repeat(n) * length + np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
+            whole.ravel()[at] = ids
+            data = whole.tobytes()
+            there = fs.get_file_info(f"{base}/{shard_name(shard)}")
+            if not (there.is_file and there.size == len(data)):
+                name = f"{base}/_{shard_name(shard)}-{uuid.uuid4().hex}"
+                with fs.open_output_stream(name) as f:
+                    f.write(data)
+                fs.move(name, f"{base}/{shard_name(shard)}")
+            local = slot - shard * per_shard
+            digests = [hashlib.sha256(data[x * stride : (x + 1) * stride]).digest() for x in local.tolist()]
+            columns = [keys, parts_, sizes, slots, pa.array(np.full(len(slot), shard)), pa.array(local * stride), pa.array(digests, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "part", "n_tokens", "slot", "shard", "offset", "digest"])
+
+        for b in batches:
+            for i, s in enumerate(b.column(0).to_pylist()):
+                if s != shard and parts:
+                    yield out()
+                    parts = []
+                shard = s
+                data = pa.decompress(b.column(6)[i].as_py(), b.column(5)[i].as_py(), "zstd", asbytes=True)
+                parts.append((*(b.column(k)[i].values for k in (1, 2, 3, 4)), data))
+        if parts:
+            yield out()
+
+    # shards are dense and even, and each is one task's: neighbours go to one task, by number
+    tasks = min(shards, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total * stride // WRITTEN))
+    dealt = rows.select(key, "part", "n_tokens", "tokens", "task", "nth").mapInArrow(deal, block)
+    dealt = dealt.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} as int)")).sortWithinPartitions("shard")
+    out = T.StructType([T.StructField(key, rows.schema[key].dataType)])
+    for f in T.StructType.fromDDL("part bigint, n_tokens bigint, slot bigint, shard bigint, offset bigint, digest binary"):
+        out.add(f)
+    found = stored(dealt.mapInArrow(write, out), "order")
+    return found.select(*found.columns[:-1], F.lower(F.hex("digest")).alias("token_sha256"))
 
 
 def read_slots(folder: str, first: int, count: int, length: int = LENGTH, width: str = "<u2", per_shard: int = PER_SHARD):
@@ -160,7 +231,7 @@ def read_slots(folder: str, first: int, count: int, length: int = LENGTH, width:
     while slot < first + count:
         shard, at = divmod(slot, per_shard)
         n = min(per_shard - at, first + count - slot)
-        with fs.open_input_file(f"{base}/shard-{shard:08d}.bin") as f:
+        with fs.open_input_file(f"{base}/{shard_name(shard)}") as f:
             data = f.read_at(n * stride, at * stride)
         if not data:
             return
@@ -174,4 +245,4 @@ def training_order(docs: DataFrame, vocabulary: str, folder: str | None = None,
     Repeated rows are sequences of their own, ids may be null, other columns are ignored.
     """
     rows = sequences(docs, vocabulary)
-    return materialise(rows, folder or scratch(docs.sparkSession, "shards"), secret)
+    return materialise(rows, vocabulary, folder or scratch(docs.sparkSession, "shards"), secret)

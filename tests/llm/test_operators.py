@@ -383,7 +383,8 @@ def test_permutation_is_a_bijection_and_depends_on_the_key(n):
 def test_training_order_round_trip(spark):
     folder, texts = scratch(spark, "shards"), [*ODD, *near_copies()]
     rows = order.sequences(frame(spark, texts), queries.vocabulary(), length=16)
-    found = order.materialise(rows, folder, b"k", per_shard=32).orderBy("slot").collect()
+    write = lambda secret, at=folder, rows=rows: order.materialise(rows, queries.vocabulary(), at, secret, per_shard=32, length=16)
+    found = write(b"k").orderBy("slot").collect()
     assert [r.slot for r in found] == list(range(rows.count()))
     read = list(order.read_slots(folder, 0, len(found), 16, per_shard=32))
     assert [hashlib.sha256(x.tobytes()).hexdigest() for x in read] == [r.token_sha256 for r in found]
@@ -394,8 +395,16 @@ def test_training_order_round_trip(spark):
         whole.setdefault(r.doc_id, []).append((r.part, x[: r.n_tokens].tolist()))
     ids = np.frombuffer(tok.encode_ids([ODD[-1][1]])[0], "<u4").tolist()
     assert [t for _, x in sorted(whole[7]) for t in x] == [*ids, tok.end]
-    again = order.materialise(rows, folder, b"k", per_shard=32)  # whole shards stay
-    assert again.count() == len(found)
+    fs, at = order.opened(folder)
+    times = lambda: {f.base_name: f.mtime_ns for f in fs.get_file_info(order.shards_of(at))}
+    before = times()
+    fs.delete_file(f"{at}/{order.shard_name(1)}")  # as if the run had been cut off; whole shards stay
+    assert write(b"k").orderBy("slot").collect() == found
+    assert {k for k, v in times().items() if before[k] == v} == before.keys() - {order.shard_name(1)}
+    for secret, some in ((b"other", rows), (b"other", order.sequences(frame(spark, near_copies()), queries.vocabulary(), length=16))):
+        other = write(secret, rows=some).orderBy("slot").collect()  # another key, another corpus: no old bytes are left
+        read = list(order.read_slots(folder, 0, len(other), 16, per_shard=32))
+        assert [hashlib.sha256(x.tobytes()).hexdigest() for x in read] == [r.token_sha256 for r in other] and len(times()) == -(-len(other) // 32) + 1
     assert order.training_order(frame(spark, []), queries.vocabulary()).count() == 0
 
 
