@@ -153,18 +153,22 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     held = docs.sparkSession.sparkContext.broadcast({(r[0], r[1]): (r.f.rk, r.f.first, r.f.b) for r in heads.collect()})
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What is later among the rows of windows that may span tasks."""
+        """What is later; of rows of windows that may span tasks, those after the first row of any task."""
         for b in batches:
-            rk, first, last = (b.column(i).to_numpy() for i in (1, 6, 3))
-            start = [held.value[x] for x in zip(b.column(4).to_pylist(), b.column(5).to_pylist(), strict=True)]
-            rk0, first0, last0 = np.array(start, np.int64).reshape(-1, 3).T
-            same = rk == rk0
-            a = np.where(same, np.maximum(first, last0), first).astype(np.int32)
+            edge = b.column(7).to_numpy(zero_copy_only=False)
+            keep, a = ~edge, b.column(2).to_numpy().copy()
+            if len(on := np.flatnonzero(edge)):
+                of = b.take(pa.array(on))
+                rk, first, last = (of.column(i).to_numpy() for i in (1, 6, 3))
+                start = [held.value[x] for x in zip(of.column(4).to_pylist(), of.column(5).to_pylist(), strict=True)]
+                rk0, first0, last0 = np.array(start, np.int64).reshape(-1, 3).T
+                same = rk == rk0
+                a[on] = np.where(same, np.maximum(first, last0), first)
+                keep[on] = ~(same & (first == first0)) & (a[on] < last)
             columns = [b.column(0), b.column(1), pa.array(a), b.column(3)]
-            yield pa.RecordBatch.from_arrays(columns, names=names[:4]).filter(pa.array(~(same & (first == first0)) & (a < last)))
+            yield pa.RecordBatch.from_arrays(columns, names=names[:4]).filter(pa.array(keep))
 
-    ends = rows.where("edge").select(*names[:7]).mapInArrow(settle, T.StructType(out.fields[:4]))
-    return rows.where("NOT edge").select(*names[:4]).unionByName(ends)
+    return rows.select(*names[:8]).mapInArrow(settle, T.StructType(out.fields[:4]))
 
 
 def merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
