@@ -1,18 +1,23 @@
 """Licence scans with DataFrame functions only.
 
-A paragraph is a line of a text, or neighbouring lines without a blank one between them, as notices are wrapped: from each
-line on, every run up to the one whose further lines hold as many words as the longest template. One with a legal cue word
-is described by its hashed words and word pairs, and a sparse logistic regression gives the probability of each licence
-family and of none. The probabilities are calibrated by a temperature, and a threshold makes what is uncertain unknown. A
-prediction stands only if the paragraph's word pairs agree with a template of that family, and if no paragraph that shares
-a line with it agrees better. The model is trained in numpy on the driver, from templates alone, so its size and its
-training don't depend on the data; scoring is one projection of the scan.
+A text is a row of words with the numbers of their lines; blank lines end paragraphs. What is judged is each short line, and
+windows of the text that overlap so far that any notice as long as the longest template lies in one of them, however it is
+wrapped. A paragraph is described by its hashed words and word pairs (none across a blank line), and a sparse logistic
+regression gives the probability of each licence family and of none. The probabilities are calibrated by a temperature, and
+a threshold makes what is uncertain unknown; both are set on templates that the model hadn't seen. A prediction stands only
+if the paragraph holds half of the word pairs of a template of that family, and of predictions that share words the one that
+agrees best stands. The model is trained in numpy on the driver, from templates alone, so its size and its training don't
+depend on the data; scoring is one projection of the scan.
+
+Paragraphs without a telling word (:data:`TELLING`) aren't judged, which loses nothing: in every template fewer than half of
+the pairs do without one, so none of those paragraphs could be confirmed.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -115,26 +120,41 @@ OTHERS = (
     "The domain of the function is public knowledge.",
     "What license should we choose for the new project?",
 )
-#: What a paragraph must hold to be looked at; without any it is unknown.
-CUES = (
-    "licen", "copyright", "permission", "redistribut", "warrant", "gpl", "gnu ", "apache", "mozilla public",
-    "public domain", "rights reserved", "creative commons", "cc by", "cc0", "waived", "source code form", "neither the name",
-)
-BUCKETS, NONE = 4096, "none"
+BUCKETS, NONE = 1 << 16, "none"
 FAMILIES = (NONE, *TEMPLATES)
 SPLIT = "[^a-z0-9]+"
-#: What stands before the words of a line in comments and quotes.
-MARKS = r"^[\s#*/;>%!|-]+"
+#: Words too common to tell anything.
+COMMON = frozenset(
+    "a above all an and any are as at be by can do either for from has have hereby if in including is it its may no not of on or other "
+    "out shall should that the these this to under use used was will with without work you your".split()
+)
+#: Words by which windows follow each other.
+STEP = 24
+
+
+def words_of(text: str) -> list[str]:
+    return [x for x in re.split(SPLIT, text.lower()) if x]
+
+
+def pairs_of(text: str) -> list[str]:
+    w = words_of(text)
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(w, w[1:])))  # noqa: B905
 
 
 def grams(text: str) -> list[str]:
     """Words and pairs of neighbouring words, distinct, in lower case."""
-    w = [x for x in re.split(SPLIT, text.lower()) if x]
-    return list(dict.fromkeys([*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))]))  # noqa: B905
+    return list(dict.fromkeys([*words_of(text), *pairs_of(text)]))
 
 
-#: Words of the longest template.
-LONGEST = max(len([x for x in re.split(SPLIT, t.lower()) if x]) for ts in TEMPLATES.values() for t in ts)
+_ALL = [t for ts in TEMPLATES.values() for t in ts]
+#: Words of the longest template, and of a window.
+LONGEST = max(len(words_of(t)) for t in _ALL)
+SPAN = LONGEST + STEP
+TELLING = frozenset(w for t in _ALL for w in words_of(t)) - COMMON
+#: The share of a template's pairs that confirms a prediction; see the proof above.
+AGREEMENT = 0.5
+for _t in _ALL:
+    assert sum(not TELLING.intersection(p.split()) for p in pairs_of(_t)) < AGREEMENT * len(pairs_of(_t)), _t
 
 
 def bucket(gram: str) -> int:
@@ -144,64 +164,83 @@ def bucket(gram: str) -> int:
 
 @dataclass
 class Model:
-    weights: np.ndarray  # families by buckets
+    weights: np.ndarray  # families by buckets, most of them zero
     bias: np.ndarray
     temperature: float
     threshold: float
-    agreement: float = 0.5
+    agreement: float = AGREEMENT
 
 
-def fit(seed: int = 5, copies: int = 24, epochs: int = 300) -> Model:
-    """Train on altered copies of the templates and of other sentences; calibrate on a quarter that is held out."""
-    rng = np.random.default_rng(seed)
-    fill = sorted({w for t in OTHERS for w in re.split(SPLIT, t.lower()) if w} | set("the of and to in it is was that for on".split()))
-    rows, labels = [], []
+def examples(copies: int, rng: np.random.Generator) -> tuple[list[list[int]], np.ndarray, np.ndarray]:
+    """Altered copies of the templates and other sentences among filling: their buckets, families and numbers of sources."""
+    letters = np.array(list("aeioustrnl"))
+    common = sorted({w for t in OTHERS for w in words_of(t)} | COMMON)
+
+    def fill(n: int) -> list[str]:
+        known = rng.random(n) < rng.random()  # the rest are words that no template has
+        unknown = rng.choice(letters, (n, 8))
+        return [common[i] if k else "".join(w[:m]) for k, i, w, m in zip(known, rng.integers(0, len(common), n), unknown, rng.integers(3, 9, n), strict=True)]
+
+    rows, labels, sources = [], [], []
     for y, family in enumerate(FAMILIES):
-        sources = OTHERS if family == NONE else TEMPLATES[family]
-        for text in sources:
+        for i, text in enumerate(OTHERS if family == NONE else TEMPLATES[family]):
             for k in range(copies):
                 words = text.split()
                 if k:
-                    cut = rng.random(len(words)) > rng.choice([0.0, 0.1])
-                    words = [w for w, c in zip(words, cut, strict=True) if c]
-                    before, after = (list(rng.choice(fill, rng.integers(0, 12))) for _ in range(2))
-                    words = [*before, *words, *after]
-                rows.append(sorted({bucket(g) for g in grams(" ".join(words))}))
+                    words = [w for w, c in zip(words, rng.random(len(words)) > rng.choice([0.0, 0.1]), strict=True) if c]
+                    around = rng.integers(0, max(2, SPAN - len(words)))
+                    before = rng.integers(0, around + 1)
+                    words = [*fill(before), *words, *fill(around - before)]
+                rows.append([bucket(g) for g in grams(" ".join(words))])
                 labels.append(y)
-    for _ in range(40 * copies):  # filling alone is no licence
-        rows.append(sorted({bucket(g) for g in grams(" ".join(rng.choice(fill, rng.integers(1, 40))))}))
+                sources.append(i)
+    for i in range(20 * copies):  # filling alone is no licence
+        rows.append([bucket(g) for g in grams(" ".join(fill(rng.integers(1, SPAN))))])
         labels.append(0)
-    y = np.array(labels)
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r] = 1
-    held = rng.random(len(y)) < 0.25
-    used = np.flatnonzero(x.any(0))
-    a, t = x[~held][:, used], np.eye(len(FAMILIES), dtype=np.float32)[y[~held]]
-    w, bias = np.zeros((len(used), len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
-    rate = 2.0
-    for _ in range(epochs):  # proximal gradient: the penalty on absolute weights makes them sparse
-        z = a @ w + bias
+        sources.append(i)
+    return rows, np.array(labels), np.array(sources)
+
+
+def trained(x: np.ndarray, y: np.ndarray, epochs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias by proximal gradient: the penalty on absolute weights makes them sparse."""
+    t = np.eye(len(FAMILIES), dtype=np.float32)[y]
+    w, bias, rate = np.zeros((x.shape[1], len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32), 2.0
+    for _ in range(epochs):
+        z = x @ w + bias
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = (p - t) / len(a)
-        w -= rate * (a.T @ g)
+        g = (p - t) / len(x)
+        w -= rate * (x.T @ g)
         bias -= rate * g.sum(0)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * 2e-5, 0)
-    z = x[held][:, used] @ w + bias
+    return w, bias
 
-    def loss(temperature: float) -> float:
-        q = z / temperature
-        q = q - q.max(1, keepdims=True)
-        return float(-(q[np.arange(len(q)), y[held]] - np.log(np.exp(q).sum(1))).mean())
 
-    temperature = min(np.linspace(0.3, 3, 28), key=loss)
-    p = np.exp(z / temperature - (z / temperature).max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    others = p[y[held] == 0][:, 1:].max(1)
+@cache
+def fit(seed: int = 5, copies: int = 24, epochs: int = 200, folds: int = 3) -> Model:
+    """Train on altered copies of all templates; calibrate on models that had not seen a third of the templates each."""
+    rows, y, source = examples(copies, np.random.default_rng(seed))
+    used = np.unique([bucket(g) for t in (*_ALL, *OTHERS, *COMMON) for g in grams(t)])
+    x = np.zeros((len(rows), len(used)), np.float32)
+    for i, r in enumerate(rows):
+        x[i, np.flatnonzero(np.isin(used, r))] = 1
+    unseen = np.zeros((len(rows), len(FAMILIES)))
+    for k in range(folds):
+        held = source % folds == k
+        w, bias = trained(x[~held], y[~held], epochs)
+        unseen[held] = x[held] @ w + bias
+
+    def probabilities(temperature: float) -> np.ndarray:
+        q = unseen / temperature
+        p = np.exp(q - q.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
+    temperature = min(np.linspace(0.3, 3, 28), key=lambda t: -float(np.log(probabilities(t)[np.arange(len(y)), y]).mean()))
+    others = probabilities(temperature)[y == 0][:, 1:].max(1)
+    w, bias = trained(x, y, epochs)
     weights = np.zeros((len(FAMILIES), BUCKETS))
-    weights[:, used] = w.T
-    return Model(np.round(weights, 5), np.round(bias.astype(float), 5), float(temperature), float(max(0.5, np.quantile(others, 0.99))))
+    weights[:, used] = np.round(w.T, 5)
+    return Model(weights, np.round(bias.astype(float), 5), float(temperature), float(np.quantile(others, 0.99)))
 
 
 def _numbers(values, kind: str = "double") -> Column:
@@ -213,133 +252,144 @@ def _strings(values) -> Column:
     return F.split(F.lit("\n".join(values)), "\n")
 
 
-def _grams(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(text), SPLIT), lambda w: w != "")
-    return _with(
-        words,
-        lambda w: F.array_distinct(
-            F.concat(w, F.array_compact(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))))
-        ),  # the last word has no right neighbour
-    )
-
-
 def _with(value: Column, use) -> Column:
     """``use`` of a value that is computed once."""
     return F.transform(F.array(value), use)[0]
 
 
-def _judged(x: Column, model: Model) -> Column:
-    """(line, last, family, probability, agreement, confirmed) of a struct of two line numbers and a paragraph."""
-    flat, bias = _numbers(model.weights.ravel()), _numbers(model.bias)
-    classes = _numbers(range(len(FAMILIES)), "int")
+def _hashed(s: Column) -> Column:
+    return F.pmod(F.xxhash64(s), F.lit(BUCKETS)).cast("int")
 
-    def scored(g: Column) -> Column:
-        at = F.array_distinct(F.transform(g, lambda s: F.pmod(F.xxhash64(s), F.lit(BUCKETS)).cast("int")))
+
+def _words(text: Column, model: Model, used: np.ndarray) -> Column:
+    """The words of a text: (line, next, pair, u, v, tells); next is the line of the next word, u and v number the weights of
+    the word and its pair from 1 on. A line without a word gives one row without any."""
+    numbers = np.zeros(BUCKETS, int)
+    numbers[used] = 1 + np.arange(len(used))
+    tells = np.zeros(BUCKETS, int)
+    tells[[bucket(w) for w in TELLING]] = 1
+    number, tell = _numbers(numbers, "int"), _numbers(tells, "int")
+
+    def line(t: Column, i: Column) -> Column:
+        found = F.filter(F.split(F.lower(t), SPLIT), lambda w: w != "")
+        return _with(found, lambda ws: F.transform(F.when(F.size(ws) > 0, ws).otherwise(F.array(F.lit(""))), lambda w: F.struct(w.alias("w"), i.alias("line"))))
+
+    def joined(x: Column, y: Column) -> Column:
+        pair = F.when((x["w"] != "") & (y["w"] != ""), F.concat(x["w"], F.lit(" "), y["w"]))  # null after the last word
+        word = F.when(x["w"] != "", x["w"])
         return _with(
-            at,
-            lambda a: F.transform(
-                classes,
-                lambda c: F.aggregate(a, bias[c], lambda t, f: t + flat[c * BUCKETS + f]) / model.temperature,
+            F.struct(word.alias("w"), pair.alias("p")),
+            lambda g: F.struct(
+                x["line"].alias("line"),
+                F.coalesce(y["line"], x["line"]).alias("next"),
+                g["p"].alias("pair"),
+                F.when(g["w"].isNotNull(), number[_hashed(g["w"])]).otherwise(0).alias("u"),
+                F.when(g["p"].isNotNull(), number[_hashed(g["p"])]).otherwise(0).alias("v"),
+                (g["w"].isNotNull() & (tell[_hashed(g["w"])] == 1)).alias("tells"),
             ),
         )
 
-    def decided(g: Column, z: Column) -> Column:
+    flat = F.flatten(F.transform(F.split(text, "\n"), line))
+    return _with(flat, lambda ws: F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), joined))
+
+
+def _judged(x: Column, at: Column, alone: Column, model: Model, used: np.ndarray) -> Column:
+    """(line, last, family, probability, agreement, confirmed, start, words, alone) of a run of words from place ``at`` on."""
+    k = len(used)
+    flat, bias = _numbers(np.concatenate([np.zeros((len(FAMILIES), 1)), model.weights[:, used]], 1).ravel()), _numbers(model.bias)
+    classes = _numbers(range(len(FAMILIES)), "int")
+    ids = F.array_distinct(F.filter(F.concat(F.transform(x, lambda w: w["u"]), F.transform(x, lambda w: w["v"])), lambda i: i > 0))
+    scores = _with(
+        ids, lambda a: F.transform(classes, lambda c: F.aggregate(a, bias[c], lambda t, f: t + flat[c * (k + 1) + f]) / model.temperature)
+    )
+
+    def agreeing(best: Column) -> Column:
+        """The best (share, pairs) of the family's templates."""
+        pairs = F.array_distinct(F.filter(F.transform(x, lambda w: w["pair"]), lambda p: p.isNotNull()))
+
+        def of(i: int) -> Column:
+            own = [pairs_of(t) for t in TEMPLATES[FAMILIES[i]]]
+            return _with(pairs, lambda held: F.array_max(F.array(*(F.struct((F.size(F.array_intersect(held, _strings(o))) / F.lit(float(len(o)))).alias("share"), _strings(o).alias("pairs")) for o in own))))
+
+        found = F.when(best == 1, of(1))
+        for i in range(2, len(FAMILIES)):
+            found = found.when(best == i, of(i))
+        return found
+
+    def decided(z: Column) -> Column:
         best = F.array_position(z, F.array_max(z)).cast("int") - 1
         total = F.aggregate(z, F.lit(0.0), lambda t, v: t + F.exp(v - F.array_max(z)))
-        pairs = F.filter(g, lambda s: F.contains(s, F.lit(" ")))
-        agree = F.lit(0.0)
-        for i, family in enumerate(FAMILIES):
-            for t in TEMPLATES.get(family, ()):
-                own = [q for q in grams(t) if " " in q]
-                same = F.size(F.array_intersect(pairs, _strings(own))) / F.lit(float(len(own)))
-                agree = F.greatest(agree, F.when(best == i, same).otherwise(F.lit(0.0)))
-        probability = 1 / total
-        return F.struct(
-            x["line"].alias("line"),
-            x["last"].alias("last"),
-            F.element_at(_strings(FAMILIES), best + 1).alias("family"),
-            probability.alias("probability"),
-            agree.alias("agreement"),
-            ((best > 0) & (probability >= model.threshold) & (agree >= model.agreement)).alias("confirmed"),
-        )
+        return _with(F.struct(best.alias("best"), (1 / total).alias("p"), agreeing(best).alias("a")), placed)
+
+    def placed(d: Column) -> Column:
+        sure = F.coalesce((d["best"] > 0) & (d["p"] >= model.threshold) & (d["a"]["share"] >= model.agreement), F.lit(False))
+        own = F.when(sure, F.filter(F.transform(x, lambda w, i: F.struct(w["line"].alias("line"), w["next"].alias("last"), i.alias("i"), w["pair"].alias("p"))), lambda w: F.array_contains(d["a"]["pairs"], w["p"])))
+
+        def row(own: Column) -> Column:
+            return F.struct(
+                F.coalesce(F.array_min(F.transform(own, lambda w: w["line"])), x[0]["line"]).alias("line"),
+                F.coalesce(F.array_max(F.transform(own, lambda w: w["last"])), F.element_at(x, -1)["line"]).alias("last"),
+                F.element_at(_strings(FAMILIES), d["best"] + 1).alias("family"),
+                d["p"].alias("probability"),
+                F.coalesce(d["a"]["share"], F.lit(0.0)).alias("agreement"),
+                sure.alias("confirmed"),
+                (at + F.coalesce(F.array_min(F.transform(own, lambda w: w["i"])), F.lit(0))).alias("start"),
+                (at + F.coalesce(F.array_max(F.transform(own, lambda w: w["i"])), F.size(x) - 1)).alias("end"),
+                alone.alias("alone"),
+            )
+
+        return _with(own, row)
 
-    return _with(_grams(x["text"]), lambda g: _with(scored(g), lambda z: decided(g, z)))
+    return _with(scores, decided)
 
 
 def _standing(judged: Column) -> Column:
-    """The lines, and those longer paragraphs that stand; where paragraphs share lines, one of them."""
+    """Of confirmed paragraphs that share words the one that agrees best, or else the shortest; and the other lines."""
     order = F.array_sort(
         F.transform(
             F.filter(judged, lambda x: x["confirmed"]),
-            lambda x: F.struct((-x["agreement"]).alias("less"), (x["last"] - x["line"]).alias("more"), x["line"].alias("line"), x["last"].alias("last")),
+            lambda x: F.struct((-x["agreement"]).alias("less"), (x["end"] - x["start"]).alias("more"), x["start"].alias("start"), x["end"].alias("end"), x.alias("x")),
         )
     )
+    kind = "line:int,last:int,family:string,probability:double,agreement:double,confirmed:boolean,start:int,end:int,alone:boolean"
     taken = F.aggregate(
         order,
-        F.expr("cast(array() as array<struct<line:int,last:int>>)"),
-        lambda done, x: F.when(F.exists(done, lambda y: (y["line"] <= x["last"]) & (x["line"] <= y["last"])), done).otherwise(
-            F.concat(done, F.array(F.struct(x["line"].alias("line"), x["last"].alias("last"))))
-        ),
+        F.expr(f"cast(array() as array<struct<{kind}>>)"),
+        lambda done, x: F.when(F.exists(done, lambda y: (y["start"] <= x["end"]) & (x["start"] <= y["end"])), done).otherwise(F.concat(done, F.array(x["x"]))),
     )
-
-    def stands(taken: Column) -> Column:
-        marked = F.transform(
-            judged, lambda x: x.withField("confirmed", x["confirmed"] & F.exists(taken, lambda y: (y["line"] == x["line"]) & (y["last"] == x["last"])))
-        )
-        return F.array_sort(F.filter(marked, lambda x: x["confirmed"] | (x["line"] == x["last"])))
-
-    return _with(taken, stands)
+    rest = F.filter(judged, lambda x: ~x["confirmed"] & x["alone"])
+    fields = ("line", "last", "family", "probability", "agreement", "confirmed")
+    return _with(taken, lambda t: F.transform(F.array_sort(F.concat(t, rest)), lambda x: F.struct(*(x[f].alias(f) for f in fields))))
 
 
 def scan(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, families, paragraphs): one row for each input row, over its whole text.
 
-    ``paragraphs`` has each line with a cue word, and wrapped notices: the numbers of the first and last line from 0, the
-    family (none for no licence), the calibrated probability, the share of a template's word pairs that it holds, and
-    whether the prediction is confirmed. Of confirmed paragraphs that share a line the one that agrees best stands, or else
-    the shortest.
-    ``families`` holds the confirmed families, sorted. Null and empty texts have no paragraphs, the key may be null,
-    repeated rows stay, other columns are ignored. No shuffle and no Python.
+    ``paragraphs`` has the confirmed notices, and the other lines of up to a window's words that hold a telling word: the
+    numbers of the first and last line from 0, the family (none for no licence), the calibrated probability, the share of a
+    template's word pairs that it holds, and whether the prediction is confirmed. Of confirmed paragraphs that share words
+    the one that agrees best stands, or else the shortest. ``families`` holds the confirmed families, sorted. Null and empty
+    texts have no paragraphs, the key may be null, repeated rows stay, other columns are ignored. No shuffle and no Python.
     """
     model = model or fit()
-
-    def cued(t: Column) -> Column:
-        low, found = F.lower(t), F.lit(False)
-        for c in CUES:
-            found = found | F.contains(low, F.lit(c))
-        return found
-
-    kind = "struct<line:int,last:int,text:string>"
-    any_cue = F.coalesce(cued(F.col(text)) | cued(F.regexp_replace(text, r"\s*\n" + MARKS[1:-1] + "*", " ")), F.lit(False))
-    lines = F.when(any_cue, F.split(F.col(text), "\n")).otherwise(F.expr("cast(array() as array<string>)"))
-
-    def counted(t: Column) -> Column:
-        bare = F.rtrim(F.regexp_replace(F.regexp_replace(t, MARKS, ""), "\r$", ""))
-        words = F.size(F.filter(F.split(F.lower(bare), SPLIT), lambda w: w != ""))
-        return F.struct(bare.alias("text"), words.alias("n"))
-
-    def runs(every: Column, i: Column) -> Column:
-        """The paragraphs of two lines or more from line i on that hold a cue; each line has a word, so few can follow."""
-        own = every[i]
-        start = F.struct(own["text"].alias("text"), F.lit(0).alias("n"), (own["n"] > 0).alias("open"), F.expr(f"cast(array() as array<{kind}>)").alias("out"))
-
-        def longer(a: Column, x: Column) -> Column:
-            on = a["open"] & (x["n"] > 0) & (a["n"] < LONGEST)
-            joined = F.concat_ws(" ", a["text"], x["text"])
-            row = F.struct(i.alias("line"), (i + F.size(a["out"]) + 1).cast("int").alias("last"), joined.alias("text"))
-            return F.when(on, F.struct(joined.alias("text"), (a["n"] + x["n"]).alias("n"), F.lit(True).alias("open"), F.concat(a["out"], F.array(row)).alias("out"))).otherwise(
-                F.struct(a["text"].alias("text"), a["n"].alias("n"), F.lit(False).alias("open"), a["out"].alias("out"))
-            )
-
-        following = F.slice(every, i + 2, F.lit(LONGEST))
-        return F.aggregate(following, start, longer, lambda a: F.when(cued(a["text"]), F.filter(a["out"], lambda x: cued(x["text"]))).otherwise(F.filter(a["out"], lambda x: F.lit(False))))
-
-    def candidates(every: Column) -> Column:
-        return F.flatten(F.transform(every, lambda _, i: runs(every, i)))
-
-    single = F.filter(F.transform(lines, lambda p, i: F.struct(i.alias("line"), i.alias("last"), p.alias("text"))), lambda x: cued(x["text"]))
-    wrapped = _with(F.transform(lines, counted), candidates)
-    judged = F.transform(F.concat(single, wrapped), lambda x: _judged(x, model))
-    found = docs.select(F.col(key), F.coalesce(_with(judged, _standing), F.array()).alias("paragraphs"))
+    used = np.flatnonzero(model.weights.any(0))
+    low = F.lower(text)
+    telling = F.exists(_strings(sorted(TELLING, key=lambda w: (len(w), w))), lambda w: F.contains(low, w))
+    none = F.expr("cast(array() as array<struct<line:int,last:int,family:string,probability:double,agreement:double,confirmed:boolean>>)")
+
+    def units(ws: Column) -> Column:
+        """(at, n, alone): the places of lines of up to a window's words, and of windows."""
+        n = F.size(ws)
+        starts = F.filter(F.transform(ws, lambda x, i: F.when((i == 0) | (ws[F.greatest(i - 1, F.lit(0))]["line"] != x["line"]), i).otherwise(-1)), lambda i: i >= 0)
+        lines = _with(starts, lambda s: F.zip_with(s, F.concat(F.slice(s, 2, F.size(s)), F.array(n)), lambda a, b: F.struct(a.alias("at"), (b - a).alias("n"), F.lit(True).alias("alone"))))
+        spans = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(STEP)), lambda a: F.struct(a.alias("at"), F.lit(SPAN).alias("n"), F.lit(False).alias("alone")))
+        return F.concat(F.filter(lines, lambda u: u["n"] <= SPAN), spans)
+
+    def judge(ws: Column) -> Column:
+        cut = F.transform(units(ws), lambda u: F.struct(u["at"].alias("at"), u["alone"].alias("alone"), F.slice(ws, u["at"] + 1, u["n"]).alias("x")))
+        cut = F.filter(cut, lambda u: F.exists(u["x"], lambda w: w["tells"]))
+        return _with(F.transform(cut, lambda u: _judged(u["x"], u["at"], u["alone"], model, used)), _standing)
+
+    found = docs.select(F.col(key), F.when(F.coalesce(telling, F.lit(False)), _with(_words(F.col(text), model, used), judge)).otherwise(none).alias("paragraphs"))
     families = F.array_sort(F.array_distinct(F.transform(F.filter("paragraphs", lambda p: p["confirmed"]), lambda p: p["family"])))
     return found.select(key, families.alias("families"), "paragraphs")
