@@ -8,12 +8,19 @@ neighbours within their class.
 Why no pair is lost. Let J(x, y) >= t, D = (1 - t)/t |x|, and let the prefix of x end first. At most D tokens are in one
 set only. One that y lacks breaks at most k of x's combinations of class k, one that x lacks breaks at most k - 1, and a
 single token of the rarest class is lost only with itself. So a prefix whose singles, pairs/2 and triples/3 sum to more than
-D keeps a combination that both index; (1 - t)|x| + 1 singles do so as well. Sets too small to have that many
-combinations index singles too.
-
-Texts with a common combination are compared by their whole sets: first each with the smallest node of its combination,
-then, where a combination still holds several components, across those components. What is already connected needs no
-comparison, so a group of copies costs about one comparison a text.
+D keeps a combination that both index; (1 - t)|x| + 1 singles do so as well. Sets that can't have that many combinations
+index singles too.
+
+Where two sets first meet, little of what stands before is shared: no single, and of class k at most k - 1 tokens in a row,
+so of c_x and c_y tokens of class k before that place at least (c_x + c_y - 2(k - 1))/(2k - 1) are in one set only. Similar
+sets differ in at most (1 - t)/(1 + t)(|x| + |y|) tokens. So each place in the index has a slack, its share of the second
+number less that of the first, and two places whose slacks sum below zero needn't be compared: if the sets are similar, they
+have met before.
+
+Texts with a common combination are compared by their whole sets: first each with the node of the greatest slack in its
+combination, which is likest to the others, then, where a combination still holds several components, across those
+components, if slacks and parities allow. What is already connected needs no comparison, so a group of copies costs about
+one comparison a text.
 """
 
 from __future__ import annotations
@@ -33,9 +40,9 @@ from xxhash import xxh3_64_intdigest
 from heronlake.llm.common import components, ddl, discard, map_rows, slices, stored
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-#: Counters of each of the sketch's two rows; pieces in which a task sends them; bits of the filter for texts to verify;
-#: buckets of a set's parities.
-WIDTH, PIECES, FILTER, BITS = 1 << 20, 8, 1 << 24, 2048
+#: Least and most counters of each of the sketch's two rows, and bytes of text for one; pieces in which a task sends them;
+#: bits of the filter for texts to verify; buckets of a set's parities.
+WIDTHS, COUNTED, PIECES, FILTER, BITS = (1 << 20, 1 << 23), 512, 8, 1 << 24, 2048
 FOLDS = 8
 FOLD = [f"f{i}" for i in range(FOLDS)]
 #: Bytes of text that are cut at once.
@@ -44,6 +51,8 @@ RUN = 1 << 20
 SMALL = 40
 #: Nodes that a task remembers, not to index copies twice.
 SEEN = 200_000
+#: The columns of the index.
+INDEX, KINDS = ("sig", "less", "node", "n", "at"), ("bigint", "bigint", "bigint", "int", "int")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -101,13 +110,14 @@ def node_of(tokens: np.ndarray) -> int:
     return int(np.uint64(xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
 
 
-def places(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def places(tokens: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The counters of tokens in the two rows of the sketch."""
-    return (tokens % np.uint64(WIDTH)).astype(np.int64), (mixed(tokens ^ _MIX[1]) % np.uint64(WIDTH)).astype(np.int64)
+    return (tokens % np.uint64(width)).astype(np.int64), (mixed(tokens ^ _MIX[1]) % np.uint64(width)).astype(np.int64)
 
 
 class Sketch:
-    """Two rows of counters; its size is fixed, and a token's excess over the median counter tells if it is frequent."""
+    """Two rows of counters; their number grows with the corpus up to a bound, and a token's excess over the median counter
+    tells if it is frequent."""
 
     def __init__(self, rows: np.ndarray) -> None:
         self.median = np.median(rows, axis=1)
@@ -116,39 +126,46 @@ class Sketch:
 
     def classes(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """1 for rare tokens, 2 and 3 for ever more frequent ones; and a finer rank of frequency within the classes."""
-        a, b = places(tokens)
+        a, b = places(tokens, self.rows.shape[1])
         excess = np.minimum(self.rows[0][a] - self.median[0], self.rows[1][b] - self.median[1])
         noise = np.sqrt(self.median.max()) + 1
         finer = np.where(excess < 2 * noise, 0, excess / noise).astype(np.int64)
         return 1 + (excess > self.low).astype(np.int64) + (excess > 16 * self.low), finer
 
 
-def signatures(tokens: np.ndarray, classes: np.ndarray, finer: np.ndarray, t: Fraction) -> np.ndarray:
-    """The hashes that a set is indexed by; any order of tokens that all sets share is right, rarer ones first is fast."""
+def signatures(tokens: np.ndarray, classes: np.ndarray, finer: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes that a set is indexed by, their places and slacks; any order of tokens that all sets share is right, rarer
+    ones first is fast. Slacks are whole numbers: 15 times the denominator's and numerator's sum of the threshold is 1."""
     n = len(tokens)
     lost, differ = int((1 - t) * n), int((1 - t) / t * n)
     if not differ:  # only an equal set is as similar
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.lexsort((tokens, finer, classes))
     ranked, kinds = tokens[order], classes[order]
     count = [int((kinds == k).sum()) for k in (1, 2, 3)]
     singles = min(count[0], lost + 1)
-    out = [ranked[:singles]]
+    out, before = [ranked[:singles]], [15 * np.arange(singles)]  # 15 times the least number of tokens in one set only
+    weight = 6 * singles
     if singles <= lost:
-        weight, at = 6 * singles, count[0]
+        at, least = count[0], 15 * count[0]
         for k in (2, 3):
-            have, worth = max(0, count[k - 1] - k + 1), 6 // k
+            have, worth, share = max(0, count[k - 1] - k + 1), 6 // k, 15 // (2 * k - 1)
             need = min(have, max(0, -(-(6 * differ + 1 - weight) // worth)))
             own = ranked[at : at + need + k - 1] if need else ranked[:0]
             combined = np.full(need, k, np.uint64)
             for j in range(k):
                 combined = combined * _MIX[0] + own[j : j + need]
             out.append(mixed(combined))
+            before.append(least + share * np.maximum(0, np.arange(need) - (k - 1)))
             weight += worth * need
             at += count[k - 1]
-    if n < SMALL / float(t):
+            least += share * have
+    if n < SMALL / float(t) or (singles <= lost and weight <= 6 * differ):
         out.append(mixed(ranked[: lost + 1] ^ _MIX[0]))
-    return np.unique(np.concatenate(out))
+        before.append(15 * np.arange(len(out[-1])))
+    sigs, slack = np.concatenate(out), 15 * (t.denominator - t.numerator) * n - (t.denominator + t.numerator) * np.concatenate(before)
+    sigs, first = np.unique(sigs, return_index=True)
+    return sigs, first, slack[first]
 
 
 def parity(tokens: np.ndarray) -> bytes:
@@ -171,22 +188,32 @@ def folded(bits: bytes) -> list[int]:
 
 def described(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame, Sketch]:
     """(key, rk, n, node, bits, f0, f1, ...) of each row, stored, and the sketch over all of them."""
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    width = min(max(WIDTHS[0], 1 << (size // COUNTED).bit_length()), WIDTHS[1])
 
     def make() -> Callable:
         shingler = Shingler(k)
-        rows = np.zeros((2, WIDTH), np.int64)
+        rows = np.zeros((2, width), np.int64)
+        held: list[np.ndarray] = []
+
+        def count() -> None:
+            for r, at in zip(rows, places(np.concatenate(held), width), strict=True):
+                r += np.bincount(at, minlength=width)
+            held.clear()
 
         def some(keys: list, rks: list, texts: list):
             sets = shingler.sets(texts)
-            every = np.concatenate(sets)
-            for r, at in zip(rows, places(every), strict=True):
-                r += np.bincount(at, minlength=WIDTH)
+            held.extend(sets)
+            if sum(map(len, held)) > width:
+                count()
             for x, rk, s in zip(keys, rks, sets, strict=True):
                 bits = parity(s)
                 node = (node_of(s), bits, *folded(bits)) if len(s) else (None,) * (2 + FOLDS)
                 yield x, rk, len(s), *node, None, None
 
         def done() -> list:
+            if held:
+                count()
             parts = np.split(rows.ravel().astype("<i8"), PIECES)
             return [(None, 0, 0, *(None,) * (2 + FOLDS), i, packed(p)) for i, p in enumerate(parts)] if rows.any() else []
 
@@ -206,10 +233,10 @@ def described(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame,
 
     parts = both.where("piece IS NOT NULL").select("piece", "counts").mapInArrow(add, "piece int, counts binary")
     parts = parts.repartition(PIECES, "piece").mapInArrow(add, "piece int, counts binary")
-    rows = np.zeros((2, WIDTH), np.int64)
+    rows = np.zeros((2, width), np.int64)
     flat = rows.ravel()
     size = len(flat) // PIECES
-    for r in parts.collect():  # the sketch, whose size is fixed
+    for r in parts.collect():  # the sketch, whose size is bounded
         flat[r.piece * size : (r.piece + 1) * size] += unpacked(bytes(r.counts))
     return both.where("piece IS NULL").drop("piece", "counts"), Sketch(rows)
 
@@ -219,53 +246,54 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def indexed(docs: DataFrame, key: str, text: str, k: int, t: Fraction, sketch: Sketch) -> DataFrame:
-    """(sig, node, n): the index, stored; copies within a task are left out."""
+    """(sig, less, node, n, at): the index, stored; less is minus the slack, at the place; copies within a task are left out."""
     held = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, classes, seen = Shingler(k), held.value.classes, set()
         for b in batches:
             for part in slices(b, RUN):
-                sigs, nodes, sizes = [], [], []
+                found = []
                 for s in shingler.sets(part.column(0).to_pylist()):
                     if len(s) and (node := node_of(s)) not in seen:
                         if len(seen) < SEEN:
                             seen.add(node)
-                        own = signatures(s, *classes(s), t)
-                        sigs.append(own)
-                        nodes.append(np.full(len(own), node))
-                        sizes.append(np.full(len(own), len(s), np.int32))
-                if sigs:
-                    columns = [np.concatenate(sigs).view(np.int64), np.concatenate(nodes), np.concatenate(sizes)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "node", "n"])
+                        own, at, slack = signatures(s, *classes(s), t)
+                        size = len(own)
+                        found.append((own.view(np.int64), -slack, np.full(size, node), np.full(size, len(s), np.int32), at.astype(np.int32)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=INDEX)
 
-    return stored(docs.select(text).mapInArrow(run, "sig bigint, node bigint, n int"), "index")
+    return stored(docs.select(text).mapInArrow(run, ", ".join(f"{n} {kind}" for n, kind in zip(INDEX, KINDS, strict=True))), "index")
 
 
 def shared(index: DataFrame) -> DataFrame:
-    """(sig, node, n, pivot, pn): the rows of the index whose combination several nodes have, and a node to compare with.
+    """The rows of the index whose combination several nodes have, with the node of the greatest slack as pivot and its pn.
 
-    The index is dealt out by ranges of (sig, node), so a combination of any frequency is spread over tasks, and read as a
-    stream. Where a combination crosses to another task, the first node of each task is handed on.
+    Rows whose slack doesn't make up for even the pivot's are left out. The index is dealt out by ranges of (sig, less, node),
+    so a combination of any frequency is spread over tasks, and read as a stream. Where a combination crosses to another task,
+    the first node of each task is handed on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         first = True
 
-        def out(sig, node, n, end: bool):
+        def out(rows: list[np.ndarray], end: bool):
             """Whole runs; a task's first and last run may go on elsewhere, so they are given out even if they are single."""
             nonlocal first
+            sig, less, node, n, _ = rows
             start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             size = np.diff(np.r_[start, len(sig)])
             edge = np.zeros(len(start), bool)
             edge[0] |= first
             edge[-1] |= end
             first = False
-            keep = np.repeat((node[start] != node[np.r_[start[1:], len(sig)] - 1]) | edge, size)
-            pivot, pn, at_edge = (np.repeat(x, size)[keep] for x in (node[start], n[start], edge))
-            columns = [sig[keep], node[keep], n[keep], pivot, pn, at_edge]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sig", "node", "n", "pivot", "pn", "edge"])
+            several = np.repeat(node[start] != node[np.r_[start[1:], len(sig)] - 1], size)
+            pivot, pn, most, at_edge = (np.repeat(x, size) for x in (node[start], n[start], less[start], edge))
+            keep = at_edge | (several & (less + most <= 0))
+            columns = [*(c[keep] for c in rows), pivot[keep], pn[keep], at_edge[keep]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*INDEX, "pivot", "pn", "edge"])
 
         for b in batches:
             x = [np.asarray(c.to_numpy(zero_copy_only=False)) for c in b.columns]
@@ -275,24 +303,26 @@ def shared(index: DataFrame) -> DataFrame:
                 continue
             last = int(np.searchsorted(x[0], x[0][-1]))  # the last run may go on in the next batch
             if last:
-                yield out(*(c[:last] for c in x), end=False)
+                yield out([c[:last] for c in x], end=False)
             held = [c[last:] for c in x]
             if len(held[0]) > 200_000:  # a run longer than that goes out in pieces that share its first node
                 head = [c[:1] for c in held]
-                piece = out(*held, end=True)
+                piece = out(held, end=True)
                 yield piece
                 held = head
         if held is not None and len(held[0]):
-            yield out(*held, end=True)
+            yield out(held, end=True)
 
     parts = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = index.repartitionByRange(parts, "sig", "node").sortWithinPartitions("sig", "node")
-    found = stored(order.mapInArrow(run, "sig bigint, node bigint, n int, pivot bigint, pn int, edge boolean"), "shared")
+    order = index.repartitionByRange(parts, "sig", "less", "node").sortWithinPartitions("sig", "less", "node")
+    kinds = ", ".join(f"{n} {kind}" for n, kind in zip(INDEX, KINDS, strict=True))
+    found = stored(order.mapInArrow(run, f"{kinds}, pivot bigint, pn int, edge boolean"), "shared")
     # a few runs for each task are at an edge; those of one combination get a common node and stay if they have several
-    ends = found.where("edge").groupBy("sig").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("most"))
-    ends = stored(ends.where("p.node != most").select("sig", F.col("p.node").alias("p"), F.col("p.n").alias("q")), "ends")
-    at_edge = found.where("edge").join(ends, "sig").select("sig", "node", "n", F.col("p").alias("pivot"), F.col("q").alias("pn"))
-    return stored(found.where("NOT edge").drop("edge").unionByName(at_edge), "shared")
+    ends = found.where("edge").groupBy("sig").agg(F.min(F.struct("less", "node", "n")).alias("p"), F.min("node").alias("least"), F.max("node").alias("most"))
+    ends = stored(ends.where("least != most").select("sig", F.col("p.node").alias("p"), F.col("p.n").alias("q"), F.col("p.less").alias("less0")), "ends")
+    at_edge = found.where("edge").join(ends, "sig").where("less + less0 <= 0")
+    at_edge = at_edge.select(*INDEX, F.col("p").alias("pivot"), F.col("q").alias("pn"))
+    return found.where("NOT edge").drop("edge").unionByName(at_edge)
 
 
 def profiles(rows: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
@@ -302,20 +332,24 @@ def profiles(rows: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
 
 
 def crossing(open_: DataFrame, rows: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b): nodes of different components that share a combination and that sizes and coarse parities allow.
+    """(a, b): nodes of different components that share a combination and that sizes, slacks and coarse parities allow.
 
-    A node's combinations are in order of their hashes. Where two nodes also have the same combination before this one,
-    they meet there as well, so the pair isn't made again here; what two nodes share in a row makes one pair, at its start.
+    A node's combinations are in the order of their places. Where two nodes also have the same one before this one, they have
+    met there, so the pair isn't made again here; where they first meet, it is made.
     """
     folds = profiles(rows, open_.select("node").distinct(), *FOLD)
-    before = F.lag("sig").over(W.partitionBy("node").orderBy("sig"))
-    known = stored(open_.join(folds.hint("merge"), "node").withColumn("before", before), "open")
-    a, b = (known.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in ("node", "n", "part", "before", *FOLD))) for x in "ab")
+    before = F.lag("sig").over(W.partitionBy("node").orderBy("at"))
+    known = stored(open_.distinct().withColumn("before", before).join(folds.hint("merge"), "node"), "open")
+    names = ("node", "n", "part", "less", "before", *FOLD)
+    a, b = (known.select("sig", *(F.col(c).alias(f"{c}_{x}") for c in names)) for x in "ab")
     apart = " + ".join(f"bit_count({f}_a ^ {f}_b)" for f in FOLD)
     near = f"{t.denominator + t.numerator}L * ({apart}) <= {t.denominator - t.numerator}L * (n_a + n_b)"
     first = "(before_a IS NULL OR before_b IS NULL OR before_a != before_b)"
-    met = a.join(b.hint("merge"), "sig").where(f"node_a < node_b AND part_a != part_b AND {first} AND {similar_sizes('n_a', 'n_b', t)} AND {near}")
-    return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    met = f"node_a < node_b AND part_a != part_b AND less_a + less_b <= 0 AND {first} AND {similar_sizes('n_a', 'n_b', t)} AND {near}"
+    found = a.join(b.hint("merge"), "sig").where(met)
+    found = stored(found.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "pairs")
+    discard(known)
+    return found
 
 
 def plausible(pairs: DataFrame, rows: DataFrame, t: Fraction) -> DataFrame:
@@ -419,11 +453,13 @@ def link(
     star = stored(star.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "pairs")
     links = verified(docs, star, rows, key, text, k, t)
     parts = stored(components(links), "parts")
-    placed = common.select("sig", "node", "n").join(parts.hint("merge"), "node", "left").withColumn("part", F.coalesce("component", "node"))
-    placed = stored(placed.select("sig", "node", "n", "part"), "placed")
+    placed = common.select(*INDEX).join(parts.hint("merge"), "node", "left").withColumn("part", F.coalesce("component", "node"))
+    placed = stored(placed.select(*INDEX, "part"), "placed")
     several = placed.groupBy("sig").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("sig")
     open_ = stored(placed.join(stored(several, "several").hint("merge"), "sig"), "open")
+    discard(placed)
     rest = crossing(open_, rows, t)
+    discard(open_)
     rest = stored(rest.join(star.hint("merge"), ["a", "b"], "left_anti"), "pairs")
     if rest.limit(1).count():
         more = verified(docs, rest, rows, key, text, k, t)
