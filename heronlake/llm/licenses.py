@@ -9,8 +9,8 @@ if the paragraph holds half of the word pairs of a template of that family, and
 agrees best stands. The model is trained in numpy on the driver, from templates alone, so its size and its training don't
 depend on the data; scoring is one projection of the scan.
 
-Paragraphs without a telling word (:data:`TELLING`) aren't judged, which loses nothing: in every template fewer than half of
-the pairs do without one, so none of those paragraphs could be confirmed.
+Paragraphs without a telling word or pair (:data:`TELLING`) aren't judged, which loses nothing: in every template fewer than
+half of the pairs do without one, so none of those paragraphs could be confirmed.
 """
 
 from __future__ import annotations
@@ -150,11 +150,38 @@ _ALL = [t for ts in TEMPLATES.values() for t in ts]
 #: Words of the longest template, and of a window.
 LONGEST = max(len(words_of(t)) for t in _ALL)
 SPAN = LONGEST + STEP
-TELLING = frozenset(w for t in _ALL for w in words_of(t)) - COMMON
-#: The share of a template's pairs that confirms a prediction; see the proof above.
+#: The share of a template's pairs that confirms a prediction.
 AGREEMENT = 0.5
-for _t in _ALL:
-    assert sum(not TELLING.intersection(p.split()) for p in pairs_of(_t)) < AGREEMENT * len(pairs_of(_t)), _t
+
+
+def _enough(grams: set[str]) -> bool:
+    """Whether in every template fewer than that share of the pairs do without any of the words and pairs."""
+    return all(sum(not grams.intersection([p, *p.split()]) for p in pairs_of(t)) < AGREEMENT * len(pairs_of(t)) for t in _ALL)
+
+
+def _telling() -> frozenset[str]:
+    """Uncommon words of the templates, and pairs of their short words and numbers, as few as are enough."""
+    short = {w for t in _ALL for w in words_of(t) if len(w) < 3 or w.isdigit()}
+    grams = {w for t in _ALL for w in words_of(t)} - COMMON - short | {p for t in _ALL for p in pairs_of(t) if short.issuperset(p.split())}
+    assert _enough(grams)
+    for w in sorted(grams, key=lambda w: (any(map(str.isdigit, w)), len(w), w)):
+        if _enough(grams - {w}):
+            grams.remove(w)
+    return frozenset(grams)
+
+
+TELLING = _telling()
+
+
+def _any_of(words: frozenset[str]) -> str:
+    """A pattern that finds any of some words and pairs: a tree of their letters, so that each place is tried once."""
+
+    def tree(rest: list[str]) -> str:
+        heads = sorted({w[0] for w in rest if w})
+        parts = [("[^a-z0-9]+" if h == " " else h) + tree([w[1:] for w in rest if w and w[0] == h]) for h in heads]
+        return ("(?:" + "|".join(parts) + ")" + ("?" if "" in rest else "")) if parts else ""
+
+    return f"(?<![a-z0-9]){tree(sorted(words))}(?![a-z0-9])"
 
 
 def bucket(gram: str) -> int:
@@ -285,7 +312,7 @@ def _words(text: Column, model: Model, used: np.ndarray) -> Column:
                 g["p"].alias("pair"),
                 F.when(g["w"].isNotNull(), number[_hashed(g["w"])]).otherwise(0).alias("u"),
                 F.when(g["p"].isNotNull(), number[_hashed(g["p"])]).otherwise(0).alias("v"),
-                (g["w"].isNotNull() & (tell[_hashed(g["w"])] == 1)).alias("tells"),
+                F.coalesce(tell[_hashed(g["w"])] + F.coalesce(tell[_hashed(g["p"])], F.lit(0)) > 0, F.lit(False)).alias("tells"),
             ),
         )
 
@@ -373,8 +400,7 @@ def scan(docs: DataFrame, model: Model | None = None, key: str = "doc_id", text:
     """
     model = model or fit()
     used = np.flatnonzero(model.weights.any(0))
-    low = F.lower(text)
-    telling = F.exists(_strings(sorted(TELLING, key=lambda w: (len(w), w))), lambda w: F.contains(low, w))
+    telling = F.lower(text).rlike(_any_of(TELLING))
     none = F.expr("cast(array() as array<struct<line:int,last:int,family:string,probability:double,agreement:double,confirmed:boolean>>)")
 
     def units(ws: Column) -> Column:
