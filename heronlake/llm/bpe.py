@@ -13,8 +13,10 @@ import json
 import re
 import sys
 import unicodedata
+from collections import defaultdict
 from collections.abc import Callable
 from functools import cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -25,6 +27,8 @@ from heronlake.llm.common import ddl, map_rows
 LONG = 200
 #: Chunks (words between white space), and pieces of them, that each of two generations of the caches holds, about.
 CACHE = 250_000
+#: Chunks whose ids are held in one table, where only ids are needed.
+TABLE = 800_000
 #: Cells of the rank arrays that are merged together.
 CELLS = 400_000
 SHIFT = 20
@@ -144,6 +148,12 @@ class WordBpe:
         self.end = max(self.special.values(), default=len(self.names) - 1)
         self.stops = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.chunks, self.words = Memory(), Memory()
+        self._new_table()
+
+    def _new_table(self) -> None:
+        self.numbers: defaultdict[str, int] = defaultdict()
+        self.numbers.default_factory = self.numbers.__len__
+        self.table, self.bounds = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _ranks(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The rank of each pair; NONE where the pair can't merge or an end is padding (below 0)."""
@@ -220,13 +230,10 @@ class WordBpe:
                     heapq.heappush(heap, (r, x))
         return np.array([p for p, a in zip(parts, alive, strict=True) if a], "<u4")
 
-    def learn(self, chunks: set[str]) -> None:
-        """Put the ids and the decoded text of words between white space in the cache."""
-        new = self.chunks.missing(chunks)
-        if not new:
-            return
+    def _pieces(self, chunks: list[str]) -> dict[str, list[str]]:
+        """The pieces of chunks; those of letters alone are one piece and left out."""
+        several = [c for c in chunks if not (c.isascii() and c.isalpha())]
         split: dict[str, list[str]] = {}
-        several = [c for c in new if not (c.isascii() and c.isalpha())]  # letters alone are one piece
         if several:
             parts: list[str] = []
             at = iter(several)
@@ -238,7 +245,7 @@ class WordBpe:
                     parts.append(piece)
             split[next(at)] = parts
         words = {w for x in split.values() for w in x}
-        words.update(c for c in new if c not in split)
+        words.update(c for c in chunks if c not in split)
         if unknown := self.words.missing(words):
             merged, names = self.merge([w.encode() for w in unknown]), self.names
             if self.plain:
@@ -246,16 +253,45 @@ class WordBpe:
             else:
                 values = [(i.tobytes(), " ".join([names[k] for k in i.tolist()])) for i in merged]
                 self.words.new.update(zip(unknown, values, strict=True))
-        known, values = self.chunks.new, self.words.new
+        return split
+
+    def learn(self, chunks: set[str]) -> None:
+        """Put the ids and the decoded text of words between white space in the cache."""
+        new = self.chunks.missing(chunks)
+        split, known, values = self._pieces(new) if new else {}, self.chunks.new, self.words.new
         for c in new:
             x = split.get(c)
             if x is None or len(x) == 1:
                 known[c] = values[x[0] if x else c]
-            elif self.plain:
-                known[c] = b"".join([values[w] for w in x])
             else:
                 known[c] = b"".join([values[w][0] for w in x]), " ".join([values[w][1] for w in x])
 
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has; special tokens aren't looked for. With plain=True.
+
+        Chunks are numbered; a table holds the ids of each, which are gathered for all texts at once.
+        """
+        if len(self.numbers) > TABLE:
+            self._new_table()
+        known, get, parts, sizes = len(self.numbers), self.numbers.__getitem__, [], []
+        for t in texts:
+            chunks = self._chunks(t) if t else []
+            parts.append(np.fromiter(map(get, chunks), np.int64, len(chunks)))
+            sizes.append(len(chunks))
+        if len(self.numbers) > known:
+            new = list(islice(self.numbers, known, None))
+            split, values = self._pieces(new), self.words.new
+            found = [values[c] if (x := split.get(c)) is None else values[x[0]] if len(x) == 1 else b"".join([values[w] for w in x]) for c in new]
+            self.table = np.concatenate([self.table, np.frombuffer(b"".join(found), "<u4")])
+            ends = np.cumsum([len(x) // 4 for x in found])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + ends])
+        of = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        first, many = self.bounds[of], self.bounds[of + 1] - self.bounds[of]
+        before = np.concatenate([[0], np.cumsum(many)])
+        ids = self.table[np.repeat(first - before[:-1], many) + np.arange(before[-1])]
+        cuts = before[np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))])]
+        return ids, np.diff(cuts)
+
     def encode_many(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
         """Of each text its ids as little-endian unsigned 32-bit integers and its decoded text: the tokens' names, by spaces."""
         cut: list[list[list[str] | str]] = []
@@ -287,14 +323,10 @@ class WordBpe:
         return out
 
     def encode_ids(self, texts: list[str | None]) -> list[bytes]:
-        """The ids alone; special tokens aren't looked for. For tokenizers made with plain=True."""
-        cut = [self._chunks(t) if t else [] for t in texts]
-        seen: set[str] = set()
-        for c in cut:
-            seen.update(c)
-        self.learn(seen)
-        get = self.chunks.new.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+        """The ids of each text as little-endian unsigned 32-bit integers; see :meth:`encode_flat`."""
+        ids, sizes = self.encode_flat(texts)
+        ends = np.cumsum(sizes).tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
 
     def _chunks(self, text: str) -> list[str]:
         try:

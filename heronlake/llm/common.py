@@ -37,10 +37,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: it cuts the lineage and outlives executors."""
+def stored(df: DataFrame, name: str, zstd: int = 0) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: it cuts the lineage and outlives executors.
+
+    With a level of ``zstd`` it is compressed by that.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    out = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", zstd) if zstd else df.write
+    out.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

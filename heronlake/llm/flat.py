@@ -50,12 +50,12 @@ def write_flat(docs: DataFrame, vocabulary: str, folder: str, key: str = "doc_id
         fs.create_dir(base, recursive=True)
         name = f"part-{part:06d}-{uuid.uuid4().hex}.tok"
         out = fs.open_output_stream(f"{base}/_{name}")
-        end = np.array([tok.end], kind(len(tok.names))).tobytes()
         state = {"n": 0}
 
         def some(keys: list, texts: list):
-            for k, ids in zip(keys, tok.encode_ids(texts), strict=True):
-                out.write(np.frombuffer(ids, "<u4").astype(kind(len(tok.names))).tobytes() + end)
+            ids, sizes = tok.encode_flat(texts)
+            out.write(np.insert(ids.astype(kind(len(tok.names))), np.cumsum(sizes), tok.end).tobytes())
+            for k in keys:
                 yield k, f"{folder}/{name}", state["n"]
                 state["n"] += 1
 
