@@ -25,12 +25,15 @@ def window_starts(n: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), last), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
 
 
-def sliding(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """(key, ordinal, chunk, chunk_id, n_words): overlapping windows of words; the id hashes document, ordinal and text."""
-    w = docs.select(key, words(F.col(text)).alias("w"))
-    cut = w.select(key, "w", F.posexplode(window_starts(F.size("w"), size, overlap)).alias("ordinal", "start"))
+def sliding(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE, overlap: int = OVERLAP, also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ordinal, chunk, chunk_id, n_words): overlapping windows of words; the id hashes document, ordinal and text.
+
+    The columns of ``also`` are kept beside them.
+    """
+    w = docs.select(key, *also, words(F.col(text)).alias("w"))
+    cut = w.select(key, *also, "w", F.posexplode(window_starts(F.size("w"), size, overlap)).alias("ordinal", "start"))
     part = F.slice("w", F.col("start") + 1, F.lit(size))
-    cut = cut.select(key, "ordinal", F.array_join(part, " ").alias("chunk"), F.size(part).cast("bigint").alias("n_words"))
+    cut = cut.select(key, *also, "ordinal", F.array_join(part, " ").alias("chunk"), F.size(part).cast("bigint").alias("n_words"))
     return cut.withColumn("chunk_id", F.sha1(F.concat_ws(":", F.col(key).cast("string"), F.col("ordinal").cast("string"), "chunk")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from heronlake.functions import text as X
 from heronlake.functions.vectors import cosine
+from heronlake.operators import activity as A
 from heronlake.operators import chunking, retrieval
 from heronlake.plans.registry import TOKENS, WORDS, query
 from heronlake.sources.tables import table
@@ -83,112 +84,170 @@ def chunk_hierarchical(spark: SparkSession, d: str) -> DataFrame:
     return chunking.hierarchical(table(spark, d, "documents"))
 
 
-TERMS = f"""terms AS (SELECT side, id, term, count(*) AS tf FROM (
-  SELECT 0 AS side, doc_id AS id, unnest({TOKENS.format("text")}) AS term FROM documents
-  UNION ALL SELECT 1, item_id, unnest({TOKENS.format("text")}) FROM benchmark) GROUP BY ALL)"""
-EMBEDDED = f"""{TERMS}, raw AS (
+CHUNKS = f"""chunks AS (SELECT doc_id, ordinal, chunk, sha1(concat_ws(':', doc_id::VARCHAR, ordinal::VARCHAR, chunk)) AS chunk_id, source, lang, n_words FROM (
+  SELECT doc_id, source, lang, cast(i AS int) AS ordinal, array_to_string(w[i * 272 + 1 : i * 272 + 320], ' ') AS chunk,
+    len(w[i * 272 + 1 : i * 272 + 320])::BIGINT AS n_words
+  FROM (SELECT doc_id, source, lang, w, unnest(range(0, cast(greatest(ceil((len(w) - 320) / 272.0), 0) AS bigint) + 1)) AS i
+        FROM (SELECT doc_id, source, lang, {WORDS.format("text")} AS w FROM documents) WHERE len(w) > 0)))"""
+
+
+def _embedded(key: str, text: str, rows: str) -> str:
+    return f"""terms AS (SELECT side, id, term, count(*) AS tf FROM (
+  SELECT 0 AS side, {key}::VARCHAR AS id, unnest({TOKENS.format(text)}) AS term FROM {rows}
+  UNION ALL SELECT 1, item_id::VARCHAR, unnest({TOKENS.format("text")}) FROM benchmark) GROUP BY ALL), raw AS (
   SELECT side, id, ('0x' || sha256(term)[1:8])::BIGINT % 384 AS slot,
          sum(tf * CASE WHEN ('0x' || sha256(term)[9:10])::INT % 2 = 0 THEN 1.0 ELSE -1.0 END)::DOUBLE AS raw
   FROM terms GROUP BY ALL), emb AS (
   SELECT side, id, slot, raw / sqrt(sum(raw * raw) OVER (PARTITION BY side, id)) AS value FROM raw WHERE raw <> 0)"""
-DENSE = f"""{EMBEDDED}, dense AS (
-  SELECT q.id AS item_id, d.id AS doc_id, round(sum(q.value * d.value), 9) AS dense
-  FROM emb q JOIN emb d ON q.side = 1 AND d.side = 0 AND q.slot = d.slot GROUP BY ALL)"""
-SPARSE = f"""stats AS (SELECT count(*) AS n, greatest(avg(len({TOKENS.format("text")})), 1) AS av FROM documents),
-lens AS (SELECT doc_id, len({TOKENS.format("text")}) AS len FROM documents),
-df AS (SELECT term, count(*) AS df FROM terms WHERE side = 0 GROUP BY term), sparse AS (
-  SELECT q.id AS item_id, d.id AS doc_id, round(sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _sparse(where: str = "true") -> str:
+    return f"""some_ AS (SELECT * FROM chunks WHERE {where}), stats AS (SELECT count(*) AS n, greatest(avg(len({TOKENS.format("chunk")})), 1) AS av FROM some_),
+lens AS (SELECT chunk_id, len({TOKENS.format("chunk")}) AS len FROM some_),
+df AS (SELECT term, count(*) AS df FROM terms JOIN lens ON lens.chunk_id = id WHERE side = 0 GROUP BY term), sparse AS (
+  SELECT q.id::BIGINT AS item_id, d.id AS chunk_id, round(sum(q.tf * ln(1 + (n - df + 0.5) / (df + 0.5))
          * d.tf * 2.5 / (d.tf + 1.5 * (0.25 + 0.75 * greatest(len, 1) / av))), 9) AS sparse
-  FROM terms q JOIN df USING (term) JOIN terms d ON d.term = q.term AND d.side = 0 JOIN lens ON lens.doc_id = d.id, stats
+  FROM terms q JOIN df USING (term) JOIN terms d ON d.term = q.term AND d.side = 0 JOIN lens ON lens.chunk_id = d.id, stats
   WHERE q.side = 1 GROUP BY ALL)"""
-FUSED = f"""{DENSE}, {SPARSE}, both_ AS (
-  SELECT item_id, doc_id, coalesce(dense, 0) AS dense, coalesce(sparse, 0) AS sparse FROM dense FULL JOIN sparse USING (item_id, doc_id)
-), fused AS (SELECT item_id, doc_id, dense, sparse, round(
-    0.55 * CASE WHEN dense <= 0 THEN 0 ELSE 1.0::DOUBLE / row_number() OVER (PARTITION BY item_id ORDER BY dense DESC, doc_id) END
-  + 0.45 * CASE WHEN sparse <= 0 THEN 0 ELSE 1.0::DOUBLE / row_number() OVER (PARTITION BY item_id ORDER BY sparse DESC, doc_id) END, 9) AS score FROM both_)"""
-HYBRID = f"""{FUSED}, best AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 8
-), met AS (SELECT b.*, b.score * 0.7 + 0.3 * rr AS raw, rr AS rerank_score FROM (
-  SELECT b.*, least(len(list_intersect(list_distinct({TOKENS.format("q.text")}), list_distinct({TOKENS.format("d.text")})))
+
+
+DENSE = f"""{CHUNKS}, {_embedded("chunk_id", "chunk", "chunks")}, dense AS (
+  SELECT q.id::BIGINT AS item_id, d.id AS chunk_id, round(sum(q.value * d.value), 9) AS dense
+  FROM emb q JOIN emb d ON q.side = 1 AND d.side = 0 AND q.slot = d.slot GROUP BY ALL)"""
+FUSED = f"""{DENSE}, {_sparse()}, both_ AS (
+  SELECT item_id, chunk_id, coalesce(dense, 0) AS dense, coalesce(sparse, 0) AS sparse FROM dense FULL JOIN sparse USING (item_id, chunk_id)
+), fused AS (SELECT item_id, chunk_id, dense, sparse, round(
+    0.55 * CASE WHEN dense <= 0 THEN 0 ELSE 1.0::DOUBLE / row_number() OVER (PARTITION BY item_id ORDER BY dense DESC, chunk_id) END
+  + 0.45 * CASE WHEN sparse <= 0 THEN 0 ELSE 1.0::DOUBLE / row_number() OVER (PARTITION BY item_id ORDER BY sparse DESC, chunk_id) END, 9) AS score FROM both_)"""
+HYBRID = f"""{FUSED}, best AS (SELECT * FROM fused QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) <= 8
+), met AS (SELECT b.*, least(len(list_intersect(list_distinct({TOKENS.format("q.text")}), list_distinct({TOKENS.format("d.chunk")})))
          / greatest(len(list_distinct({TOKENS.format("q.text")})), 1)::DOUBLE
-         + CASE WHEN contains(lower(d.text), lower(q.text)) THEN 0.15 ELSE 0 END, 1.0) AS rr
-  FROM best b JOIN benchmark q USING (item_id) JOIN documents d USING (doc_id)) b
-), hybrid AS (SELECT item_id, doc_id, score, rerank_score, round(0.7 * score + 0.3 * rerank_score, 9) AS final FROM met
-), ranked AS (SELECT *, cast(row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) AS int) AS rank FROM hybrid
+         + CASE WHEN contains(lower(d.chunk), lower(q.text)) THEN 0.15 ELSE 0 END, 1.0) AS rerank_score
+  FROM best b JOIN benchmark q USING (item_id) JOIN chunks d USING (chunk_id)
+), hybrid AS (SELECT item_id, chunk_id, score, rerank_score, round(0.7 * score + 0.3 * rerank_score, 9) AS final FROM met
+), ranked AS (SELECT *, cast(row_number() OVER (PARTITION BY item_id ORDER BY final DESC, chunk_id) AS int) AS rank FROM hybrid
 ), final_ AS (SELECT * FROM ranked WHERE rank <= 5)"""
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return table(spark, d, "benchmark"), table(spark, d, "documents")
+    """The questions, and the chunks of all documents with their names and sections."""
+    docs = table(spark, d, "documents")
+    chunks = chunking.sliding(docs, also=("source", "lang"))
+    return table(spark, d, "benchmark"), chunks
 
 
-@query(f"WITH {EMBEDDED} SELECT id AS doc_id, slot, round(value, 6) AS value FROM emb WHERE side = 0")
+@query(f"WITH {_embedded('doc_id', 'text', 'documents')} SELECT id::BIGINT AS doc_id, slot, round(value, 6) AS value FROM emb WHERE side = 0")
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     found = retrieval.hash_embedding(table(spark, d, "documents"), "doc_id")
     return found.select("doc_id", "slot", F.round("value", 6).alias("value"))
 
 
-@query(f"WITH {DENSE} SELECT item_id, doc_id, round(dense, 6) + 0 AS dense FROM dense")
+@query(f"""WITH {DENSE} SELECT item_id, chunk_id, round(dense, 6) AS dense, rank FROM (
+SELECT *, cast(row_number() OVER (PARTITION BY item_id ORDER BY dense DESC, chunk_id) AS int) AS rank FROM dense WHERE dense > 0) WHERE rank <= 20""")
 def dense_scores(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.dense_scores(*_sides(spark, d), "item_id", "doc_id")
-    return found.select("item_id", "doc_id", (F.round("dense", 6) + F.lit(0.0)).alias("dense"))
+    """Every chunk is scored against every question; the best 20 of each are the list that fusion ranks."""
+    found = retrieval.ranked_list(*_sides(spark, d), "item_id", "chunk_id", "dense", "chunk")
+    return found.select("item_id", "chunk_id", F.round("dense", 6).alias("dense"), "rank")
 
 
-@query(f"""WITH {TERMS}, {SPARSE} SELECT item_id, doc_id, round(sparse, 6) AS sparse, rank FROM (
-SELECT *, cast(row_number() OVER (PARTITION BY item_id ORDER BY sparse DESC, doc_id) AS int) AS rank FROM sparse) WHERE rank <= 20""")
+@query(f"""WITH {DENSE}, {_sparse()} SELECT item_id, chunk_id, round(sparse, 6) AS sparse, rank FROM (
+SELECT *, cast(row_number() OVER (PARTITION BY item_id ORDER BY sparse DESC, chunk_id) AS int) AS rank FROM sparse) WHERE rank <= 20""")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.top_k(retrieval.bm25_scores(*_sides(spark, d), "item_id", "doc_id"), "item_id", "sparse", "doc_id", retrieval.TOP)
-    return found.select("item_id", "doc_id", F.round("sparse", 6).alias("sparse"), "rank")
+    found = retrieval.ranked_list(*_sides(spark, d), "item_id", "chunk_id", "sparse", "chunk")
+    return found.select("item_id", "chunk_id", F.round("sparse", 6).alias("sparse"), "rank")
 
 
-@query(f"""WITH documents_ AS (SELECT * FROM documents WHERE lang = 'en'), {TERMS.replace("documents", "documents_")},
-{SPARSE.replace("documents", "documents_")} SELECT item_id, doc_id, round(sparse, 6) AS sparse FROM sparse
-QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY sparse DESC, doc_id) <= 20""")
+@query(f"""WITH {DENSE}, {_sparse("lang = 'en'")} SELECT item_id, chunk_id, round(sparse, 6) AS sparse FROM sparse
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY sparse DESC, chunk_id) <= 20""")
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Statistics are those of the filtered candidates."""
-    items, docs = _sides(spark, d)
-    scored = retrieval.bm25_scores(items, docs.where("lang = 'en'"), "item_id", "doc_id")
-    return retrieval.top_k(scored, "item_id", "sparse", "doc_id", 20).select("item_id", "doc_id", F.round("sparse", 6).alias("sparse"))
+    items, chunks = _sides(spark, d)
+    found = retrieval.ranked_list(items, chunks.where("lang = 'en'"), "item_id", "chunk_id", "sparse", "chunk")
+    return found.select("item_id", "chunk_id", F.round("sparse", 6).alias("sparse"))
 
 
-@query(f"WITH {FUSED} SELECT item_id, doc_id, round(score, 6) AS score FROM fused QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20")
+@query(f"WITH {FUSED} SELECT item_id, chunk_id, round(score, 6) AS score FROM fused QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) <= 20")
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    found = retrieval.top_k(retrieval.fused(*_sides(spark, d), "item_id", "doc_id"), "item_id", "score", "doc_id", retrieval.TOP)
-    return found.select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    found = retrieval.fused(*_sides(spark, d), "item_id", "chunk_id", "chunk")
+    return retrieval.top_k(found, "item_id", "score", "chunk_id", retrieval.TOP).select("item_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {HYBRID} SELECT item_id, doc_id, round(score, 6) AS score, round(rerank_score, 6) AS rerank_score, round(final, 6) AS final, rank FROM final_")
+@query(f"WITH {HYBRID} SELECT item_id, chunk_id, round(score, 6) AS score, round(rerank_score, 6) AS rerank_score, round(final, 6) AS final, rank FROM final_")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     found = retrieval.hybrid_search(*_sides(spark, d))
     rounded = [F.round(c, 6).alias(c) for c in ("score", "rerank_score", "final")]
-    return found.select("item_id", "doc_id", *rounded, "rank")
+    return found.select("item_id", "chunk_id", *rounded, "rank")
+
+
+@query(f"WITH {HYBRID} SELECT item_id, chunk_id, round(rerank_score, 6) AS rerank_score, round(final, 6) AS final FROM hybrid")
+def local_rerank(spark: SparkSession, d: str) -> DataFrame:
+    items, chunks = _sides(spark, d)
+    best = retrieval.top_k(retrieval.fused(items, chunks, "item_id", "chunk_id", "chunk"), "item_id", "score", "chunk_id", retrieval.RERANKED).drop("rank")
+    found = retrieval.rerank(best, items, chunks, "item_id", "chunk_id", "chunk")
+    return found.select("item_id", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), F.round("final", 6).alias("final"))
+
+
+@query(f"""WITH {HYBRID} SELECT item_id, chunk_id, 'local' AS strategy, round(final, 6) AS final FROM hybrid
+UNION ALL SELECT item_id, chunk_id, 'none', round(score, 6) FROM hybrid""")
+def reranker_choice(spark: SparkSession, d: str) -> DataFrame:
+    """Both strategies over the same candidates."""
+    items, chunks = _sides(spark, d)
+    best = retrieval.top_k(retrieval.fused(items, chunks, "item_id", "chunk_id", "chunk"), "item_id", "score", "chunk_id", retrieval.RERANKED).drop("rank")
+    both = [
+        retrieval.rerank(best, items, chunks, "item_id", "chunk_id", "chunk", x).select("item_id", "chunk_id", F.lit(x).alias("strategy"), F.round("final", 6).alias("final"))
+        for x in ("local", "none")
+    ]
+    return both[0].unionByName(both[1])
 
 
 @query(f"""WITH {HYBRID}, s AS (SELECT item_id, max(final) AS best, avg(final) AS mean, var_pop(final) AS var, count(*) AS n,
-  sum(len({WORDS.format("text")})) AS words FROM final_ JOIN documents USING (doc_id) GROUP BY item_id)
-SELECT item_id, CASE WHEN best < 0.08 THEN 'low' WHEN n = 1 THEN 'medium' WHEN best >= 0.25 THEN 'high' ELSE 'medium' END AS level,
-  best >= 0.08 AS sufficient, round(least(mean * (1 + 0.2 * ln(n + 1)), 1), 6) AS quality,
-  round(least(mean * (1 + 0.15 * ln(words + 1)), 1), 6) AS completeness,
-  round(greatest(least(best * 0.5 + mean * 0.3 - least(var * 2, 0.2) + least(n * 0.05, 0.15), 1), 0), 6) AS confidence FROM s""")
+  sum(n_words) AS words FROM final_ JOIN chunks USING (chunk_id) GROUP BY item_id)
+SELECT item_id, CASE WHEN n IS NULL THEN 'none' WHEN best < 0.08 THEN 'low' WHEN n = 1 THEN 'medium' WHEN best >= 0.25 THEN 'high' ELSE 'medium' END AS level,
+  coalesce(best >= 0.08, false) AS sufficient, CASE WHEN n IS NULL THEN 0 ELSE round(least(mean * (1 + 0.2 * ln(n + 1)), 1), 6) END AS quality,
+  CASE WHEN n IS NULL THEN 0 ELSE round(least(mean * (1 + 0.15 * ln(words + 1)), 1), 6) END AS completeness,
+  CASE WHEN n IS NULL THEN 0 ELSE round(greatest(least(best * 0.5 + mean * 0.3 - least(var * 2, 0.2) + least(n * 0.05, 0.15), 1), 0), 6) END AS confidence
+FROM (SELECT item_id FROM benchmark UNION ALL SELECT -1) LEFT JOIN s USING (item_id)""")
 def retrieval_validation(spark: SparkSession, d: str) -> DataFrame:
-    items, docs = _sides(spark, d)
-    n = docs.select("doc_id", F.size(X.words(F.col("text"))).alias("n_words"))
-    return retrieval.validation(retrieval.hybrid_search(items, docs).join(n, "doc_id"), "item_id")
+    """With a question without any term, which has no results."""
+    items, chunks = _sides(spark, d)
+    items = items.unionByName(spark.createDataFrame([(-1, "???")], items.schema))
+    n = chunks.select("chunk_id", "n_words")
+    return retrieval.validated(items, retrieval.validation(retrieval.hybrid_search(items, chunks).join(n, "chunk_id"), "item_id"), "item_id")
+
 
+def _contexts(items: DataFrame, chunks: DataFrame) -> DataFrame:
+    found = retrieval.hybrid_search(items, chunks).join(chunks.select("chunk_id", "chunk", "source", "lang"), "chunk_id")
+    return found.withColumnsRenamed({"source": "name", "lang": "section"})
 
-@query(f"WITH {HYBRID} SELECT item_id, rank AS number, source AS document_name, lang AS section, doc_id FROM final_ JOIN documents USING (doc_id)")
+
+@query(f"WITH {HYBRID} SELECT item_id, rank AS number, source AS document_name, lang AS section, chunk_id FROM final_ JOIN chunks USING (chunk_id)")
 def citations(spark: SparkSession, d: str) -> DataFrame:
-    items, docs = _sides(spark, d)
-    found = retrieval.hybrid_search(items, docs).join(docs, "doc_id")
-    return found.select("item_id", F.col("rank").alias("number"), F.col("source").alias("document_name"), F.col("lang").alias("section"), "doc_id")
+    found = _contexts(*_sides(spark, d))
+    return found.select("item_id", F.col("rank").alias("number"), F.col("name").alias("document_name"), "section", "chunk_id")
+
+
+_MEMORY = """memory AS (SELECT conv_id AS item_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS memory FROM (
+SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 8) GROUP BY conv_id)"""
 
 
-@query(f"""WITH {HYBRID} SELECT q.item_id, 'Retrieved context:' || chr(10) || coalesce(string_agg(
-  '[' || rank || '] ' || source || chr(10) || d.text, chr(10) || chr(10) ORDER BY rank), 'No retrieved context.') || chr(10) || chr(10)
-  || 'User question: ' || any_value(q.text) AS prompt
-FROM benchmark q LEFT JOIN final_ USING (item_id) LEFT JOIN documents d USING (doc_id) GROUP BY q.item_id""")
+@query(f"""WITH {HYBRID}, {_MEMORY} SELECT q.item_id, coalesce('Session memory:' || chr(10) || any_value(memory) || chr(10) || chr(10), '') || 'Retrieved context:' || chr(10)
+  || coalesce(string_agg('[' || rank || '] ' || source || ' / ' || lang || chr(10) || d.chunk, chr(10) || chr(10) ORDER BY rank), 'No retrieved context.')
+  || chr(10) || chr(10) || 'User question: ' || any_value(q.text) AS prompt
+FROM benchmark q LEFT JOIN final_ USING (item_id) LEFT JOIN chunks d USING (chunk_id) LEFT JOIN memory ON memory.item_id = q.item_id GROUP BY q.item_id""")
 def rag_prompt(spark: SparkSession, d: str) -> DataFrame:
-    items, docs = _sides(spark, d)
-    return retrieval.prompts(retrieval.hybrid_search(items, docs), items, docs)
+    """The session of a question is the conversation of the same number."""
+    items, chunks = _sides(spark, d)
+    memory = A.memory(table(spark, d, "conversations"), 8).withColumnRenamed("conv_id", "item_id")
+    return retrieval.prompts(_contexts(items, chunks), items, memory=memory)
+
+
+@query(f"""WITH {HYBRID}, a AS (SELECT item_id, array_to_string(string_split(chunk, ' ')[1:40], ' ') || ' [1]' AS a FROM final_ JOIN chunks USING (chunk_id) WHERE rank = 1)
+SELECT item_id, 0 AS turn, 'user' AS role, text AS content FROM benchmark
+UNION ALL SELECT item_id, 1, 'assistant', coalesce(a, 'No retrieved context.') FROM benchmark LEFT JOIN a USING (item_id)""")
+def ask(spark: SparkSession, d: str) -> DataFrame:
+    """The turns that questions add to their sessions; the answer is extracted, as no language model is called."""
+    items, chunks = _sides(spark, d)
+    return retrieval.turns(items, retrieval.extracted(_contexts(items, chunks), items, "item_id"), "item_id")
 
 
 EMB = "SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings"
@@ -201,18 +260,18 @@ FROM e q, e WHERE q.vec_id % 100 = 0) WHERE rank <= 10""")
 def cosine_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     """The stated query set (ids divisible by 100) against all vectors; a top-k list for each query."""
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"))
-    met = q.join(e, F.lit(True)).select("qid", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 9).alias("score"))
-    return retrieval.top_k(met, "qid", "score", "vec_id", 10).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return retrieval.nearest(q, e, "qid", "vec_id", "embedding", 10).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH e AS ({EMB}) SELECT vec_id, round(s, 6) AS score FROM (
-SELECT vec_id, list_cosine_similarity(v, (SELECT v FROM e WHERE vec_id = 0)) AS s FROM e) ORDER BY round(s, 9) DESC, vec_id LIMIT 10""")
+SELECT vec_id, list_cosine_similarity(v, (SELECT v FROM e WHERE vec_id = 0)) AS s FROM e) WHERE s >= 0.05 ORDER BY round(s, 9) DESC, vec_id LIMIT 10""")
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
+    """With a threshold of the score."""
     e = table(spark, d, "embeddings")
     q = e.where("vec_id = 0").select(F.col("embedding").alias("q"))
     met = e.join(F.broadcast(q)).select("vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 9).alias("s"))  # one row
-    return met.orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 6).alias("score"))
+    return met.where("s >= 0.05").orderBy(F.desc("s"), "vec_id").limit(10).select("vec_id", F.round("s", 6).alias("score"))
 
 
 @query("""SELECT label, cast(i AS int) AS i, round(avg(x), 6) AS value FROM (
@@ -339,11 +398,3 @@ def content_hash_dedupe(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, trim(regexp_replace(text, '[\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{3000}]+', ' ', 'g')) AS text FROM documents")
 def whitespace(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.collapse(F.col("text")).alias("text"))
-
-
-@query(f"WITH {HYBRID} SELECT item_id, doc_id, round(final, 6) AS final FROM hybrid")
-def reranker_choice(spark: SparkSession, d: str) -> DataFrame:
-    """The local strategy, which is the default: candidates of the fusion with their reranked scores."""
-    items, docs = _sides(spark, d)
-    best = retrieval.top_k(retrieval.fused(items, docs, "item_id", "doc_id"), "item_id", "score", "doc_id", retrieval.RERANKED).drop("rank")
-    return retrieval.rerank(best, items, docs, "item_id", "doc_id").select("item_id", "doc_id", F.round("final", 6).alias("final"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import random
 import zipfile
 
 import duckdb
@@ -79,11 +80,52 @@ def test_sliding_windows_end_with_the_text(spark):
 def test_bm25_counts_repeated_terms_and_ignores_other_scripts(spark):
     docs = spark.createDataFrame([(1, "apple pie"), (2, "apple"), (3, "plum")], "doc_id bigint, text string")
     queries = spark.createDataFrame([(1, "apple apple"), (2, "apple"), (3, "яблоко"), (4, "")], "item_id bigint, text string")
-    got = {(r.item_id, r.doc_id): r.sparse for r in retrieval.bm25_scores(queries, docs, "item_id", "doc_id").collect()}
+    got = {(r.item_id, r.doc_id): r.sparse for r in retrieval.ranked_list(queries, docs, "item_id", "doc_id", "sparse").collect()}
     assert set(got) == {(1, 1), (1, 2), (2, 1), (2, 2)}
     assert abs(got[1, 1] - 2 * got[2, 1]) < 1e-8 and got[1, 2] > got[1, 1]
 
 
+def test_fusion_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randint(1, 12)))) for i in range(300)]
+    asked = [(100 + i, " ".join(rng.choices(words, k=rng.randint(1, 4)))) for i in range(9)] + [(200, "?"), (201, None)]
+    monkeypatch.setattr(retrieval, "BLOCK", 4)
+    q = spark.createDataFrame(asked, "item_id bigint, text string")
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(7)
+    got = {}
+    for r in retrieval.top_k(retrieval.fused(q, d, "item_id", "doc_id", k=5), "item_id", "score", "doc_id", 5).collect():
+        got.setdefault(r.item_id, []).append((r.rank, r.doc_id, r.score))
+    block = retrieval.asked(asked, d, "text")
+    dense, sparse = block.scores(retrieval.Tokens(block.vocabulary), [t for _, t in docs])
+    for n, (item, _) in enumerate(asked):
+        score = dict.fromkeys(range(300), 0.0)
+        for weight, own in ((0.55, dense[:, n]), (0.45, sparse[:, n])):
+            for rank, i in enumerate(sorted(range(300), key=lambda i, own=own: (-own[i], i)), 1):
+                score[i] += weight / rank if own[i] > 0 else 0
+        best = [i for i in sorted(score, key=lambda i: (-round(score[i], 9), i)) if score[i] > 0][:5]
+        assert [(k, i, round(score[i], 9)) for k, i in enumerate(best, 1)] == sorted(got.get(item, [])), item
+
+
+def test_search_over_sections(spark):
+    """Golden cases: a policy with two sections, and two departments."""
+    text = "# Refunds\nCustomers may request a refund within 30 days.\n\n# Shipping\nOrders ship within two business days."
+    docs = spark.createDataFrame([(1, text, "policy", "support"), (2, "Vacation requests go to HR.", "hr", "hr")], "doc_id bigint, text string, name string, dept string")
+    chunks = chunking.hierarchical(docs).join(docs.select("doc_id", "name", "dept"), "doc_id")
+    asked = spark.createDataFrame([(1, "How long do customers have to request a refund?"), (2, "...")], "item_id bigint, text string")
+    found = retrieval.hybrid_search(asked, chunks)
+    top = found.where("rank = 1").join(chunks, "chunk_id").first()
+    assert "refund" in top.chunk and top.section == "Refunds"
+    support = retrieval.hybrid_search(asked, chunks.where("dept = 'support'")).join(chunks, "chunk_id")
+    assert {r.dept for r in support.collect()} == {"support"}
+    levels = retrieval.validated(asked, retrieval.validation(found.withColumn("n_words", F.lit(8)), "item_id"), "item_id")
+    assert {r.item_id: r.level for r in levels.collect()} == {1: "high", 2: "none"}
+    prompt = {r.item_id: r.prompt for r in retrieval.prompts(found.join(chunks, "chunk_id"), asked).collect()}
+    assert prompt[1].startswith("Retrieved context:\n[1] policy / Refunds\nCustomers") and "No retrieved context." in prompt[2]
+    answer = {r.item_id: r.answer for r in retrieval.extracted(found.join(chunks, "chunk_id"), asked, "item_id").collect()}
+    assert answer[1].endswith("[1]") and answer[2] == "No retrieved context."
+
+
 def test_cosine_is_zero_where_it_is_not_defined(spark):
     rows = spark.createDataFrame([([1.0, 0.0], [2.0, 0.0]), ([], []), ([1.0], [1.0, 2.0]), ([0.0], [1.0])], "a array<double>, b array<double>")
     assert [r[0] for r in rows.select(cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0, 0.0]
