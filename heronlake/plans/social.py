@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heronlake.functions import ocr
+from heronlake.functions import posts as P
 from heronlake.functions import text as X
 from heronlake.plans.registry import query
 from heronlake.sources.tables import table
@@ -215,29 +216,60 @@ def engine_fallback(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.coalesce(first, second, F.struct(F.lit("none").alias("engine")))["engine"].alias("engine"))
 
 
-_POST = "SELECT conv_id, turn, role, text, turn % 3 AS k, length(text) AS likes FROM conversations"
+#: The posts that :func:`_posts` plants in page sources, as DuckDB has them.
+_POSTS = r"""(SELECT conv_id, turn, role, conv_id || '_' || turn AS id, trim(regexp_replace(text, '[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+', ' ', 'g')) AS caption,
+  strftime(to_timestamp(1700000000 + conv_id * 1000 + turn), '%Y-%m-%d %H:%M') AS posted_at, length(text)::BIGINT AS likes, turn AS comments,
+  CASE role WHEN 'user' THEN 'video' WHEN 'assistant' THEN 'image' END AS media_type,
+  CASE role WHEN 'user' THEN 'https://v.example/' || conv_id || '_' || turn || '.mp4' WHEN 'assistant' THEN 'https://i.example/' || conv_id || '_' || turn || '.jpg' END AS media_url FROM conversations)"""
 
 
-@query(f"SELECT conv_id, turn FROM ({_POST}) WHERE text ILIKE '%the%' AND role = 'user' ORDER BY conv_id DESC, turn DESC LIMIT 20 OFFSET 10")
+def _posts(spark: SparkSession, d: str) -> DataFrame:
+    """Posts extracted from page sources: one for each conversation, whose turns are post nodes in a JSON payload."""
+    c = table(spark, d, "conversations")
+    key = F.concat_ws("_", "conv_id", "turn")
+    video = F.struct(F.concat(F.lit("https://v.example/"), key, F.lit(".m4a?type=audio")).alias("browser_native_hd_url"), F.concat(F.lit("https://v.example/"), key, F.lit(".mp4")).alias("playable_url"))
+    image = F.struct(F.struct(F.struct(F.concat(F.lit("https://i.example/"), key, F.lit(".jpg")).alias("uri")).alias("image")).alias("node"))
+    node = F.struct(
+        F.lit("Story").alias("__typename"), key.alias("id"), (F.lit(1_700_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("creation_time"),
+        F.concat(F.when(F.col("turn") % 2 == 0, "https://f.example/reel/").otherwise("https://f.example/posts/"), key).alias("permalink_url"),
+        F.struct(F.col("text")).alias("message"),
+        F.array(F.struct(F.when(F.col("role") == "user", video).alias("video"), F.when(F.col("role") == "assistant", image).alias("media"))).alias("attachments"),
+        F.struct(F.struct(F.length("text").alias("count")).alias("reaction_count"), F.struct(F.col("turn").alias("total_count")).alias("comment_count")).alias("feedback"),
+    )
+    pages = c.groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(F.struct(node.alias("node"))).alias("edges"))).alias("js"))
+    source = F.concat(F.lit('<html><script type="application/json">'), "js", F.lit("</script></html>"))
+    return P.extracted(pages.select("conv_id", source.alias("s")), "conv_id", "s")
+
+
+@query("""SELECT conv_id, turn, total FROM (SELECT conv_id, turn, count(*) OVER ()::BIGINT AS total FROM conversations
+WHERE text ILIKE '%the%' AND role = 'user' AND text >= 'A' AND text <= 'Z') ORDER BY conv_id DESC, turn DESC LIMIT 20 OFFSET 10""")
 def post_paging(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "conversations").where(F.col("text").ilike("%the%") & (F.col("role") == "user"))
-    return t.orderBy(F.desc("conv_id"), F.desc("turn")).offset(10).limit(20).select("conv_id", "turn")
+    """A page of the filtered rows with their number; a blank filter is passed over."""
+    t = table(spark, d, "conversations")
+    for name, test in (("the", F.col("text").ilike("%the%")), ("", F.col("text").ilike("%%")), ("user", F.col("role") == "user"), ("A", F.col("text") >= "A"), ("Z", F.col("text") <= "Z")):
+        t = t.where(test) if name else t
+    total = t.agg(F.count(F.lit(1)).alias("total"))
+    return t.orderBy(F.desc("conv_id"), F.desc("turn")).offset(10).limit(20).select("conv_id", "turn").join(F.broadcast(total))  # one row
 
 
-@query(f"SELECT count(DISTINCT conv_id)::BIGINT AS sessions, count(*) FILTER (k <> 0)::BIGINT AS posts, count(*) FILTER (k = 0)::BIGINT AS reels FROM ({_POST})")
+@query(f"""SELECT count(DISTINCT conv_id)::BIGINT AS sessions, count(*) FILTER (NOT reel)::BIGINT AS posts, count(*) FILTER (reel)::BIGINT AS reels,
+  count(media_url)::BIGINT AS with_media, (SELECT string_agg(conv_id, ',' ORDER BY conv_id DESC) FROM (SELECT DISTINCT conv_id FROM conversations ORDER BY conv_id DESC LIMIT 20)) AS newest
+FROM (SELECT *, role = 'user' AS reel FROM {_POSTS})""")
 def post_stats(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("turn") % 3
-    return table(spark, d, "conversations").agg(F.countDistinct("conv_id").alias("sessions"), F.count_if(k != 0).alias("posts"), F.count_if(k == 0).alias("reels"))
+    """Counts, and the 20 newest pages by their last session."""
+    p = _posts(spark, d).withColumn("reel", P.classified(F.col("media"), F.col("url")) == "reel")
+    newest = p.groupBy("conv_id").agg(F.max("conv_id").alias("last")).orderBy(F.desc("last")).limit(20)
+    newest = newest.agg(F.array_join(F.sort_array(F.collect_list("conv_id"), asc=False), ",").alias("newest"))
+    counts = p.agg(
+        F.countDistinct("conv_id").alias("sessions"), F.count_if(~F.col("reel")).alias("posts"), F.count_if("reel").alias("reels"),
+        F.count_if(F.size("media") > 0).alias("with_media"),
+    )
+    return counts.join(F.broadcast(newest))  # one row on each side
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN k = 0 OR (k = 1 AND role = 'user') THEN 'reel' ELSE 'post' END AS kind FROM ({_POST})")
+@query(f"""SELECT id, CASE WHEN role = 'user' THEN 'reel' ELSE 'post' END AS kind FROM {_POSTS}""")
 def post_classify(spark: SparkSession, d: str) -> DataFrame:
-    """A reel has a video and either a reel's address or no image."""
-    k = F.col("turn") % 3
-    media = F.when(k == 0, F.array(F.lit("video"))).when(k == 1, F.array(F.lit("video"), F.lit("image"))).otherwise(F.array(F.lit("image")))
-    video, image = F.array_contains("media", "video"), F.array_contains("media", "image")
-    t = table(spark, d, "conversations").withColumn("media", media)
-    return t.select("conv_id", "turn", F.when(video & ((F.col("role") == "user") | ~image), "reel").otherwise("post").alias("kind"))
+    return _posts(spark, d).select("id", P.classified(F.col("media"), F.col("url")).alias("kind"))
 
 
 @query("""SELECT c.conv_id, c.turn, s.first_role FROM conversations c JOIN (SELECT conv_id, arg_min(role, turn) AS first_role FROM conversations GROUP BY conv_id) s USING (conv_id)""")
@@ -253,10 +285,14 @@ def post_type_union(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(c.where("role = 'assistant'").withColumn("kind", F.lit("reel"))).drop("role")
 
 
-@query("SELECT conv_id, turn, concat_ws(chr(10) || chr(10), '## ' || role, text, CASE WHEN turn % 2 = 0 THEN 'even' END) AS md FROM conversations")
+@query(f"""SELECT id, concat_ws(chr(10) || chr(10), nullif('**' || posted_at || '**', '****'), nullif(caption, ''), CASE WHEN media_url IS NOT NULL THEN '![' || media_type || '](' || media_url || ')' END,
+  'Likes: ' || likes || ' | Comments: ' || comments) AS md FROM {_POSTS}""")
 def post_markdown(spark: SparkSession, d: str) -> DataFrame:
-    even = F.when(F.col("turn") % 2 == 0, "even")
-    return table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws("\n\n", F.concat(F.lit("## "), "role"), "text", even).alias("md"))
+    p = _posts(spark, d)
+    date = F.when(F.col("posted_at") != "", F.concat(F.lit("**"), "posted_at", F.lit("**")))
+    shown = F.transform("media", lambda m: F.concat(F.lit("!["), m["type"], F.lit("]("), m["url"], F.lit(")")))
+    counts = F.format_string("Likes: %d | Comments: %d", "likes", "comments")
+    return p.select("id", F.concat_ws("\n\n", date, F.nullif("caption", F.lit("")), F.nullif(F.array_join(shown, "\n"), F.lit("")), counts).alias("md"))
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE conv_id IN (9, 4, 7) ORDER BY list_position([9, 4, 7], conv_id), turn")
@@ -278,10 +314,48 @@ def markdown_plain(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, [(s,) for s, _ in MARKDOWN], "s string").select("s", X.markdown_plain(F.col("s")).alias("plain"))
 
 
-@query("SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id)::INT AS pos FROM documents QUALIFY pos <= 3")
+@query(f"""SELECT p_partkey, 'https://v.example/' || p_partkey || '-' || k || '.mp4' AS video_url, 'https://v.example/' || p_partkey || '.m4a' AS audio_url, 100 * (k + 1) AS width, 50 * (k + 1) AS height
+FROM (SELECT p_partkey, arg_max(k, (1 + (p_partkey * 7 + k * 5) % 11, 50 * (k + 1)))::BIGINT AS k FROM part, unnest([0, 1, 2]) t(k) GROUP BY p_partkey)""")
 def best_media(spark: SparkSession, d: str) -> DataFrame:
-    pos = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))
-    return table(spark, d, "documents").select("doc_id", "lang", pos.alias("pos")).where("pos <= 3")
+    """The representation of the greatest bandwidth, then height, of each manifest in a page's source."""
+    xml = F.expr("""concat('<MPD xmlns="urn:mpeg:dash:schema:mpd:2011"><Period><AdaptationSet contentType="video">', array_join(transform(array(0L, 1L, 2L), k ->
+      concat('<Representation bandwidth="', 1 + (p_partkey * 7 + k * 5) % 11, '" width="', 100 * (k + 1), '" height="', 50 * (k + 1), '"><BaseURL>https://v.example/', p_partkey, '-', k, '.mp4</BaseURL></Representation>')), ''),
+      '</AdaptationSet><AdaptationSet mimeType="audio/mp4"><Representation bandwidth="9"><BaseURL>https://v.example/', p_partkey, '.m4a</BaseURL></Representation></AdaptationSet></Period></MPD>')""")
+    source = F.concat(F.lit('<script>{"manifest_xml":"'), F.replace(xml, F.lit('"'), F.lit('\\"')), F.lit('"}</script>'))
+    found = P.rows(table(spark, d, "part").select("p_partkey", source.alias("s")), "p_partkey", "s", "video_url string, audio_url string, width bigint, height bigint", lambda x: list(P.manifests(x)))
+    return found
+
+
+@query("""SELECT c_custkey, c_custkey * 13 % 1000 + 1000 AS followers, c_custkey % 97 AS likes, c_mktsegment AS category, 'https://c' || c_custkey || '.example' AS website,
+  c_custkey % 2 = 0 AS verified, c_custkey::VARCHAR AS page_id FROM customer""")
+def page_meta(spark: SparkSession, d: str) -> DataFrame:
+    """Followers, likes, contacts and ids of a page, from its source."""
+    source = F.expr("""concat('<html>{"follower_count":', c_custkey * 13 % 1000 + 1000, ',"like_count" : ', c_custkey % 97, ',"category_list":[{"id":"1","name":"', c_mktsegment,
+      '"}],"website":"https://c', c_custkey, '.example","is_verified":', if(c_custkey % 2 = 0, 'true', 'false'), if(c_custkey % 3 = 0, ',"pageID":"', '} fb://profile/'), c_custkey, '"</html>')""")
+    found = table(spark, d, "customer").select("c_custkey", P.figures(source).alias("f"))
+    return found.select("c_custkey", "f.followers", "f.likes", "f.category", "f.website", "f.verified", "f.page_id")
+
+
+@query("""SELECT conv_id, 'pfbid' || md5(text) AS id, strftime(to_timestamp(1700000000 + conv_id * 1000 + turn), '%Y-%m-%d %H:%M') AS posted_at, sha1(text) AS caption FROM conversations
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1""")
+def post_context(spark: SparkSession, d: str) -> DataFrame:
+    """Posts of sources without JSON, from what stands around their ids."""
+    c = table(spark, d, "conversations")
+    one = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"), F.min("turn").alias("turn"))
+    source = F.expr("""concat('x "creation_time" : ', 1700000000 + conv_id * 1000 + turn, ' pfbid', md5(text), ' "message":{"text":"', sha1(text), '"} y')""")
+    return P.extracted(one.select("conv_id", source.alias("s")), "conv_id", "s").select("conv_id", "id", "posted_at", "caption")
+
+
+@query(f"""SELECT conv_id AS session_id, CASE WHEN role = 'user' THEN 'reel' ELSE 'post' END AS content_type, id AS post_id, caption, likes, comments FROM {_POSTS}
+UNION ALL SELECT conv_id, 'session', NULL, count(*) || ' items', sum(likes)::BIGINT, sum(comments)::BIGINT FROM {_POSTS} GROUP BY conv_id""")
+def session_detail_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What a scrape session leaves: a header and a row for each post and reel, with numbers that are never null."""
+    p = _posts(spark, d)
+    kind = P.classified(F.col("media"), F.col("url"))
+    rows = p.select(F.col("conv_id").alias("session_id"), kind.alias("content_type"), F.col("id").alias("post_id"), "caption", F.coalesce("likes", F.lit(0)).alias("likes"), F.coalesce("comments", F.lit(0)).alias("comments"))
+    head = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sum("likes").alias("likes"), F.sum("comments").alias("comments"))
+    head = head.select("session_id", F.lit("session").alias("content_type"), F.lit(None).cast("string").alias("post_id"), F.concat("n", F.lit(" items")).alias("caption"), "likes", "comments")
+    return rows.unionByName(head)
 
 
 @query("SELECT doc_id, '***' AS key, md5(text)[1:12] AS post_id FROM documents")
@@ -383,28 +457,35 @@ def audio_only_url(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, [(u,) for u, _ in AUDIO], "u string").select("u", known.cast("int").alias("audio_only"))
 
 
-@query("""SELECT event_id, props->>'$.k' AS k, coalesce(nullif(props->>'$.id', ''), md5(props)[1:12]) AS post_id FROM events""")
+@query(f"""SELECT conv_id, id, caption, posted_at, likes, comments FROM {_POSTS}""")
 def post_node(spark: SparkSession, d: str) -> DataFrame:
-    """A post's fields from its JSON, with a hash for an id that is missing."""
-    id_ = F.nullif(F.get_json_object("props", "$.id"), F.lit(""))
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.coalesce(id_, F.substring(F.md5("props"), 1, 12)).alias("post_id"))
+    """The posts of JSON payloads in page sources, with all their fields; what was put in must come out."""
+    return _posts(spark, d).select("conv_id", "id", "caption", "posted_at", "likes", "comments")
 
 
-@query("""SELECT a.doc_id, coalesce(nullif(a.lang, 'fr'), b.s, a.lang) AS lang, CASE WHEN a.n_chars < 500 THEN coalesce(b.q, 0) ELSE a.n_chars END::BIGINT AS n
-FROM documents a LEFT JOIN (SELECT doc_id, 'filled' AS s, quality AS q FROM labels) b USING (doc_id)""")
+@query(f"""SELECT id, caption, likes FROM {_POSTS} UNION ALL SELECT 'unknown', '', 0""")
 def post_enrich(spark: SparkSession, d: str) -> DataFrame:
-    """Fields are filled from the other side only where they are empty."""
-    other = table(spark, d, "labels").select("doc_id", F.lit("filled").alias("s"), F.col("quality").cast("bigint").alias("q"))
-    met = table(spark, d, "documents").join(other, "doc_id", "left")
-    n = F.when(F.col("n_chars") < 500, F.coalesce("q", F.lit(0))).otherwise(F.col("n_chars"))
-    return met.select("doc_id", F.coalesce(F.nullif("lang", F.lit("fr")), "s", "lang").alias("lang"), n.alias("n"))
-
-
-@query("""SELECT event_id, CASE WHEN ts < TIMESTAMP '2024-01-10' THEN 'past' WHEN ts > TIMESTAMP '2024-01-20 23:59:59' THEN 'future' ELSE 'in' END AS place FROM events""")
+    """Posts as the page shows them, half of them without a caption or likes, filled from those of its source where empty."""
+    source = _posts(spark, d).select("id", F.col("caption").alias("c"), F.col("likes").alias("l"))
+    blank = F.pmod(F.xxhash64("id"), F.lit(2)) == 0
+    shown = source.select("id", F.when(blank, "").otherwise(F.col("c")).alias("caption"), F.when(blank, 0).otherwise(F.col("l")).alias("likes"))
+    shown = shown.unionByName(spark.createDataFrame([("unknown", "", 0)], shown.schema))
+    met = shown.join(source, "id", "left")
+    likes = F.when(F.col("likes") == 0, F.coalesce("l", "likes")).otherwise(F.col("likes"))
+    return met.select("id", F.coalesce(F.nullif("caption", F.lit("")), "c", F.lit("")).alias("caption"), likes.alias("likes"))
+
+
+@query("""SELECT event_id, CASE WHEN t = '' THEN 'out' WHEN t = 'odd' THEN 'in' WHEN t < '2024-01-10 00:00' THEN 'past' WHEN t > '2024-01-20 23:59' THEN 'future' ELSE 'in' END AS place
+FROM (SELECT event_id, CASE event_id % 10 WHEN 3 THEN '' WHEN 4 THEN 'odd' ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS t FROM events)""")
 def post_date_range(spark: SparkSession, d: str) -> DataFrame:
-    ts = F.col("ts")
-    place = F.when(ts < F.expr("TIMESTAMP_NTZ '2024-01-10'"), "past").when(ts > F.expr("TIMESTAMP_NTZ '2024-01-20 23:59:59'"), "future").otherwise("in")
-    return table(spark, d, "events").select("event_id", place.alias("place"))
+    """Undated posts are out, as a range is set; a date that can't be read counts as in it."""
+    at = F.when(F.col("event_id") % 10 == 3, "").when(F.col("event_id") % 10 == 4, "odd").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm"))
+    rows = table(spark, d, "events").select("event_id", at.alias("at"), F.try_to_timestamp(F.substring(at, 1, 16), F.lit("yyyy-MM-dd HH:mm")).alias("t"))
+    place = (
+        F.when(F.col("at") == "", "out").when(F.col("t") < F.lit("2024-01-10 00:00:00").cast("timestamp"), "past")
+        .when(F.col("t") > F.lit("2024-01-20 23:59:00").cast("timestamp"), "future").otherwise("in")
+    )
+    return rows.select("event_id", place.alias("place"))
 
 
 @query("SELECT user_id AS key, arg_max(event_type, event_id) AS value FROM events GROUP BY ALL")
