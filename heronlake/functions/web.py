@@ -18,6 +18,11 @@ SHARES = ("/sharer/", "/shareArticle", "/share.php", "pinterest.com/pin/", "twit
 CLOUDFLARE = ("cf-browser-verification", "cloudflare ray id", "checking your browser", "just a moment", "_cf_chl_opt")
 CAPTCHA = ("recaptcha", "g-recaptcha", "hcaptcha", "captcha-box", "security check")
 SCRIPT_NEEDED = ("enable javascript", "javascript is disabled", "noscript")
+#: What a challenge page holds, in lower case; status codes of blocked robots; ways to load, best first.
+CHALLENGES = ("__cf_chl_", "cf_chl_opt", "challenge-form", "cf-browser-verification", "cdn-cgi/challenge-platform", "/cdn-cgi/l/challenge", "cloudflare")
+BOT_BLOCKED = (403, 429, 503)
+#: Endings of documents that can be read.
+SUPPORTED = ("txt", "md", "markdown", "html", "htm", "docx", "pdf", "png", "jpg", "jpeg", "tiff", "bmp", "webp", "xlsx", "xls", "pptx", "ppt", "csv")
 #: Hosts that are never fetched.
 BLOCKED = ("127.0.0.1", "localhost", "0.0.0.0", "::1", "169.254.169.254", "metadata.google.internal")
 #: Content types by MIME type and by ending.
@@ -150,3 +155,74 @@ def content_type(url: Column, header: Column) -> Column:
     ending = F.lower(F.regexp_extract(F.substring_index(url, "?", 1), r"[^/]\.([A-Za-z0-9]+)$", 1))
     by_ending = F.coalesce(*(F.when(ending.isin(*v), k) for k, v in ENDINGS.items()))
     return F.coalesce(by_mime, by_ending, F.lit("unknown"))
+
+
+def robots(text: Column, bot: str = "scraperbot") -> Column:
+    """(rules, delay, sitemaps) of a robots.txt: rules (agent, allow, prefix) in order; the delay is that of all or of the bot."""
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, "#.*$", "")))
+    pairs = F.transform(
+        F.filter(lines, lambda x: F.contains(x, F.lit(":"))),
+        lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v")),
+    )
+    start = F.struct(F.lit("*").alias("agent"), F.expr("cast(array() as array<struct<agent:string,k:string,v:string>>)").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        agent = F.when(x["k"] == "user-agent", F.lower(x["v"])).otherwise(a["agent"])
+        return F.struct(agent.alias("agent"), F.concat(a["out"], F.array(F.struct(agent.alias("agent"), x["k"].alias("k"), x["v"].alias("v")))).alias("out"))
+
+    told = F.aggregate(pairs, start, step)["out"]
+    rules = F.transform(
+        F.filter(told, lambda x: x["k"].isin("allow", "disallow") & (x["v"] != "")),
+        lambda x: F.struct(x["agent"].alias("agent"), (x["k"] == "allow").alias("allow"), x["v"].alias("prefix")),
+    )
+    delays = F.transform(F.filter(told, lambda x: (x["k"] == "crawl-delay") & x["agent"].isin("*", bot, f"{bot}/1.0")), lambda x: x["v"].try_cast("double"))
+    sitemaps = F.array_distinct(F.transform(F.filter(told, lambda x: x["k"] == "sitemap"), lambda x: x["v"]))
+    return F.struct(rules.alias("rules"), F.try_element_at(F.filter(delays, lambda x: x.isNotNull()), F.lit(-1)).alias("delay"), sitemaps.alias("sitemaps"))
+
+
+def can_fetch(rules: Column, path_: Column, agent: str = "*") -> Column:
+    """By the rules of the agent, or of all where it has none: the first whose prefix the path has decides."""
+    own = F.filter(rules, lambda r: r["agent"] == agent)
+    used = F.when(F.size(own) > 0, own).otherwise(F.filter(rules, lambda r: r["agent"] == "*"))
+    hit = F.try_element_at(F.filter(used, lambda r: path_.startswith(r["prefix"])), F.lit(1))
+    return F.coalesce(hit["allow"], F.lit(True))
+
+
+def sitemap(xml: Column) -> Column:
+    """(kind, pages, sitemaps): locations by the root, those of images and news too; of another root by their endings."""
+    root = F.lower(F.regexp_extract(xml, r"<(?:[A-Za-z0-9]+:)?([A-Za-z]+)[\s>/]", 1))
+    locs = F.regexp_extract_all(xml, F.lit(r"(?is)<(?:[a-z0-9]+:)?loc>\s*([^<]+?)\s*</"), F.lit(1))
+    kind = F.when(root.isin("urlset", "sitemapindex"), root).otherwise("unknown")
+    none = F.array().cast("array<string>")
+    more = lambda x: x.endswith(".xml") | x.endswith(".xml.gz") | F.contains(F.lower(x), F.lit("sitemap"))
+    pages = F.when(kind == "urlset", locs).when(kind == "sitemapindex", none).otherwise(F.filter(locs, lambda x: ~more(x)))
+    maps = F.when(kind == "sitemapindex", locs).when(kind == "urlset", none).otherwise(F.filter(locs, more))
+    return F.struct(kind.alias("kind"), pages.alias("pages"), maps.alias("sitemaps"))
+
+
+def sitemap_candidates(url: Column) -> Column:
+    """Where a site's sitemap may be, in the order in which it is looked for."""
+    base = F.concat(scheme(url), F.lit("://"), authority(url))
+    return F.array_distinct(F.array(*(F.concat(base, F.lit(p)) for p in ("/sitemap.xml", "/sitemap_index.xml", "/wp-sitemap.xml"))))
+
+
+def breakdown(html: Column, url: Column, status: Column) -> Column:
+    """The rules of :func:`quality` that a page meets, as name:points."""
+    size, d = F.length(html), detectors(html, url)
+    described = F.regexp_extract(html, r"""(?i)<meta[^>]+name="description"[^>]+content="([^"]+)\"""", 1) != ""
+    rules = (
+        ("title", title(html) != "", 10), ("content", size > 1000, 30), ("links", F.size(links(html)) > 0, 10), ("description", described, 10),
+        ("size", (size > 1000) & (size < 5_000_000), 10), ("tiny", size < 200, -40), ("cloudflare", d["cloudflare"], -50),
+        ("script", d["script"], -30), ("login", d["login"], -20), ("status", status != 200, -20),
+    )
+    return F.array_compact(F.array(*(F.when(c, F.lit(f"{n}:{p:+d}")) for n, c, p in rules)))
+
+
+def saved_name(url: Column, override: Column, prefix: str = "") -> Column:
+    """The name of a downloaded file: the given one, that of the address if its ending can be read, or a hash."""
+    last = F.regexp_extract(path(url), "([^/]*)$", 1)
+    known = F.lower(F.regexp_extract(last, r"\.([^.]+)$", 1)).isin(*SUPPORTED)
+    hashed = F.concat(F.lit(f"{prefix}cloud_doc_"), F.substring(F.sha1(url), 1, 10), F.lit(".pdf"))
+    name = F.coalesce(F.nullif(override, F.lit("")), F.when(known, F.concat(F.lit(prefix), last)), hashed)
+    clean = F.trim(F.regexp_replace(name, r'[\\/*?:"<>|]', "_"))
+    return F.when(clean == "", "downloaded_document").otherwise(clean)

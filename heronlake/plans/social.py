@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from heronlake.functions import ocr
 from heronlake.functions import posts as P
 from heronlake.functions import text as X
+from heronlake.functions import web
 from heronlake.plans.registry import query
 from heronlake.sources.tables import table
 
@@ -144,27 +145,18 @@ def ocr_upload_guard(spark: SparkSession, d: str) -> DataFrame:
 
 
 SITEMAPS = [
-    ("<urlset><url><loc>https://a/1</loc></url><url><loc> https://a/2 </loc></url></urlset>", "urlset", "https://a/1,https://a/2"),
-    ("<sitemapindex><sitemap><loc>https://a/s.xml</loc></sitemap></sitemapindex>", "sitemapindex", "https://a/s.xml"),
-    ("<rss/>", "unknown", ""),
+    ("<urlset><url><loc>https://a/1</loc></url><url><loc> https://a/2 </loc></url></urlset>", "urlset", "https://a/1,https://a/2|"),
+    ("<sitemapindex><sitemap><loc>https://a/s.xml</loc></sitemap></sitemapindex>", "sitemapindex", "|https://a/s.xml"),
+    ('<?xml version="1.0"?><n:urlset xmlns:n="u"><n:url><n:loc>https://a/1</n:loc><image:image><image:loc>https://a/i.png</image:loc></image:image></n:url></n:urlset>', "urlset", "https://a/1,https://a/i.png|"),
+    ("<rss><loc>https://a/p</loc><loc>https://a/m.xml.gz</loc><loc>https://a/SiteMap/2</loc></rss>", "unknown", "https://a/p|https://a/m.xml.gz,https://a/SiteMap/2"),
+    ("<rss/>", "unknown", "|"),
 ]
 
 
 @query(f"SELECT x, k AS kind, l AS locs FROM {_values(SITEMAPS, 'x, k, l')}")
 def sitemap_locs(spark: SparkSession, d: str) -> DataFrame:
-    locs = F.regexp_extract_all("x", F.lit(r"(?i)<loc>\s*([^<]+?)\s*</loc>"), F.lit(1))
-    root = F.regexp_extract("x", r"<(?:[a-z]+:)?(urlset|sitemapindex)[ >]", 1)
-    rows = _rows(spark, [(x,) for x, *_ in SITEMAPS], "x string")
-    return rows.select("x", F.when(root == "", "unknown").otherwise(root).alias("kind"), F.array_join(locs, ",").alias("locs"))
-
-
-@query("SELECT page_id, NOT starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/p') OR starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/posts') AS allowed FROM pages")
-def robots_rules(spark: SparkSession, d: str) -> DataFrame:
-    """The first rule whose prefix a path has decides; without any the page may be fetched."""
-    rules = _rows(spark, [("/posts", True, 0), ("/p", False, 1)], "prefix string, allow boolean, n int")
-    pages = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1).alias("p"))
-    met = pages.join(F.broadcast(rules), F.col("p").startswith(F.col("prefix")), "left")  # a handful of literal rules
-    return met.groupBy("page_id").agg(F.coalesce(F.min_by("allow", "n"), F.lit(True)).alias("allowed"))
+    rows = _rows(spark, [(x,) for x, *_ in SITEMAPS], "x string").withColumn("s", web.sitemap(F.col("x")))
+    return rows.select("x", "s.kind", F.concat_ws("|", F.array_join("s.pages", ","), F.array_join("s.sitemaps", ",")).alias("locs"))
 
 
 REGIONS = [(1, 0, "Hello", 0.99, 0, 0, 100, 20), (1, 1, "World", 0.40, 0, 25, 200, 45), (1, 2, "", 0.95, 0, 0, 1, 1), (2, 0, "Text", 0.75, 5, 5, 15, 25)]
@@ -369,11 +361,6 @@ def model_list(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", (F.array_join(models, ",") != "").alias("any_model"))
 
 
-@query("SELECT page_id, '# ' || url || chr(10) || chr(10) || length(html) AS text FROM pages")
-def page_to_document(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.concat(F.lit("# "), "url", F.lit("\n\n"), F.length("html")).alias("text"))
-
-
 @query("SELECT doc_id, replace(replace(replace(left(text, 500), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM documents")
 def export_text(spark: SparkSession, d: str) -> DataFrame:
     t = F.substring("text", 1, 500)
@@ -508,12 +495,6 @@ def parse_regions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(words, " ").alias("text"))
 
 
-@query("SELECT page_id, coalesce(length(html), 0) > 1500 AND page_id % 3 <> 0 AS ok, CASE WHEN page_id % 3 = 0 THEN 'fallback' ELSE 'native' END AS source FROM pages")
-def scrape_gate(spark: SparkSession, d: str) -> DataFrame:
-    failed = F.col("page_id") % 3 == 0
-    return table(spark, d, "pages").select("page_id", ((F.length("html") > 1500) & ~failed).alias("ok"), F.when(failed, "fallback").otherwise("native").alias("source"))
-
-
 @query("SELECT doc_id, 'Summary of ' || source || chr(10) || left(text, 500) || chr(10) || printf('%.1f%%', (n_chars % 1000) / 10.0::DOUBLE) AS md FROM documents")
 def export_summary(spark: SparkSession, d: str) -> DataFrame:
     share = F.format_string("%.1f%%", (F.col("n_chars") % 1000) / F.lit(10.0))

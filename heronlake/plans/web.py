@@ -102,11 +102,25 @@ def page_quality(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", web.quality(F.expr(PLANTED), F.col("url"), status).alias("x")).select("page_id", "x.*")
 
 
-@query(r"""SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title,
-regexp_extract(html, '(?i)<html[^>]+lang="([^"]*)"', 1) AS lang FROM pages""")
+@query(f"""SELECT page_id, array_to_string(list_filter([CASE WHEN trim(regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)) <> '' THEN 'title:+10' END, CASE WHEN length(h) > 1000 THEN 'content:+30' END,
+  CASE WHEN len({LINKS.replace("html,", "h,")}) > 0 THEN 'links:+10' END, CASE WHEN regexp_extract(h, '(?i)<meta[^>]+name="description"[^>]+content="([^"]+)"', 1) <> '' THEN 'description:+10' END,
+  CASE WHEN length(h) > 1000 AND length(h) < 5000000 THEN 'size:+10' END, CASE WHEN length(h) < 200 THEN 'tiny:-40' END, CASE WHEN cloudflare THEN 'cloudflare:-50' END,
+  CASE WHEN script THEN 'script:-30' END, CASE WHEN login THEN 'login:-20' END, CASE WHEN page_id % 9 = 0 THEN 'status:-20' END], lambda x: x IS NOT NULL), ' ') AS rules FROM ({DETECT})""")
+def quality_breakdown(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("page_id") % 9 == 0, 403).otherwise(200)
+    return table(spark, d, "pages").select("page_id", F.array_join(web.breakdown(F.expr(PLANTED), F.col("url"), status), " ").alias("rules"))
+
+
+_HEAD = """'<html lang="en"><head><title> T ' || page_id || '</title><meta property="og:title" content="O' || page_id || '"><meta name="description" content="D ' || page_id || '">
+<meta property="og:site_name" content="S"><meta property="og:type" content="article"><link rel="canonical" href="https://x.example/' || page_id || '"></head>' || html"""
+
+
+@query("""SELECT page_id, 'T ' || page_id AS title, 'O' || page_id AS og_title, 'D ' || page_id AS description, 'S' AS site_name, 'article' AS og_type, 'https://x.example/' || page_id AS canonical FROM pages""")
 def page_metadata(spark: SparkSession, d: str) -> DataFrame:
-    lang = F.regexp_extract("html", r'(?i)<html[^>]+lang="([^"]*)"', 1)
-    return table(spark, d, "pages").select("page_id", web.title(F.col("html")).alias("title"), lang.alias("lang"))
+    """Title, open graph, description and canonical address; the pages have a planted head before their own."""
+    pages = table(spark, d, "pages").select("page_id", "url", F.expr(_HEAD).alias("html"))
+    schema = "title string, og_title string, description string, site_name string, og_type string, canonical string"
+    return H.read(pages, schema, lambda p: [(p.title.split("<")[0], *(p.meta.get(k) for k in ("og:title", "description", "og:site_name", "og:type")), p.canonical)])
 
 
 _OUT = f"(SELECT DISTINCT page_id, base || link AS url, base FROM (SELECT page_id, 'https://' || {AUTHORITY} AS base, unnest({LINKS}) AS link FROM pages) WHERE starts_with(link, '/'))"
@@ -133,11 +147,19 @@ def ssrf_guard(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", web.fetch_error(F.expr(GUARDED)).alias("error"))
 
 
-@query(f"""SELECT CASE WHEN NOT starts_with(link, 'http') THEN 'scheme' WHEN {AUTHORITY.replace("url", "link")} NOT IN ('example.com') THEN 'external' ELSE 'kept' END AS reason,
-count(*)::BIGINT AS n FROM (SELECT DISTINCT page_id, unnest({LINKS}) AS link FROM pages) GROUP BY ALL""")
+_SEEN = f"(SELECT DISTINCT page_id, unnest([{SCHEME} || '://' || {AUTHORITY} || link, 'https://blocked.example' || link, 'ftp://x' || link]) AS link FROM (SELECT page_id, url, unnest({LINKS}) AS link FROM pages) WHERE starts_with(link, '/'))"
+
+
+@query(f"""SELECT CASE WHEN NOT starts_with(link, 'http') THEN 'scheme' WHEN page_id % 5 = 4 THEN 'max_depth' WHEN contains(link, '//blocked.example') THEN 'external'
+  WHEN starts_with(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/t') OR starts_with(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/The') THEN 'robots' ELSE 'kept' END AS reason,
+count(*)::BIGINT AS n FROM {_SEEN} GROUP BY ALL""")
 def skip_reasons(spark: SparkSession, d: str) -> DataFrame:
-    found = crawl.edges(table(spark, d, "pages")).select(crawl.skip_reason(F.col("link"), ["example.com"], []).alias("r"))
-    return found.groupBy(F.coalesce("r", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    """Links of the own site, of a blocked one and of another scheme; every fifth page is too deep."""
+    pages = table(spark, d, "pages").select("page_id", F.concat(web.scheme(F.col("url")), F.lit("://"), web.authority(F.col("url"))).alias("base"), F.explode(web.links(F.col("html"))).alias("p"))
+    pages = pages.where(F.col("p").startswith("/"))
+    found = pages.select("page_id", F.explode(F.array(F.concat("base", "p"), F.concat(F.lit("https://blocked.example"), "p"), F.concat(F.lit("ftp://x"), "p"))).alias("link")).distinct()
+    reason = crawl.skip_reason(F.col("link"), [], ["/t", "/The"], ["blocked.example"], F.col("page_id") % 5 == 4)
+    return found.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 TYPED = "CASE page_id % 6 WHEN 0 THEN 'https://a.b/x.PDF?y=1' WHEN 1 THEN 'https://a.b/c.docx' WHEN 2 THEN 'https://a.b/i.jpeg' ELSE url END"
@@ -145,13 +167,16 @@ HEADER = "CASE page_id % 4 WHEN 0 THEN 'text/html; charset=utf-8' WHEN 1 THEN 'a
 _ENDING = r"lower(regexp_extract(split_part(u, '?', 1), '[^/]\.([A-Za-z0-9]+)$', 1))"
 
 
-@query(
+_TYPES = (
     f"SELECT page_id, CASE trim(split_part(lower(coalesce(h, '')), ';', 1)) "
     + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in web.MIME_TYPES.items())
     + f" ELSE CASE {_ENDING} "
     + " ".join(f"WHEN '{e}' THEN '{k}'" for k, v in web.ENDINGS.items() for e in v)
     + f" ELSE 'unknown' END END AS type FROM (SELECT page_id, {TYPED} AS u, {HEADER} AS h FROM pages)"
 )
+
+
+@query(_TYPES)
 def content_type(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", web.content_type(F.expr(TYPED), F.expr(HEADER)).alias("type"))
 
@@ -168,13 +193,27 @@ def crawl_bfs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def readable_text(spark: SparkSession, d: str) -> DataFrame:
-    return H.parsed(table(spark, d, "pages")).select("page_id", "title", F.length("text").alias("n"), F.sha2("text", 256).alias("h"))
+    """The block text, the article's text, Markdown and plain text of each page, whole."""
+    return H.read(table(spark, d, "pages"), "title string, text string, readable string, markdown string, plain string", lambda p: [(p.title, p.text, p.readable, *p.markdown)])
 
 
-@query()
+@query(f"SELECT page_id, {SCHEME} || '://' || {AUTHORITY} || link AS url, {AUTHORITY} AS domain, ends_with(lower(link), '.pdf') AS is_pdf FROM (SELECT DISTINCT page_id, url, unnest({LINKS}) AS link FROM pages) WHERE starts_with(link, '/')")
+def link_details(spark: SparkSession, d: str) -> DataFrame:
+    """Absolute links with their domains; here those to the own site."""
+    found = H.read(table(spark, d, "pages"), "url string, text string, domain string, is_pdf boolean, own string", lambda p: [(a["url"], a["text"], a["domain"], a["is_pdf"], H.domain(p.url)) for a in p.anchors])
+    return found.where("domain = own").select("page_id", "url", "domain", "is_pdf")
+
+
+_ASSETS = """'<img src="/i' || page_id || '.png"><svg id="g' || page_id || '"></svg><video src="/v.mp4"><source src="w.webm"></video><audio><source src="/a.mp3"></audio><a href="/d' || page_id || '.DOCX?x=1">d</a>' || html"""
+
+
+@query(f"""SELECT page_id, {SCHEME} || '://' || {AUTHORITY} || '/i' || page_id || '.png' AS image, 'g' || page_id AS svg, {SCHEME} || '://' || {AUTHORITY} || '/v.mp4' AS video,
+  {SCHEME} || '://' || {AUTHORITY} || '/a.mp3' AS audio, {SCHEME} || '://' || {AUTHORITY} || '/d' || page_id || '.DOCX?x=1' AS document FROM pages""")
 def page_assets(spark: SparkSession, d: str) -> DataFrame:
-    found = H.parsed(table(spark, d, "pages"))
-    return found.select("page_id", F.size("images").alias("images"), F.size("media").alias("media"), F.size("links").alias("links"))
+    """The first asset of each kind; the pages have planted ones before their own."""
+    pages = table(spark, d, "pages").select("page_id", "url", F.expr(_ASSETS).alias("html"))
+    kinds = ("images", "svgs", "videos", "audio", "documents")
+    return H.read(pages, "image string, svg string, video string, audio string, document string", lambda p: [tuple(p.assets[k][0] for k in kinds)])
 
 
 @query("SELECT page_id, sha256(html) AS content_hash, row_number() OVER (PARTITION BY html ORDER BY page_id) > 1 AS duplicate FROM pages")
@@ -184,23 +223,44 @@ def page_hash_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return hashed.withColumn("duplicate", F.row_number().over(w) > 1)
 
 
-@query(f"SELECT page_id, regexp_extract({PATH}, '^/(en|fr|de|es)(?:/|$)', 1) AS lang FROM pages")
+_ALTERNATES = """CASE WHEN page_id % 2 = 0 THEN '<link rel="alternate" hreflang="fr" href="' || url || '"><link rel="alternate" hreflang="de" href="https://other.invalid/">' ELSE '' END || '<a href="/de/x">x</a>' || html"""
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE {SCHEME} || '://' || {AUTHORITY} || '/de/x' END AS variant FROM pages""")
 def lang_variant(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").select("page_id", F.regexp_extract(web.path(F.col("url")), "^/(en|fr|de|es)(?:/|$)", 1).alias("lang"))
+    """Alternates of the own domain, or else links that begin with a language; both are planted, the first is taken."""
+    pages = table(spark, d, "pages").select("page_id", "url", F.expr(_ALTERNATES).alias("html"))
+    return H.read(pages, "variant string", lambda p: [(p.variants[0],)])
 
 
 _STATE = "CASE page_id % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' ELSE 'success' END"
 
 
-@query(f"SELECT count(*) FILTER (s = 'success')::BIGINT AS success, count(*) FILTER (s = 'failed')::BIGINT AS failed, count(*) FILTER (s = 'skipped')::BIGINT AS skipped, round(count(*) / 60.0, 6)::DOUBLE AS per_second FROM (SELECT {_STATE} AS s FROM pages)")
+#: A page's outcome: skipped for its address, failed by its status or as a challenge, else loaded.
+_OUTCOME = f"""(SELECT page_id, CASE WHEN page_id % 8 IN (0, 1, 2, 4, 5, 6) THEN 'skipped' WHEN page_id % 9 = 0 OR cloudflare THEN 'failed' ELSE 'success' END AS state,
+  CASE WHEN page_id % 8 = 5 THEN 'scheme' WHEN page_id % 8 = 0 THEN 'blocked' WHEN page_id % 8 IN (1, 2, 4, 6) THEN 'private' END AS reason FROM ({DETECT}))"""
+
+
+def _outcomes(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "pages")
+    status = F.when(F.col("page_id") % 9 == 0, 403).otherwise(200)
+    reason = web.fetch_error(F.expr(GUARDED))
+    blocked = status.isin(*web.BOT_BLOCKED) | web.detectors(F.expr(PLANTED), F.col("url"))["cloudflare"]
+    state = F.when(reason.isNotNull(), "skipped").when(blocked, "failed").otherwise("success")
+    return t.select("page_id", state.alias("state"), reason.alias("reason"), web.content_type(F.expr(TYPED), F.expr(HEADER)).alias("type"))
+
+
+@query(f"""SELECT type, count(*) FILTER (state = 'success')::BIGINT AS success, count(*) FILTER (state = 'failed')::BIGINT AS failed, count(*) FILTER (state = 'skipped')::BIGINT AS skipped,
+  round(count(*) / 60.0, 6)::DOUBLE AS per_second FROM {_OUTCOME} JOIN ({_TYPES}) USING (page_id) GROUP BY type""")
 def crawl_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "pages").select(F.expr(_STATE).alias("s"))
-    return s.agg(*(F.count_if(F.col("s") == x).alias(x) for x in ("success", "failed", "skipped")), F.round(F.count(F.lit(1)) / 60.0, 6).alias("per_second"))
+    """Outcomes by content type, and pages a second of a crawl that took a minute."""
+    counts = [F.count_if(F.col("state") == x).alias(x) for x in ("success", "failed", "skipped")]
+    return _outcomes(spark, d).groupBy("type").agg(*counts, F.round(F.count(F.lit(1)) / 60.0, 6).alias("per_second"))
 
 
-@query(f"SELECT {_STATE} AS state, count(*)::BIGINT AS n FROM pages GROUP BY ALL")
+@query(f"SELECT state, coalesce(reason, '-') AS reason, count(*)::BIGINT AS n FROM {_OUTCOME} GROUP BY ALL")
 def queue_stats(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "pages").groupBy(F.expr(_STATE).alias("state")).agg(F.count(F.lit(1)).alias("n"))
+    return _outcomes(spark, d).groupBy("state", F.coalesce("reason", F.lit("-")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT page_id, url FROM pages ORDER BY page_id % 5, length(url), page_id LIMIT 16")
@@ -215,28 +275,172 @@ def discovered_urls(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("url").union(crawl.edges(pages).select("link")).distinct().orderBy(F.length("url"), "url").limit(200)
 
 
-@query("SELECT page_id, contains(lower(html), 'just a moment') OR contains(lower(html), 'cf-') AS challenge FROM pages")
+_CHALLENGED = """CASE page_id % 9 """ + " ".join(f"WHEN {i} THEN html || '<p>{m.upper()}</p>'" for i, m in enumerate(web.CHALLENGES)) + " ELSE html || ' class=cf-x' END"
+
+
+@query(f"SELECT page_id, {_any_sql(web.CHALLENGES)} AS challenge FROM (SELECT page_id, {_CHALLENGED} AS h FROM pages)")
 def challenge_flag(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("html")
-    return table(spark, d, "pages").select("page_id", (F.contains(low, F.lit("just a moment")) | F.contains(low, F.lit("cf-"))).alias("challenge"))
+    """Each marker is planted in some pages, in capitals."""
+    return table(spark, d, "pages").select("page_id", web.any_of(F.lower(F.expr(_CHALLENGED)), web.CHALLENGES).alias("challenge"))
 
 
-@query(f"""SELECT page_id, arg_max(adapter, score * 10 - pri) AS adapter FROM (
-SELECT page_id, 'native' AS adapter, length(html) % 100 AS score, 0 AS pri FROM pages UNION ALL SELECT page_id, 'render', (page_id * 37) % 100, 1 FROM pages) GROUP BY page_id""")
+_SCORE = """greatest(0, least(100, 10 * (trim(regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)) <> '')::INT + 30 * (length(h) > 1000)::INT
+  + 10 * (len({links}) > 0)::INT + 10 * (regexp_extract(h, '(?i)<meta[^>]+name="description"[^>]+content="([^"]+)"', 1) <> '')::INT
+  + 10 * (length(h) > 1000 AND length(h) < 5000000)::INT - 40 * (length(h) < 200)::INT - 50 * cloudflare::INT - 30 * script::INT - 20 * login::INT))"""
+
+
+@query(f"""WITH n AS (SELECT page_id, {_SCORE.format(links=LINKS.replace("html,", "h,"))} AS score FROM ({DETECT})), r AS (
+  SELECT page_id, {_SCORE.format(links=LINKS.replace("html,", "h,"))} AS score FROM ({DETECT.replace(PLANTED, "html")}))
+SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'render' WHEN n.score < 40 AND r.score > n.score THEN 'render' ELSE 'native' END AS adapter,
+  CASE WHEN page_id % 9 = 0 THEN r.score WHEN n.score < 40 AND r.score > n.score THEN r.score ELSE n.score END AS score FROM n JOIN r USING (page_id)""")
 def adapter_pick(spark: SparkSession, d: str) -> DataFrame:
-    """The adapter with the best score, the first of equals."""
+    """The page as it was loaded, or as a browser renders it: for blocked robots, and where the first scores below 0.4 and
+    the second better."""
+    url, status = F.col("url"), F.when(F.col("page_id") % 9 == 0, 403).otherwise(200)
+    native, render = (web.quality(x, url, F.lit(200))["score"] for x in (F.expr(PLANTED), F.col("html")))
+    scored = table(spark, d, "pages").select("page_id", status.alias("status"), native.alias("n"), render.alias("r"))
+    other = F.col("status").isin(*web.BOT_BLOCKED) | ((F.col("n") / 100 < 0.4) & (F.col("r") > F.col("n")))
+    return scored.select("page_id", F.when(other, "render").otherwise("native").alias("adapter"), F.when(other, F.col("r")).otherwise(F.col("n")).alias("score"))
+
+
+_BARE_TEXT = r"trim(regexp_replace(regexp_replace(h, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query(f"""SELECT page_id, ok, CASE WHEN ok AND n > 200 THEN 'native' ELSE 'fallback' END AS source FROM (
+  SELECT page_id, page_id % 9 <> 0 AND length({_BARE_TEXT}) > 0 AS ok, length({_BARE_TEXT}) AS n FROM ({DETECT}))""")
+def scrape_gate(spark: SparkSession, d: str) -> DataFrame:
+    """A scrape is good without an error and with a text; one of 200 characters or fewer is loaded in another way."""
+    bare = F.regexp_replace(F.expr(PLANTED), r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<[^>]*>", " ")
+    n, status = F.length(F.trim(F.regexp_replace(bare, r"\s+", " "))), F.when(F.col("page_id") % 9 == 0, 403).otherwise(200)
+    rows = table(spark, d, "pages").select("page_id", ((status == 200) & (n > 0)).alias("ok"), n.alias("n"))
+    return rows.select("page_id", "ok", F.when(F.col("ok") & (F.col("n") > 200), "native").otherwise("fallback").alias("source"))
+
+
+@query(r"""SELECT page_id, '# ' || trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) || chr(10) || chr(10) || 'Source: ' || url || chr(10) || chr(10)
+  || trim(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages""")
+def page_to_document(spark: SparkSession, d: str) -> DataFrame:
+    """A scraped page as a titled text, to be ingested."""
+    bare = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>|<[^>]*>", " ")
+    text = F.concat(F.lit("# "), web.title(F.col("html")), F.lit("\n\nSource: "), "url", F.lit("\n\n"), F.trim(F.regexp_replace(bare, r"\s+", " ")))
+    return table(spark, d, "pages").select("page_id", text.alias("text"))
+
+
+@query(f"""SELECT page_id, sha256(html) AS content_hash, row_number() OVER (PARTITION BY html ORDER BY page_id) > 1 AS duplicate, login, cloudflare, len(list_distinct({LINKS}))::INT AS n_links
+FROM pages JOIN (SELECT page_id, login, cloudflare FROM ({DETECT.replace(PLANTED, "html")})) USING (page_id)""")
+def page_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """What a crawler does with each page: detect, hash, find copies by the smallest id, links."""
+    x = web.detectors(F.col("html"), F.col("url"))
+    rows = table(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("content_hash"), x["login"].alias("login"), x["cloudflare"].alias("cloudflare"), F.size(web.links(F.col("html"))).alias("n_links"))
+    first = rows.groupBy("content_hash").agg(F.min("page_id").alias("first"))
+    return rows.join(first, "content_hash").select("page_id", "content_hash", (F.col("page_id") != F.col("first")).alias("duplicate"), "login", "cloudflare", "n_links")
+
+
+_TREE = "(SELECT page_id AS page, unnest([2 * page_id + 1, 2 * page_id + 2]) AS target FROM pages)"
+_KEPT = f"(SELECT * FROM {_TREE} WHERE target % 7 <> 3 AND target <= (SELECT max(page_id) FROM pages))"
+
+
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    """Links of a site whose pages are a tree; those to every seventh page lead to another domain."""
     pages = table(spark, d, "pages")
-    native = pages.select("page_id", F.lit("native").alias("adapter"), (F.length("html") % 100).cast("bigint").alias("score"), F.lit(0).alias("pri"))
-    render = pages.select("page_id", F.lit("render").alias("adapter"), F.expr("(page_id * 37) % 100").alias("score"), F.lit(1).alias("pri"))
-    return native.unionByName(render).groupBy("page_id").agg(F.max_by("adapter", F.col("score") * 10 - F.col("pri")).alias("adapter"))
+    last = pages.agg(F.max("page_id")).first()[0] or 0
+    found = pages.select(F.col("page_id").alias("page"), F.posexplode(F.array(2 * F.col("page_id") + 1, 2 * F.col("page_id") + 2)).alias("n", "target"))
+    return found.where((F.col("target") % 7 != 3) & (F.col("target") <= last))
+
+
+def _crawl_sql(pages: int, depth: int) -> str:
+    return f"""WITH RECURSIVE w AS (SELECT 0::BIGINT AS page, NULL::BIGINT AS parent, 0 AS depth UNION ALL SELECT target, w.page, depth + 1 FROM w JOIN {_KEPT} k ON k.page = w.page WHERE depth < {depth})
+SELECT page, parent, depth, row_number() OVER (ORDER BY page)::BIGINT AS place FROM w ORDER BY page LIMIT {pages}"""
+
+
+@query(_crawl_sql(40, 6))
+def crawl_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Breadth-first with limits of pages and depth; a page's parent is the one that it was found on."""
+    return crawl.crawl(_links(spark, d), spark.createDataFrame([(0,)], "page bigint"), 40, 6)
+
+
+@query(_crawl_sql(200, 10))
+def crawl_full_site(spark: SparkSession, d: str) -> DataFrame:
+    pages, depth, _ = crawl.full_site(10, 2)
+    return crawl.crawl(_links(spark, d), spark.createDataFrame([(0,)], "page bigint"), pages, depth)
+
+
+@query(f"""WITH w AS ({_crawl_sql(500, 3)}) SELECT DISTINCT page, depth, link || '.pdf' AS url FROM w JOIN (SELECT page_id AS page, unnest({LINKS}) AS link FROM pages) USING (page)
+WHERE regexp_matches(lower(link), 'the|ha|guide|law')""")
+def pdf_harvest(spark: SparkSession, d: str) -> DataFrame:
+    """Links to documents with a keyword, on pages down to a depth; every link of the data is taken for a document."""
+    seen = crawl.crawl(_links(spark, d), spark.createDataFrame([(0,)], "page bigint"), 500, 3)
+    found = crawl.edges(table(spark, d, "pages")).withColumnRenamed("page_id", "page").where(F.lower("link").rlike("the|ha|guide|law"))
+    return seen.join(found, "page").select("page", "depth", F.concat("link", F.lit(".pdf")).alias("url")).distinct()
 
 
-@query(f"SELECT page_id, 'page-' || sha1(url)[1:10] || '.txt' AS name, regexp_replace(url, '[\\\\/*?:\"<>|]', '_', 'g') AS dest FROM pages")
+_MAPS = """'<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' """
+
+
+def _maps(spark: SparkSession, d: str) -> DataFrame:
+    """Sitemaps: an index of regions, whose indexes list nations (and the root again), whose sitemaps list customers."""
+    loc = lambda tag, url: F.concat(F.lit(f"<{tag}><loc> "), url, F.lit(f"</loc></{tag}>"))
+    url = lambda kind, key: F.concat(F.lit(f"https://s.example/{kind}/"), key, F.lit(".xml"))
+    body = lambda key, entry: F.array_join(F.sort_array(F.collect_list(entry)), "")
+    wrap = lambda tag, x: F.concat(F.lit(f'<?xml version="1.0"?>\n<{tag} xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), x, F.lit(f"</{tag}>"))
+    r, n, c = (table(spark, d, x) for x in ("region", "nation", "customer"))
+    top = r.agg(body(None, loc("sitemap", url("r", F.col("r_regionkey"))))).toDF("x").select(F.lit("https://s.example/sitemap.xml").alias("url"), wrap("sitemapindex", F.col("x")).alias("xml"))
+    back = F.lit("<sitemap><loc>https://s.example/sitemap.xml</loc></sitemap>")
+    mid = n.groupBy("n_regionkey").agg(body(None, loc("sitemap", url("n", F.col("n_nationkey")))).alias("x"))
+    mid = mid.select(url("r", F.col("n_regionkey")).alias("url"), wrap("sitemapindex", F.concat("x", back)).alias("xml"))
+    image = F.concat(F.lit("<url><loc>https://s.example/c/"), F.col("c_custkey"), F.lit("</loc><image:image><image:loc>https://s.example/i/"), F.col("c_custkey"), F.lit("</image:loc></image:image></url>"))
+    low = c.groupBy("c_nationkey").agg(body(None, image).alias("x")).select(url("n", F.col("c_nationkey")).alias("url"), wrap("urlset", F.col("x")).alias("xml"))
+    return top.unionByName(mid).unionByName(low)
+
+
+@query("SELECT 'https://s.example/' || k || '/' || c_custkey AS url FROM customer JOIN nation ON n_nationkey = c_nationkey, unnest(['c', 'i']) t(k)")
+def sitemap_tree(spark: SparkSession, d: str) -> DataFrame:
+    """All pages and images below an index of indexes that also has a cycle."""
+    return crawl.expand_sitemaps(_maps(spark, d), spark.createDataFrame([("https://s.example/sitemap.xml",)], "url string"))
+
+
+@query("""SELECT 'https://n' || n_nationkey || '.example/x' AS site, 'https://n' || n_nationkey || '.example/' || CASE n_nationkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS url
+FROM nation WHERE n_nationkey % 4 <> 3""")
+def sitemap_first_hit(spark: SparkSession, d: str) -> DataFrame:
+    """The first of the places where a sitemap may be that has pages; of some sites an index, of others none."""
+    host = F.concat(F.lit("https://n"), F.col("n_nationkey"), F.lit(".example"))
+    n = table(spark, d, "nation").select(host.alias("h"), "n_nationkey")
+    kind = F.col("n_nationkey") % 3
+    place = F.when(kind == 0, "/sitemap.xml").when(kind == 1, "/sitemap_index.xml").otherwise("/wp-sitemap.xml")
+    page = F.concat("h", F.when(kind == 0, "/a").when(kind == 1, "/b").otherwise("/c"))
+    urlset = lambda x: F.concat(F.lit("<urlset><url><loc>"), x, F.lit("</loc></url></urlset>"))
+    own = n.where("n_nationkey % 4 <> 3").select(F.concat("h", place).alias("url"), F.when(kind == 1, F.concat(F.lit("<sitemapindex><sitemap><loc>"), "h", F.lit("/sub.xml</loc></sitemap></sitemapindex>"))).otherwise(urlset(page)).alias("xml"))
+    below = n.where(kind == 1).select(F.concat("h", F.lit("/sub.xml")).alias("url"), urlset(page).alias("xml"))
+    empty = n.where(kind == 2).select(F.concat("h", F.lit("/sitemap.xml")).alias("url"), F.lit("<urlset></urlset>").alias("xml"))
+    return crawl.first_sitemaps(n.select(F.concat("h", F.lit("/x")).alias("site")), own.unionByName(below).unionByName(empty))
+
+
+_ROBOTS = "User-agent: *\nDisallow: /t # no\nAllow: /to\nDisallow: /The\nCrawl-delay: 2.5\nSitemap: https://x/s.xml\n\nUser-agent: ScraperBot\nCrawl-delay: odd\nDisallow: /and\nSitemap: https://x/s.xml\nSitemap: https://x/t.xml"
+_P = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
+
+
+@query(f"""SELECT DISTINCT page_id, link, NOT (starts_with(link, '/t') OR starts_with(link, '/The')) AS anyone, NOT starts_with(link, '/and') AS bot, 2.5::DOUBLE AS delay, 2 AS sitemaps
+FROM (SELECT page_id, unnest({LINKS}) AS link FROM pages)""")
+def robots_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Whether links may be fetched by anyone, and by the bot, which has rules of its own; the first that fits decides."""
+    links = crawl.edges(table(spark, d, "pages"))
+    found = links.select("page_id", "link", web.robots(F.lit(_ROBOTS)).alias("r"))
+    return found.select(
+        "page_id", "link", web.can_fetch(F.col("r.rules"), F.col("link")).alias("anyone"), web.can_fetch(F.col("r.rules"), F.col("link"), "scraperbot").alias("bot"),
+        F.col("r.delay").alias("delay"), F.size("r.sitemaps").alias("sitemaps"),
+    )
+
+
+_SAVED = "url || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN '/a b.PDF' WHEN 2 THEN '/x.exe' ELSE '/r*1.docx' END"
+_GIVEN = "CASE WHEN page_id % 10 = 0 THEN 'my:file?.txt' WHEN page_id % 10 = 5 THEN ' ' ELSE '' END"
+
+
+@query(f"""SELECT page_id, CASE WHEN trim(regexp_replace(name, '[\\\\/*?:"<>|]', '_', 'g')) = '' THEN 'downloaded_document' ELSE trim(regexp_replace(name, '[\\\\/*?:"<>|]', '_', 'g')) END AS name FROM (
+SELECT page_id, CASE WHEN g <> '' THEN g WHEN list_contains([{", ".join(f"'{e}'" for e in web.SUPPORTED)}], lower(regexp_extract(l, '\\.([^.]+)$', 1))) THEN 'x_' || l
+  ELSE 'x_cloud_doc_' || sha1(url)[1:10] || '.pdf' END AS name FROM (
+SELECT page_id, url, g, regexp_extract({PATH}, '([^/]*)$', 1) AS l FROM (SELECT page_id, {_SAVED} AS url, {_GIVEN} AS g FROM pages)))""")
 def download_name(spark: SparkSession, d: str) -> DataFrame:
-    u = F.col("url")
-    return table(spark, d, "pages").select(
-        "page_id", F.concat(F.lit("page-"), F.substring(F.sha1(u), 1, 10), F.lit(".txt")).alias("name"), F.regexp_replace(u, r'[\\/*?:"<>|]', "_").alias("dest")
-    )
+    """A given name, the address's own if it can be read, or a hash; without characters that files can't have."""
+    return table(spark, d, "pages").select("page_id", web.saved_name(F.expr(_SAVED), F.expr(_GIVEN), "x_").alias("name"))
 
 
 @query("SELECT page_id, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'download=1' AS url FROM pages")
