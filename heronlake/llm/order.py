@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from heronlake.llm import bpe
 from heronlake.llm.common import scratch, slices, stored
 from heronlake.llm.flat import kind, opened
+from heronlake.llm.neardup import binary
 
 LENGTH, PER_SHARD, ROUNDS = 256, 8192, 6
 #: Bytes of tokens that a task gathers before it deals them out; bytes of shards that one task writes, about.
@@ -57,17 +58,17 @@ def permute(values: np.ndarray, n: int, key: bytes) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def ragged(data: bytes, ends: np.ndarray) -> pa.Array:
-    """A binary column of runs of bytes that end at ``ends``."""
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+def column(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as a binary column."""
+    offsets = (np.arange(len(rows) + 1) * rows.shape[1] * rows.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
 
 
 def sequences(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(key, part, n_tokens, tokens, task, nth): each text, with an end-of-document id, in rows of ``length`` ids, stored.
 
-    The last row of a text may be shorter. A null or empty text is one row with its end alone. Rows are numbered within the
-    task that made them, so the table as it is stored tells their order.
+    The last row of a text is filled up with end-of-document ids, which n_tokens doesn't count. A null or empty text is one
+    row with its end alone. Rows are numbered within the task that made them, so the stored table tells their order.
     """
     held = docs.sparkSession.sparkContext.broadcast(bpe.load(vocabulary))
 
@@ -78,13 +79,14 @@ def sequences(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
         for batch in batches:
             for b in slices(batch):
                 ids, sizes = tok.encode_flat(b.column(1).to_pylist())
-                ids, sizes = np.insert(ids.astype(width), np.cumsum(sizes), tok.end), sizes + 1
-                many = -(-sizes // length)
+                many = -(-(sizes + 1) // length)
                 of = np.repeat(np.arange(len(sizes)), many)
                 part = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
-                n = np.minimum(length, sizes[of] - part * length)
-                item = ids.itemsize
-                tokens = ragged(ids.tobytes(), np.cumsum(n) * item)
+                n = np.minimum(length, sizes[of] + 1 - part * length)
+                rows = np.full((len(of), length), tok.end, width)
+                first = (np.cumsum(many) - many) * length - (np.cumsum(sizes) - sizes)
+                rows.ravel()[np.arange(len(ids)) + np.repeat(first, sizes)] = ids
+                tokens = column(rows)
                 place = pa.array(np.arange(nth, nth + len(of)))
                 nth += len(of)
                 columns = [b.column(0).take(pa.array(of)), pa.array(part), pa.array(n), tokens, pa.array(np.full(len(of), task, np.int32)), place]
@@ -128,13 +130,11 @@ def materialise(
 ) -> DataFrame:
     """Write the sequences to shards; (key, part, n_tokens, slot, shard, offset, token_sha256), a row for each sequence.
 
-    ``rows`` is the table of :func:`sequences`; ``secret`` selects the order; a sequence is filled up with end-of-document
-    ids to its stride. Each shard is written by one task under another name and renamed when it is whole; whole shards of
+    ``rows`` is the table of :func:`sequences`; ``secret`` selects the order. Each shard is written by one task under another name and renamed when it is whole; whole shards of
     an earlier run over the same table, key and stride stay. Without rows there are no shards.
     """
     spark = rows.sparkSession
-    tok = bpe.WordBpe(bpe.load(vocabulary), plain=True)
-    width, end = np.dtype(kind(len(tok.names))), tok.end
+    width = np.dtype(kind(len(bpe.WordBpe(bpe.load(vocabulary), plain=True).names)))
     stride = length * width.itemsize
     # a row for each task that made sequences
     tasks = rows.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("nth", key, "part", "tokens")).alias("x"))
@@ -158,12 +158,11 @@ def materialise(
             b, slot = b.take(pa.array(order)), slot[order]
             shard = slot // per_shard
             cuts = np.concatenate([np.flatnonzero(np.diff(shard, prepend=-1)), [len(shard)]]).astype(np.int32)
-            n = b.column(2).to_numpy()
-            tokens = [codec.compress(b"".join(b.column(3).slice(x, y - x).to_pylist()), asbytes=True) for x, y in zip(cuts, cuts[1:])]  # noqa: B905
-            sizes = np.add.reduceat(n, cuts[:-1]) * width.itemsize
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), c) for c in (pa.array(slot), b.column(0), b.column(1), pa.array(n))]
-            columns = [pa.array(shard[cuts[:-1]]), *lists, pa.array(sizes), pa.array(tokens, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["shard", "slots", "keys", "parts", "sizes", "bytes", "tokens"])
+            ids = binary(b.column(3), "u1")
+            tokens = [codec.compress(ids[x:y].tobytes(), asbytes=True) for x, y in zip(cuts, cuts[1:])]  # noqa: B905
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), c) for c in (pa.array(slot), b.column(0), b.column(1), b.column(2))]
+            columns = [pa.array(shard[cuts[:-1]]), *lists, pa.array(tokens, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["shard", "slots", "keys", "parts", "sizes", "tokens"])
 
         for batch in batches:
             for b in slices(batch):
@@ -176,21 +175,18 @@ def materialise(
             yield out()
 
     kept = T.ArrayType(rows.schema[key].dataType)
-    block = T.StructType.fromDDL("shard bigint, slots array<bigint>, parts array<bigint>, sizes array<bigint>, bytes bigint, tokens binary")
+    block = T.StructType.fromDDL("shard bigint, slots array<bigint>, parts array<bigint>, sizes array<bigint>, tokens binary")
     block = T.StructType([*block.fields[:2], T.StructField("keys", kept), *block.fields[2:]])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = opened(folder)
-        shard, parts, data = None, [], b""
+        shard, parts = None, []
 
         def out() -> pa.RecordBatch:
             slots, keys, parts_, sizes = (pa.concat_arrays([p[i] for p in parts]) for i in range(4))
-            slot, n = slots.to_numpy(), sizes.to_numpy()
-            many = min(per_shard, total - shard * per_shard)
-            whole = np.full((many, length), end, width)
-            ids = np.frombuffer(b"".join([p[4] for p in parts]), width)
-            at = (slot - shard * per_shard).repeat(n) * length + np.arange(len(ids)) - np.repeat(np.cumsum(n) - n, n)
-            whole.ravel()[at] = ids
+            slot = slots.to_numpy()
+            whole = np.full((min(per_shard, total - shard * per_shard), stride), 0, np.uint8)
+            whole[slot - shard * per_shard] = np.frombuffer(b"".join([p[4] for p in parts]), np.uint8).reshape(-1, stride)
             data = whole.tobytes()
             there = fs.get_file_info(f"{base}/{shard_name(shard)}")
             if not (there.is_file and there.size == len(data)):
@@ -211,8 +207,8 @@ def materialise(
                     yield out()
                     parts = []
                 shard = s
-                data = pa.decompress(b.column(6)[i].as_py(), b.column(5)[i].as_py(), "zstd", asbytes=True)
-                parts.append((*(b.column(k)[i].values for k in (1, 2, 3, 4)), data))
+                lists = [b.column(k)[i].values for k in (1, 2, 3, 4)]
+                parts.append((*lists, pa.decompress(b.column(5)[i].as_py(), len(lists[0]) * stride, "zstd", asbytes=True)))
         if parts:
             yield out()
 
