@@ -1,12 +1,13 @@
 """Secret scans: patterns, and a battery of randomness tests with length-aware control of false discoveries.
 
 A candidate is a run of 20 or more characters of the base-64 alphabets. Its encoding is the smallest alphabet that holds
-it. Two questions are asked of it. Could it be random? A chi-squared test of the alphabet's uniformity, a runs test
-around the alphabet's middle and a serial-correlation test answer, combined by Fisher's method. Could it be ordinary
-text? The likelihood ratio of the encoding against a letter model of text bounds that probability (Markov's inequality),
-times the number of encodings tried. Over all documents, and within classes of length, the Benjamini-Hochberg rule then
-picks the probabilities that keep the share of false discoveries below a level; what it picks and what looks random is a
-secret. The rule needs only a histogram of fixed size.
+it. A chi-squared test of the alphabet's uniformity, a runs test around the alphabet's middle and a serial-correlation test
+are combined by Fisher's method. How unlike text a run is, is told by the logarithm of the likelihood ratio of its encoding
+against a letter model of text, less the battery's statistic; the distribution of that difference over text, by length, is
+simulated from the letter model, with words in one case and in mixed case, and gives the run's probability. A run that the
+battery tells not to be random is text, whatever its letters (a pattern, an alphabet, one letter many times). Over all
+documents, and within classes of length, the Benjamini-Hochberg rule then picks the probabilities that keep the share of
+false discoveries below a level. The rule needs only a histogram of fixed size.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,6 +38,8 @@ LEAST = 20
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}")
 #: Length classes by their least length, the level of false discoveries, and the least combined p-value of randomness.
 CLASSES, LEVEL, LEAST_RANDOM = (20, 32, 64), 0.01, 1e-3
+#: Lengths at which the battery is simulated over text, and how often.
+LENGTHS, SIMULATED = (20, 26, 32, 44, 64, 96, 160), 400
 #: The histogram's bins: quarters of a power of ten.
 BINS = 400
 
@@ -85,8 +89,9 @@ def _normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(run: str) -> tuple[str, float, float]:
-    """The encoding, the combined p-value of randomness, and minus the decimal logarithm of that of text."""
+def battery(run: str, left_out: int | None = None) -> tuple[str, float, float]:
+    """The encoding, Fisher's statistic of the tests (without the one that is left out), and the logarithm of the likelihood
+    ratio of the encoding against text."""
     body = run.rstrip("=")
     chars = set(body)
     name = next((k for k, a in ENCODINGS.items() if chars <= set(a)), "any")
@@ -110,14 +115,43 @@ def battery(run: str) -> tuple[str, float, float]:
     d = codes - codes.mean()
     r = float((d[1:] * d[:-1]).sum() / max((d * d).sum(), 1e-9))
     p3 = 2 * _normal_tail(abs(r + 1 / n) * math.sqrt(n))
-    half = -sum(math.log(min(1.0, max(p, 1e-12))) for p in (p1, p2, p3))
-    combined = math.exp(-half) * (1 + half + half * half / 2)  # chi-squared with six degrees of freedom
-    ratio = sum(-math.log(m) - math.log(_TEXT[c]) for c in body)
-    return name, combined, max(0.0, (ratio - math.log(len(ENCODINGS))) / math.log(10))
+    half = -sum(math.log(min(1.0, max(p, 1e-12))) for i, p in enumerate((p1, p2, p3)) if i != left_out)
+    return name, half, sum(-math.log(m) - math.log(_TEXT[c]) for c in body)
+
+
+def unlikeness(run: str, left_out: int | None = None) -> float:
+    _, half, ratio = battery(run, left_out)
+    return ratio - half
+
+
+@cache
+def text_statistics(left_out: int | None = None, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of :func:`unlikeness` over runs of text of :data:`LENGTHS`."""
+    rng = np.random.default_rng(seed)
+    chars, p = np.array(list(_TEXT)), np.array(list(_TEXT.values()))
+    found = []
+    for n in LENGTHS:
+        runs = ["".join(x) for x in rng.choice(chars, (SIMULATED, n), p=p / p.sum())]
+        low = [r.lower() for r in runs[: SIMULATED // 2]]
+        found.append([unlikeness(r, left_out) for r in low + runs[SIMULATED // 2 :]])
+    x = np.array(found)
+    return x.mean(1), x.std(1)
+
+
+def text_probability(run: str, left_out: int | None = None) -> float:
+    """Minus the decimal logarithm of the probability that a run is text, times the number of encodings tried."""
+    n = len(run.rstrip("="))
+    _, half, ratio = battery(run, left_out)
+    random = math.exp(-half) * sum(half**i / math.factorial(i) for i in range(3 if left_out is None else 2))
+    if random < LEAST_RANDOM:  # by the chi-squared distribution with two degrees of freedom for each test
+        return 0.0
+    mean, deviation = text_statistics(left_out)
+    far = (ratio - half - np.interp(n, LENGTHS, mean)) / np.interp(n, LENGTHS, deviation)
+    return max(0.0, -math.log10(max(_normal_tail(float(far)), 1e-300)) - math.log10(len(ENCODINGS)))
 
 
 def candidates(text: str | None) -> Iterator[tuple[int, int, int, int]]:
-    """(start, end, length class, bin of the p-value of text) of the runs; bin -1 if it can't be random.
+    """(start, end, length class, bin of the probability of text) of the runs.
 
     Runs of digits alone, as numbers are, aren't candidates.
     """
@@ -125,9 +159,8 @@ def candidates(text: str | None) -> Iterator[tuple[int, int, int, int]]:
         return
     for m in RUN.finditer(text):
         if not m[0].rstrip("=").isdigit():
-            _, random, bits = battery(m[0])
             kind = sum(len(m[0]) >= c for c in CLASSES) - 1
-            yield m.start(), m.end(), kind, min(BINS - 1, int(bits * 4)) if random >= LEAST_RANDOM else -1
+            yield m.start(), m.end(), kind, min(BINS - 1, int(text_probability(m[0]) * 4))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -141,8 +174,8 @@ def thresholds(histogram: dict[tuple[int, int], int]) -> list[int]:
     """
     out = []
     for kind in range(len(CLASSES)):
-        counts = np.array([histogram.get((kind, b), 0) for b in range(-1, BINS)], float)
-        total, above = counts.sum(), counts[::-1].cumsum()[::-1][1:]
+        counts = np.array([histogram.get((kind, b), 0) for b in range(BINS)], float)
+        total, above = counts.sum(), counts[::-1].cumsum()[::-1]
         largest = 10.0 ** (-np.arange(BINS) / 4)
         picked = np.flatnonzero((above > 0) & (largest * total <= LEVEL * above))
         out.append(int(picked[0]) if len(picked) else BINS)
@@ -155,7 +188,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     ``base`` and ``spans`` are kind:start:end in code points, ends exclusive, by start and kind, joined by commas;
     ``spans`` adds the kind random, for runs that no base span overlaps. Null and empty texts have no spans, the key may
     be null, repeated rows stay, other columns are ignored. No shuffle of texts; the driver gets a histogram of at most
-    1,203 cells.
+    1,200 cells.
     """
 
     def make() -> Callable:

@@ -240,6 +240,45 @@ def test_secrets_by_pattern_and_by_randomness(spark):
     assert secrets.scan(frame(spark, [])).count() == 0
 
 
+def planted_keys(n=40):
+    """(kind, run): keys of each encoding and several lengths, and what looks like them: identifiers, paths, words, numbers."""
+    r = random.Random(12)
+    words = "get user account session manager value index report total order customer address update config loader stream window buffer".split()
+    out = []
+    for name in ("hex_upper", "base32", "base36", "base62", "base64", "base64url"):
+        out += [(name, "".join(r.choice(secrets.ENCODINGS[name]) for _ in range(r.choice([24, 32, 44, 64, 80])))) for _ in range(n)]
+    for _ in range(6 * n):
+        w = r.choices(words, k=r.randint(5, 12))
+        run = r.choice(["_".join(w), "/".join(w), "".join(x.title() for x in w), "-".join(w), "/".join([*w[:4], str(r.randint(1, 999)), *w[4:]])])
+        out.append(("text", run))
+    return [x for x in out if len(x[1]) >= secrets.LEAST]
+
+
+@pytest.mark.parametrize("left_out", [None, 0, 1, 2])
+def test_secret_tests_find_keys_and_leave_text(left_out):
+    """Recall and false discoveries of the whole battery, and without each of its tests."""
+    runs = planted_keys()
+    cells = Counter((sum(len(x) >= c for c in secrets.CLASSES) - 1, min(secrets.BINS - 1, int(secrets.text_probability(x, left_out) * 4))) for _, x in runs)
+    cut = secrets.thresholds(cells)
+    picked = [k for k, x in runs if int(secrets.text_probability(x, left_out) * 4) >= cut[sum(len(x) >= c for c in secrets.CLASSES) - 1]]
+    false, total = picked.count("text"), sum(k != "text" for k, _ in runs)
+    recall = (len(picked) - false) / total
+    assert recall >= 0.9 and false <= 0.02 * len(picked), (left_out, recall, false)
+    patterns = ["x" * 5000, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef" * 3, "ABABABABABABABABABABABAB", "zyxwvutsrqponmlkjihgfedcba"]
+    found = [secrets.text_probability(x, left_out) for x in patterns]
+    assert left_out is not None or not any(found)  # which the battery alone tells from keys
+
+
+def test_thresholds_are_the_rule_of_benjamini_and_hochberg():
+    r = random.Random(2)
+    for _ in range(50):
+        bins = [r.choice([0, 1, 2, r.randint(0, 60)]) for _ in range(r.randint(1, 80))]
+        cut = secrets.thresholds(Counter((0, b) for b in bins))[0]
+        p = sorted(10 ** (-b / 4) for b in bins)  # the largest p-value of each bin
+        k = max((i for i, x in enumerate(p, 1) if x * len(p) <= secrets.LEVEL * i), default=0)
+        assert sum(b >= cut for b in bins) == k
+
+
 def test_licences(spark):
     texts = [*ODD, (40, "intro\nLicensed under the Apache License, Version 2.0.\nend"), (41, "He lost his driving license."), (42, "All rights reserved."), (43, "Licensed under CC BY-NC 4.0.")]
     found = licenses.scan(frame(spark, texts))
