@@ -29,7 +29,7 @@ from heronlake.llm.neardup import binary
 
 LENGTH, PER_SHARD, ROUNDS = 256, 8192, 6
 #: Bytes of tokens that a task gathers before it deals them out; bytes of shards that one task writes, about.
-HELD, WRITTEN = 32 << 20, 256 << 20
+HELD, WRITTEN = 48 << 20, 64 << 20
 #: Level of zstd: ids take 0.55 of their size at level 6, and 0.65 at level 1.
 LEVEL = 6
 
@@ -85,7 +85,8 @@ def sequences(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str =
                 n = np.minimum(length, sizes[of] + 1 - part * length)
                 rows = np.full((len(of), length), tok.end, width)
                 first = (np.cumsum(many) - many) * length - (np.cumsum(sizes) - sizes)
-                rows.ravel()[np.arange(len(ids)) + np.repeat(first, sizes)] = ids
+                kind_ = np.int32 if rows.size < 1 << 31 else np.int64
+                rows.ravel()[np.arange(len(ids), dtype=kind_) + np.repeat(first.astype(kind_), sizes)] = ids
                 tokens = column(rows)
                 place = pa.array(np.arange(nth, nth + len(of)))
                 nth += len(of)
@@ -160,7 +161,7 @@ def materialise(
             cuts = np.concatenate([np.flatnonzero(np.diff(shard, prepend=-1)), [len(shard)]]).astype(np.int32)
             ids = binary(b.column(3), "u1")
             tokens = [codec.compress(ids[x:y].tobytes(), asbytes=True) for x, y in zip(cuts, cuts[1:])]  # noqa: B905
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), c) for c in (pa.array(slot), b.column(0), b.column(1), b.column(2))]
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), c) for c in (pa.array((slot % per_shard).astype(np.int32)), b.column(0), b.column(1), b.column(2).cast(pa.int32()))]
             columns = [pa.array(shard[cuts[:-1]]), *lists, pa.array(tokens, pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["shard", "slots", "keys", "parts", "sizes", "tokens"])
 
@@ -175,7 +176,7 @@ def materialise(
             yield out()
 
     kept = T.ArrayType(rows.schema[key].dataType)
-    block = T.StructType.fromDDL("shard bigint, slots array<bigint>, parts array<bigint>, sizes array<bigint>, tokens binary")
+    block = T.StructType.fromDDL("shard bigint, slots array<int>, parts array<bigint>, sizes array<int>, tokens binary")
     block = T.StructType([*block.fields[:2], T.StructField("keys", kept), *block.fields[2:]])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,9 +185,8 @@ def materialise(
 
         def out() -> pa.RecordBatch:
             slots, keys, parts_, sizes = (pa.concat_arrays([p[i] for p in parts]) for i in range(4))
-            slot = slots.to_numpy()
-            whole = np.full((min(per_shard, total - shard * per_shard), stride), 0, np.uint8)
-            whole[slot - shard * per_shard] = np.frombuffer(b"".join([p[4] for p in parts]), np.uint8).reshape(-1, stride)
+            whole = np.zeros((min(per_shard, total - shard * per_shard), stride), np.uint8)
+            whole[slots.to_numpy()] = np.frombuffer(b"".join([p[4] for p in parts]), np.uint8).reshape(-1, stride)
             data = whole.tobytes()
             there = fs.get_file_info(f"{base}/{shard_name(shard)}")
             if not (there.is_file and there.size == len(data)):
@@ -194,11 +194,11 @@ def materialise(
                 with fs.open_output_stream(name) as f:
                     f.write(data)
                 fs.move(name, f"{base}/{shard_name(shard)}")
-            order = pa.array(np.argsort(slot))  # columns in the order of slots take little space
+            order = pa.array(np.argsort(slots.to_numpy()))  # columns in the order of slots take little space
             keys, parts_, sizes, slots = (x.take(order) for x in (keys, parts_, sizes, slots))
-            local = slots.to_numpy() - shard * per_shard
+            local = slots.to_numpy().astype(np.int64)
             digests = [hashlib.sha256(data[x * stride : (x + 1) * stride]).digest() for x in local.tolist()]
-            columns = [keys, parts_, sizes, slots, pa.array(np.full(len(slot), shard)), pa.array(local * stride), pa.array(digests, pa.binary())]
+            columns = [keys, parts_, sizes.cast(pa.int64()), pa.array(local + shard * per_shard), pa.array(np.full(len(local), shard)), pa.array(local * stride), pa.array(digests, pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["key", "part", "n_tokens", "slot", "shard", "offset", "digest"])
 
         for b in batches:
@@ -213,7 +213,7 @@ def materialise(
             yield out()
 
     # shards are dense and even, and each is one task's: neighbours go to one task, by number
-    tasks = min(shards, max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total * stride // WRITTEN))
+    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * stride // WRITTEN))
     dealt = rows.select(key, "part", "n_tokens", "tokens", "task", "nth").mapInArrow(deal, block)
     dealt = dealt.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} as int)")).sortWithinPartitions("shard")
     out = T.StructType([T.StructField(key, rows.schema[key].dataType)])
