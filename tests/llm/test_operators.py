@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import re
 import textwrap
@@ -120,7 +121,25 @@ def test_proximity_matches():
     shard.add(1, b"alpha x beta gamma".split())
     _, _, terms, counts, places = shard.row()
     args = terms, np.frombuffer(counts, "<i4").astype(np.int64), np.frombuffer(places, "<i4")
-    assert not list(decontam.matches(t, *args)) and list(decontam.matches(t, *args, slop=1))
+    assert not list(decontam.matches(t, *args))
+    ((items, low, high),) = decontam.matches(t, *args, slop=1)
+    assert (items.tolist(), low.tolist(), high.tolist()) == ([0], [0], [3])
+
+
+def test_decontamination_with_slop(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "one two")], "item_id bigint, text string")
+    texts = [*ODD, (30, "z alpha x beta gamma z"), (31, "alpha y y y beta gamma"), (32, "one x x two"), (33, "alpha beta gamma")]
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontam.decontaminate(frame(spark, texts), bench, slop=1).collect()}
+    assert got[30] == (4, ["1"]) and got[31] == (0, []) and got[32] == (0, []) and got[33] == (3, ["1"])
+    wide = decontam.decontaminate(frame(spark, texts), bench, slop=70)  # beyond the usual gap between documents
+    assert {r.doc_id for r in wide.where("contaminated").collect()} == {30, 31, 32, 33}
+
+
+def test_a_block_of_test_items_is_small():
+    rows = [(i, prose(i, 400)) for i in range(500)]
+    t = decontam.Tests(rows)
+    held = len(pickle.dumps(t))
+    assert held < 4 * sum(len(x) for _, x in rows), held
 
 
 def similar(spark_rows, k, t):
@@ -224,6 +243,39 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_planted_clusters(spark, caplog):
+    """Clusters of 2 to 1,500, chains of pairs just above the threshold and pairs just below it."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    parts = [unit(rng.normal(size=(400, 32)))]
+    for size in (2, 3, 5, 8, 20, 60, 200, 1500):
+        parts.append(unit(unit(rng.normal(size=32)) + 0.03 * rng.normal(size=(size, 32))))
+    step = lambda x, c: unit(c * x + np.sqrt(1 - c * c) * unit((y := rng.normal(size=32)) - (y @ x) * x))
+    for c in (0.931, 0.929):
+        for _ in range(20):
+            chain = [unit(rng.normal(size=32))]
+            for _ in range(12 if c > 0.93 else 1):
+                chain.append(step(chain[-1], c))
+            parts.append(np.array(chain))
+    x = np.concatenate(parts)
+    linked = x @ x.T >= 0.93
+    np.fill_diagonal(linked, False)
+    table = spark.createDataFrame([(i, v.tolist(), 7) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+    with caplog.at_level("INFO"):
+        got = {r.vec_id: r for r in neardup.near_duplicates(table).collect()}
+    true, found = linked.sum(1), np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= true).all() and found.sum() >= 0.99 * true.sum()
+    on = true > 0
+    assert (found[on] / true[on]).mean() >= 0.97 and not found[~on].any()
+    assert any("recall" in r.message and " 0 vectors" not in r.getMessage() for r in caplog.records)
+
+
+def test_an_audit_of_nothing_says_so(spark):
+    table = spark.createDataFrame([(i, np.eye(8)[i].tolist(), 1) for i in range(8)], "vec_id bigint, embedding array<double>, label int")
+    nodes, _ = neardup.nodes_of(table, "vec_id", "embedding", "label", neardup.Settings())
+    assert neardup.audit(nodes, spark.createDataFrame([], "node bigint, links bigint"), neardup.Settings()) == (1.0, 0)
+
+
 def test_secrets_by_pattern_and_by_randomness(spark):
     r = random.Random(4)
     key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(44))
