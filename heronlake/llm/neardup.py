@@ -3,13 +3,19 @@
 Equal vectors of a label are one node. A first neighbour graph joins nodes that stand near each other in several orders of
 random hyperplane signs; it is then refined by comparing the neighbours of each node with each other (NN-descent, Dong et
 al., 2011) until few lists change. The graph's edges are checked in double precision and those from the threshold on are
-kept. A node whose whole list reaches the threshold is saturated: its list may lack links, so it is enlarged to all
-members of its component, in blocks, of which only counts are kept. Recall is audited against brute force over a bounded
-sample of nodes, and the graph refined further, with longer lists, while it falls short.
+kept. A node whose list is full and wholly reaches the threshold is saturated: its list may lack links, so it is enlarged to
+all members of its component, in blocks, of which only counts are kept. Recall is audited against brute force on nodes that
+have links, and the graph refined further, with longer lists, while it falls short; it is logged, and a recall below
+:attr:`Settings.least` is an error.
+
+Refinement works on bytes for components. Those of a unit vector of d components are off by e = sqrt(d) / 254 at most, so by
+an angle of asin(e), and a cosine of t or more isn't seen as less than cos(acos(t) + 2 asin(e)): edges from there on are
+checked.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,12 +25,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import components, stored
+from heronlake.llm.common import components, discard, stored
+
+
+LOG = logging.getLogger(__name__)
 
 
 @dataclass
 class Settings:
-    """audited bounds the nodes that recall is measured on; block the members of a component that are met at once."""
+    """audited bounds the nodes whose links are counted for recall, and asked is how many of them should have any; block the
+    members of a component that are met at once."""
 
     threshold: float = 0.93
     neighbours: int = 12
@@ -32,8 +42,10 @@ class Settings:
     reach: int = 12
     rounds: int = 2
     settled: float = 0.02
-    audited: int = 200
+    audited: int = 2000
+    asked: int = 200
     recall: float = 0.97
+    least: float = 0.9
     retries: int = 3
     block: int = 1024
     seed: int = 11
@@ -48,30 +60,52 @@ def binary(array: pa.Array, dtype: str) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(dtype).reshape(len(array), -1)
 
 
-def nodes_of(vectors: DataFrame, key: str, embedding: str, label: str) -> DataFrame:
-    """(node, label, vec, n): distinct usable vectors by label, as unit vectors of doubles in bytes, and their rows."""
+def named(label: str, embedding: str, seed: int) -> F.Column:
+    """A vector's 64-bit name."""
+    return F.xxhash64(F.lit(seed), label, embedding)
+
+
+def nodes_of(vectors: DataFrame, key: str, embedding: str, label: str, s: Settings) -> tuple[DataFrame, int]:
+    """(node, label, vec, n, k0, k1, ...) and the seed of the names: distinct usable vectors by label, as unit vectors of
+    doubles in bytes, their rows, and their signs in each order.
+
+    Vectors are told apart by 128 bits; if two have one name, all get names by another seed.
+    """
     usable = vectors.where(usable_vector(embedding, label))
     kind = vectors.schema[label].dataType.simpleString()
-    found = usable.select(
-        F.xxhash64(label, embedding).alias("node"), F.col(label).alias("label"), F.col(embedding).alias("e"), F.col(key).alias("k")
-    )
-    classes = found.groupBy("node", "label").agg(F.first("e").alias("e"), F.count(F.lit(1)).alias("n"))
+    names = [f"k{i}" for i in range(s.orders)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             e = b.column(2)
             flat = np.asarray(e.flatten().to_numpy(zero_copy_only=False), np.float64)
-            cuts = np.cumsum([0, *e.value_lengths().to_pylist()])
-            vec = []
-            for i in range(b.num_rows):
-                x = flat[cuts[i] : cuts[i + 1]]
-                x = x / np.abs(x).max()
-                vec.append((x / np.sqrt(x @ x)).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(vec, pa.binary()), b.column(3)], names=["node", "label", "vec", "n"]
-            )
-
-    return stored(classes.mapInArrow(run, f"node bigint, label {kind}, vec binary, n bigint"), "nodes")
+            sizes = np.array(e.value_lengths().to_pylist())
+            cuts = np.cumsum([0, *sizes])
+            vec: list = [None] * b.num_rows
+            keys = np.zeros((s.orders, b.num_rows), np.int64)
+            for size in set(sizes.tolist()):
+                on = np.flatnonzero(sizes == size)
+                x = flat[cuts[on, None] + np.arange(size)]
+                x = x / np.abs(x).max(1, keepdims=True)
+                x /= np.sqrt((x * x).sum(1, keepdims=True))
+                for i, row in zip(on.tolist(), x, strict=True):
+                    vec[i] = row.tobytes()
+                for k in range(s.orders):
+                    keys[k, on] = ((x @ _planes(s.seed + k, size)) > 0) @ (1 << np.arange(32, dtype=np.int64)[::-1])
+            columns = [b.column(0), b.column(1), pa.array(vec, pa.binary()), b.column(3), *map(pa.array, keys)]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "label", "vec", "n", *names])
+
+    for seed in range(s.seed, s.seed + 5):
+        found = usable.select(named(label, embedding, seed).alias("node"), named(label, embedding, -seed).alias("other"), F.col(label).alias("label"), F.col(embedding).alias("e"))
+        classes = found.groupBy("node", "other", "label").agg(F.first("e").alias("e"), F.count(F.lit(1)).alias("n"))
+        schema = f"node bigint, label {kind}, vec binary, n bigint, " + ", ".join(f"{k} bigint" for k in names)
+        nodes = stored(classes.select("node", "label", "e", "n").mapInArrow(run, schema), "nodes")
+        if not nodes.groupBy("node").count().where("count > 1").limit(1).count():
+            return nodes, seed
+        discard(nodes)
+    raise RuntimeError("vectors share their names under each of five seeds")
 
 
 def usable_vector(embedding: str, label: str) -> F.Column:
@@ -102,18 +136,6 @@ def first_graph(nodes: DataFrame, s: Settings) -> DataFrame:
     out = None
     for k in range(s.orders):
 
-        def signs(batches: Iterator[pa.RecordBatch], k: int = k) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if b.num_rows:
-                    keys = np.zeros(b.num_rows, np.int64)
-                    sizes = [len(x) for x in b.column(2).to_pylist()]
-                    for size in set(sizes):
-                        on = np.flatnonzero(np.array(sizes) == size)
-                        x = binary(b.column(2).take(pa.array(on)), "<f8")
-                        bits = (x @ _planes(s.seed + k, x.shape[1])) > 0
-                        keys[on] = bits @ (1 << np.arange(32, dtype=np.int64)[::-1])
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(keys)], names=["node", "label", "vec", "key"])
-
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, labels, vecs = [], [], []
             for b in batches:
@@ -139,8 +161,7 @@ def first_graph(nodes: DataFrame, s: Settings) -> DataFrame:
                     sim = np.einsum("ij,ij->i", x[on], x[on + j])
                     yield _edges(np.r_[node[on], node[on + j]], np.r_[node[on + j], node[on]], np.r_[sim, sim])
 
-        kind = nodes.schema["label"].dataType.simpleString()
-        keyed = nodes.select("node", "label", "vec").mapInArrow(signs, f"node bigint, label {kind}, vec binary, key bigint")
+        keyed = nodes.select("node", "label", "vec", F.col(f"k{k}").alias("key"))
         parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         order = keyed.repartitionByRange(parts, "label", "key", "node").sortWithinPartitions("label", "key", "node")
         edges = best(order.drop("key").mapInArrow(near, EDGE), s.neighbours)
@@ -157,10 +178,10 @@ def refine(nodes: DataFrame, graph: DataFrame, k: int, s: Settings) -> DataFrame
     """One round: each node's neighbours, in both directions, are compared with each other.
 
     Pairs of which neither is new to the node's list were compared before. A pair is kept if it betters one of the two
-    lists; saturated lists aren't bettered, as they are enlarged later.
+    lists.
     """
     full = graph.groupBy("u").agg(
-        F.when(F.min("s") >= s.threshold, 9.0).when(F.count(F.lit(1)) >= k, F.min("s")).otherwise(-9.0).cast("float").alias("least")
+        F.when(F.count(F.lit(1)) >= k, F.min("s")).otherwise(-9.0).cast("float").alias("least")
     )
     both = graph.select(F.col("u").alias("w"), F.col("v").alias("m"), "s", "new").unionByName(
         graph.select(F.col("v").alias("w"), F.col("u").alias("m"), "s", "new")
@@ -210,9 +231,15 @@ def refine(nodes: DataFrame, graph: DataFrame, k: int, s: Settings) -> DataFrame
     return stored(best(merged, k), "graph")
 
 
-def links_of(nodes: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
+def loosest(nodes: DataFrame, threshold: float) -> float:
+    """What a cosine of the threshold may look like in bytes for components; see the module."""
+    size = (nodes.agg(F.max(F.octet_length("vec"))).first()[0] or 8) // 8
+    return float(np.cos(min(np.pi, np.arccos(threshold) + 2 * np.arcsin(min(1.0, size**0.5 / 254)))))
+
+
+def links_of(nodes: DataFrame, graph: DataFrame, s: Settings, loose: float) -> DataFrame:
     """The graph's pairs (a, b), a below b, whose cosine in double precision reaches the threshold."""
-    near = graph.where(F.col("s") >= s.threshold - 0.04)  # more than bytes for components are off by
+    near = graph.where(F.col("s") >= loose)
     pairs = near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     left = nodes.select(F.col("node").alias("a"), F.col("vec").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("vec").alias("y"))
@@ -231,14 +258,16 @@ def links_of(nodes: DataFrame, graph: DataFrame, s: Settings) -> DataFrame:
     )
 
 
-def counted(nodes: DataFrame, graph: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+def counted(nodes: DataFrame, graph: DataFrame, k: int, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(node, links, rows) and (node, component): linked nodes and their rows, after saturated lists are enlarged."""
-    links = links_of(nodes, graph, s)
+    loose = loosest(nodes, s.threshold)
+    links = links_of(nodes, graph, s, loose)
     parts = stored(components(links), "parts")
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     weight = nodes.select(F.col("node").alias("b"), "n")
     direct = both.join(weight, "b").groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"), F.sum("n").alias("rows"))
-    full = graph.groupBy(F.col("u").alias("node")).agg(F.min("s").alias("s")).where(F.col("s") >= s.threshold - 0.04)
+    full = graph.groupBy(F.col("u").alias("node")).agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("c"))
+    full = full.where((F.col("s") >= loose) & (F.col("c") >= k))
     large = stored(
         parts.join(full, "node", "left_semi").select("component").distinct().join(parts, "component").groupBy("component").count(),
         "large",
@@ -271,12 +300,27 @@ def counted(nodes: DataFrame, graph: DataFrame, s: Settings) -> tuple[DataFrame,
     return stored(exact.unionByName(direct), "counts"), parts
 
 
-def audit(nodes: DataFrame, counts: DataFrame, s: Settings) -> float:
-    """The mean share of true links found, over a bounded sample of nodes against all rows; 1 if they have none."""
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(s.seed)), "node").limit(s.audited)
-    rows = sample.select("node", "label", "vec").collect()
-    if not rows:
-        return 1.0
+def audit(nodes: DataFrame, counts: DataFrame, s: Settings) -> tuple[float, int]:
+    """The mean share of true links found, and the nodes that it is a mean of: those of a bounded sample that have any.
+
+    All links of the sample are counted against all rows. Without a node with links the share is 1.
+    """
+    sample = nodes.orderBy(F.xxhash64("node", F.lit(s.seed)), "node")
+    share, measured = 0.0, 0
+    for first in range(0, s.audited, s.asked):  # until enough nodes with links are met
+        rows = sample.offset(first).limit(s.asked).select("node", "label", "vec").collect()
+        if not rows:
+            break
+        found = true_links(nodes, rows, s).where("t > 0").join(counts, "node", "left")
+        total, n = found.agg(F.sum(F.coalesce("links", F.lit(0)) / F.col("t")), F.count(F.lit(1))).first()
+        share, measured = share + (total or 0.0), measured + n
+        if measured >= s.asked // 2:
+            break
+    return (share / measured, measured) if measured else (1.0, 0)
+
+
+def true_links(nodes: DataFrame, rows: list, s: Settings) -> DataFrame:
+    """(node, t): the links of some nodes, by brute force."""
     held = nodes.sparkSession.sparkContext.broadcast([(r.node, r.label, bytes(r.vec)) for r in rows])
 
     def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,9 +340,7 @@ def audit(nodes: DataFrame, counts: DataFrame, s: Settings) -> float:
                         found[node] += int(((x @ q >= s.threshold) & (ids != node)).sum())
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["node", "links"])
 
-    real = nodes.select("node", "label", "vec").mapInArrow(true, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("t"))
-    share = real.where("t > 0").join(counts, "node", "left").agg(F.avg(F.coalesce("links", F.lit(0)) / F.col("t"))).first()[0]
-    return 1.0 if share is None else share
+    return nodes.select("node", "label", "vec").mapInArrow(true, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("t"))
 
 
 def near_duplicates(
@@ -309,24 +351,30 @@ def near_duplicates(
     Rows link when their labels are equal and not null and their cosine reaches the threshold. Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing and are their own component, as are those of a
     length of their own. Repeated rows are vectors of their own and link with each other. A null id never is a component's
-    id; other columns are ignored; no rows give no rows.
+    id; other columns are ignored; no rows give no rows. Recall, and on how many vectors it was measured, are logged; where it
+    stays below :attr:`Settings.least`, that is an error.
     """
     s = settings or Settings()
-    nodes = nodes_of(vectors, key, embedding, label)
+    nodes, seed = nodes_of(vectors, key, embedding, label, s)
     graph, k = first_graph(nodes, s), s.neighbours
-    for _ in range(1 + s.retries):
+    for attempt in range(1 + s.retries):
         for _ in range(s.rounds):
             graph = refine(nodes, graph, k, s)
             fresh, total = graph.agg(F.count_if("new"), F.count(F.lit(1))).first()
             if fresh <= s.settled * total:
                 break
-        counts, parts = counted(nodes, graph, s)
-        if audit(nodes, counts, s) >= s.recall:
+        counts, parts = counted(nodes, graph, k, s)
+        recall, measured = audit(nodes, counts, s)
+        LOG.info("recall %.4f on %d vectors with links, lists of %d", recall, measured, k)
+        if recall >= s.recall:
             break
-        k *= 2
+        if attempt < s.retries:  # longer lists, all of whose neighbours are met again
+            k, graph = 2 * k, graph.withColumn("new", F.lit(True))
+    if recall < s.least:
+        raise RuntimeError(f"recall {recall:.4f} on {measured} vectors with links")
     rows = stored(
         vectors.select(
-            F.col(key).alias("k"), F.when(usable_vector(embedding, label), F.xxhash64(label, embedding)).alias("node")
+            F.col(key).alias("k"), F.when(usable_vector(embedding, label), named(label, embedding, seed)).alias("node")
         ),
         "rows",
     )
@@ -342,5 +390,3 @@ def near_duplicates(
         part.cast("long").alias("component_id"),
         F.coalesce(F.col("k") == part, F.lit(False)).alias("kept"),
     )
-
-
