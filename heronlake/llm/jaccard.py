@@ -42,7 +42,7 @@ from heronlake.llm.common import components, ddl, discard, map_rows, slices, sto
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Least and most counters of each of the sketch's two rows, and bytes of text for one; pieces in which a task sends them;
 #: bits of the filter for texts to verify; buckets of a set's parities.
-WIDTHS, COUNTED, PIECES, FILTER, BITS = (1 << 20, 1 << 23), 512, 8, 1 << 24, 2048
+WIDTHS, COUNTED, PIECES, FILTER, BITS = (1 << 20, 1 << 23), 512, 32, 1 << 24, 2048
 FOLDS = 8
 FOLD = [f"f{i}" for i in range(FOLDS)]
 #: Bytes of text that are cut at once.
@@ -232,6 +232,8 @@ def described(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame,
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([packed(c) for c in total.values()], pa.binary())], names=["piece", "counts"])
 
     parts = both.where("piece IS NOT NULL").select("piece", "counts").mapInArrow(add, "piece int, counts binary")
+    # first some of the tasks' sketches, then all: a task adds up few of them, however many there are
+    parts = parts.repartition("piece", F.pmod(F.monotonically_increasing_id(), F.lit(64))).mapInArrow(add, "piece int, counts binary")
     parts = parts.repartition(PIECES, "piece").mapInArrow(add, "piece int, counts binary")
     rows = np.zeros((2, width), np.int64)
     flat = rows.ravel()
