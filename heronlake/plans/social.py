@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from heronlake.functions import ocr
 from heronlake.functions import posts as P
+from heronlake.functions import tables as O
 from heronlake.functions import text as X
 from heronlake.functions import web
 from heronlake.plans.registry import query
@@ -41,23 +42,42 @@ def unix_date(spark: SparkSession, d: str) -> DataFrame:
 
 
 DATES = [
-    ("3 hours ago", "2024-05-15 09:00"), ("2 days ago", "2024-05-13 12:00"), ("yesterday", "2024-05-14 12:00"),
-    ("just now", "2024-05-15 12:00"), ("5m", "2024-05-15 11:55"), ("2h", "2024-05-15 10:00"), ("3d", "2024-05-12 12:00"),
-    ("1w", "2024-05-08 12:00"), ("2024-01-02T03:04:05", "2024-01-02 03:04"), ("March 5, 2023", "2023-03-05 00:00"), ("odd", None),
+    ("3 hours ago", "2024-05-15 09:00"), ("2 days ago", "2024-05-13 12:00"), ("2 months ago", "2024-03-16 12:00"), ("30 seconds ago", "2024-05-15 11:59"),
+    ("Yesterday", "2024-05-14 00:00"), ("Yesterday at 3:45 PM", "2024-05-14 15:45"), ("just now", "2024-05-15 12:00"), ("5m", "2024-05-15 11:55"), ("2 h", "2024-05-15 10:00"),
+    ("3d", "2024-05-12 12:00"), ("1w", "2024-05-08 12:00"), ("2024-01-02T03:04:05", "2024-01-02T03:04"), ("Monday at 10:00 AM", "2024-05-13 10:00"), ("Wednesday", "2024-05-08 00:00"),
+    ("June 15 at 2:30 PM", "2023-06-15 14:30"), ("March 5", "2024-03-05 00:00"), ("March 5, 2023", "2023-03-05 00:00"), ("December 1, 2022 at 12:05 am", "2022-12-01 00:05"), ("odd", "odd"), ("", ""),
 ]
 
 
 def human_date_column(text: Column, now: Column) -> Column:
-    """A date in words as yyyy-MM-dd HH:mm, relative to ``now``; null for what isn't known."""
-    low = F.lower(F.trim(text))
-    n = F.regexp_extract(low, r"^([0-9]+)", 1).try_cast("int")
-    unit = F.regexp_extract(low, r"^[0-9]+\s*(minute|min|hour|hr|day|week|m|h|d|w)s?(?:\s+ago)?$", 1)
-    minutes = F.when(unit.isin("minute", "min", "m"), 1).when(unit.isin("hour", "hr", "h"), 60).when(unit.isin("day", "d"), 1440).when(unit.isin("week", "w"), 10080)
-    relative = F.timestamp_seconds(F.unix_seconds(now) - n * minutes * 60)
-    iso = F.try_to_timestamp(F.substring(text, 1, 16), F.lit("yyyy-MM-dd'T'HH:mm"))
-    named = F.try_to_timestamp(text, F.lit("MMMM d, yyyy"))
-    at = F.coalesce(F.when(low == "just now", now), F.when(low == "yesterday", now - F.expr("INTERVAL 1 DAY")), relative, iso, named)
-    return F.date_format(at, "yyyy-MM-dd HH:mm")
+    """A date in words as yyyy-MM-dd HH:mm, relative to ``now``; dates and what isn't known as they are."""
+    t, low = F.trim(text), F.lower(F.trim(text))
+    units = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 2592000, "m": 60, "h": 3600, "d": 86400, "w": 604800}
+    n = F.regexp_extract(low, r"^([0-9]+)", 1).try_cast("bigint")
+    named = F.coalesce(F.nullif(F.regexp_extract(low, r"^[0-9]+\s+(second|minute|hour|day|week|month)s?\s+ago", 1), F.lit("")), F.nullif(F.regexp_extract(low, r"^[0-9]+\s*([mhdw])$", 1), F.lit("")))
+    seconds = F.coalesce(*(F.when(named == k, F.lit(v)) for k, v in units.items()))
+    relative = F.timestamp_seconds(F.unix_seconds(now) - n * seconds)
+    # an hour in words, or midnight
+    clock = r"([0-9]{1,2}):([0-9]{2})\s*(am|pm)?"
+    hour, minute, half = (F.regexp_extract(low, clock, i) for i in (1, 2, 3))
+    h = F.coalesce(hour.try_cast("int"), F.lit(0))
+    h = F.when((half == "pm") & (h < 12), h + 12).when((half == "am") & (h == 12), 0).otherwise(h)
+    m = F.coalesce(minute.try_cast("int"), F.lit(0))
+    day = F.to_date(now)
+    weekdays = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+    back = F.coalesce(*(F.when(low.startswith(w), F.when(F.pmod(F.weekday(day) - i, F.lit(7)) == 0, 7).otherwise(F.pmod(F.weekday(day) - i, F.lit(7)))) for i, w in enumerate(weekdays)))
+    months = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+    month = F.coalesce(*(F.when(low.rlike(rf"{w}\s+[0-9]"), F.lit(i)) for i, w in enumerate(months, 1)))
+    number = F.regexp_extract(low, rf"(?:{'|'.join(months)})\s+([0-9]{{1,2}})", 1).try_cast("int")
+    told = F.regexp_extract(t, r"\b(20[0-9]{2})\b", 1).try_cast("int")
+    year = F.coalesce(told, F.year(day))
+    year = F.when((year == F.year(day)) & (month > F.month(day)), year - 1).otherwise(year)
+    on = F.when(F.contains(low, F.lit("yesterday")), F.date_sub(day, 1)).when(back.isNotNull(), F.date_sub(day, back)).when(month.isNotNull(), F.make_date(year, month, number))
+    timed = F.concat(F.date_format(on, "yyyy-MM-dd"), F.format_string(" %02d:%02d", h, m))
+    form = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm")
+    return F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.substring(t, 1, 16)).otherwise(
+        F.coalesce(form(relative), timed, F.when(F.contains(low, F.lit("just now")), form(now)), t)
+    )
 
 
 @query(f"SELECT s, d AS at FROM {_values(DATES, 's, d')}")
@@ -77,11 +97,14 @@ def filename_sanitize(spark: SparkSession, d: str) -> DataFrame:
 COOKIES = [("a=1; b=2", "a:1,b:2"), ("x=y", "x:y"), ("", "")]
 
 
-@query(f"SELECT s, m AS pairs FROM {_values(COOKIES, 's, m')}")
+@query(f"SELECT s, m AS pairs, replace(replace(m, ':', '='), ',', '; ') AS back FROM {_values(COOKIES, 's, m')}")
 def cookie_map(spark: SparkSession, d: str) -> DataFrame:
+    """Name and value of each cookie, and the string that they make."""
     parts = F.filter(F.split("s", ";"), lambda x: F.contains(x, F.lit("=")))
-    pairs = F.transform(parts, lambda x: F.concat_ws(":", F.trim(F.substring_index(x, "=", 1)), F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x)))))
-    return _rows(spark, [(s,) for s, _ in COOKIES], "s string").select("s", F.array_join(pairs, ",").alias("pairs"))
+    pairs = F.transform(parts, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x))).alias("v")))
+    rows = _rows(spark, [(s,) for s, _ in COOKIES], "s string").select("s", pairs.alias("p"))
+    joined = lambda mid, end: F.array_join(F.transform("p", lambda x: F.concat(x["k"], F.lit(mid), x["v"])), end)
+    return rows.select("s", joined(":", ",").alias("pairs"), joined("=", "; ").alias("back"))
 
 
 DRIVE = [
@@ -167,25 +190,35 @@ def _regions(spark: SparkSession) -> DataFrame:
     return _rows(spark, REGIONS, "page int, idx int, txt string, conf double, x1 int, y1 int, x2 int, y2 int")
 
 
-@query(f"SELECT page, idx, txt FROM {_REGION} WHERE conf >= 0.5 AND txt <> ''")
+@query(f"""SELECT page, idx, txt, x1, y1, x2, y2 FROM {_REGION} WHERE conf >= 0.5 AND txt <> ''""")
 def region_filter(spark: SparkSession, d: str) -> DataFrame:
-    return _regions(spark).where("conf >= 0.5 AND txt <> ''").select("page", "idx", "txt")
+    """Regions that are sure and not empty, with the box of their polygon."""
+    corners = F.array(F.array("x2", "y1"), F.array("x1", "y1"), F.array("x1", "y2"), F.array("x2", "y2"))
+    line = F.array(F.struct(corners.alias("polygon"), F.col("txt").alias("text"), F.col("conf").alias("confidence")))
+    found = _regions(spark).select("page", "idx", F.explode(O.regions(line)).alias("r"))
+    return found.select("page", "idx", F.col("r.text").alias("txt"), "r.x1", "r.y1", "r.x2", "r.y2")
 
 
-@query(f"SELECT page, round(avg(conf) FILTER (conf > 0), 6)::DOUBLE AS confidence FROM {_REGION} GROUP BY page")
+@query(f"""SELECT page, round(c, 6)::DOUBLE AS confidence, round(avg(c) OVER (), 6)::DOUBLE AS document FROM (SELECT page, avg(conf) FILTER (conf > 0) AS c FROM {_REGION} GROUP BY page)""")
 def page_confidence(spark: SparkSession, d: str) -> DataFrame:
-    return _regions(spark).groupBy("page").agg(F.round(F.avg(F.when(F.col("conf") > 0, F.col("conf"))), 6).alias("confidence"))
+    """The mean of a page's positive confidences, and the mean of the pages."""
+    pages = _regions(spark).groupBy("page").agg(F.avg(F.when(F.col("conf") > 0, F.col("conf"))).alias("c"))
+    whole = pages.agg(F.round(F.avg("c"), 6).alias("document"))
+    return pages.join(F.broadcast(whole)).select("page", F.round("c", 6).alias("confidence"), "document")  # one row
 
 
-@query(f"SELECT round(avg(conf), 6)::DOUBLE AS mean, min(conf)::DOUBLE AS low, max(conf)::DOUBLE AS high FROM {_REGION}")
+@query(f"""SELECT round(avg(conf), 6)::DOUBLE AS mean, min(conf)::DOUBLE AS low, max(conf)::DOUBLE AS high, round(sum(length(txt)) * 3 / 4.5, 4)::DOUBLE AS per_second, 1.5::DOUBLE AS seconds FROM {_REGION}""")
 def region_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _regions(spark).agg(F.round(F.avg("conf"), 6).alias("mean"), F.min("conf").alias("low"), F.max("conf").alias("high"))
+    """Confidence, characters a second and the mean time of three runs of 1, 1.5 and 2 seconds."""
+    runs = _rows(spark, [(1.0,), (1.5,), (2.0,)], "s double").agg(F.avg("s").alias("seconds"))
+    r = _regions(spark).agg(F.round(F.avg("conf"), 6).alias("mean"), F.min("conf").alias("low"), F.max("conf").alias("high"), F.sum(F.length("txt")).alias("n"))
+    return r.join(F.broadcast(runs)).select("mean", "low", "high", F.round(F.col("n") / F.col("seconds"), 4).alias("per_second"), "seconds")  # one row
 
 
-@query(f"""SELECT page || ',' || idx || ',"' || replace(txt, '"', '""') || '",' || printf('%.4f', conf::DOUBLE) AS line FROM {_REGION}""")
+@query(f"""SELECT page || ',' || idx || ',"' || replace(txt, '"', '""') || '",' || printf('%.4f', conf::DOUBLE) || ',' || x1 || ',' || y1 || ',' || x2 || ',' || y2 AS line FROM {_REGION}""")
 def region_csv(spark: SparkSession, d: str) -> DataFrame:
     quoted = F.replace("txt", F.lit('"'), F.lit('""'))
-    return _regions(spark).select(F.format_string('%d,%d,"%s",%.4f', "page", "idx", quoted, "conf").alias("line"))
+    return _regions(spark).select(F.format_string('%d,%d,"%s",%.4f,%d,%d,%d,%d', "page", "idx", quoted, "conf", "x1", "y1", "x2", "y2").alias("line"))
 
 
 @query(f"SELECT page, idx, x2 - x1 AS width, y2 - y1 AS height, (x2 - x1) * (y2 - y1) AS area FROM {_REGION}")
@@ -199,13 +232,120 @@ def scanned_pdf(spark: SparkSession, d: str) -> DataFrame:
     return r.agg((F.sum(F.length(F.trim("txt"))) < 20 * F.countDistinct("page")).alias("scanned"), F.bool_or(F.length("txt") > 50).alias("digital"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'cloud' WHEN doc_id % 3 = 1 THEN 'local' ELSE 'none' END AS engine FROM documents")
+_ENGINES = """(SELECT doc_id, engine, priority, CASE WHEN (doc_id + priority) % 4 = 0 THEN NULL WHEN (doc_id + priority) % 4 = 1 THEN '  ' ELSE left(text, 10 + priority) END AS text,
+  CASE WHEN (doc_id * 7 + priority) % 3 = 0 THEN 'timeout' END AS error FROM documents, (VALUES ('cloud', 0), ('local', 1), ('table', 2)) e(engine, priority))"""
+
+
+@query(f"""SELECT doc_id, coalesce(arg_min(engine, priority) FILTER (error IS NULL AND trim(coalesce(text, '')) <> ''), 'none') AS engine,
+  coalesce(arg_min(text, priority) FILTER (error IS NULL AND trim(coalesce(text, '')) <> ''), '') AS text FROM {_ENGINES} GROUP BY doc_id""")
 def engine_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """The first engine, by priority, that gave a text."""
-    k = F.col("doc_id") % 3
-    first = F.when(k == 0, F.struct(F.lit("cloud").alias("engine")))
-    second = F.when(k == 1, F.struct(F.lit("local").alias("engine")))
-    return table(spark, d, "documents").select("doc_id", F.coalesce(first, second, F.struct(F.lit("none").alias("engine")))["engine"].alias("engine"))
+    """Of the results of several engines the first, by priority, without an error and with a text."""
+    results = F.expr("""transform(array('cloud', 'local', 'table'), (e, p) -> struct(p AS priority, e AS engine,
+      CASE WHEN (doc_id + p) % 4 = 0 THEN NULL WHEN (doc_id + p) % 4 = 1 THEN '  ' ELSE left(text, 10 + p) END AS text, CASE WHEN (doc_id * 7 + p) % 3 = 0 THEN 'timeout' END AS error))""")
+    found = table(spark, d, "documents").select("doc_id", O.first_result(results).alias("r"))
+    return found.select("doc_id", F.coalesce("r.engine", F.lit("none")).alias("engine"), F.coalesce("r.text", F.lit("")).alias("text"))
+
+
+ORDERS = [("nemotron", "nemotron,mistral", "nemotron,mistral,paddle"), ("mistral", "nemotron", "nemotron,paddle"), ("mistral", "mistral,nemotron", "mistral,nemotron,paddle"), ("paddle", "mistral", "paddle,mistral"), ("x", "", "paddle")]
+
+
+@query(f"SELECT p, k, o AS engines FROM {_values(ORDERS, 'p, k, o')}")
+def engine_order(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, [r[:2] for r in ORDERS], "p string, k string").select("p", "k", F.array_join(O.engine_order(F.col("p"), F.split("k", ",")), ",").alias("engines"))
+
+
+_PDF = "(SELECT doc_id, i AS page, t, doc_id % 5 = 0 AND i = 1 AS image FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
+
+
+@query(f"""SELECT doc_id, bool_or(length(t) > 50) AS digital, sum(length(trim(t))) < 20 * count(*) AS scanned, count(*) FILTER (image OR length(trim(t)) < 20)::BIGINT AS ocr_pages FROM {_PDF} GROUP BY doc_id""")
+def pdf_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Pages are the lines of a document. It is digital if any has over 50 characters; a page with an image or under 20 goes
+    to recognition."""
+    pages = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "t"))
+    image = (F.col("doc_id") % 5 == 0) & (F.col("i") == 0)
+    return pages.groupBy("doc_id").agg(
+        F.bool_or(F.length("t") > 50).alias("digital"), (F.sum(F.length(F.trim("t"))) < 20 * F.count(F.lit(1))).alias("scanned"),
+        F.count_if(image | (F.length(F.trim("t")) < 20)).alias("ocr_pages"),
+    )
+
+
+@query("""SELECT doc_id, 'T' || chr(10) || chr(10) || ' a x' || chr(10) || chr(10) || text AS full_text, doc_id % 7 + 1 AS page_number, 1 AS n_tables, 2 AS n_links,
+  len(list_filter(string_split('T' || chr(10) || chr(10) || ' a x' || chr(10) || chr(10) || text, chr(10)), lambda l: trim(l) <> ''))::INT AS n_lines FROM documents WHERE NOT regexp_matches(text, '[*_#!\\[\\]`>|~]|\n\n\n|\n *[-+0-9]')""")
+def cloud_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of a cloud engine's JSON answer: the Markdown as plain text, with its lines, tables and links."""
+    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"[*_#!\[\]`>|~]|\n\n\n|\n *[-+0-9]"))
+    page = F.struct((F.col("doc_id") % 7).alias("index"), F.concat(F.lit("# T\n\n![i](u) [a](b) **x**\n\n"), "text").alias("markdown"), F.array(F.struct(F.lit("<table/>").alias("content"))).alias("tables"), F.array(F.lit("u"), F.lit("b")).alias("hyperlinks"))
+    answer = F.to_json(F.struct(F.array(page).alias("pages")))
+    pages = docs.select("doc_id", F.explode(F.from_json(answer, "pages array<struct<index:bigint,markdown:string,tables:array<struct<content:string>>,hyperlinks:array<string>>>")["pages"]).alias("p"))
+    plain = X.markdown_plain(F.col("p.markdown"))
+    lines = F.filter(F.split(plain, "\n"), lambda x: F.trim(x) != "")
+    return pages.select("doc_id", plain.alias("full_text"), (F.col("p.index") + 1).alias("page_number"), F.size("p.tables").alias("n_tables"), F.size("p.hyperlinks").alias("n_links"), F.size(lines).alias("n_lines"))
+
+
+ALIGNED = [
+    ("Product    Qty  Price\nApple      10   50.00\nOrange     5    30.00", 1, "Product|Qty|Price;Apple|10|50.00;Orange|5|30.00"), ("a  b  c", 0, ""), ("a  b  c\nplain\nplain too\nmore", 0, ""),
+    ("x  y  z\n1  2  3\n\ntext here\n\nk   l   m\n1   2   3\n4   5   6", 2, "x|y|z;1|2|3;k|l|m;1|2|3;4|5|6"), ("", 0, ""),
+]
+
+
+@query(f"SELECT s, n AS n_tables, c AS cells FROM {_values(ALIGNED, 's, n, c')}")
+def aligned_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Tables whose columns are aligned by blanks."""
+    rows = _rows(spark, [(i, s) for i, (s, *_) in enumerate(ALIGNED)], "i int, s string")
+    found = O.apply(rows, "i", "s", "n_tables int, cells string", lambda t: [(len(x := O.aligned_tables(t)), ";".join("|".join(r) for table_ in x for r in table_))])
+    return rows.join(found, "i").select("s", "n_tables", "cells")
+
+
+@query("""SELECT doc_id, ((len(string_split(text, chr(10))) >= 0)::INT + (doc_id % 3 = 0)::INT)::INT AS planted FROM documents""")
+def all_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Drawn and aligned tables of every document, where one of the first kind, and in every third one of the second, is
+    planted; those of the text itself are counted apart."""
+    drawn, spaced = "+--+--+\n| a | b |\n+--+--+\n| 1 | 2 |\n+--+--+", "k    l    m\n1    2    3"
+    plant = F.concat(F.lit(drawn), F.when(F.col("doc_id") % 3 == 0, F.lit(f"\n\n{spaced}")).otherwise(""))
+    docs = table(spark, d, "documents").select("doc_id", "text", F.concat(plant, F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("t"))
+    both = docs.select("doc_id", (F.size(ocr.tables(F.col("t"))) - F.size(ocr.tables(F.coalesce("text", F.lit(""))))).alias("n"), "t", "text")
+    more = O.apply(both, "doc_id", "t", "m int", lambda t: [(len(O.aligned_tables(t)),)]).join(O.apply(both, "doc_id", "text", "own int", lambda t: [(len(O.aligned_tables(t)),)]), "doc_id")
+    return both.join(more, "doc_id").select("doc_id", (F.col("n") + F.col("m") - F.col("own")).cast("int").alias("planted"))
+
+
+@query("""SELECT doc_id, 1 + (doc_id % 2)::INT * 2 AS runs, CASE WHEN doc_id % 2 = 1 THEN 'urdu,chinese,english' ELSE 'english' END AS languages FROM documents""")
+def script_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of one script in the Latin texts, with two others planted before every second."""
+    plant = F.when(F.col("doc_id") % 2 == 1, F.lit("سلام 12 漢字 ")).otherwise("")
+    rows = table(spark, d, "documents").select("doc_id", F.concat(plant, F.lit("a "), "text").alias("t"))
+    return O.apply(rows, "doc_id", "t", "runs int, languages string", lambda t: [(len(x := O.script_runs(t)), ",".join(k or "-" for k, _ in x))])
+
+
+HINTED = [("Urdu", 1, 1, 1, 1, 1), ("arabic", 1, 1, 1, 1, 1), ("hindi", 0, 1, 1, 1, 0), ("chinese", 0, 1, 0, 1, 1), ("japanese", 0, 1, 0, 1, 1), ("english", 0, 0, 0, 0, 0), ("klingon", 0, 0, 0, 0, 0)]
+
+
+@query(f"SELECT l, r AS rtl, a AS denoise, b AS shadows, c AS sharpen, e AS exposure FROM {_values(HINTED, 'l, r, a, b, c, e')}")
+def language_hints(spark: SparkSession, d: str) -> DataFrame:
+    h = O.hints(F.col("l"))
+    return _rows(spark, [r[:1] for r in HINTED], "l string").select("l", *(h[x].cast("int").alias(x) for x in ("rtl", "denoise", "shadows", "sharpen", "exposure")))
+
+
+@query("""SELECT doc_id, 'english' AS language, 0 AS rtl, 1 AS n_tables, len(string_split(text, chr(10)))::INT AS n_chunks FROM documents""")
+def enhanced_result(spark: SparkSession, d: str) -> DataFrame:
+    """What recognition adds to a text: its language, hints, tables (one is planted) and pieces."""
+    drawn = "+--+--+\n| a | b |\n+--+--+\n| 1 | 2 |\n+--+--+\n\n"
+    rows = table(spark, d, "documents").select("doc_id", "text", X.script_language(F.col("text"))["language"].alias("language"))
+    tables_ = F.size(ocr.tables(F.concat(F.lit(drawn), "text"))) - F.size(ocr.tables(F.col("text")))
+    return rows.select("doc_id", "language", O.hints(F.col("language"))["rtl"].cast("int").alias("rtl"), tables_.alias("n_tables"), F.size(F.split("text", "\n")).alias("n_chunks"))
+
+
+@query("""SELECT p_partkey, round(e, 6) AS entropy, p_size < 30 OR e < 1.5 AS decorative, p_size > 100 OR (p_size > 20 AND dark > 0.1) AS content FROM (
+SELECT p_partkey, p_size, list_entropy(px) AS e, len(list_filter(px, lambda x: x < 200)) / len(px)::DOUBLE AS dark FROM (
+SELECT p_partkey, p_size, list_transform(range(0, 64), lambda i: (i * p_partkey) % (1 + p_partkey % 9) * 25) AS px FROM part))""")
+def image_filters(spark: SparkSession, d: str) -> DataFrame:
+    """An image is decorative by a short side or low entropy of its grey levels, and content by its size and dark share."""
+    px = F.expr("transform(sequence(0, 63), i -> cast((i * p_partkey) % (1 + p_partkey % 9) * 25 AS int))")
+    rows = table(spark, d, "part").select("p_partkey", "p_size", px.alias("px"))
+    shares = F.transform(F.array_distinct("px"), lambda v: F.size(F.filter("px", lambda x: x == v)) / F.size("px"))
+    entropy = F.aggregate(shares, F.lit(0.0), lambda t, q: t - q * F.log2(q))
+    dark = F.size(F.filter("px", lambda x: x < 200)) / F.size("px")
+    rows = rows.select("p_partkey", "p_size", entropy.alias("e"), dark.alias("dark"))
+    return rows.select("p_partkey", F.round("e", 6).alias("entropy"), ((F.col("p_size") < 30) | (F.col("e") < 1.5)).alias("decorative"), ((F.col("p_size") > 100) | ((F.col("p_size") > 20) & (F.col("dark") > 0.1))).alias("content"))
 
 
 #: The posts that :func:`_posts` plants in page sources, as DuckDB has them.
@@ -287,10 +427,13 @@ def post_markdown(spark: SparkSession, d: str) -> DataFrame:
     return p.select("id", F.concat_ws("\n\n", date, F.nullif("caption", F.lit("")), F.nullif(F.array_join(shown, "\n"), F.lit("")), counts).alias("md"))
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE conv_id IN (9, 4, 7) ORDER BY list_position([9, 4, 7], conv_id), turn")
+@query(f"""SELECT id, CASE WHEN media_url IS NULL THEN '' ELSE media_url END AS image, replace(posted_at, 'T', ' ')[1:16] AS date FROM {_POSTS} WHERE conv_id IN (9, 4, 7) ORDER BY list_position([9, 4, 7], conv_id), comments""")
 def post_export_order(spark: SparkSession, d: str) -> DataFrame:
+    """Posts in the order of a list of sessions, with the image to show: the first image, else a video's thumb or address."""
     pos = F.array_position(F.array(*(F.lit(i).cast("bigint") for i in (9, 4, 7))), F.col("conv_id"))
-    return table(spark, d, "conversations").where(pos > 0).orderBy(pos, "turn").select("conv_id", "turn")
+    first = lambda kind: F.try_element_at(F.filter("media", lambda m: m["type"] == kind), F.lit(1))
+    image = F.coalesce(first("image")["url"], F.nullif(first("video")["thumb"], F.lit("")), first("video")["url"], F.lit(""))
+    return _posts(spark, d).where(pos > 0).orderBy(pos, "comments").select("id", image.alias("image"), F.substring(F.replace("posted_at", F.lit("T"), F.lit(" ")), 1, 16).alias("date"))
 
 
 @query("SELECT conv_id, turn FROM conversations ORDER BY text DESC, conv_id, turn LIMIT 30")
@@ -350,23 +493,33 @@ def session_detail_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(head)
 
 
-@query("SELECT doc_id, '***' AS key, md5(text)[1:12] AS post_id FROM documents")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN '***' END AS api_key, CASE WHEN c_custkey % 2 = 0 THEN '***' END AS token, c_name AS name FROM customer""")
 def secret_mask(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.when(F.col("text").isNotNull(), F.lit("***")).alias("key"), F.substring(F.md5("text"), 1, 12).alias("post_id"))
+    """A configuration without its secrets: those that are set are masked, the rest stays."""
+    rows = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.sha1("c_name")).alias("api_key"), F.when(F.col("c_custkey") % 2 == 0, F.md5("c_name")).alias("token"), F.col("c_name").alias("name"))
+    return rows.select("c_custkey", *(F.when(F.col(k).isNotNull(), F.lit("***")).alias(k) for k in ("api_key", "token")), "name")
 
 
-@query("SELECT doc_id, array_to_string(list_filter(list_distinct([lang, source, lang, '']), lambda x: x <> ''), ',') <> '' AS any_model FROM documents")
+@query("SELECT doc_id, array_to_string(list_filter([lang, CASE WHEN source <> lang THEN source END, CASE WHEN doc_id % 2 = 0 THEN 'base' END], lambda x: x IS NOT NULL AND x <> ''), ',') AS models FROM documents")
 def model_list(spark: SparkSession, d: str) -> DataFrame:
-    models = F.array_distinct(F.filter(F.array("lang", "source", "lang", F.lit("")), lambda x: x != ""))
-    return table(spark, d, "documents").select("doc_id", (F.array_join(models, ",") != "").alias("any_model"))
+    """The models to try: each once, in order, without empty ones."""
+    models = F.array_distinct(F.filter(F.concat(F.array("lang"), F.array("source", "lang", F.lit("")), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("base"))).otherwise(F.array(F.lit("")))), lambda x: x != ""))
+    return table(spark, d, "documents").select("doc_id", F.array_join(models, ",").alias("models"))
+
 
+_SAFE = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
-@query("SELECT doc_id, replace(replace(replace(left(text, 500), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS html FROM documents")
+
+@query(f"""SELECT doc_id, 'html' AS format, '<h3>Page 1</h3><pre>' || {_SAFE} || '</pre>' AS body FROM documents
+UNION ALL SELECT doc_id, 'txt', text FROM documents UNION ALL SELECT doc_id, 'json', to_json({{'page': 1, 'full_text': text}})::VARCHAR FROM documents""")
 def export_text(spark: SparkSession, d: str) -> DataFrame:
-    t = F.substring("text", 1, 500)
+    """A document's whole text in three formats."""
+    t = F.col("text")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         t = F.replace(t, F.lit(a), F.lit(b))
-    return table(spark, d, "documents").select("doc_id", t.alias("html"))
+    bodies = {"html": F.concat(F.lit("<h3>Page 1</h3><pre>"), t, F.lit("</pre>")), "txt": F.col("text"), "json": F.to_json(F.struct(F.lit(1).alias("page"), F.col("text").alias("full_text")))}
+    rows = F.array(*(F.struct(F.lit(k).alias("format"), v.alias("body")) for k, v in bodies.items()))
+    return table(spark, d, "documents").select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
 
 
 TABLES = [("+--+--+\n| a | b |\n+--+--+\n| 1 | 2 |\n+--+--+\n\ntext", 1, "a,b;1,2"), ("| x |\n| y |", 0, ""), ("plain", 0, "")]
@@ -481,21 +634,45 @@ def health_lww(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by("value", "event_id").alias("value"))
 
 
-@query("SELECT doc_id, lang AS name, source || ':' || lang AS handle FROM documents")
+@query("""SELECT c_custkey, c_name AS name, 'u' || c_custkey AS handle, c_custkey * 3 AS followers, c_custkey % 2 = 0 AS verified, CASE WHEN c_custkey % 2 = 0 THEN 'first' ELSE 'second' END AS platform FROM customer""")
 def profile_norm(spark: SparkSession, d: str) -> DataFrame:
-    js = F.to_json(F.struct(F.struct("lang", "source").alias("user")))
-    parts = [F.get_json_object(js, f"$.user.{k}") for k in ("lang", "source")]
-    return table(spark, d, "documents").select("doc_id", parts[0].alias("name"), F.concat_ws(":", parts[1], parts[0]).alias("handle"))
+    """Profiles of two platforms, each with its own JSON, in one form."""
+    one = F.to_json(F.struct(F.struct(F.col("c_name").alias("full_name"), F.concat(F.lit("u"), "c_custkey").alias("username"), F.struct((F.col("c_custkey") * 3).alias("count")).alias("edge_followed_by"), F.lit(True).alias("is_verified")).alias("user")))
+    two = F.to_json(F.struct(F.struct(F.col("c_name").alias("name"), F.concat(F.lit("u"), "c_custkey").alias("screen_name"), (F.col("c_custkey") * 3).alias("followers_count"), F.lit(False).alias("verified")).alias("legacy")))
+    rows = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "first").otherwise("second").alias("platform"), F.when(F.col("c_custkey") % 2 == 0, one).otherwise(two).alias("js"))
+    get = lambda a, b: F.when(F.col("platform") == "first", F.get_json_object("js", a)).otherwise(F.get_json_object("js", b))
+    return rows.select(
+        "c_custkey", get("$.user.full_name", "$.legacy.name").alias("name"), get("$.user.username", "$.legacy.screen_name").alias("handle"),
+        get("$.user.edge_followed_by.count", "$.legacy.followers_count").cast("bigint").alias("followers"), (get("$.user.is_verified", "$.legacy.verified") == "true").alias("verified"), "platform",
+    )
 
 
-@query("SELECT doc_id, string_agg(lower(w), ' ' ORDER BY i) AS text FROM (SELECT doc_id, unnest(range(1, 4)) AS i, unnest(string_split(text, ' ')[1:3]) AS w FROM documents) WHERE w IS NOT NULL GROUP BY doc_id")
+@query("SELECT doc_id, len(w)::INT AS n, array_to_string(w, chr(10)) AS text, (len(w) * 10)::INT AS width FROM (SELECT doc_id, list_filter(string_split(text, ' '), lambda x: trim(x) <> '') AS w FROM documents)")
 def parse_regions(spark: SparkSession, d: str) -> DataFrame:
-    """Words of a page's result, shaped by a transform over its array."""
-    words = F.transform(F.slice(F.split("text", " "), 1, 3), F.lower)
-    return table(spark, d, "documents").select("doc_id", F.array_join(words, " ").alias("text"))
+    """All regions of a page's nested result: a polygon, a text and a confidence for each word; blank ones fall away."""
+    words = F.transform(F.filter(F.split("text", " "), lambda x: F.trim(x) != ""), lambda x, i: F.struct(F.array(F.array(i * 10 + 10, F.lit(0)), F.array(i * 10, F.lit(8))).alias("polygon"), x.alias("text"), F.lit(0.9).alias("confidence")))
+    found = table(spark, d, "documents").select("doc_id", O.regions(words).alias("r"))
+    joined = F.array_join(F.transform("r", lambda r: r["text"]), "\n")
+    width = F.coalesce(F.array_max(F.transform("r", lambda r: r["x2"])) - F.array_min(F.transform("r", lambda r: r["x1"])), F.lit(0))
+    return found.select("doc_id", F.size("r").alias("n"), joined.alias("text"), width.alias("width"))
+
+
+_PART = "left(text, 500)"
 
 
-@query("SELECT doc_id, 'Summary of ' || source || chr(10) || left(text, 500) || chr(10) || printf('%.1f%%', (n_chars % 1000) / 10.0::DOUBLE) AS md FROM documents")
+@query(f"""SELECT doc_id, 'markdown' AS format, '# ' || source || chr(10) || chr(10) || '**Confidence:** ' || printf('%.1f%%', (n_chars % 1000) / 10.0::DOUBLE) || chr(10) || chr(10) || {_PART} AS body FROM documents
+UNION ALL SELECT doc_id, 'html', '<h1>' || source || '</h1><p>' || left(text, 1000) || '</p>' FROM documents
+UNION ALL SELECT doc_id, 'csv', source || ',' || printf('%.1f', (n_chars % 1000) / 10.0::DOUBLE) || ',"' || replace({_PART}, '"', '""') || '"' FROM documents
+UNION ALL SELECT doc_id, 'json', to_json({{'source': source, 'text': text}})::VARCHAR FROM documents""")
 def export_summary(spark: SparkSession, d: str) -> DataFrame:
-    share = F.format_string("%.1f%%", (F.col("n_chars") % 1000) / F.lit(10.0))
-    return table(spark, d, "documents").select("doc_id", F.concat_ws("\n", F.concat(F.lit("Summary of "), "source"), F.substring("text", 1, 500), share).alias("md"))
+    """A summary in four formats; two show 500 characters of the text and one 1,000, which is what they are for."""
+    share = (F.col("n_chars") % 1000) / F.lit(10.0)
+    part = F.substring("text", 1, 500)
+    bodies = {
+        "markdown": F.concat(F.lit("# "), "source", F.lit("\n\n**Confidence:** "), F.format_string("%.1f%%", share), F.lit("\n\n"), part),
+        "html": F.concat(F.lit("<h1>"), "source", F.lit("</h1><p>"), F.substring("text", 1, 1000), F.lit("</p>")),
+        "csv": F.concat("source", F.lit(","), F.format_string("%.1f", share), F.lit(',"'), F.replace(part, F.lit('"'), F.lit('""')), F.lit('"')),
+        "json": F.to_json(F.struct("source", "text")),
+    }
+    rows = F.array(*(F.struct(F.lit(k).alias("format"), v.alias("body")) for k, v in bodies.items()))
+    return table(spark, d, "documents").select("doc_id", F.explode(rows).alias("r")).select("doc_id", "r.*")
\ No newline at end of file
