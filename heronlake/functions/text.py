@@ -67,7 +67,7 @@ def collapse(text: Column) -> Column:
 
 def injections(text: Column) -> Column:
     """The matched text of each injection pattern that matches, in the patterns' order."""
-    found = F.array(*(F.regexp_extract(text, f"(?i){p}", 0) for p in INJECTIONS))
+    found = F.array(*(F.regexp_extract(text, f"(?iU){p}", 0) for p in INJECTIONS))
     return F.filter(found, lambda x: x != "")
 
 
@@ -193,3 +193,13 @@ def provider(key: Column, base_url: Column, model: Column) -> Column:
     gemini = key.startswith("AIza") | F.contains(base_url, F.lit("generativelanguage.googleapis.com")) | model.startswith("gemini")
     claude = F.contains(base_url, F.lit("anthropic.com")) | model.startswith("claude") | key.startswith("sk-ant")
     return F.when(gemini, "gemini").when(claude, "anthropic").otherwise("openai_compatible")
+
+
+#: Tags that may be left of broken markup, and the forms in which they are.
+TAGS = "strong|em|b|i|p|u|s|span|div|h[1-6]|li|ul|ol|br|hr|a|img|table|tr|td|th"
+TAG_FORMS = ((r"</?[a-zA-Z][a-zA-Z0-9]*[^>]*>", ""), (rf"(?i)(?<!<)(?:{TAGS})\s*>", ""), (rf"(?i)<\s*(?:{TAGS})\s*$", " "))
+
+
+def untagged(text: Column) -> Column:
+    """Text without tags, whole, broken or left open, and with single spaces."""
+    return collapse(reduce(lambda t, form: F.regexp_replace(t, *form), TAG_FORMS, text))

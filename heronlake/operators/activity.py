@@ -65,3 +65,37 @@ def admitted(rows: DataFrame, by: str, ts: str, tie: str, limit: int, seconds: i
 
 def latest(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, order).alias(value), F.max(order).alias(order))
+
+
+def valid_at(entries: DataFrame, asked: DataFrame, key: str, at: str, value: str, seconds: int) -> DataFrame:
+    """``asked`` with the value that was last set for its key, unless it is older than ``seconds``: a cache with expiry.
+
+    Both sides go through one window by key, so a get meets only the set before it; at the same moment a set comes first.
+    """
+    sets = entries.select(key, F.col(at).alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col(at).alias("at"), F.col(value).alias("v")).alias("_set"), *(F.lit(None).cast(f.dataType).alias(f"_{f.name}") for f in asked.schema if f.name not in (key, at)))
+    gets = asked.select(key, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(sets.schema["_set"].dataType).alias("_set"), *(F.col(f.name).alias(f"_{f.name}") for f in asked.schema if f.name not in (key, at)))
+    w = W.partitionBy(key).orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    both = sets.unionByName(gets).withColumn("_last", F.last("_set", ignorenulls=True).over(w)).where("_kind = 1")
+    fresh = F.unix_micros(F.col("_at").cast("timestamp")) - F.unix_micros(F.col("_last.at").cast("timestamp")) <= seconds * 1_000_000
+    return both.select(key, F.col("_at").alias(at), *(F.col(f"_{f.name}").alias(f.name) for f in asked.schema if f.name not in (key, at)), F.when(fresh, F.col("_last.v")).alias("cached"))
+
+
+#: The steps of a job.
+STEPS = {"pending": ("running", "failed"), "running": ("completed", "failed")}
+
+
+def transitions(log: DataFrame, key: str, order: str, state: str) -> DataFrame:
+    """The rows of a job log with the state before and whether the step from it is allowed; a job begins as pending."""
+    before = F.lag(state).over(W.partitionBy(key).orderBy(order))
+    rows = log.withColumn("before", before)
+    allowed = F.when(F.col("before").isNull(), F.col(state) == "pending").otherwise(F.lit(False))
+    for a, b in STEPS.items():
+        allowed = F.when(F.col("before") == a, F.col(state).isin(*b)).otherwise(allowed)
+    return rows.withColumn("allowed", allowed)
+
+
+def prometheus(name: str, kind: str, rows: DataFrame, labels: list[str], value: str) -> DataFrame:
+    """(line): a metric's type and its samples as text lines."""
+    shown = F.array_join(F.array(*(F.format_string(f'{c}="%s"', F.col(c).cast("string")) for c in labels)), ",")
+    lines = rows.select(F.concat(F.lit(f"{name}{{"), shown, F.lit("} "), F.col(value).cast("string")).alias("line"))
+    return rows.sparkSession.createDataFrame([(f"# TYPE {name} {kind}",)], "line string").unionByName(lines)

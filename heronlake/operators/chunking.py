@@ -113,3 +113,19 @@ def semantic_islands(chunks: DataFrame, by: str, order: str, vector: str, thresh
 def mean_vector(rows: DataFrame, by: str, vector: str) -> DataFrame:
     """(by, i, value): the mean of each component."""
     return rows.select(by, F.posexplode(vector).alias("i", "x")).groupBy(by, "i").agg(F.avg(F.col("x").cast("double")).alias("value"))
+
+
+def merged_islands(chunks: DataFrame, by: str, order: str, text: str, vector: str, threshold: float = 0.75) -> DataFrame:
+    """(by, island, first, last, text, vector, n): adjacent chunks that are alike as one: their texts, the mean of their
+    vectors and the last one's order."""
+    found = semantic_islands(chunks, by, order, vector, threshold)
+    own = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"), F.col(vector).alias("v"))))
+    rows = found.groupBy(by, "island").agg(own.alias("x"))  # an island's chunks are neighbours of one document
+    total = F.aggregate(
+        F.transform("x", lambda c: F.transform(c["v"], lambda y: y.cast("double"))), F.transform(F.element_at("x", 1)["v"], lambda y: F.lit(0.0)), lambda a, v: F.zip_with(a, v, lambda p, q: p + q)
+    )
+    n = F.size("x")
+    return rows.select(
+        by, "island", F.element_at("x", 1)["o"].alias("first"), F.element_at("x", -1)["o"].alias("last"),
+        F.array_join(F.transform("x", lambda c: c["t"]), " ").alias("text"), F.transform(total, lambda y: y / n).alias("vector"), n.cast("bigint").alias("n"),
+    )

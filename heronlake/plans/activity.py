@@ -160,13 +160,16 @@ def latency_histogram(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT event_type, count(*)::BIGINT AS n, round(count(*) FILTER (value <= 400) / count(*)::DOUBLE, 6) AS success_rate,
-round(coalesce(avg(value) FILTER (value <= 400), 0), 4) AS mean_ms FROM events GROUP BY event_type""")
+round(coalesce(avg(value) FILTER (value <= 400), 0), 4) AS mean_ms, round(avg(len(string_split(props, ' '))), 4) AS mean_words,
+count(DISTINCT user_id)::BIGINT AS clients FROM events GROUP BY event_type""")
 def service_metrics(spark: SparkSession, d: str) -> DataFrame:
     ok = F.col("value") <= 400
     return table(spark, d, "events").groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.count_if(ok) / F.count(F.lit(1)), 6).alias("success_rate"),
         F.round(F.coalesce(F.avg(F.when(ok, F.col("value"))), F.lit(0.0)), 4).alias("mean_ms"),
+        F.round(F.avg(F.size(F.split("props", " "))), 4).alias("mean_words"),
+        F.countDistinct("user_id").alias("clients"),
     )
 
 
@@ -180,15 +183,21 @@ def rate_limit_admission(spark: SparkSession, d: str) -> DataFrame:
     return A.admitted(table(spark, d, "events"), "event_type", "ts", "event_id", 3, 600)
 
 
-@query("""SELECT user_id, event_id, least(60, 2 ** (row_number() OVER (PARTITION BY user_id, island ORDER BY event_id)))::DOUBLE AS wait_s FROM (
-SELECT *, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events) WHERE event_type <> 'purchase'""")
+@query("""SELECT user_id, event_id, least(60, 2 ** n)::DOUBLE AS backoff_s, round(1.1 * least(60, 2 ** n), 6)::DOUBLE AS most_s,
+greatest(least(60, 2 ** n), CASE WHEN event_id % 10 = 0 THEN 90 WHEN event_id % 10 = 1 THEN 1 ELSE 0 END)::DOUBLE AS wait_s FROM (
+SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) AS n FROM (
+SELECT *, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM events) WHERE event_type <> 'purchase')""")
 def backoff_series(spark: SparkSession, d: str) -> DataFrame:
-    """Exponential waits over consecutive failures of a client; a success starts again."""
-    rows = table(spark, d, "events").select("user_id", "event_id", (F.col("event_type") == "purchase").alias("ok"))
+    """Exponential waits over consecutive failures of a client, with a tenth of jitter at most, and at least what the answer
+    asks for; a success starts again."""
+    after = F.when(F.col("event_id") % 10 == 0, "90").when(F.col("event_id") % 10 == 1, "1").when(F.col("event_id") % 10 == 2, "soon")
+    rows = table(spark, d, "events").select("user_id", "event_id", (F.col("event_type") == "purchase").alias("ok"), after.alias("after"))
     w = W.partitionBy("user_id").orderBy("event_id")
     rows = rows.withColumn("island", F.sum(F.col("ok").cast("int")).over(w)).where("NOT ok")
     n = F.row_number().over(W.partitionBy("user_id", "island").orderBy("event_id"))
-    return rows.select("user_id", "event_id", F.least(F.lit(60.0), F.pow(F.lit(2.0), n)).alias("wait_s"))
+    rows = rows.withColumn("backoff_s", F.least(F.lit(60.0), F.pow(F.lit(2.0), n)))
+    asked = F.coalesce(F.col("after").try_cast("double"), F.lit(0.0))
+    return rows.select("user_id", "event_id", "backoff_s", F.round(1.1 * F.col("backoff_s"), 6).alias("most_s"), F.greatest("backoff_s", asked).alias("wait_s"))
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS event_type, max(event_id) AS event_id FROM events GROUP BY user_id")
@@ -233,15 +242,28 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return flows.ingest(spark, d)
 
 
-@query("SELECT event_id, upper(event_type) AS level, round(value, 2) AS latency_ms FROM events")
+@query("""SELECT event_id, event_type AS level, value AS latency_ms, props AS details FROM events UNION ALL
+SELECT (SELECT max(event_id) FROM events) + 1 + doc_id, CASE WHEN toxic = 1 THEN 'ERROR' ELSE 'INFO' END, round(quality * 1.23456, 2), '{"doc":' || doc_id || '}' FROM labels""")
 def audit_append(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", F.upper("event_type").alias("level"), F.round("value", 2).alias("latency_ms"))
-
-
-@query("""SELECT 'requests_total{type="' || event_type || '"} ' || count(*) AS line FROM events GROUP BY event_type""")
+    """The log with new rows: their level in capitals, the latency to hundredths, details as JSON."""
+    old = table(spark, d, "events").select("event_id", F.col("event_type").alias("level"), F.col("value").alias("latency_ms"), F.col("props").alias("details"))
+    last = old.agg((F.max("event_id") + 1).alias("last"))
+    new = table(spark, d, "labels").join(F.broadcast(last))  # one row
+    level = F.upper(F.when(F.col("toxic") == 1, "error").otherwise("info"))
+    new = new.select((F.col("last") + F.col("doc_id")).alias("event_id"), level.alias("level"), F.round(F.col("quality") * 1.23456, 2).alias("latency_ms"), F.to_json(F.struct(F.col("doc_id").alias("doc"))).alias("details"))
+    return old.unionByName(new)
+
+
+@query("""SELECT '# TYPE requests_total counter' AS line UNION ALL SELECT 'requests_total{type="' || event_type || '"} ' || count(*) FROM events GROUP BY event_type
+UNION ALL SELECT '# TYPE clients gauge' UNION ALL SELECT 'clients{type="' || event_type || '"} ' || count(DISTINCT user_id) FROM events GROUP BY event_type
+UNION ALL SELECT '# TYPE latency_bucket histogram' UNION ALL SELECT 'latency_bucket{type="' || event_type || '",le="' || le || '"} ' || count(*) FILTER (value <= le) FROM events, (VALUES (10), (100), (400)) b(le) GROUP BY event_type, le""")
 def prometheus_text(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "events").groupBy("event_type").count()
-    return n.select(F.format_string('requests_total{type="%s"} %d', "event_type", "count").alias("line"))
+    """Counters, gauges and cumulative buckets as text."""
+    e = table(spark, d, "events").withColumnRenamed("event_type", "type")
+    counts = e.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("c"), *(F.count_if(F.col("value") <= b).alias(str(b)) for b in (10, 100, 400)))
+    buckets = counts.select("type", F.explode(F.array(*(F.struct(F.lit(str(b)).alias("le"), F.col(str(b)).alias("n")) for b in (10, 100, 400)))).alias("b")).select("type", "b.le", "b.n")
+    out = A.prometheus("requests_total", "counter", counts, ["type"], "n").unionByName(A.prometheus("clients", "gauge", counts, ["type"], "c"))
+    return out.unionByName(A.prometheus("latency_bucket", "histogram", buckets, ["type", "le"], "n"))
 
 
 @query("SELECT event_id, props->>'$.k' AS k, json_valid(props) AS ok FROM events")
@@ -270,12 +292,15 @@ def incremental_recompute(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT source, count(*)::BIGINT AS documents, sum(len(string_split(text, chr(10))))::BIGINT AS chunks,
-count(*) FILTER (doc_id IN (SELECT doc_id FROM labels))::BIGINT AS skipped FROM documents GROUP BY source""")
+count(*) FILTER (doc_id IN (SELECT doc_id FROM labels))::BIGINT AS skipped, coalesce(string_agg(doc_id || ': too short', ',' ORDER BY doc_id) FILTER (n_chars < 100), '') AS errors FROM documents GROUP BY source""")
 def ingest_summary(spark: SparkSession, d: str) -> DataFrame:
+    """With the list of errors, which is part of the report."""
     known = table(spark, d, "labels").select("doc_id", F.lit(1).alias("k")).distinct()
     docs = table(spark, d, "documents").join(known, "doc_id", "left")
+    bad = F.array_sort(F.collect_list(F.when(F.col("n_chars") < 100, F.col("doc_id"))))
     return docs.groupBy("source").agg(
-        F.count(F.lit(1)).alias("documents"), F.sum(F.size(F.split("text", "\n"))).alias("chunks"), F.count_if(F.col("k").isNotNull()).alias("skipped")
+        F.count(F.lit(1)).alias("documents"), F.sum(F.size(F.split("text", "\n"))).alias("chunks"), F.count_if(F.col("k").isNotNull()).alias("skipped"),
+        F.array_join(F.transform(bad, lambda i: F.concat(i.cast("string"), F.lit(": too short"))), ",").alias("errors"),
     )
 
 
@@ -284,14 +309,111 @@ def batch_summary(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").groupBy("quality").agg(F.count_if(F.col("toxic") == 0).alias("successful"), F.count_if(F.col("toxic") == 1).alias("failed"))
 
 
-@query("SELECT user_id, max(ts)::VARCHAR AS created_at, min(event_id) AS first_id FROM events GROUP BY user_id")
+@query("""SELECT user_id, name, created_at, row_number() OVER (ORDER BY created_at DESC, user_id)::INT AS place FROM (
+SELECT user_id, arg_max(event_type, event_id) AS name, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS created_at FROM events WHERE user_id % 9 <> 4 GROUP BY user_id)""")
 def tenant_lww(spark: SparkSession, d: str) -> DataFrame:
-    """The last write of a tenant, with the first one's id kept."""
-    return table(spark, d, "events").groupBy("user_id").agg(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("c"), F.min("event_id").alias("first_id")).select(
-        "user_id", F.regexp_replace("c", r"\.?0+$", "").alias("created_at"), "first_id"
+    """Tenants after all their writes, each of which sets created_at anew, and some deletions; the newest first."""
+    e = table(spark, d, "events").select("user_id", F.col("event_type").alias("name"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "event_id")
+    kept = merge.delete(merge.last_write(e, ["user_id"], ["event_id"]), e.where("user_id % 9 = 4"), ["user_id"])
+    place = F.row_number().over(W.orderBy(F.desc("created_at"), "user_id"))  # a list of tenants, which is short
+    return kept.select("user_id", "name", "created_at", place.alias("place"))
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS name FROM events WHERE sha256('key-' || user_id) IN (SELECT sha256('key-' || c_custkey) FROM customer WHERE c_custkey % 3 = 0) GROUP BY user_id")
+def tenant_by_key(spark: SparkSession, d: str) -> DataFrame:
+    """Tenants whose key's hash is among the given ones."""
+    e = table(spark, d, "events").select("user_id", F.col("event_type").alias("name"), "event_id")
+    rows = merge.last_write(e, ["user_id"], ["event_id"]).withColumn("h", F.sha2(F.concat(F.lit("key-"), F.col("user_id")), 256))
+    keys = table(spark, d, "customer").where("c_custkey % 3 = 0").select(F.sha2(F.concat(F.lit("key-"), F.col("c_custkey")), 256).alias("h"))
+    return rows.join(keys, "h", "left_semi").select("user_id", "name")
+
+
+@query("""SELECT a.event_id, CASE WHEN a.ts - s.ts <= INTERVAL 6 HOUR THEN s.event_id END AS cached FROM (SELECT * FROM events WHERE event_type <> 'view') a
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') s ON a.user_id = s.user_id AND a.ts >= s.ts""")
+def ttl_cache(spark: SparkSession, d: str) -> DataFrame:
+    """What a client's cache holds at each of its requests: what was last set, for six hours."""
+    e = table(spark, d, "events")
+    found = A.valid_at(e.where("event_type = 'view'").select("user_id", "ts", "event_id"), e.where("event_type <> 'view'").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id", 6 * 3600)
+    return found.select("event_id", "cached")
+
+
+_JOBS = "(SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS state FROM events)"
+
+
+@query(f"""SELECT state, coalesce(before, '-') AS before, (CASE WHEN before IS NULL THEN state = 'pending' WHEN before = 'pending' THEN state IN ('running', 'failed')
+  WHEN before = 'running' THEN state IN ('completed', 'failed') ELSE false END) AS allowed, count(*)::BIGINT AS n FROM (
+SELECT state, lag(state) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM {_JOBS}) GROUP BY ALL""")
+def job_transitions(spark: SparkSession, d: str) -> DataFrame:
+    """How often each step of a job was taken, and whether it may be."""
+    state = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "purchase", "completed").otherwise("failed")
+    found = A.transitions(table(spark, d, "events").select("user_id", "event_id", state.alias("state")), "user_id", "event_id", "state")
+    return found.groupBy("state", F.coalesce("before", F.lit("-")).alias("before"), "allowed").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""SELECT count(*) FILTER (state = 'running')::BIGINT AS running, count(*) FILTER (state = 'running') < 40 AS free FROM (
+SELECT arg_max(state, event_id) AS state FROM {_JOBS} GROUP BY user_id)""")
+def job_limit(spark: SparkSession, d: str) -> DataFrame:
+    """How many jobs run, and whether another may start."""
+    state = F.when(F.col("event_type") == "view", "pending").when(F.col("event_type") == "click", "running").when(F.col("event_type") == "purchase", "completed").otherwise("failed")
+    last = A.latest(table(spark, d, "events").withColumn("state", state), "user_id", "event_id", "state")
+    return last.agg(F.count_if(F.col("state") == "running").alias("running")).select("running", (F.col("running") < 40).alias("free"))
+
+
+@query("""SELECT doc_id, round(25 + (row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1) / (count(*) OVER (PARTITION BY source, lang))::DOUBLE * 70, 4) AS progress FROM documents""")
+def ingest_progress(spark: SparkSession, d: str) -> DataFrame:
+    """How far an ingestion is when it comes to each document; one runs for each tenant and knowledge base."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang")
+    n = docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    at = F.row_number().over(W.partitionBy("source", "lang").orderBy("doc_id")) - 1
+    return docs.withColumn("i", at).join(n, ["source", "lang"]).select("doc_id", F.round(25 + F.col("i") / F.col("n") * 70, 4).alias("progress"))
+
+
+@query("""SELECT doc_id, 'old' AS state, len(string_split(text, chr(10)))::INT AS chunks, lang AS kb FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT doc_id, 'new', 2, 'upload' FROM labels""")
+def upsert_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents written again lose their old chunks; their metadata gains tenant, knowledge base and source."""
+    docs = table(spark, d, "documents")
+    meta = lambda kb, source: F.map_from_arrays(F.array(F.lit("knowledge_base_id"), F.lit("source")), F.array(kb, source))
+    old = docs.select("doc_id", F.lit("old").alias("state"), meta(F.col("lang"), F.col("source")).alias("meta"))
+    new = table(spark, d, "labels").select("doc_id", F.lit("new").alias("state"), meta(F.lit("upload"), F.lit("api")).alias("meta"))
+    chunks = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("chunk"))
+    fresh = new.select("doc_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("chunk"))
+    documents, kept = merge.cascade(old, new, chunks, fresh, "doc_id")
+    n = kept.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("chunks"))
+    return documents.join(n, "doc_id").select("doc_id", "state", "chunks", F.col("meta")["knowledge_base_id"].alias("kb"))
+
+
+@query("""SELECT vec_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', ('0x' || h[17])::INT % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS point_id, (vec_id // 64)::BIGINT AS batch,
+  '{"chunk_id":"c' || vec_id || '","label":' || label || '}' AS payload FROM (SELECT vec_id, label, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode('c' || vec_id)) AS h FROM embeddings)""")
+def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
+    """Points of a vector store: an id from the chunk's, the payload with its metadata, and batches of 64."""
+    chunk = F.concat(F.lit("c"), F.col("vec_id"))
+    return table(spark, d, "embeddings").select(
+        "vec_id", merge.uuid5(chunk).alias("point_id"), F.expr("vec_id div 64").alias("batch"), F.to_json(F.struct(chunk.alias("chunk_id"), "label")).alias("payload")
     )
 
 
+@query("""SELECT replace(source || '/' || doc_id, '/', '_') || '.txt' AS file, CASE WHEN doc_id % 11 = 0 THEN 'error' ELSE 'ok' END AS status,
+  CASE WHEN doc_id % 11 = 0 THEN 'ERROR: timeout' ELSE text END AS content, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE length(text) END::BIGINT AS chars FROM documents""")
+def batch_export(spark: SparkSession, d: str) -> DataFrame:
+    """What a batch leaves: a text file for each input, with the text or the error, and a row of the summary."""
+    bad = F.col("doc_id") % 11 == 0
+    rows = table(spark, d, "documents").select(F.concat_ws("/", "source", "doc_id").alias("name"), F.when(bad, "timeout").alias("error"), "text")
+    return rows.select(
+        F.concat(F.regexp_replace("name", r"[/\\\\]", "_"), F.lit(".txt")).alias("file"), F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"),
+        F.coalesce(F.concat(F.lit("ERROR: "), "error"), "text", F.lit("")).alias("content"), F.when(F.col("error").isNull(), F.length("text")).otherwise(0).cast("bigint").alias("chars"),
+    )
+
+
+@query("""SELECT doc_id, md5('/in/' || doc_id || ':' || (1700000000 + doc_id) || ':' || n_chars) AS cache_key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)""")
+def result_cache(spark: SparkSession, d: str) -> DataFrame:
+    """Files without a result: the key is of path, time and size, and a file that changed has another."""
+    key = lambda size: F.md5(F.concat_ws(":", F.concat(F.lit("/in/"), "doc_id"), (F.lit(1_700_000_000) + F.col("doc_id")).cast("string"), size.cast("string")))
+    files = table(spark, d, "documents").select("doc_id", "n_chars", key(F.col("n_chars")).alias("cache_key"))
+    done = files.join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id").select(key(F.col("n_chars") + F.col("toxic")).alias("cache_key"))
+    return files.join(done, "cache_key", "left_anti").select("doc_id", "cache_key")
+
+
 @query("""SELECT n_name, count(*)::BIGINT AS orders, round(sum(o_totalprice), 2) AS total FROM orders
 JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
 def rel_join_agg(spark: SparkSession, d: str) -> DataFrame:

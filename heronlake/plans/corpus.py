@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from heronlake.functions import tables as O
 from heronlake.functions import text as X
 from heronlake.functions.vectors import cosine
 from heronlake.operators import activity as A
 from heronlake.operators import chunking, retrieval
 from heronlake.plans.registry import TOKENS, WORDS, query
+from heronlake.sources import files
 from heronlake.sources.tables import table
 
 BIG = "cast(count(*) as bigint)"
@@ -333,7 +337,7 @@ def entities(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-_SCRIPT = "CASE doc_id % 7 WHEN 0 THEN 'سلام دنیا' WHEN 1 THEN '漢字仮名' WHEN 2 THEN 'ひらがな' WHEN 3 THEN 'हिन्दी text' WHEN 4 THEN '123' WHEN 5 THEN '' ELSE left(text, 200) END"
+_SCRIPT = "text || CASE doc_id % 7 WHEN 0 THEN repeat('سلام دنیا', 400) WHEN 1 THEN repeat('漢字仮名', 90) WHEN 2 THEN 'ひらがな' WHEN 3 THEN repeat('हिन्दी text', 60) ELSE '' END"
 
 
 def _sql_share(p: str) -> str:
@@ -398,3 +402,64 @@ def content_hash_dedupe(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT doc_id, trim(regexp_replace(text, '[\\s\\x{00A0}\\x{2000}-\\x{200A}\\x{3000}]+', ' ', 'g')) AS text FROM documents")
 def whitespace(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", X.collapse(F.col("text")).alias("text"))
+
+
+@query(f"""WITH e AS ({EMB}), n AS (SELECT *, lag(v) OVER w AS p FROM e WINDOW w AS (PARTITION BY label ORDER BY vec_id)), i AS (
+SELECT vec_id, label, v, sum(CASE WHEN p IS NULL OR round(list_cosine_similarity(p, v), 9) >= 0.1 THEN 0 ELSE 1 END) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM n)
+SELECT label, island, count(*)::BIGINT AS n, max(vec_id) AS last, string_agg('t' || vec_id, ' ' ORDER BY vec_id) AS text, round(avg(v[1]), 6) AS x, round(avg(v[64]), 6) AS y FROM i GROUP BY label, island""")
+def semantic_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Alike neighbours as one chunk: text, mean vector, the last one's number."""
+    e = table(spark, d, "embeddings").withColumn("t", F.concat(F.lit("t"), F.col("vec_id")))
+    found = chunking.merged_islands(e, "label", "vec_id", "t", "embedding", 0.1)
+    return found.select("label", "island", "n", "last", "text", F.round(F.col("vector")[0], 6).alias("x"), F.round(F.col("vector")[63], 6).alias("y"))
+
+
+@query("""SELECT doc_id, 0 AS n, 'General' AS section, 'intro' AS body FROM documents UNION ALL SELECT doc_id, 1, 'Part ' || doc_id, trim(regexp_replace(replace(text, chr(13), ' '), '\s+', ' ', 'g')) FROM documents
+UNION ALL SELECT doc_id, 2, 'End', 'x' FROM documents""")
+def chunk_sections(spark: SparkSession, d: str) -> DataFrame:
+    """Sections by headings, planted around each text; here with white space collapsed."""
+    docs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("intro\n  # Part "), F.col("doc_id"), F.lit(" \n"), "text", F.lit("\n###### End\nx")).alias("text"))
+    found = O.apply(docs, "doc_id", "text", "n int, section string, body string", lambda t: [(i, a, " ".join(b.split())) for i, (a, b) in enumerate(chunking.sections(t))])
+    return found
+
+
+@query(f"""SELECT doc_id, count(*)::BIGINT AS words FROM (SELECT doc_id, unnest({WORDS.format("text")}) AS w FROM documents) GROUP BY doc_id""")
+def chunk_greedy(spark: SparkSession, d: str) -> DataFrame:
+    """Words of all packed windows without those that are carried over: each word of a text once."""
+    found = chunking.hierarchical(table(spark, d, "documents"), overlap=0)
+    return found.groupBy("doc_id").agg(F.sum(F.size(X.words(F.col("chunk")))).alias("words"))
+
+
+@query("""SELECT doc_id, 'doc-' || doc_id AS document_name, 'md' AS document_type, CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'no' END AS ocr_applied, lang FROM documents""")
+def metadata_merge(spark: SparkSession, d: str) -> DataFrame:
+    """A document's metadata: the reader's, with the caller's over it where both have a key."""
+    base = F.create_map(F.lit("document_name"), F.concat(F.lit("doc-"), F.col("doc_id")), F.lit("document_type"), F.lit("txt"), F.lit("ocr_applied"), F.lit("no"))
+    given = F.create_map(F.lit("document_type"), F.lit("md"), F.lit("lang"), F.col("lang"))
+    given = F.when(F.col("doc_id") % 2 == 0, F.map_concat(given, F.create_map(F.lit("ocr_applied"), F.lit("yes")))).otherwise(given)
+    m = files.merged(base, given)
+    rows = table(spark, d, "documents").select("doc_id", m.alias("m"))
+    return rows.select("doc_id", *(F.col("m")[k].alias(k) for k in ("document_name", "document_type", "ocr_applied", "lang")))
+
+
+@query(r"""SELECT doc_id, 'ab ' || doc_id || ' ' || text || ' x' AS cleaned FROM (SELECT doc_id, trim(regexp_replace(text, '[\s\x{00A0}\x{2000}-\x{200A}\x{3000}]+', ' ', 'g')) AS text FROM documents)
+WHERE NOT regexp_matches(text, '[<>]') AND nfc_normalize(text) = text AND regexp_matches(text, '^[\x00-\x7f]*$')""")
+def llm_text_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with planted full-width letters and tags, in compatibility form, without tags; those in ASCII, as SQL has no such form."""
+    docs = table(spark, d, "documents").where(~F.col("text").rlike("[<>]") & F.col("text").rlike(r"^[\x00-\x7f\u00a0\u2000-\u200a\u3000]*$"))
+    docs = docs.select("doc_id", F.concat(F.lit("ａｂ <b>"), F.col("doc_id"), F.lit("</b>　"), "text", F.lit(" x<br/>")).alias("text"))
+    found = O.apply(docs, "doc_id", "text", "t string", lambda t: [(unicodedata.normalize("NFKC", t),)])
+    return found.select("doc_id", X.untagged(F.col("t")).alias("cleaned"))
+
+
+@query(f"""SELECT doc_id, array_to_string(list_filter(regexp_extract_all(t, '{X.PHONE}'), lambda p: length(regexp_replace(p, '[^0-9]', '', 'g')) >= 7), '|') AS phones FROM (SELECT doc_id, text || ' +1-800-555-0100 or 555-12' AS t FROM documents)""")
+def phone_filter(spark: SparkSession, d: str) -> DataFrame:
+    t = F.concat("text", F.lit(" +1-800-555-0100 or 555-12"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.phones(t), "|").alias("phones"))
+
+
+@query("SELECT doc_id, 'https://www.a.example/x?d=' || doc_id || ' www.b.example' AS urls FROM documents WHERE NOT regexp_matches(text, 'http|www')")
+def url_union(spark: SparkSession, d: str) -> DataFrame:
+    """Full addresses, and bare ones that are no part of a full one."""
+    docs = table(spark, d, "documents").where(~F.col("text").rlike("http|www"))
+    t = F.concat("text", F.lit(" https://www.a.example/x?d="), F.col("doc_id"), F.lit(" www.a.example www.b.example"))
+    return docs.select("doc_id", F.array_join(X.urls(t), " ").alias("urls"))

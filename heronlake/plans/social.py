@@ -569,15 +569,12 @@ def media_type(spark: SparkSession, d: str) -> DataFrame:
 
 
 CLEANED = [("a <b>x</b>  y", "a x y"), ("strong>z", "z"), ("end <div", "end"), ("a\n\nb", "a b")]
-_TAGS = "strong|em|b|i|p|u|s|span|div|h[1-6]|li|ul|ol|br|hr|a|img|table|tr|td|th"
+
 
 
 @query(f"SELECT s, c AS cleaned FROM {_values(CLEANED, 's, c')}")
 def llm_text_clean(spark: SparkSession, d: str) -> DataFrame:
-    t = F.regexp_replace("s", r"</?[a-zA-Z][a-zA-Z0-9]*[^>]*>", "")
-    t = F.regexp_replace(t, rf"(?i)(?<!<)(?:{_TAGS})\s*>", "")
-    t = F.regexp_replace(t, rf"(?i)<\s*(?:{_TAGS})\s*$", " ")
-    return _rows(spark, [(s,) for s, _ in CLEANED], "s string").select("s", X.collapse(t).alias("cleaned"))
+    return _rows(spark, [(s,) for s, _ in CLEANED], "s string").select("s", X.untagged(F.col("s")).alias("cleaned"))
 
 
 AUDIO = [
