@@ -20,8 +20,7 @@ BATCH_BYTES = 4 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Where the session doesn't name one, a local session gets a temporary folder and any other one a folder beside its
-    warehouse.
+    Where the session doesn't name one, a local session gets a temporary folder; a cluster must name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
@@ -29,12 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if master.startswith("local") and not master.startswith("local-cluster"):
         return f"file://{tempfile.gettempdir()}/heronlake-shared-{os.getuid()}"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_heronlake"
+    raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines see")
+
+
+_RUNS: set[str] = set()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder, which is deleted when its driver ends."""
+    run = f"{shared_dir(spark)}/heronlake-{spark.sparkContext.applicationId}"
+    if run not in _RUNS:
+        _RUNS.add(run)
+        target = spark._jvm.org.apache.hadoop.fs.Path(run)
+        files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, zstd: int = 0) -> DataFrame:

@@ -387,6 +387,39 @@ def test_toxicity_is_learnt_and_ignores_other_columns(spark):
     assert toxicity.classify(frame(spark, []), toxicity.train(docs.limit(0), labels.limit(0))).count() == 0
 
 
+def test_scores_equal_a_plain_forward_pass():
+    s = toxicity.Settings(least_docs=1, bits=10, size=4, filters=3, epochs=2)
+    model = toxicity.fit([prose(i, 30) + " der und" * (i % 3) for i in range(60)], [i % 2 for i in range(60)], s)
+    texts = ["", None, "one", "zwei der", *(prose(100 + i, 25) for i in range(8)), "the the the " * 40]
+
+    def plain(text):
+        words = re.findall(toxicity.WORD, (text or "").lower())
+        x = [sum(model.table[r].astype(float) for r in toxicity.features(w, s.bits)) for w in words] + [np.zeros(s.size)] * 9
+        pooled = []
+        for k, width in enumerate(toxicity.WIDTHS):
+            for f in range(s.filters):
+                answers = [sum(float(x[i + j] @ model.filters[k][j][:, f]) for j in range(width)) for i in range(len(words))]
+                pooled.append(max(0.0, max(answers) + float(model.offsets[k * s.filters + f])) if words else 0.0)
+        logit = sum(p * float(o) for p, o in zip(pooled, model.out, strict=True)) + float(model.bias)
+        hits = [sum(w in own for w in words) for own in toxicity.FUNCTION_WORDS.values()]
+        lang = toxicity.LANGUAGES[hits.index(max(hits))] if max(hits) else ""
+        z = model.slope * (logit - model.cut[lang]) + np.log(toxicity.THRESHOLD / (1 - toxicity.THRESHOLD))
+        return 1 / (1 + np.exp(-z))
+
+    assert np.allclose(list(toxicity.Scorer(model).scores(texts)), [plain(t) for t in texts], atol=1e-4)
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "word " * 20) for i in range(300)] + [(300, "x" * 10_000), (5, "word")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(301)], "doc_id bigint, toxic int")
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(toxicity, "fit", lambda texts, y, s: seen.append((texts, y)))
+        toxicity.train(docs, labels, toxicity.Settings(sample_rows=150, sample_bytes=5_000))
+    ((texts, y),) = seen
+    assert 4_000 < sum(map(len, texts)) <= 5_000 and len(texts) == len(y) and "x" * 10_000 not in texts
+
+
 def test_long_texts_score_in_pieces(monkeypatch):
     model = toxicity.fit([prose(i, 60) for i in range(40)], [i % 2 for i in range(40)], toxicity.Settings(least_docs=1))
     texts = [prose(90, 500), "", prose(91, 10)]
@@ -531,3 +564,30 @@ def test_pipeline_stages(spark):
             assert set(kept) == {i for i, _ in rows}
         docs = out.cache()
     assert corpus_pipeline.run(spark, folder).count() == docs.count()
+
+
+def test_pipeline_stages_over_odd_rows(spark):
+    """Null and empty texts and ids, ties, repeated rows, extra columns; and no rows at all."""
+    long = prose(5, 3000)
+    texts = [(None, "a null id"), (None, None), (1, None), (2, ""), (3, " \n "), (4, "one two three four five six"), (5, "one two three four five six"), (5, "one two three four five six"), (6, long), (7, long + " end")]
+    folder = "/root/testdata/sf0.001"
+    for rows in (texts, []):
+        docs = frame(spark, rows)
+        for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, folder)
+            kept = [(r.doc_id, r.text) for r in out.collect()] if n < 4 else out.collect()
+            if n < 4:
+                assert out.columns == docs.columns
+            if not rows:
+                assert not kept
+            elif n in (0, 3):  # neither toxic nor of the benchmark
+                assert sorted(kept, key=str) == sorted(texts, key=str)
+            elif n == 1:  # ids in order: a null id first; rows of one id and text are one place
+                ids = [i for i, _ in kept]
+                assert ids.count(None) == 2 and {1, 2, 3, 4, 6} <= set(ids) and 5 not in ids
+            elif n == 2:  # texts that share an id go or stay together
+                ids = [i for i, _ in kept]
+                assert ids.count(None) == 2 and {1, 2, 3, 4, 6} <= set(ids) and 5 not in ids and 7 not in ids
+            else:
+                assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted((i is None, i or 0) for i, _ in texts)
+                assert all(r.n_tokens == 0 for r in kept if r.doc_id in (1, 2, 3))
