@@ -1,7 +1,7 @@
 """Structured Streaming: windowed request counts, content dedupe and file ingestion.
 
-Each flow is a stream with a checkpoint that reads what is there, stops, and gives its table; run again, it reads only what
-is new.
+Each flow is a stream that reads what is there, stops, and gives its table. With a folder for its table and state, a run
+reads only what came since the last one there; without, each run starts in a new folder.
 """
 
 from __future__ import annotations
@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    """A new folder that all machines see; a temporary one in local sessions without a checkpoint folder."""
+    """A new folder that all machines see; a temporary one in local sessions. A cluster must name spark.checkpoint.dir."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-        base = f"file://{tempfile.gettempdir()}/heronlake-streams" if local else spark.conf.get("spark.sql.warehouse.dir")
+        if not local:
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines see")
+        base = f"file://{tempfile.gettempdir()}/heronlake-streams"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -32,36 +34,53 @@ def source(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return stream.parquet(path)
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
+def places(spark: SparkSession, name: str, folder: str | None) -> tuple[str, str]:
+    """The folders of a flow's table and state."""
+    base = folder or shared(spark, name)
+    return f"{base}/rows", f"{base}/state"
+
+
+def drained(stream: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Append the stream's rows to a Parquet table until its input is used up; the table."""
     spark = stream.sparkSession
-    out, state = shared(spark, name), shared(spark, f"{name}-state")
+    out, state = places(spark, name, folder)
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def window_counts(spark: SparkSession, folder: str, table: str = "events") -> DataFrame:
-    """(event_type, ts_hour, n). Windows that the watermark hasn't closed are emitted too: each trigger updates its own.
+def window_counts(spark: SparkSession, folder: str, table: str = "events", kept: str | None = None) -> DataFrame:
+    """(event_type, ts_hour, n): counts by hour. Each trigger writes the windows that it changed, and the last write counts.
 
-    Partial counts of each trigger are appended and added up on reading, so late rows count.
+    Rows that come an hour after the watermark are dropped, so the state holds few hours.
     """
-    counted = source(spark, folder, table).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
-    out, state = shared(spark, "counts"), shared(spark, "counts-state")
+    rows = source(spark, folder, table).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+    counted = rows.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    out, state = places(spark, "counts", kept)
 
-    def add(batch: DataFrame, number: int) -> None:
-        part = batch.groupBy("event_type", F.date_trunc("hour", "ts").alias("h")).agg(F.count(F.lit(1)).alias("n"))
-        part.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.select("event_type", F.col("w.start").alias("h"), "n", F.lit(number).alias("number")).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    counted.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(out)
-    return rows.groupBy("event_type", F.date_format("h", "yyyy-MM-dd HH:mm:ss").alias("ts_hour")).agg(F.sum("n").alias("n"))
+    counted.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.parquet(out).groupBy("event_type", "h").agg(F.max_by("n", "number").alias("n"))
+    return found.select("event_type", F.date_format("h", "yyyy-MM-dd HH:mm:ss").alias("ts_hour"), "n")
 
 
-def content_hashes(spark: SparkSession, folder: str, table: str = "documents") -> DataFrame:
-    """Each content's hash once, however often it comes."""
+def content_hashes(spark: SparkSession, folder: str, table: str = "documents", kept: str | None = None) -> DataFrame:
+    """Each content's hash once, however often it comes. What was seen is the table itself, not a state in memory."""
     hashed = source(spark, folder, table).select(F.sha2("text", 256).alias("content_hash"))
-    return drained(hashed.dropDuplicates(["content_hash"]), "hashes")
+    out, state = places(spark, "hashes", kept)
+    empty = spark.createDataFrame([], hashed.schema)
+    empty.write.mode("append").parquet(out)
+
+    def add(batch: DataFrame, number: int) -> None:
+        seen = spark.read.schema(hashed.schema).parquet(out)
+        if batch.isEmpty():
+            return
+        batch.distinct().join(seen, "content_hash", "left_anti").write.mode("append").parquet(out)
+
+    hashed.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(hashed.schema).parquet(out).distinct()
 
 
-def ingest(spark: SparkSession, folder: str, table: str = "documents") -> DataFrame:
-    return drained(source(spark, folder, table).select("doc_id", F.length("text").alias("n")), "ingest")
+def ingest(spark: SparkSession, folder: str, table: str = "documents", kept: str | None = None) -> DataFrame:
+    return drained(source(spark, folder, table).select("doc_id", F.length("text").alias("n")), "ingest", kept)

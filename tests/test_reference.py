@@ -46,6 +46,20 @@ def test_query_gives_what_its_sql_gives(spark, duck, name):
     assert got.equals(want)
 
 
+def test_streams_carry_on_where_they_stopped(spark, tmp_path):
+    from heronlake.streaming import flows
+
+    source = tmp_path / "documents.parquet"
+    rows = lambda ids: spark.createDataFrame([(i, f"text {i % 3}") for i in ids], "doc_id bigint, text string").coalesce(1)
+    rows(range(5)).write.parquet(str(source))
+    kept = str(tmp_path / "kept")
+    assert flows.ingest(spark, str(tmp_path), kept=kept).count() == 5
+    hashes = flows.content_hashes(spark, str(tmp_path), kept=kept + "2").count()
+    rows(range(5, 9)).write.mode("append").parquet(str(source))
+    assert sorted(r.doc_id for r in flows.ingest(spark, str(tmp_path), kept=kept).collect()) == list(range(9))
+    assert hashes == flows.content_hashes(spark, str(tmp_path), kept=kept + "2").count() == 3
+
+
 def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
