@@ -178,9 +178,14 @@ def sliding_request_load(spark: SparkSession, d: str) -> DataFrame:
     return A.load(table(spark, d, "events"), "user_id", "ts", 3600).select("event_id", "load")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), w AS (
+  SELECT user_id, event_id, r, true AS admitted, [t] AS held FROM e WHERE r = 1 UNION ALL
+  SELECT e.user_id, e.event_id, e.r, len(list_filter(held, lambda x: x > t - 43200000000)) < 2,
+    list_filter(held, lambda x: x > t - 43200000000) || CASE WHEN len(list_filter(held, lambda x: x > t - 43200000000)) < 2 THEN [t] ELSE [] END
+  FROM w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1) SELECT user_id, event_id, admitted FROM w""")
 def rate_limit_admission(spark: SparkSession, d: str) -> DataFrame:
-    return A.admitted(table(spark, d, "events"), "event_type", "ts", "event_id", 3, 600)
+    """Two requests of a client in twelve hours; rejected ones don't count."""
+    return A.admitted(table(spark, d, "events"), "user_id", "ts", "event_id", 2, 43_200)
 
 
 @query("""SELECT user_id, event_id, least(60, 2 ** n)::DOUBLE AS backoff_s, round(1.1 * least(60, 2 ** n), 6)::DOUBLE AS most_s,

@@ -83,7 +83,24 @@ def sliding_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.sliding(table(spark, d, "documents")).select("doc_id", "ordinal", "chunk_id", "n_words")
 
 
-@query()
+def _windows_sql(x: str) -> str:
+    return f"list_transform(range(0, greatest(ceil((len({x}) - 320) / 272.0), 0)::BIGINT + 1), lambda k: array_to_string(({x})[k * 272 + 1 : k * 272 + 320], ' '))"
+
+
+_TAIL = "(held[greatest(len(held) - 47, 1) :] || w)"
+
+
+@query(f"""WITH RECURSIVE lines AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS x FROM documents)
+), lw AS (SELECT doc_id, i, {WORDS.format("line")} AS w FROM lines), s AS (
+  SELECT doc_id, 0::BIGINT AS i, []::VARCHAR[] AS held, []::VARCHAR[] AS out FROM documents UNION ALL
+  SELECT s.doc_id, lw.i, CASE WHEN len(held) + len(w) <= 320 AND len(w) <= 320 THEN held || w WHEN len(w) > 320 OR len({_TAIL}) > 320 THEN [] ELSE {_TAIL} END,
+    CASE WHEN len(held) + len(w) <= 320 AND len(w) <= 320 THEN [] ELSE (CASE WHEN len(held) > 0 THEN [array_to_string(held, ' ')] ELSE [] END)
+      || CASE WHEN len(w) > 320 THEN {_windows_sql("w")} WHEN len({_TAIL}) > 320 THEN {_windows_sql(_TAIL)} ELSE [] END END
+  FROM s JOIN lw ON lw.doc_id = s.doc_id AND lw.i = s.i + 1
+), ends AS (SELECT doc_id, i, out FROM s UNION ALL SELECT doc_id, i + 1, CASE WHEN len(held) > 0 THEN [array_to_string(held, ' ')] ELSE [] END FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1
+), c AS (SELECT doc_id, i, unnest(range(1, len(out) + 1)) AS j, unnest(out) AS chunk FROM ends
+), n AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INT AS ordinal, chunk FROM c)
+SELECT doc_id, ordinal, 'General' AS section, chunk, sha1(doc_id || ':' || ordinal || ':' || chunk) AS chunk_id FROM n""")
 def chunk_hierarchical(spark: SparkSession, d: str) -> DataFrame:
     return chunking.hierarchical(table(spark, d, "documents"))
 
@@ -463,3 +480,20 @@ def url_union(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where(~F.col("text").rlike("http|www"))
     t = F.concat("text", F.lit(" https://www.a.example/x?d="), F.col("doc_id"), F.lit(" www.a.example www.b.example"))
     return docs.select("doc_id", F.array_join(X.urls(t), " ").alias("urls"))
+
+
+@query("SELECT doc_id, sha256(replace(text, chr(0), '') || '�x') AS h FROM documents WHERE doc_id IS NOT NULL AND NOT contains(text, chr(0))")
+def load_text_bytes(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes as text: what isn't UTF-8, of which a byte is planted, becomes a replacement character."""
+    docs = table(spark, d, "documents").where(~F.contains("text", F.lit("\0")))
+    raw = docs.select("doc_id", F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF78"))).alias("raw"))
+    found = files.read_bytes(raw, "doc_id", "raw", files.plain)
+    return found.select("doc_id", F.sha2("text", 256).alias("h"))
+
+
+@query("SELECT n_nationkey, n_nationkey || chr(9) || n_name || chr(9) || 'a, \"b' || chr(10) || 'x' || chr(9) AS text FROM nation")
+def load_csv_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of a CSV file as lines, cells trimmed, empty rows left out."""
+    line = F.concat(F.col("n_nationkey"), F.lit(" , "), F.col("n_name"), F.lit(',"a, ""b"\n\n , \nx,\n'))
+    raw = table(spark, d, "nation").select("n_nationkey", F.encode(line, "UTF-8").alias("raw"))
+    return files.read_bytes(raw, "n_nationkey", "raw", files.table_text)

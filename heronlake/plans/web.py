@@ -269,10 +269,21 @@ def frontier_pop(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").orderBy(F.expr("page_id % 5"), F.length("url"), "page_id").limit(16).select("page_id", "url")
 
 
-@query(f"SELECT u AS url FROM (SELECT url AS u FROM pages UNION SELECT link FROM (SELECT unnest({LINKS}) AS link FROM pages)) ORDER BY length(u), u LIMIT 200")
+@query(f"""SELECT u AS url FROM (SELECT url AS u FROM pages UNION SELECT link FROM (SELECT unnest({LINKS}) AS link FROM pages)
+UNION SELECT {SCHEME} || '://' || {AUTHORITY} || '/de/x' FROM pages WHERE page_id % 2 = 1) ORDER BY length(u), u LIMIT 200""")
 def discovered_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses of pages, of their links and of their languages, the shortest first, as many as a crawl may visit."""
     pages = table(spark, d, "pages")
-    return pages.select("url").union(crawl.edges(pages).select("link")).distinct().orderBy(F.length("url"), "url").limit(200)
+    found = pages.select("url").union(crawl.edges(pages).select("link")).union(lang_variant(spark, d).where("page_id % 2 = 1").select("variant"))
+    return found.distinct().orderBy(F.length("url"), "url").limit(200)
+
+
+@query("SELECT page_id, 'T ' || page_id AS title, '# H ' || page_id || chr(10) || chr(10) || 'a  **b** [c](https://x.example/c)' AS markdown FROM pages")
+def page_markdown(spark: SparkSession, d: str) -> DataFrame:
+    """The main part of planted pages as Markdown."""
+    markup = F.concat(F.lit("<html><head><title>T "), F.col("page_id"), F.lit("</title></head><body><nav>menu</nav><main><h1>H "), F.col("page_id"), F.lit('</h1><p>a <b>b</b> <a href="/c">c</a></p><script>x</script></main><p>after</p></body></html>'))
+    pages = table(spark, d, "pages").select("page_id", F.lit("https://x.example/a").alias("url"), markup.alias("html"))
+    return H.read(pages, "title string, markdown string", lambda p: [(p.title, p.markdown[0])])
 
 
 _CHALLENGED = """CASE page_id % 9 """ + " ".join(f"WHEN {i} THEN html || '<p>{m.upper()}</p>'" for i, m in enumerate(web.CHALLENGES)) + " ELSE html || ' class=cf-x' END"
@@ -461,3 +472,19 @@ def pdf_links(spark: SparkSession, d: str) -> DataFrame:
     low = F.lower("link")
     hit = (low.endswith(".pdf") | low.rlike("doc|report")).cast("int")
     return crawl.edges(table(spark, d, "pages")).groupBy("page_id").agg(F.sum(hit).alias("n"))
+
+
+@query("""SELECT 'https://s.example/sitemap.xml' AS url, 'sitemapindex' AS kind, count(*)::BIGINT AS n FROM region UNION ALL
+SELECT 'https://s.example/r/' || n_regionkey || '.xml', 'sitemapindex', count(*) + 1 FROM nation GROUP BY n_regionkey UNION ALL
+SELECT 'https://s.example/n/' || c_nationkey || '.xml', 'urlset', 2 * count(*) FROM customer GROUP BY c_nationkey""")
+def sitemap_kind(spark: SparkSession, d: str) -> DataFrame:
+    """The kind of each sitemap, and how many addresses it lists."""
+    found = _maps(spark, d).select("url", web.sitemap(F.col("xml")).alias("s"))
+    return found.select("url", "s.kind", (F.size("s.pages") + F.size("s.sitemaps")).cast("bigint").alias("n"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 6 = 0 THEN 'downloaded_document' ELSE 'a_b_' || page_id || '_c.pdf' END AS name FROM pages")
+def dest_name(spark: SparkSession, d: str) -> DataFrame:
+    """A name without characters that files can't have; a given one that is blank has a default."""
+    given = F.when(F.col("page_id") % 6 == 0, "  ").otherwise(F.concat(F.lit("a:b|"), F.col("page_id"), F.lit("?c.pdf")))
+    return table(spark, d, "pages").select("page_id", web.saved_name(F.col("url"), given).alias("name"))

@@ -202,6 +202,17 @@ def listed(spark: SparkSession, path: str, endings: tuple[str, ...] = ENDINGS, r
     return files.select("path", name.alias("name"), ending.alias("ending"), "length", "content").where(F.col("ending").isin(*endings))
 
 
+def read_bytes(rows: DataFrame, key: str, content: str, reader: Callable[[bytes], str]) -> DataFrame:
+    """(key, text): what a reader makes of binary values."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "text": [reader(bytes(x)) if x is not None else "" for x in b[content]]})
+
+    return rows.select(key, content).mapInPandas(run, f"`{key}` {kind}, text string")
+
+
 def pages(spark: SparkSession, path: str) -> DataFrame:
     """(path, page_number, text, words, word_count, confidence): a row for each page of the PDFs below a folder."""
 

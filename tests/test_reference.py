@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import random
 import zipfile
+import zlib
 
 import duckdb
 import pytest
@@ -12,11 +14,12 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from heronlake import plans
+from heronlake.functions import posts
 from heronlake.functions import text as X
 from heronlake.functions import web
 from heronlake.functions.html import Page
 from heronlake.functions.vectors import cosine, normalised
-from heronlake.operators import activity, chunking, merge, retrieval
+from heronlake.operators import activity, chunking, crawl, merge, retrieval
 from heronlake.sources import files
 
 FOLDER = "/root/testdata/sf0.001"
@@ -172,9 +175,81 @@ def test_last_write_wins_and_delete(spark):
     assert merge.delete(rows, rows.where("k = 1"), ["k"]).count() == 1
 
 
+def test_pages_as_trees():
+    p = Page(
+        "<html><head><title>T</title><meta name=Description content=d><link rel=canonical href=/c><link rel=alternate hreflang=fr href=https://x.org/fr/></head>"
+        "<body><form>f</form><article>" + "<p>" + "long text " * 15 + "<p>second <img src=i.png alt=pic><ul><li>one<li>two</ul></article><a href=' /d.PDF '>doc</a><a href='mailto:x'>m</a>"
+        "<svg id=g></svg><video src=v><source src=w></video><audio><source src=a></audio></body>", "https://x.org/p/q",
+    )
+    assert (p.title, p.meta, p.canonical, p.variants) == ("T", {"description": "d"}, "/c", ["https://x.org/fr/"])
+    assert p.anchors == [{"url": "https://x.org/d.PDF", "text": "doc", "domain": "x.org", "is_pdf": True}]
+    assert p.assets == {"images": ["https://x.org/p/i.png"], "svgs": ["g"], "videos": ["https://x.org/p/v", "https://x.org/p/w"], "audio": ["https://x.org/p/a"], "documents": ["https://x.org/d.PDF"]}
+    assert p.readable.startswith("long text") and "second" in p.readable and "doc" not in p.readable and "f" not in p.readable.split()
+    marked, plain = p.markdown
+    assert "![pic](https://x.org/p/i.png)" in marked and "- one\n- two" in marked and "\none\ntwo\n" in plain
+    assert Page("").text == "" and Page("<p>a</b></i><p>b").text == "a\nb" and Page("<a href='http://[x'>y</a>").anchors[0]["domain"] == ""
+
+
+def test_posts_of_broken_and_nested_payloads():
+    story = '{"__typename":"Story","id":"1","message":{"text":" a  b "},"creation_time":0}'
+    assert [x["id"] for x in posts.posts(f'<script type="x">{{"a":[{story},{{"b":{story}}}]}}</script>')] == ["1"]
+    assert posts.posts(f'data-sjs>{{"x":{story}}} trailing</script>')[0]["caption"] == "a b"
+    deep = story
+    for _ in range(30):
+        deep = '{"k":' + deep + "}"
+    assert posts.posts(f"data-sjs>{deep}</script>") == [] and posts.posts("") == []
+    assert posts.post({"message": "only text"})["id"] == hashlib.md5(b"only text").hexdigest()[:12] and posts.post({}) is None
+    assert posts.representations("<MPD/>") is None and posts.representations("no xml") is None
+
+
+def test_readers_of_sheets_slides_pdfs_and_folders(spark, tmp_path):
+    def packed(parts: dict[str, str]) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, body in parts.items():
+                z.writestr(name, body)
+        return out.getvalue()
+
+    book = packed({
+        "xl/workbook.xml": "<w xmlns:r='r'><sheet name='A' r:id='r2'/><sheet name='B' r:id='r1'/></w>",
+        "xl/_rels/workbook.xml.rels": "<R><Relationship Id='r1' Target='worksheets/sheet1.xml'/><Relationship Id='r2' Target='/xl/worksheets/sheet2.xml'/></R>",
+        "xl/worksheets/sheet1.xml": "<w><row><c r='A1'><v>1</v></c></row></w>",
+        "xl/worksheets/sheet2.xml": "<w><row><c r='B1'><v>x</v></c><c r='AA1'><v>y</v></c></row><row/></w>",
+    })
+    first, second = files.sheets(book)
+    assert first[0] == "A" and first[1][0][1] == "x" and first[1][0][26] == "y" and len(first[1][0]) == 27 and second == ("B", [["1"]])
+    assert files.workbook(book)[1] == ("B", 0, "1") and files.xlsx(book).startswith("=== Sheet: A ===\n\tx\t")
+    deck = packed({"ppt/slides/slide1.xml": "<s xmlns:a='a'><a:p><a:t>t</a:t></a:p><a:tbl><a:tr><a:tc><a:p><a:t>1</a:t></a:p></a:tc><a:tc><a:p><a:t>2</a:t></a:p></a:tc></a:tr></a:tbl></s>"})
+    assert files.pptx(deck) == "=== Slide 1 ===\nt\n1\t2"
+    stream = zlib.compress(b"BT /F1 12 Tf (Hello \\(there\\)) Tj T* [(sec) -20 (ond)] TJ ET")
+    page = b"%PDF-1.4\n1 0 obj <</Length 9 /Filter /FlateDecode>> stream\n" + stream + b"\nendstream endobj\n2 0 obj <<>> stream\nBT (two) Tj ET\nendstream endobj"
+    assert files.pdf_pages(page) == ["Hello (there)\nsecond", "two"] and files.pdf(b"%PDF", lambda b: "seen") == "seen"
+    assert files.pdf(page, lambda b: 1 / 0) == "Hello (there)\nsecond\ntwo"
+    (tmp_path / "a.pdf").write_bytes(page)
+    (tmp_path / "b.ppt").write_bytes(b"x")
+    (tmp_path / "c.json").write_bytes(b"{}")
+    rows = files.pages(spark, str(tmp_path)).orderBy("page_number").collect()
+    assert [(r.page_number, r.word_count, r.confidence) for r in rows] == [(1, 3, 1.0), (2, 1, 1.0)]
+    found = {r["name"]: r for r in files.documents(spark, str(tmp_path), metadata={"document_type": "own"}).collect()}
+    assert set(found) == {"a.pdf", "b.ppt"} and found["b.ppt"].error and found["a.pdf"].metadata["document_type"] == "own" and found["a.pdf"].metadata["document_name"] == "a.pdf"
+    assert [r["name"] for r in files.listed(spark, str(tmp_path), files.SCANS).collect()] == ["a.pdf"]
+    item = '[[null,"ID1"],"n.pdf","application/pdf"]'
+    page = f"AF_initDataCallback({{key: 'k', data:[[{item},{item}]], sideChannel: {{}}}});AF_initDataCallback({{data:broken, sideChannel: 1}});"
+    assert files.folder_items(page) == [("ID1", "n.pdf", "application/pdf")] and files.folder_items("") == []
+
+
+def test_crawl_limits_and_cycles(spark):
+    links = spark.createDataFrame([(1, 2, 0), (1, 3, 1), (2, 1, 0), (2, 4, 1), (3, 4, 0), (4, 5, 0)], "page int, target int, n int")
+    start = spark.createDataFrame([(1,)], "page int")
+    got = [(r.page, r.parent, r.depth) for r in crawl.crawl(links, start, 10, 2).orderBy("place").collect()]
+    assert got == [(1, None, 0), (2, 1, 1), (3, 1, 1), (4, 2, 2)]
+    assert [r.page for r in crawl.crawl(links, start, 3, 9).orderBy("place").collect()] == [1, 2, 3]
+    assert crawl.full_site(10, 2) == (200, 10, 120) and crawl.full_site(900, 50) == (500, 20, 120)
+
+
 def test_pages_without_scripts():
     p = Page("<html><head><title>T</title><script>x</script></head><body><nav>n</nav><p>a <b>b</b></p><a href='/l'>l</a><img src=i>")
-    assert (p.title, p.text, p.links, p.images) == ("T", "a b\nl", ["/l"], ["i"])
+    assert (p.title, p.text, p.links, p.images) == ("T", "a b", ["/l"], ["i"])  # a link outside of blocks is no text
 
 
 def test_documents_from_files(spark, tmp_path):
