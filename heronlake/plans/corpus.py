@@ -16,6 +16,7 @@ from heronlake.operators import chunking, retrieval
 from heronlake.plans.registry import TOKENS, WORDS, query
 from heronlake.sources import files
 from heronlake.sources.tables import table
+from heronlake.streaming import flows
 
 BIG = "cast(count(*) as bigint)"
 
@@ -151,10 +152,10 @@ HYBRID = f"""{FUSED}, best AS (SELECT * FROM fused QUALIFY row_number() OVER (PA
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The questions, and the chunks of all documents with their names and sections."""
-    docs = table(spark, d, "documents")
-    chunks = chunking.sliding(docs, also=("source", "lang"))
-    return table(spark, d, "benchmark"), chunks
+    """The questions, and the chunks of all documents with their names and sections, stored as an ingestion leaves them."""
+    chunks, path = chunking.sliding(table(spark, d, "documents"), also=("source", "lang")), flows.shared(spark, "chunks")
+    chunks.write.parquet(path)
+    return table(spark, d, "benchmark"), spark.read.schema(chunks.schema).parquet(path)
 
 
 @query(f"WITH {_embedded('doc_id', 'text', 'documents')} SELECT id::BIGINT AS doc_id, slot, round(value, 6) AS value FROM emb WHERE side = 0")
