@@ -121,7 +121,7 @@ class Sketch:
 
     def __init__(self, rows: np.ndarray) -> None:
         self.median = np.median(rows, axis=1)
-        self.rows = rows
+        self.rows = rows.astype(np.float32)  # half as much to send; classes need no more digits
         self.low = max(64.0, 6 * float(np.sqrt(self.median.max())))
 
     def classes(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +193,7 @@ def described(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame,
 
     def make() -> Callable:
         shingler = Shingler(k)
-        rows = np.zeros((2, width), np.int64)
+        rows = np.zeros((2, width), np.int32)  # a task has fewer tokens than that
         held: list[np.ndarray] = []
 
         def count() -> None:
@@ -204,7 +204,7 @@ def described(docs: DataFrame, key: str, text: str, k: int) -> tuple[DataFrame,
         def some(keys: list, rks: list, texts: list):
             sets = shingler.sets(texts)
             held.extend(sets)
-            if sum(map(len, held)) > width:
+            if sum(map(len, held)) > width // 4:
                 count()
             for x, rk, s in zip(keys, rks, sets, strict=True):
                 bits = parity(s)
