@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -111,10 +112,21 @@ def map_rows(
             rows += work.done() or ()
         if rows:
             yield batch()
+        del work, rows
+        release()
 
     return df.select(*columns).mapInArrow(run, out)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on, and the next task in it may need less."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without it
+
+
 def slices(batch: pa.RecordBatch, most: int = BATCH_BYTES // 2) -> Iterator[pa.RecordBatch]:
     """A batch in runs of rows of about ``most`` bytes."""
     n = batch.num_rows

@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from heronlake.llm.common import components, ddl, discard, map_rows, slices, stored
+from heronlake.llm.common import components, ddl, discard, map_rows, release, slices, stored
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Least and most counters of each of the sketch's two rows, and bytes of text for one; pieces in which a task sends them;
@@ -265,6 +265,8 @@ def indexed(docs: DataFrame, key: str, text: str, k: int, t: Fraction, sketch: S
                         found.append((own.view(np.int64), -slack, np.full(size, node), np.full(size, len(s), np.int32), at.astype(np.int32)))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=INDEX)
+        del shingler, seen
+        release()
 
     return stored(docs.select(text).mapInArrow(run, ", ".join(f"{n} {kind}" for n, kind in zip(INDEX, KINDS, strict=True))), "index")
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from heronlake.llm.common import discard, slices, stored
+from heronlake.llm.common import discard, release, slices, stored
 
 #: Shortest run, in words, that counts as repeated; lines of fewer words than LONG are fingerprints of last resort.
 LEAST_WORDS, LONG = 5, 5
@@ -95,6 +95,7 @@ def fingerprints(docs: DataFrame, key: str, text: str, least: int) -> DataFrame:
                 at = pa.array(of)
                 columns = [pa.array(prints), pa.array(own), part.column(0).take(at), part.column(1).take(at), pa.array(first), pa.array(last)]
                 yield pa.RecordBatch.from_arrays(columns, names=["print", "own", "id", "rk", "first", "last"])
+        release()
 
     out = T.StructType.fromDDL("print bigint, own bigint, rk bigint, first int, last int")
     out = T.StructType([*out.fields[:2], T.StructField("id", kind), *out.fields[2:]])
@@ -218,5 +219,6 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
                 columns = [*b.columns[:width], pa.array(removed, kinds.field("removed").type)]
                 columns[at] = texts
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+        release()
 
     return found.select(*plain.columns, "_spans").mapInArrow(cut, out).select(*[c for c in docs.columns if c != "removed"], "removed")
