@@ -432,7 +432,7 @@ def semantic_merge(spark: SparkSession, d: str) -> DataFrame:
     return found.select("label", "island", "n", "last", "text", F.round(F.col("vector")[0], 6).alias("x"), F.round(F.col("vector")[63], 6).alias("y"))
 
 
-@query("""SELECT doc_id, 0 AS n, 'General' AS section, 'intro' AS body FROM documents UNION ALL SELECT doc_id, 1, 'Part ' || doc_id, trim(regexp_replace(replace(text, chr(13), ' '), '\s+', ' ', 'g')) FROM documents
+@query(r"""SELECT doc_id, 0 AS n, 'General' AS section, 'intro' AS body FROM documents UNION ALL SELECT doc_id, 1, 'Part ' || doc_id, trim(regexp_replace(replace(text, chr(13), ' '), '\s+', ' ', 'g')) FROM documents
 UNION ALL SELECT doc_id, 2, 'End', 'x' FROM documents""")
 def chunk_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections by headings, planted around each text; here with white space collapsed."""
