@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heronlake.functions import web
-from heronlake.streaming.flows import shared
+from heronlake.sources.scratch import scratch
 
 
 def edges(pages: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def levels(graph: DataFrame, start: DataFrame, depth: int) -> DataFrame:
         links = frontier.join(graph, "page_id").select("link").distinct()
         found = graph.join(links, "link", "left_semi").select("page_id").distinct()
         found = found.join(seen.select("page_id"), "page_id", "left_anti").withColumn("depth", F.lit(n))
-        path = shared(spark, "level")
+        path = scratch(spark, "level")
         found.write.parquet(path)
         frontier = spark.read.schema(found.schema).parquet(path)
         seen = seen.unionByName(frontier)
@@ -57,7 +57,7 @@ def crawl(links: DataFrame, start: DataFrame, max_pages: int = 10, max_depth: in
             frontier = found.select("page", F.col("f.parent").alias("parent"), F.lit(depth).alias("depth"), place.cast("bigint").alias("place"))
         else:
             frontier = frontier.where(F.col("place") <= max_pages)
-        path = shared(spark, "level")
+        path = scratch(spark, "level")
         frontier.write.parquet(path)
         frontier = spark.read.schema(frontier.schema).parquet(path)
         seen = frontier if seen is None else seen.unionByName(frontier)
@@ -78,7 +78,7 @@ def expand_sitemaps(maps: DataFrame, start: DataFrame, depth: int = 5) -> DataFr
     seen = frontier = start.select("url").distinct()
     for _ in range(depth):
         found = frontier.join(inner, "url").select(F.col("target").alias("url")).distinct().join(seen, "url", "left_anti")
-        path = shared(spark, "maps")
+        path = scratch(spark, "maps")
         found.write.parquet(path)
         frontier = spark.read.schema(found.schema).parquet(path)
         seen = seen.unionByName(frontier)

@@ -57,14 +57,6 @@ def user_memory(spark: SparkSession, d: str) -> DataFrame:
     return last.groupBy("user_id").agg(F.array_join(lines, "\n").alias("memory"))
 
 
-@query("""SELECT doc_id, arg_max(n_chars, v) AS n_chars, max(v)::INT AS version FROM (
-SELECT doc_id, n_chars, 1 AS v FROM documents UNION ALL SELECT doc_id, quality, 2 FROM labels) GROUP BY doc_id""")
-def upsert_lww(spark: SparkSession, d: str) -> DataFrame:
-    old = table(spark, d, "documents").select("doc_id", "n_chars", F.lit(1).alias("version"))
-    new = table(spark, d, "labels").select("doc_id", F.col("quality").cast("bigint").alias("n_chars"), F.lit(2).alias("version"))
-    return merge.upsert(old, new, ["doc_id"])
-
-
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def ingest_anti_join(spark: SparkSession, d: str) -> DataFrame:
     """Files that were not ingested yet."""
@@ -78,42 +70,11 @@ def cleanup_anti_join(spark: SparkSession, d: str) -> DataFrame:
     return merge.delete(table(spark, d, "labels"), files, ["doc_id"]).select("doc_id")
 
 
-@query("""SELECT d.doc_id, count(*)::BIGINT AS chunks FROM documents d, unnest(string_split(text, chr(10))) WHERE source <> 'src5' GROUP BY d.doc_id""")
-def delete_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """The chunks that stay when a tenant's documents are deleted."""
-    docs = table(spark, d, "documents")
-    chunks = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("chunk"))
-    return merge.delete(chunks, docs.where("source = 'src5'"), ["doc_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
-
-
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (3, 5, 8, 13)")
-def delete_by_ids(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(~F.col("doc_id").isin(3, 5, 8, 13)).select("doc_id")
-
-
-@query("SELECT vec_id FROM embeddings WHERE label IS DISTINCT FROM 3")
-def vector_delete(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", "label")
-    return merge.delete(e, e.where("label = 3"), ["vec_id"]).select("vec_id")
-
-
 @query("SELECT vec_id, label FROM embeddings ORDER BY vec_id LIMIT 100")
 def vector_scroll(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", "label").orderBy("vec_id").limit(100)
 
 
-@query("SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = 42")
-def doc_point_lookup(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("doc_id = 42").select("doc_id", "lang", "n_chars")
-
-
-@query("""SELECT doc_id, ordinal FROM (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10)))))::INT AS ordinal
-FROM documents WHERE source = 'src2' AND lang = 'en') ORDER BY doc_id, ordinal""")
-def chunk_scan(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("source = 'src2' AND lang = 'en'")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "c")).select("doc_id", "ordinal").orderBy("doc_id", "ordinal")
-
-
 @query("""SELECT d.doc_id, l.doc_id IS NOT NULL AS ingested, coalesce(l.quality, -1) AS quality, c.n AS chunks FROM documents d
 LEFT JOIN labels l USING (doc_id) LEFT JOIN (SELECT doc_id, len(string_split(text, chr(10)))::INT AS n FROM documents) c USING (doc_id)""")
 def doc_inventory_left_join(spark: SparkSession, d: str) -> DataFrame:
@@ -247,18 +208,6 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
     return flows.ingest(spark, d)
 
 
-@query("""SELECT event_id, event_type AS level, value AS latency_ms, props AS details FROM events UNION ALL
-SELECT (SELECT max(event_id) FROM events) + 1 + doc_id, CASE WHEN toxic = 1 THEN 'ERROR' ELSE 'INFO' END, round(quality * 1.23456, 2), '{"doc":' || doc_id || '}' FROM labels""")
-def audit_append(spark: SparkSession, d: str) -> DataFrame:
-    """The log with new rows: their level in capitals, the latency to hundredths, details as JSON."""
-    old = table(spark, d, "events").select("event_id", F.col("event_type").alias("level"), F.col("value").alias("latency_ms"), F.col("props").alias("details"))
-    last = old.agg((F.max("event_id") + 1).alias("last"))
-    new = table(spark, d, "labels").join(F.broadcast(last))  # one row
-    level = F.upper(F.when(F.col("toxic") == 1, "error").otherwise("info"))
-    new = new.select((F.col("last") + F.col("doc_id")).alias("event_id"), level.alias("level"), F.round(F.col("quality") * 1.23456, 2).alias("latency_ms"), F.to_json(F.struct(F.col("doc_id").alias("doc"))).alias("details"))
-    return old.unionByName(new)
-
-
 @query("""SELECT '# TYPE requests_total counter' AS line UNION ALL SELECT 'requests_total{type="' || event_type || '"} ' || count(*) FROM events GROUP BY event_type
 UNION ALL SELECT '# TYPE clients gauge' UNION ALL SELECT 'clients{type="' || event_type || '"} ' || count(DISTINCT user_id) FROM events GROUP BY event_type
 UNION ALL SELECT '# TYPE latency_bucket histogram' UNION ALL SELECT 'latency_bucket{type="' || event_type || '",le="' || le || '"} ' || count(*) FILTER (value <= le) FROM events, (VALUES (10), (100), (400)) b(le) GROUP BY event_type, le""")
@@ -373,43 +322,6 @@ def ingest_progress(spark: SparkSession, d: str) -> DataFrame:
     return docs.withColumn("i", at).join(n, ["source", "lang"]).select("doc_id", F.round(25 + F.col("i") / F.col("n") * 70, 4).alias("progress"))
 
 
-@query("""SELECT doc_id, 'old' AS state, len(string_split(text, chr(10)))::INT AS chunks, lang AS kb FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-UNION ALL SELECT doc_id, 'new', 2, 'upload' FROM labels""")
-def upsert_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents written again lose their old chunks; their metadata gains tenant, knowledge base and source."""
-    docs = table(spark, d, "documents")
-    meta = lambda kb, source: F.map_from_arrays(F.array(F.lit("knowledge_base_id"), F.lit("source")), F.array(kb, source))
-    old = docs.select("doc_id", F.lit("old").alias("state"), meta(F.col("lang"), F.col("source")).alias("meta"))
-    new = table(spark, d, "labels").select("doc_id", F.lit("new").alias("state"), meta(F.lit("upload"), F.lit("api")).alias("meta"))
-    chunks = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("chunk"))
-    fresh = new.select("doc_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("chunk"))
-    documents, kept = merge.cascade(old, new, chunks, fresh, "doc_id")
-    n = kept.groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("chunks"))
-    return documents.join(n, "doc_id").select("doc_id", "state", "chunks", F.col("meta")["knowledge_base_id"].alias("kb"))
-
-
-@query("""SELECT vec_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', ('0x' || h[17])::INT % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS point_id, (vec_id // 64)::BIGINT AS batch,
-  '{"chunk_id":"c' || vec_id || '","label":' || label || '}' AS payload FROM (SELECT vec_id, label, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || encode('c' || vec_id)) AS h FROM embeddings)""")
-def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Points of a vector store: an id from the chunk's, the payload with its metadata, and batches of 64."""
-    chunk = F.concat(F.lit("c"), F.col("vec_id"))
-    return table(spark, d, "embeddings").select(
-        "vec_id", merge.uuid5(chunk).alias("point_id"), F.expr("vec_id div 64").alias("batch"), F.to_json(F.struct(chunk.alias("chunk_id"), "label")).alias("payload")
-    )
-
-
-@query("""SELECT replace(source || '/' || doc_id, '/', '_') || '.txt' AS file, CASE WHEN doc_id % 11 = 0 THEN 'error' ELSE 'ok' END AS status,
-  CASE WHEN doc_id % 11 = 0 THEN 'ERROR: timeout' ELSE text END AS content, CASE WHEN doc_id % 11 = 0 THEN 0 ELSE length(text) END::BIGINT AS chars FROM documents""")
-def batch_export(spark: SparkSession, d: str) -> DataFrame:
-    """What a batch leaves: a text file for each input, with the text or the error, and a row of the summary."""
-    bad = F.col("doc_id") % 11 == 0
-    rows = table(spark, d, "documents").select(F.concat_ws("/", "source", "doc_id").alias("name"), F.when(bad, "timeout").alias("error"), "text")
-    return rows.select(
-        F.concat(F.regexp_replace("name", r"[/\\\\]", "_"), F.lit(".txt")).alias("file"), F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"),
-        F.coalesce(F.concat(F.lit("ERROR: "), "error"), "text", F.lit("")).alias("content"), F.when(F.col("error").isNull(), F.length("text")).otherwise(0).cast("bigint").alias("chars"),
-    )
-
-
 @query("""SELECT doc_id, md5('/in/' || doc_id || ':' || (1700000000 + doc_id) || ':' || n_chars) AS cache_key FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)""")
 def result_cache(spark: SparkSession, d: str) -> DataFrame:
     """Files without a result: the key is of path, time and size, and a file that changed has another."""

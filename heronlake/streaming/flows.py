@@ -6,22 +6,10 @@ reads only what came since the last one there; without, each run starts in a new
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared(spark: SparkSession, name: str) -> str:
-    """A new folder that all machines see; a temporary one in local sessions. A cluster must name spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-        if not local:
-            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all machines see")
-        base = f"file://{tempfile.gettempdir()}/heronlake-streams"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from heronlake.sources.scratch import scratch
 
 
 def source(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -36,7 +24,7 @@ def source(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def places(spark: SparkSession, name: str, folder: str | None) -> tuple[str, str]:
     """The folders of a flow's table and state."""
-    base = folder or shared(spark, name)
+    base = folder or scratch(spark, name)
     return f"{base}/rows", f"{base}/state"
 
 
