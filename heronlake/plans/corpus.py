@@ -12,10 +12,11 @@ from heronlake.functions import tables as O
 from heronlake.functions import text as X
 from heronlake.functions.vectors import cosine
 from heronlake.operators import activity as A
-from heronlake.operators import chunking, retrieval
+from heronlake.operators import chunking, inverted, ivf, retrieval
 from heronlake.plans.registry import TOKENS, WORDS, query
 from heronlake.sources import files
-from heronlake.sources.scratch import files, stored
+from heronlake.sources.scratch import files as file_system
+from heronlake.sources.scratch import scratch, stored
 from heronlake.sources.tables import table
 
 BIG = "cast(count(*) as bigint)"
@@ -157,7 +158,7 @@ _STORED: dict[tuple, DataFrame] = {}
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The questions, and the chunks of all documents with their names and sections, stored as an ingestion leaves them: once
     for an application and state of the documents."""
-    fs, target = files(spark, f"{d}/documents.parquet")
+    fs, target = file_system(spark, f"{d}/documents.parquet")
     key = spark.sparkContext.applicationId, d, fs.getFileStatus(target).getModificationTime(), fs.getContentSummary(target).getLength()
     if key not in _STORED:
         _STORED[key] = stored(chunking.sliding(table(spark, d, "documents"), also=("source", "lang")), "chunks")
@@ -185,6 +186,28 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("item_id", "chunk_id", F.round("sparse", 6).alias("sparse"), "rank")
 
 
+@query(f"""WITH {DENSE}, {_sparse()} SELECT item_id, chunk_id, round(sparse, 6) AS sparse, rank FROM (
+SELECT *, cast(row_number() OVER (PARTITION BY item_id ORDER BY sparse DESC, chunk_id) AS int) AS rank FROM sparse) WHERE rank <= 20""")
+def bm25_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """By a stored index, to which the English chunks come first and the others later."""
+    items, chunks = _sides(spark, d)
+    index = inverted.Index(spark, scratch(spark, "index"))
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    for some in (chunks.where(english), chunks.where(~english)):
+        index.add(some, "chunk_id", "chunk")
+    return index.search(items).select("item_id", F.col("key").alias("chunk_id"), F.round("score", 6).alias("sparse"), "rank")
+
+
+@query(f"""WITH t AS (SELECT doc_id, {TOKENS.format("text")} AS t FROM documents), f AS (SELECT unnest(list_distinct(t)) AS term FROM t)
+SELECT term, {BIG} AS df, (SELECT count(*)::BIGINT FROM documents) AS n, (SELECT round(greatest(avg(len(t)), 1), 6) FROM t) AS average FROM f GROUP BY term""")
+def index_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    """Document frequencies and the average length as a stored index keeps them."""
+    index = inverted.Index(spark, scratch(spark, "index"), "bigint")
+    index.add(table(spark, d, "documents"), "doc_id", "text")
+    n, average = index.stats().first()
+    return index.frequencies().select("term", "df", F.lit(n).alias("n"), F.round(F.lit(average), 6).alias("average"))
+
+
 @query(f"""WITH {DENSE}, {_sparse("lang = 'en'")} SELECT item_id, chunk_id, round(sparse, 6) AS sparse FROM sparse
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY sparse DESC, chunk_id) <= 20""")
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
@@ -292,6 +315,33 @@ def cosine_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.nearest(q, e, "qid", "vec_id", "embedding", 10).select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"""WITH e AS ({EMB}) SELECT qid, vec_id, round(score, 6) AS score, rank FROM (
+SELECT q.vec_id AS qid, e.vec_id, list_cosine_similarity(q.v, e.v) AS score,
+  cast(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, e.v), 9) DESC, e.vec_id) AS int) AS rank
+FROM e q, e WHERE q.vec_id % 100 = 0) WHERE rank <= 10""")
+def cosine_topk_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """The same query set through the stored index of cells, exactly."""
+    e = table(spark, d, "embeddings")
+    index = ivf.VectorIndex(spark, scratch(spark, "vectors"), 64)
+    index.build(e, "vec_id", "embedding")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    return index.search(q, "qid", "embedding", 10, exact=True).select("qid", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"""WITH e AS ({EMB}) SELECT qid, vec_id, round(score, 6) AS score, rank FROM (
+SELECT q.vec_id AS qid, e.vec_id, list_cosine_similarity(q.v, e.v) AS score,
+  cast(row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, e.v), 9) DESC, e.vec_id) AS int) AS rank
+FROM e q, e WHERE q.vec_id % 100 = 0 AND e.label IN (1, 2, 3) AND round(list_cosine_similarity(q.v, e.v), 9) >= 0.1) WHERE rank <= 10""")
+def cosine_filtered_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """With a threshold of the score and a filter on the payload."""
+    e = table(spark, d, "embeddings")
+    index = ivf.VectorIndex(spark, scratch(spark, "vectors"), 64, also="label int")
+    index.build(e, "vec_id", "embedding")
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    found = index.search(q, "qid", "embedding", 10, exact=True, threshold=0.1, where=F.col("label").isin(1, 2, 3))
+    return found.select("qid", F.col("key").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
+
+
 @query(f"""WITH e AS ({EMB}) SELECT vec_id, round(s, 6) AS score FROM (
 SELECT vec_id, list_cosine_similarity(v, (SELECT v FROM e WHERE vec_id = 0)) AS s FROM e) WHERE s >= 0.05 ORDER BY round(s, 9) DESC, vec_id LIMIT 10""")
 def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
