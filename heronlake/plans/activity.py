@@ -11,7 +11,7 @@ from heronlake.operators import activity as A
 from heronlake.operators import merge
 from heronlake.plans.registry import query
 from heronlake.sources.tables import table
-from heronlake.streaming import flows
+from heronlake.streaming import flows, state
 
 
 @query("SELECT conv_id, count(*)::BIGINT AS turns, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
@@ -149,6 +149,29 @@ def rate_limit_admission(spark: SparkSession, d: str) -> DataFrame:
     return A.admitted(table(spark, d, "events"), "user_id", "ts", "event_id", 2, 43_200)
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events), w AS (
+  SELECT user_id, event_id, r, true AS admitted, [t] AS held FROM e WHERE r = 1 UNION ALL
+  SELECT e.user_id, e.event_id, e.r, len(list_filter(held, lambda x: x > t - 21600000000)) < 1,
+    list_filter(held, lambda x: x > t - 21600000000) || CASE WHEN len(list_filter(held, lambda x: x > t - 21600000000)) < 1 THEN [t] ELSE [] END
+  FROM w JOIN e ON e.user_id = w.user_id AND e.r = w.r + 1) SELECT user_id, event_id, admitted FROM w""")
+def stream_admission(spark: SparkSession, d: str) -> DataFrame:
+    """A request of a client in six hours, over a stream whose state carries on from trigger to trigger."""
+    live = state.arrivals(table(spark, d, "events"), "ts")
+    return state.kept(state.admitted(live, "user_id", "ts", "event_id", 1, 21_600), "admitted")
+
+
+@query("""SELECT user_id, event_id, least(60, 2 ** n)::DOUBLE AS backoff_s, round(1.1 * least(60, 2 ** n), 6)::DOUBLE AS most_s,
+greatest(least(60, 2 ** n), CASE WHEN value > 90 THEN round(value, 2) ELSE 0 END)::DOUBLE AS wait_s FROM (
+SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS n FROM (
+SELECT *, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events) WHERE event_type <> 'purchase')""")
+def stream_backoff(spark: SparkSession, d: str) -> DataFrame:
+    """Waits over consecutive failures of a client, in time order, by state that lasts over triggers; large values are what
+    the answer asks for."""
+    after = F.when(F.col("value") > 90, F.round("value", 2).cast("string")).otherwise("soon")
+    rows = table(spark, d, "events").withColumns({"ok": F.col("event_type") == "purchase", "after": after})
+    return state.kept(state.backoff(state.arrivals(rows, "ts"), "user_id", "ts", "event_id", "ok", "after"), "backoff")
+
+
 @query("""SELECT user_id, event_id, least(60, 2 ** n)::DOUBLE AS backoff_s, round(1.1 * least(60, 2 ** n), 6)::DOUBLE AS most_s,
 greatest(least(60, 2 ** n), CASE WHEN event_id % 10 = 0 THEN 90 WHEN event_id % 10 = 1 THEN 1 ELSE 0 END)::DOUBLE AS wait_s FROM (
 SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) AS n FROM (
@@ -291,6 +314,15 @@ def ttl_cache(spark: SparkSession, d: str) -> DataFrame:
     return found.select("event_id", "cached")
 
 
+@query("""SELECT a.event_id, CASE WHEN a.ts - s.ts <= INTERVAL 6 HOUR THEN s.event_id END AS cached FROM (SELECT * FROM events WHERE event_type <> 'view') a
+ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') s ON a.user_id = s.user_id AND a.ts >= s.ts""")
+def stream_cache(spark: SparkSession, d: str) -> DataFrame:
+    """The same cache over a stream: a value by key, and a timer that clears it."""
+    rows = table(spark, d, "events").withColumn("get", F.col("event_type") != "view")
+    found = state.kept(state.cached(state.arrivals(rows, "ts"), "user_id", "ts", "event_id", "get", "event_id", 6 * 3600), "cache")
+    return found.select("event_id", F.col("cached").cast("bigint").alias("cached"))
+
+
 _JOBS = "(SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'running' WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS state FROM events)"
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronlake.sources.scratch import scratch
+from heronlake.streaming.dedupe import Seen
 
 
 def source(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -53,21 +54,13 @@ def window_counts(spark: SparkSession, folder: str, table: str = "events", kept:
     return found.select("event_type", F.date_format("h", "yyyy-MM-dd HH:mm:ss").alias("ts_hour"), "n")
 
 
-def content_hashes(spark: SparkSession, folder: str, table: str = "documents", kept: str | None = None) -> DataFrame:
-    """Each content's hash once, however often it comes. What was seen is the table itself, not a state in memory."""
+def content_hashes(spark: SparkSession, folder: str, table: str = "documents", kept: str | None = None, digits: int = 1) -> DataFrame:
+    """Each content's hash once, however often it comes; see :class:`heronlake.streaming.dedupe.Seen`."""
     hashed = source(spark, folder, table).select(F.sha2("text", 256).alias("content_hash"))
     out, state = places(spark, "hashes", kept)
-    empty = spark.createDataFrame([], hashed.schema)
-    empty.write.mode("append").parquet(out)
-
-    def add(batch: DataFrame, number: int) -> None:
-        seen = spark.read.schema(hashed.schema).parquet(out)
-        if batch.isEmpty():
-            return
-        batch.distinct().join(seen, "content_hash", "left_anti").write.mode("append").parquet(out)
-
-    hashed.writeStream.foreachBatch(add).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(hashed.schema).parquet(out).distinct()
+    seen = Seen(spark, out, digits)
+    hashed.writeStream.foreachBatch(seen.add).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return seen.hashes()
 
 
 def ingest(spark: SparkSession, folder: str, table: str = "documents", kept: str | None = None) -> DataFrame:
