@@ -12,7 +12,7 @@ from heronlake.functions import tables as O
 from heronlake.functions import text as X
 from heronlake.functions.vectors import cosine
 from heronlake.operators import activity as A
-from heronlake.operators import chunking, inverted, ivf, retrieval
+from heronlake.operators import chunkers, chunking, embedding, inverted, ivf, retrieval
 from heronlake.plans.registry import TOKENS, WORDS, query
 from heronlake.sources import files
 from heronlake.sources.scratch import files as file_system
@@ -92,7 +92,7 @@ def _windows_sql(x: str) -> str:
 _TAIL = "(held[greatest(len(held) - 47, 1) :] || w)"
 
 
-@query(f"""WITH RECURSIVE lines AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS x FROM documents)
+_HIERARCHICAL = f"""WITH RECURSIVE lines AS (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS line FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS x FROM documents)
 ), lw AS (SELECT doc_id, i, {WORDS.format("line")} AS w FROM lines), s AS (
   SELECT doc_id, 0::BIGINT AS i, []::VARCHAR[] AS held, []::VARCHAR[] AS out FROM documents UNION ALL
   SELECT s.doc_id, lw.i, CASE WHEN len(held) + len(w) <= 320 AND len(w) <= 320 THEN held || w WHEN len(w) > 320 OR len({_TAIL}) > 320 THEN [] ELSE {_TAIL} END,
@@ -102,11 +102,32 @@ _TAIL = "(held[greatest(len(held) - 47, 1) :] || w)"
 ), ends AS (SELECT doc_id, i, out FROM s UNION ALL SELECT doc_id, i + 1, CASE WHEN len(held) > 0 THEN [array_to_string(held, ' ')] ELSE [] END FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) = 1
 ), c AS (SELECT doc_id, i, unnest(range(1, len(out) + 1)) AS j, unnest(out) AS chunk FROM ends
 ), n AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INT AS ordinal, chunk FROM c)
-SELECT doc_id, ordinal, 'General' AS section, chunk, sha1(doc_id || ':' || ordinal || ':' || chunk) AS chunk_id FROM n""")
+SELECT doc_id, ordinal, 'General' AS section, chunk, sha1(doc_id || ':' || ordinal || ':' || chunk) AS chunk_id FROM n"""
+
+
+@query(_HIERARCHICAL)
 def chunk_hierarchical(spark: SparkSession, d: str) -> DataFrame:
     return chunking.hierarchical(table(spark, d, "documents"))
 
 
+@query(_HIERARCHICAL)
+def packed_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The same chunks from documents whose lines are rows: an ordered fold over a partitioned table."""
+    return chunkers.packed_lines(chunkers.lines(table(spark, d, "documents")))
+
+
+@query(_HIERARCHICAL.replace("SELECT doc_id, ordinal, 'General'", "SELECT 'hierarchical' AS chunker, doc_id, ordinal, 'General'") + f"""
+UNION ALL SELECT 'sliding', doc_id, ordinal, 'General', chunk, sha1(concat_ws(':', doc_id::VARCHAR, ordinal::VARCHAR, chunk)) FROM (
+  SELECT doc_id, cast(i AS int) AS ordinal, array_to_string(w[i * 272 + 1 : i * 272 + 320], ' ') AS chunk
+  FROM (SELECT doc_id, w, unnest(range(0, cast(greatest(ceil((len(w) - 320) / 272.0), 0) AS bigint) + 1)) AS i
+        FROM (SELECT doc_id, {WORDS.format("text")} AS w FROM documents) WHERE len(w) > 0))""")
+def chunkers_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """Both chunkers as table functions, joined laterally."""
+    docs = table(spark, d, "documents")
+    both = [chunkers.chunked(docs, by, text=x).withColumn("chunker", F.lit(by)) for by, x in (("hierarchical", "text"), ("sliding", chunkers.spaced()))]
+    return both[0].unionByName(both[1])
+
+
 CHUNKS = f"""chunks AS (SELECT doc_id, ordinal, chunk, sha1(concat_ws(':', doc_id::VARCHAR, ordinal::VARCHAR, chunk)) AS chunk_id, source, lang, n_words FROM (
   SELECT doc_id, source, lang, cast(i AS int) AS ordinal, array_to_string(w[i * 272 + 1 : i * 272 + 320], ' ') AS chunk,
     len(w[i * 272 + 1 : i * 272 + 320])::BIGINT AS n_words
@@ -171,6 +192,15 @@ def hash_embedding(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "slot", F.round("value", 6).alias("value"))
 
 
+@query(f"WITH {_embedded('doc_id', 'text', 'documents')} SELECT id::BIGINT AS doc_id, slot, round(value, 6) AS value FROM emb WHERE side = 0")
+def embedding_store(spark: SparkSession, d: str) -> DataFrame:
+    """The same vectors from a store that embeds each content once, filled in two steps."""
+    docs, store = table(spark, d, "documents"), embedding.EmbeddingStore(spark, scratch(spark, "embeddings"), "hash")
+    store.embed(docs.where("lang = 'en'"), "doc_id", "text")
+    found = store.embed(docs, "doc_id", "text").select("doc_id", F.posexplode("vector").alias("slot", "value"))
+    return found.where("value != 0").select("doc_id", F.col("slot").cast("bigint").alias("slot"), F.round("value", 6).alias("value"))
+
+
 @query(f"""WITH {DENSE} SELECT item_id, chunk_id, round(dense, 6) AS dense, rank FROM (
 SELECT *, cast(row_number() OVER (PARTITION BY item_id ORDER BY dense DESC, chunk_id) AS int) AS rank FROM dense WHERE dense > 0) WHERE rank <= 20""")
 def dense_scores(spark: SparkSession, d: str) -> DataFrame:
