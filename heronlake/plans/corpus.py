@@ -15,8 +15,7 @@ from heronlake.operators import activity as A
 from heronlake.operators import chunkers, chunking, embedding, inverted, ivf, retrieval
 from heronlake.plans.registry import TOKENS, WORDS, query
 from heronlake.sources import files
-from heronlake.sources.scratch import files as file_system
-from heronlake.sources.scratch import scratch, stored
+from heronlake.sources.scratch import once, scratch
 from heronlake.sources.tables import table
 
 BIG = "cast(count(*) as bigint)"
@@ -173,17 +172,9 @@ HYBRID = f"""{FUSED}, best AS (SELECT * FROM fused QUALIFY row_number() OVER (PA
 ), final_ AS (SELECT * FROM ranked WHERE rank <= 5)"""
 
 
-_STORED: dict[tuple, DataFrame] = {}
-
-
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """The questions, and the chunks of all documents with their names and sections, stored as an ingestion leaves them: once
-    for an application and state of the documents."""
-    fs, target = file_system(spark, f"{d}/documents.parquet")
-    key = spark.sparkContext.applicationId, d, fs.getFileStatus(target).getModificationTime(), fs.getContentSummary(target).getLength()
-    if key not in _STORED:
-        _STORED[key] = stored(chunking.sliding(table(spark, d, "documents"), also=("source", "lang")), "chunks")
-    return table(spark, d, "benchmark"), _STORED[key]
+    """The questions, and the chunks of all documents with their names and sections, stored as an ingestion leaves them."""
+    return table(spark, d, "benchmark"), once(spark, d, "documents", "chunks", lambda: chunking.sliding(table(spark, d, "documents"), also=("source", "lang")))
 
 
 @query(f"WITH {_embedded('doc_id', 'text', 'documents')} SELECT id::BIGINT AS doc_id, slot, round(value, 6) AS value FROM emb WHERE side = 0")

@@ -12,6 +12,8 @@ from heronlake.functions import tables as O
 from heronlake.functions import text as X
 from heronlake.functions import web
 from heronlake.plans.registry import query
+from heronlake.sources.scratch import once, scratch, stored
+from heronlake.sources.store import Layout, Store
 from heronlake.sources.tables import table
 
 
@@ -370,7 +372,7 @@ def _posts(spark: SparkSession, d: str) -> DataFrame:
     )
     pages = c.groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(F.struct(node.alias("node"))).alias("edges"))).alias("js"))
     source = F.concat(F.lit('<html><script type="application/json">'), "js", F.lit("</script></html>"))
-    return P.extracted(pages.select("conv_id", source.alias("s")), "conv_id", "s")
+    return once(spark, d, "conversations", "posts", lambda: P.extracted(pages.select("conv_id", source.alias("s")), "conv_id", "s"))
 
 
 @query("""SELECT conv_id, turn, total FROM (SELECT conv_id, turn, count(*) OVER ()::BIGINT AS total FROM conversations
@@ -457,8 +459,8 @@ def best_media(spark: SparkSession, d: str) -> DataFrame:
       concat('<Representation bandwidth="', 1 + (p_partkey * 7 + k * 5) % 11, '" width="', 100 * (k + 1), '" height="', 50 * (k + 1), '"><BaseURL>https://v.example/', p_partkey, '-', k, '.mp4</BaseURL></Representation>')), ''),
       '</AdaptationSet><AdaptationSet mimeType="audio/mp4"><Representation bandwidth="9"><BaseURL>https://v.example/', p_partkey, '.m4a</BaseURL></Representation></AdaptationSet></Period></MPD>')""")
     source = F.concat(F.lit('<script>{"manifest_xml":"'), F.replace(xml, F.lit('"'), F.lit('\\"')), F.lit('"}</script>'))
-    found = P.rows(table(spark, d, "part").select("p_partkey", source.alias("s")), "p_partkey", "s", "video_url string, audio_url string, width bigint, height bigint", lambda x: list(P.manifests(x)))
-    return found
+    found = P.manifests(table(spark, d, "part").select("p_partkey", source.alias("s")), "p_partkey", "s")
+    return found.select("p_partkey", "video_url", "audio_url", "width", "height")
 
 
 @query("""SELECT c_custkey, c_custkey * 13 % 1000 + 1000 AS followers, c_custkey % 97 AS likes, c_mktsegment AS category, 'https://c' || c_custkey || '.example' AS website,
@@ -481,16 +483,30 @@ def post_context(spark: SparkSession, d: str) -> DataFrame:
     return P.extracted(one.select("conv_id", source.alias("s")), "conv_id", "s").select("conv_id", "id", "posted_at", "caption")
 
 
+#: Sessions, and their posts and reels by kind; a session's rows lie together.
+SESSIONS = {
+    "sessions": Layout("session_id bigint, caption string, likes bigint, comments bigint", ("session_id",), buckets=2),
+    "details": Layout("session_id bigint, post_id string, content_type string, caption string, likes bigint, comments bigint", ("session_id", "post_id"), ("content_type",), ("session_id",), 2),
+}
+
+
 @query(f"""SELECT conv_id AS session_id, CASE WHEN role = 'user' THEN 'reel' ELSE 'post' END AS content_type, id AS post_id, caption, likes, comments FROM {_POSTS}
 UNION ALL SELECT conv_id, 'session', NULL, count(*) || ' items', sum(likes)::BIGINT, sum(comments)::BIGINT FROM {_POSTS} GROUP BY conv_id""")
 def session_detail_rows(spark: SparkSession, d: str) -> DataFrame:
-    """What a scrape session leaves: a header and a row for each post and reel, with numbers that are never null."""
+    """What a scrape session leaves in its tables, in one change: a header and a row for each post and reel, with numbers that
+    are never null."""
     p = _posts(spark, d)
     kind = P.classified(F.col("media"), F.col("url"))
     rows = p.select(F.col("conv_id").alias("session_id"), kind.alias("content_type"), F.col("id").alias("post_id"), "caption", F.coalesce("likes", F.lit(0)).alias("likes"), F.coalesce("comments", F.lit(0)).alias("comments"))
+    rows = stored(rows, "details")
     head = rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.sum("likes").alias("likes"), F.sum("comments").alias("comments"))
-    head = head.select("session_id", F.lit("session").alias("content_type"), F.lit(None).cast("string").alias("post_id"), F.concat("n", F.lit(" items")).alias("caption"), "likes", "comments")
-    return rows.unionByName(head)
+    store = Store(spark, scratch(spark, "sessions"), SESSIONS)
+    with store.change() as c:
+        c.upsert("sessions", head.select("session_id", F.concat("n", F.lit(" items")).alias("caption"), "likes", "comments"))
+        c.upsert("details", rows)
+    now = store.snapshot()
+    kept = now.read("sessions").select("session_id", F.lit("session").alias("content_type"), F.lit(None).cast("string").alias("post_id"), "caption", "likes", "comments")
+    return now.read("details").unionByName(kept)
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN '***' END AS api_key, CASE WHEN c_custkey % 2 = 0 THEN '***' END AS token, c_name AS name FROM customer""")

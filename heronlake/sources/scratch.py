@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: set[str] = set()
+_ONCE: dict[tuple, DataFrame] = {}
 
 
 def base(spark: SparkSession) -> str:
@@ -43,3 +45,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def once(spark: SparkSession, folder: str, table: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` gives of a folder's table, stored once for an application and a state of the table."""
+    fs, target = files(spark, f"{folder}/{table}.parquet")
+    key = spark.sparkContext.applicationId, folder, name, fs.getFileStatus(target).getModificationTime(), fs.getContentSummary(target).getLength()
+    if key not in _ONCE:
+        _ONCE[key] = stored(make(), name)
+    return _ONCE[key]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 import random
 import zipfile
@@ -14,7 +13,6 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from heronlake import plans
-from heronlake.functions import posts
 from heronlake.functions import text as X
 from heronlake.functions import web
 from heronlake.functions.html import Page
@@ -190,18 +188,6 @@ def test_pages_as_trees():
     assert Page("").text == "" and Page("<p>a</b></i><p>b").text == "a\nb" and Page("<a href='http://[x'>y</a>").anchors[0]["domain"] == ""
 
 
-def test_posts_of_broken_and_nested_payloads():
-    story = '{"__typename":"Story","id":"1","message":{"text":" a  b "},"creation_time":0}'
-    assert [x["id"] for x in posts.posts(f'<script type="x">{{"a":[{story},{{"b":{story}}}]}}</script>')] == ["1"]
-    assert posts.posts(f'data-sjs>{{"x":{story}}} trailing</script>')[0]["caption"] == "a b"
-    deep = story
-    for _ in range(30):
-        deep = '{"k":' + deep + "}"
-    assert posts.posts(f"data-sjs>{deep}</script>") == [] and posts.posts("") == []
-    assert posts.post({"message": "only text"})["id"] == hashlib.md5(b"only text").hexdigest()[:12] and posts.post({}) is None
-    assert posts.representations("<MPD/>") is None and posts.representations("no xml") is None
-
-
 def test_readers_of_sheets_slides_pdfs_and_folders(spark, tmp_path):
     def packed(parts: dict[str, str]) -> bytes:
         out = io.BytesIO()
