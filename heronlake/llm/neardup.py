@@ -4,9 +4,12 @@ Equal vectors of a label are one node. A first neighbour graph joins nodes that
 random hyperplane signs; it is then refined by comparing the neighbours of each node with each other (NN-descent, Dong et
 al., 2011) until few lists change. The graph's edges are checked in double precision and those from the threshold on are
 kept. A node whose list is full and wholly reaches the threshold is saturated: its list may lack links, so it is enlarged to
-all members of its component, in blocks, of which only counts are kept. Recall is audited against brute force on nodes that
-have links, and the graph refined further, with longer lists, while it falls short; it is logged, and a recall below
-:attr:`Settings.least` is an error.
+all members of its component, in blocks, of which only counts are kept. It may also hide links to other components. So
+saturated nodes are led by one of their nearest, within an angle r, and the leaders alone get a graph, with lists of twice
+the length: two nodes that link have leaders within their own angle plus 2 r. The components of leaders that near meet in
+blocks, too. Leaders that are saturated again are led again, up to three times. Recall is audited by nodes and by links
+against brute force, on nodes of all degrees, and the graph refined further, with longer lists, while it falls short; it is
+logged, and a recall below :attr:`Settings.least` is an error.
 
 Refinement works on bytes for components. Those of a unit vector of d components are off by e = sqrt(d) / 254 at most, so by
 an angle of asin(e), and a cosine of t or more isn't seen as less than cos(acos(t) + 2 asin(e)): edges from there on are
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ LOG = logging.getLogger(__name__)
 
 @dataclass
 class Settings:
-    """audited bounds the nodes whose links are counted for recall, and asked is how many of them should have any; block the
-    members of a component that are met at once."""
+    """asked is about how many nodes' links are counted for recall; block the members of a component that are met at once;
+    tight is the least cosine of a node and its leader, and levels how often leaders are led again."""
 
     threshold: float = 0.93
     neighbours: int = 12
@@ -42,8 +45,9 @@ class Settings:
     reach: int = 12
     rounds: int = 2
     settled: float = 0.02
-    audited: int = 2000
-    asked: int = 200
+    asked: int = 400
+    tight: float = 0.995
+    levels: int = 3
     recall: float = 0.97
     least: float = 0.9
     retries: int = 3
@@ -231,10 +235,40 @@ def refine(nodes: DataFrame, graph: DataFrame, k: int, s: Settings) -> DataFrame
     return stored(best(merged, k), "graph")
 
 
-def loosest(nodes: DataFrame, threshold: float) -> float:
-    """What a cosine of the threshold may look like in bytes for components; see the module."""
+def loosest(nodes: DataFrame, threshold: float, level: int = 0, tight: float = 1.0) -> float:
+    """What a cosine of the threshold may look like in bytes for components, between leaders of a level; see the module."""
     size = (nodes.agg(F.max(F.octet_length("vec"))).first()[0] or 8) // 8
-    return float(np.cos(min(np.pi, np.arccos(threshold) + 2 * np.arcsin(min(1.0, size**0.5 / 254)))))
+    off = 2 * np.arcsin(min(1.0, size**0.5 / 254))
+    return float(np.cos(min(np.pi, np.arccos(threshold) + off + 2 * level * (np.arccos(tight) + off))))
+
+
+def saturated(graph: DataFrame, k: int, least: float) -> DataFrame:
+    """(u): nodes whose list of k is full and wholly at ``least`` or above."""
+    full = graph.groupBy("u").agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("c"))
+    return full.where((F.col("s") >= least) & (F.col("c") >= k)).select("u")
+
+
+def across(nodes: DataFrame, graph: DataFrame, parts: DataFrame, k: int, s: Settings) -> DataFrame:
+    """(a, b), a below b: components whose saturated nodes can link, by the graphs of their leaders."""
+    pairs, least = nodes.sparkSession.createDataFrame([], "a bigint, b bigint"), loosest(nodes, s.threshold)
+    part = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias("p" + c))
+    for level in range(1, s.levels + 1):
+        full = stored(saturated(graph, k, least), "saturated")
+        if full.isEmpty():
+            break
+        order = lambda c: F.struct(F.xxhash64(c, F.lit(level)).alias("h"), F.col(c).alias("v"))
+        near = graph.where(F.col("s") >= s.tight).select("u", order("v").alias("x")).unionByName(full.select("u", order("u").alias("x")))
+        led = near.join(full, "u", "left_semi").groupBy("u").agg(F.min("x").alias("x"))
+        leaders = stored(nodes.join(led.select(F.col("x.v").alias("node")).distinct(), "node", "left_semi"), "leaders")
+        k, least = 2 * k, loosest(nodes, s.threshold, level, s.tight)
+        graph = first_graph(leaders, replace(s, neighbours=k))
+        for _ in range(s.rounds):
+            graph = refine(leaders, graph, k, s)
+        met = graph.where(F.col("s") >= least).join(part("u"), "u", "left").join(part("v"), "v", "left")
+        a, b = F.coalesce("pu", "u"), F.coalesce("pv", "v")
+        met = met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b")
+        pairs = stored(pairs.unionByName(met).distinct(), "across")
+    return pairs
 
 
 def links_of(nodes: DataFrame, graph: DataFrame, s: Settings, loose: float) -> DataFrame:
@@ -266,57 +300,77 @@ def counted(nodes: DataFrame, graph: DataFrame, k: int, s: Settings) -> tuple[Da
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     weight = nodes.select(F.col("node").alias("b"), "n")
     direct = both.join(weight, "b").groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("links"), F.sum("n").alias("rows"))
-    full = graph.groupBy(F.col("u").alias("node")).agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("c"))
-    full = full.where((F.col("s") >= loose) & (F.col("c") >= k))
-    large = stored(
-        parts.join(full, "node", "left_semi").select("component").distinct().join(parts, "component").groupBy("component").count(),
-        "large",
-    )
-    members = parts.join(large, "component").join(nodes, "node")
-    many = F.ceil(F.col("count") / s.block)
-    members = stored(members.select("component", "node", "vec", "n", many.alias("many"), F.pmod(F.xxhash64("node", F.lit(1)), many).alias("own")), "members")
-    dealt = members.withColumn("other", F.explode(F.expr("sequence(0L, many - 1)")))
-    rows = dealt.select("component", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left"), "node", "vec", "n")
-    columns = dealt.select("component", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"), "node", "vec", "n")
-    blocks = rows.unionByName(columns).groupBy("component", "i", "j").agg(F.collect_list(F.struct("left", "node", "n", "vec")).alias("x"))
+    pairs = across(nodes, graph, parts, k, s)
+    full = stored(saturated(graph, k, loose).select(F.col("u").alias("node")), "full")
+    # nodes without a link may be saturated as well: they are components of their own
+    placed = parts.unionByName(full.join(parts, "node", "left_anti").select("node", F.col("node").alias("component")))
+    met = pairs.select("a").union(pairs.select("b")).toDF("component")
+    dense = placed.join(full, "node", "left_semi").select("component").unionByName(met).distinct()
+    # a component may be met by leaders alone: its single node
+    alone = dense.join(placed.select("component"), "component", "left_anti").select(F.col("component").alias("node"), "component")
+    held = placed.join(dense, "component", "left_semi").select("node", "component").unionByName(alone)
+    large = stored(held.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / s.block).alias("many")), "large")
+    members = held.join(large, "component").join(nodes, "node")
+    members = stored(members.select("component", "node", "vec", "n", "many", F.pmod(F.xxhash64("node", F.lit(1)), "many").alias("own")), "members")
+    every = pairs.unionByName(large.select(F.col("component").alias("a"), F.col("component").alias("b")))
+    size = lambda c: large.select(F.col("component").alias(c), F.col("many").alias("n" + c))
+    every = stored(every.join(size("a"), "a").join(size("b"), "b"), "meetings")
+    left = members.join(every.withColumnRenamed("a", "component"), "component").withColumnRenamed("component", "a")
+    left = left.select("a", "b", F.col("own").alias("i"), F.explode(F.expr("sequence(0L, nb - 1)")).alias("j"), F.lit(True).alias("left"), "node", "vec", "n")
+    right = members.join(every.withColumnRenamed("b", "component"), "component").withColumnRenamed("component", "b")
+    right = right.select("a", "b", F.explode(F.expr("sequence(0L, na - 1)")).alias("i"), F.col("own").alias("j"), F.lit(False).alias("left"), "node", "vec", "n")
+    blocks = left.unionByName(right).groupBy("a", "b", "i", "j").agg(F.collect_list(F.struct("left", "node", "n", "vec")).alias("x"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["node", "links", "rows", "a", "b"]
         for b in batches:
             for k in range(b.num_rows):
+                one, other = b.column(1)[k].as_py(), b.column(2)[k].as_py()
                 x = b.column(0).slice(k, 1).flatten()
                 side, node, n = (np.asarray(x.field(i).to_numpy(zero_copy_only=False)) for i in range(3))
-                vec = np.frombuffer(b"".join(x.field(3).to_pylist()), "<f8").reshape(len(node), -1)
+                raw = x.field(3).to_pylist()
                 side = side.astype(bool)
-                linked = (vec[side] @ vec[~side].T >= s.threshold) & (node[side][:, None] != node[~side][None])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[side], pa.int64()), pa.array(linked.sum(1), pa.int64()), pa.array(linked @ n[~side], pa.int64())],
-                    names=["node", "links", "rows"],
-                )
-
-    exact = blocks.select("x").mapInArrow(count, "node bigint, links bigint, rows bigint")
-    exact = exact.groupBy("node").agg(F.sum("links").alias("links"), F.sum("rows").alias("rows"))
+                # vectors of components that meet may differ in length
+                wide = max(map(len, raw))
+                sizes = np.array([len(v) for v in raw])
+                vec = np.frombuffer(b"".join(v.ljust(wide, b"\0") for v in raw), "<f8").reshape(len(node), -1)
+                linked = (vec[side] @ vec[~side].T >= s.threshold) & (node[side][:, None] != node[~side][None]) & (sizes[side][:, None] == sizes[~side][None])
+                sides = [(side, linked, ~side)] if one == other else [(side, linked, ~side), (~side, linked.T, side)]
+                for own, m, them in sides:
+                    kind = [pa.array(np.full(int(own.sum()), v), pa.int64()) for v in (one, other)]
+                    yield pa.RecordBatch.from_arrays([pa.array(node[own], pa.int64()), pa.array(m.sum(1), pa.int64()), pa.array(m @ n[them], pa.int64()), *kind], names=names)
+
+    exact = blocks.select("x", "a", "b").mapInArrow(count, "node bigint, links bigint, rows bigint, a bigint, b bigint")
+    exact = exact.groupBy("node", "a", "b").agg(F.sum("links").alias("links"), F.sum("rows").alias("rows"))
     exact = stored(exact, "exact")
+    joined = components(exact.where("a != b AND links > 0").select("a", "b").distinct())
+    joined = stored(joined.select(F.col("node").alias("component"), F.col("component").alias("whole")), "joined")
+    exact = stored(exact.groupBy("node").agg(F.sum("links").alias("links"), F.sum("rows").alias("rows")), "exact")
+    found = placed.unionByName(alone).join(joined, "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
     direct = direct.join(exact.select("node"), "node", "left_anti")
-    return stored(exact.unionByName(direct), "counts"), parts
+    return stored(exact.unionByName(direct), "counts"), stored(found, "parts")
 
 
 def audit(nodes: DataFrame, counts: DataFrame, s: Settings) -> tuple[float, int]:
-    """The mean share of true links found, and the nodes that it is a mean of: those of a bounded sample that have any.
+    """The share of true links found, and the nodes that it was measured on: the lesser of the mean over nodes and the share of
+    all links of a bounded sample.
 
-    All links of the sample are counted against all rows. Without a node with links the share is 1.
+    The sample has nodes of all numbers of links found, none too, alike many of each power of two; their links are counted
+    against all rows. Without a node with links the share is 1, on none.
     """
-    sample = nodes.orderBy(F.xxhash64("node", F.lit(s.seed)), "node")
-    share, measured = 0.0, 0
-    for first in range(0, s.audited, s.asked):  # until enough nodes with links are met
-        rows = sample.offset(first).limit(s.asked).select("node", "label", "vec").collect()
-        if not rows:
-            break
-        found = true_links(nodes, rows, s).where("t > 0").join(counts, "node", "left")
-        total, n = found.agg(F.sum(F.coalesce("links", F.lit(0)) / F.col("t")), F.count(F.lit(1))).first()
-        share, measured = share + (total or 0.0), measured + n
-        if measured >= s.asked // 2:
-            break
-    return (share / measured, measured) if measured else (1.0, 0)
+    own = nodes.select("node").join(counts.select("node", "links"), "node", "left").fillna(0, ["links"])
+    own = stored(own.withColumn("power", F.floor(F.log2(F.col("links") + 1))), "degrees")
+    powers = own.select("power").distinct().count()
+    place = F.row_number().over(W.partitionBy("power").orderBy("h", "node"))
+    some = max(1, s.asked // max(1, powers))
+    few = own.withColumn("h", F.xxhash64("node", F.lit(s.seed))).withColumn("r", place).where(F.col("r") <= some)
+    rows = nodes.join(few.select("node"), "node").select("node", "label", "vec").collect()  # asked, about
+    if not rows:
+        return 1.0, 0
+    found = stored(true_links(nodes, rows, s), "true").where("t > 0").join(counts, "node", "left")
+    each = F.coalesce("links", F.lit(0))
+    r = found.agg(F.avg(each / F.col("t")).alias("mean"), (F.sum(each) / F.sum("t")).alias("share"), F.count(F.lit(1)).alias("n")).first()
+    return (min(r.mean, r["share"]), r.n) if r.n else (1.0, 0)
 
 
 def true_links(nodes: DataFrame, rows: list, s: Settings) -> DataFrame:

@@ -270,6 +270,62 @@ def test_near_duplicates_of_planted_clusters(spark, caplog):
     assert any("recall" in r.message and " 0 vectors" not in r.getMessage() for r in caplog.records)
 
 
+def near_rows(spark, x, label=7):
+    return spark.createDataFrame([(i, v.tolist(), label) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>, label int")
+
+
+def components_of(linked):
+    part = np.arange(len(linked))
+    while True:
+        least = np.minimum(part, np.where(linked, part[None], len(part)).min(1))
+        if (least == part).all():
+            return part
+        part = least
+
+
+@pytest.mark.parametrize(("groups", "size", "between"), [(2, 20, 0.955), (4, 60, 0.945)])
+def test_saturated_groups_that_link_are_found(spark, groups, size, between):
+    """Groups of near copies, joined by weaker links than all their own, among many pairs and singles."""
+    rng = np.random.default_rng(12)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    step = lambda x, c: unit(c * x + np.sqrt(1 - c * c) * unit((y := rng.normal(size=64)) - (y @ x) * x))
+    centres = [unit(rng.normal(size=64))]
+    for _ in range(groups - 1):
+        centres.append(step(centres[-1], between))
+    parts = [unit(c + 0.0035 * rng.normal(size=(size, 64))) for c in centres]
+    pairs = unit(rng.normal(size=(600, 64)))
+    parts += [pairs, np.array([step(v, 0.97) for v in pairs]), unit(rng.normal(size=(100, 64)))]
+    x = np.concatenate(parts)
+    linked = x @ x.T >= 0.93
+    np.fill_diagonal(linked, False)
+    true, component = linked.sum(1), components_of(linked)
+    assert true[:size].min() >= size and len(set(component[: groups * size])) == 1
+    got = {r.vec_id: r for r in neardup.near_duplicates(near_rows(spark, x)).collect()}
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= true).all() and (found[: groups * size] == true[: groups * size]).all() and found.sum() >= 0.97 * true.sum()
+    assert [got[i].component_id for i in range(groups * size)] == component[: groups * size].tolist()
+
+
+def test_sparse_links_are_found(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(4000, 64))
+    for a, b in ((3, 3000), (17, 2500)):
+        x[b] = x[a] + 0.02 * rng.normal(size=64)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neardup.near_duplicates(near_rows(spark, x)).collect()}
+    assert {i: v for i, v in got.items() if v[0]} == {3: (1, 3), 3000: (1, 3), 17: (1, 17), 2500: (1, 17)}
+
+
+def test_the_audit_weighs_links(spark):
+    s = neardup.Settings()
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.normal(size=64) + 0.01 * rng.normal(size=(40, 64)), rng.normal(size=(300, 64))])
+    nodes, _ = neardup.nodes_of(near_rows(spark, x), "vec_id", "embedding", "label", s)
+    half = nodes.select("node", F.lit(10).cast("bigint").alias("links"))
+    rows = neardup.true_links(nodes, nodes.select("node", "label", "vec").collect(), s).where("t > 0").select("node")
+    recall, n = neardup.audit(nodes, half.join(rows, "node", "left_semi"), s)
+    assert n >= 40 and recall < 0.3
+
+
 def test_an_audit_of_nothing_says_so(spark):
     table = spark.createDataFrame([(i, np.eye(8)[i].tolist(), 1) for i in range(8)], "vec_id bigint, embedding array<double>, label int")
     nodes, _ = neardup.nodes_of(table, "vec_id", "embedding", "label", neardup.Settings())
