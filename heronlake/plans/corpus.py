@@ -12,7 +12,7 @@ from heronlake.functions import tables as O
 from heronlake.functions import text as X
 from heronlake.functions.vectors import cosine
 from heronlake.operators import activity as A
-from heronlake.operators import chunkers, chunking, embedding, inverted, ivf, retrieval
+from heronlake.operators import chunkers, chunking, embedding, inverted, ivf, profile, retrieval
 from heronlake.plans.registry import TOKENS, WORDS, query
 from heronlake.sources import files
 from heronlake.sources.scratch import once, scratch
@@ -251,6 +251,15 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return found.select("item_id", "chunk_id", *rounded, "rank")
 
 
+@query(f"""WITH {HYBRID} SELECT 'fusion' AS step, NULL::DOUBLE AS best, NULL::DOUBLE AS mean UNION ALL SELECT 'candidates', round(max(score), 6), round(avg(score), 6) FROM best
+UNION ALL SELECT 'rerank', NULL, NULL UNION ALL SELECT 'results', round(max(final), 6), round(avg(final), 6) FROM final_""")
+def search_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of a search with the best and the mean score, observed as the rows pass."""
+    steps = profile.Profile(spark)
+    profile.profiled_search(steps, *_sides(spark, d))
+    return steps.table().select("step", *(F.round(F.col("counts")[c], 6).alias(c) for c in ("best", "mean")))
+
+
 @query(f"WITH {HYBRID} SELECT item_id, chunk_id, round(rerank_score, 6) AS rerank_score, round(final, 6) AS final FROM hybrid")
 def local_rerank(spark: SparkSession, d: str) -> DataFrame:
     items, chunks = _sides(spark, d)

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronlake.functions import text as X
-from heronlake.operators import merge
+from heronlake.operators import merge, profile
 from heronlake.plans.registry import query
 from heronlake.sources.scratch import files, scratch
 from heronlake.sources.store import Layout, Store
 from heronlake.sources.tables import table
+from heronlake.streaming import flows
 
 #: Bytes of a table for each bucket, and the fewest buckets.
 BUCKET_BYTES, BUCKETS = 256 << 20, 2
@@ -214,3 +215,15 @@ def batch_export(spark: SparkSession, d: str) -> DataFrame:
     summary = spark.read.schema("file string, words bigint, chars bigint").option("header", True).csv(f"{out}/summary")
     met = spark.read.parquet(f"{out}/texts").join(results.select("file", "status"), "file").join(summary, "file")
     return met.withColumns({"ok": F.lit(counts.ok), "failed": F.lit(counts.failed)})
+
+
+@query(r"""SELECT count(*)::BIGINT AS came, count(*) FILTER (regexp_matches(text, '[^\s]'))::BIGINT AS with_text, sum(n_chars)::BIGINT AS chars, 100.0::DOUBLE AS progress FROM documents""")
+def ingest_observed(spark: SparkSession, d: str) -> DataFrame:
+    """A stream of documents into a table, whose counts and progress a listener hears batch by batch."""
+    rows, path = flows.source(spark, d, "documents").select("doc_id", "text", "n_chars"), scratch(spark, "observed")
+    total = table(spark, d, "documents").count()
+    start = lambda s: s.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    heard = profile.ingested(rows, total, start, with_text=F.count_if(F.col("text").rlike(r"\S")), chars=F.sum("n_chars"))
+    told = heard.table(spark)
+    count = lambda c: F.sum(F.col("counts")[c]).cast("bigint").alias(c)
+    return told.agg(count("came"), count("with_text"), count("chars"), F.max("progress").alias("progress"))

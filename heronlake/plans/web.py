@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from heronlake.functions import html as H
 from heronlake.functions import web
-from heronlake.operators import crawl
+from heronlake.operators import crawl, frontier
 from heronlake.plans.registry import query
+from heronlake.sources.scratch import scratch, stored
 from heronlake.sources.tables import table
 
 LINKS = """list_filter(regexp_extract_all(html, '(?i)<a[^>]+href="([^"]*)"', 1), lambda x: NOT regexp_matches(x, '^(?:javascript|mailto|tel):') AND x <> '')"""
@@ -384,6 +385,30 @@ def pdf_harvest(spark: SparkSession, d: str) -> DataFrame:
     return seen.join(found, "page").select("page", "depth", F.concat("link", F.lit(".pdf")).alias("url")).distinct()
 
 
+def _frontier_sql(depth: int) -> str:
+    """Level by level: what the pages that are no copies lead to and wasn't seen; of one content the first is done."""
+    parts = [f"""links AS (SELECT page_id, unnest({LINKS}) AS link FROM pages),
+    known AS (SELECT 'page:' || page_id AS url, sha256(html) AS h FROM pages UNION ALL SELECT 'link:' || link, sha256('link:' || link) FROM (SELECT DISTINCT link FROM links)),
+    e AS (SELECT DISTINCT 'page:' || page_id AS url, 'link:' || link AS target FROM links UNION SELECT 'link:' || link, 'page:' || page_id FROM links),
+    l0 AS (SELECT 'page:' || min(page_id) AS url, 0 AS depth, NULL::VARCHAR AS parent FROM pages), s0 AS (SELECT l0.*, h, 'completed' AS state FROM l0 JOIN known USING (url)), a0 AS (SELECT * FROM s0)"""]
+    for i in range(1, depth + 1):
+        parts.append(f"""l{i} AS (SELECT target AS url, {i} AS depth, min(e.url) AS parent FROM s{i - 1} JOIN e USING (url) WHERE state = 'completed' AND target NOT IN (SELECT url FROM a{i - 1}) GROUP BY target),
+    s{i} AS (SELECT l.*, k.h, CASE WHEN k.h IN (SELECT h FROM a{i - 1} WHERE state = 'completed') OR row_number() OVER (PARTITION BY k.h ORDER BY l.url) > 1 THEN 'duplicate' ELSE 'completed' END AS state FROM l{i} l JOIN known k USING (url)),
+    a{i} AS (SELECT * FROM a{i - 1} UNION ALL SELECT * FROM s{i})""")
+    return "WITH " + ", ".join(parts) + f" SELECT url, depth, parent, state FROM a{depth}"
+
+
+@query(_frontier_sql(4))
+def frontier_crawl(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl from the first page over pages and the links that they share, with a stored frontier."""
+    pages = table(spark, d, "pages")
+    known, links = (stored(x, "site") for x in frontier.bipartite(pages))
+    crawled = frontier.Frontier(spark, scratch(spark, "frontier"), 2)
+    crawled.seed(pages.agg(F.min("page_id").alias("p")).select(F.concat(F.lit("page:"), "p").alias("url")))
+    crawled.run(known, links, max_pages=1 << 40, max_depth=4, at_once=1 << 30)
+    return crawled.urls().select("url", "depth", "parent", "state")
+
+
 _MAPS = """'<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">' """
 
 
