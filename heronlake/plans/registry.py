@@ -10,6 +10,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+#: Cases: small literal inputs with the rows that they give. They are tested as queries are, and aren't registered.
+CASES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+CASES_SQL: dict[str, str] = {}
+
+
+def case(sql: str) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        CASES[f.__name__], CASES_SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
 def query(sql: str | None = None) -> Callable:
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[f.__name__] = f

@@ -1,4 +1,4 @@
-"""Queries over literal rows: parsers, guards, OCR results and posts."""
+"""Queries and cases of parsers, guards, OCR results and posts."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from heronlake.functions import posts as P
 from heronlake.functions import tables as O
 from heronlake.functions import text as X
 from heronlake.functions import web
-from heronlake.plans.registry import query
+from heronlake.plans.registry import case, query
 from heronlake.sources.scratch import once, scratch, stored
 from heronlake.sources.store import Layout, Store
 from heronlake.sources.tables import table
@@ -31,7 +31,7 @@ def _values(values: list, names: str) -> str:
 COUNTS = [("1.2K", 1200), ("3M", 3_000_000), ("1,234", 1234), ("", 0), ("abc", 0), ("7 likes", 0), ("7 shares", 7), (None, 0)]
 
 
-@query(f"SELECT coalesce(s, '-') AS s, n::BIGINT AS n FROM {_values(COUNTS, 's, n')}")
+@case(f"SELECT coalesce(s, '-') AS s, n::BIGINT AS n FROM {_values(COUNTS, 's, n')}")
 def parse_count(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, [(s,) for s, _ in COUNTS], "s string")
     return rows.select(F.coalesce("s", F.lit("-")).alias("s"), X.parse_count(F.col("s")).alias("n"))
@@ -82,31 +82,42 @@ def human_date_column(text: Column, now: Column) -> Column:
     )
 
 
-@query(f"SELECT s, d AS at FROM {_values(DATES, 's, d')}")
+@case(f"SELECT s, d AS at FROM {_values(DATES, 's, d')}")
 def human_date(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, [(s,) for s, _ in DATES], "s string")
     return rows.select("s", human_date_column(F.col("s"), F.lit("2024-05-15 12:00:00").cast("timestamp")).alias("at"))
 
 
-NAMES = [("a b/c.pdf", "abc.pdf"), ("Ünï_1-2.txt", "Ünï_1-2.txt"), ("///", "file"), ("", "file")]
+NAME_CASES = [("a b/c.pdf", "abc.pdf"), ("Ünï_1-2.txt", "Ünï_1-2.txt"), ("///", "file"), ("", "file")]
 
 
-@query(f"SELECT s, n AS name FROM {_values(NAMES, 's, n')}")
+@case(f"SELECT s, n AS name FROM {_values(NAME_CASES, 's, n')}")
+def filename_cases(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, [(s,) for s, _ in NAME_CASES], "s string").select("s", X.clean_name(F.col("s")).alias("name"))
+
+
+@query(r"""SELECT page_id, coalesce(nullif(regexp_replace(url, '[^\p{L}\p{Nl}\p{M}\p{N}._-]', '', 'g'), ''), 'file') AS name,
+  coalesce(nullif(regexp_replace(coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), '[^\p{L}\p{N}._-]', '', 'g'), ''), 'file') AS titled FROM pages""")
 def filename_sanitize(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(spark, [(s,) for s, _ in NAMES], "s string").select("s", X.clean_name(F.col("s")).alias("name"))
+    """File names from addresses and titles."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    return table(spark, d, "pages").select("page_id", X.clean_name(F.col("url")).alias("name"), X.clean_name(title).alias("titled"))
 
 
-COOKIES = [("a=1; b=2", "a:1,b:2"), ("x=y", "x:y"), ("", "")]
+_QUERY = r"replace(regexp_extract(url, '\?([^#]*)', 1), '&', '; ')"
 
 
-@query(f"SELECT s, m AS pairs, replace(replace(m, ':', '='), ',', '; ') AS back FROM {_values(COOKIES, 's, m')}")
+@query(f"""SELECT page_id, array_to_string(list_transform(p, lambda x: trim(split_part(x, '=', 1)) || ':' || trim(substr(x, strpos(x, '=') + 1))), ',') AS pairs,
+  array_to_string(list_transform(p, lambda x: trim(split_part(x, '=', 1)) || '=' || trim(substr(x, strpos(x, '=') + 1))), '; ') AS back
+FROM (SELECT page_id, list_filter(string_split('page=' || page_id || '; flag; ' || {_QUERY}, ';'), lambda x: contains(x, '=')) AS p FROM pages)""")
 def cookie_map(spark: SparkSession, d: str) -> DataFrame:
-    """Name and value of each cookie, and the string that they make."""
-    parts = F.filter(F.split("s", ";"), lambda x: F.contains(x, F.lit("=")))
+    """Name and value of each cookie, and the string that they make; a page's cookies are its number and its parameters."""
+    text = F.concat(F.lit("page="), F.col("page_id"), F.lit("; flag; "), F.replace(F.regexp_extract("url", r"\?([^#]*)", 1), F.lit("&"), F.lit("; ")))
+    parts = F.filter(F.split(text, ";"), lambda x: F.contains(x, F.lit("=")))
     pairs = F.transform(parts, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x))).alias("v")))
-    rows = _rows(spark, [(s,) for s, _ in COOKIES], "s string").select("s", pairs.alias("p"))
+    rows = table(spark, d, "pages").select("page_id", pairs.alias("p"))
     joined = lambda mid, end: F.array_join(F.transform("p", lambda x: F.concat(x["k"], F.lit(mid), x["v"])), end)
-    return rows.select("s", joined(":", ",").alias("pairs"), joined("=", "; ").alias("back"))
+    return rows.select("page_id", joined(":", ",").alias("pairs"), joined("=", "; ").alias("back"))
 
 
 DRIVE = [
@@ -115,7 +126,7 @@ DRIVE = [
 ]
 
 
-@query(f"SELECT s, k AS kind, i AS id FROM {_values(DRIVE, 's, k, i')}")
+@case(f"SELECT s, k AS kind, i AS id FROM {_values(DRIVE, 's, k, i')}")
 def drive_id(spark: SparkSession, d: str) -> DataFrame:
     folder = F.nullif(F.regexp_extract("s", "/folders/([A-Za-z0-9_-]+)", 1), F.lit(""))
     file = F.coalesce(F.nullif(F.regexp_extract("s", "/d/([A-Za-z0-9_-]+)", 1), F.lit("")), F.nullif(F.regexp_extract("s", "[?&]id=([A-Za-z0-9_-]+)", 1), F.lit("")))
@@ -129,7 +140,7 @@ PROVIDERS = [
 ]
 
 
-@query(f"SELECT a, b, c, p AS provider FROM {_values(PROVIDERS, 'a, b, c, p')}")
+@case(f"SELECT a, b, c, p AS provider FROM {_values(PROVIDERS, 'a, b, c, p')}")
 def provider_detect(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, [r[:3] for r in PROVIDERS], "a string, b string, c string")
     return rows.select("a", "b", "c", X.provider(F.col("a"), F.col("b"), F.col("c")).alias("provider"))
@@ -140,7 +151,7 @@ UPLOADS = [("a.txt", 10, None), ("noext", 10, "extension"), ("a.exe", 10, "type"
 ALLOWED = "txt md pdf doc docx xls xlsx ppt pptx csv json xml html htm png jpg jpeg gif bmp tiff tif webp svg epub rtf".split()
 
 
-@query(f"SELECT s, n::BIGINT AS n, e AS error FROM {_values(UPLOADS, 's, n, e')}")
+@case(f"SELECT s, n::BIGINT AS n, e AS error FROM {_values(UPLOADS, 's, n, e')}")
 def upload_guard(spark: SparkSession, d: str) -> DataFrame:
     ending = F.lower(F.regexp_extract("s", r"\.([^.]+)$", 1))
     error = F.when(ending == "", "extension").when(~ending.isin(*ALLOWED), "type").when(F.col("n") > 100 << 20, "size")
@@ -153,7 +164,7 @@ OCR_UPLOADS = [
 ]
 
 
-@query(f"SELECT s, h, e AS error FROM {_values(OCR_UPLOADS, 's, h, e')}")
+@case(f"SELECT s, h, e AS error FROM {_values(OCR_UPLOADS, 's, h, e')}")
 def ocr_upload_guard(spark: SparkSession, d: str) -> DataFrame:
     ending = F.lower(F.regexp_extract("s", r"\.([^.]+)$", 1))
     content = F.unhex("h")
@@ -178,18 +189,20 @@ SITEMAPS = [
 ]
 
 
-@query(f"SELECT x, k AS kind, l AS locs FROM {_values(SITEMAPS, 'x, k, l')}")
+@case(f"SELECT x, k AS kind, l AS locs FROM {_values(SITEMAPS, 'x, k, l')}")
 def sitemap_locs(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, [(x,) for x, *_ in SITEMAPS], "x string").withColumn("s", web.sitemap(F.col("x")))
     return rows.select("x", "s.kind", F.concat_ws("|", F.array_join("s.pages", ","), F.array_join("s.sitemaps", ",")).alias("locs"))
 
 
-REGIONS = [(1, 0, "Hello", 0.99, 0, 0, 100, 20), (1, 1, "World", 0.40, 0, 25, 200, 45), (1, 2, "", 0.95, 0, 0, 1, 1), (2, 0, "Text", 0.75, 5, 5, 15, 25)]
-_REGION = _values(REGIONS, "page, idx, txt, conf, x1, y1, x2, y2")
+#: Regions of a page as an engine gives them: the words of a document, each with a box by its place, and as sure as it is long.
+_REGION = """(SELECT page, idx, txt, (length(txt) % 11) / 10.0::DOUBLE AS conf, idx % 10 * 60 AS x1, idx // 10 * 20 AS y1, idx % 10 * 60 + 8 * length(txt) AS x2, idx // 10 * 20 + 18 AS y2
+FROM (SELECT doc_id AS page, unnest(range(0, len(w)))::INT AS idx, unnest(w) AS txt FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)))"""
 
 
-def _regions(spark: SparkSession) -> DataFrame:
-    return _rows(spark, REGIONS, "page int, idx int, txt string, conf double, x1 int, y1 int, x2 int, y2 int")
+def _regions(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.posexplode(F.split("text", " ")).alias("idx", "txt"))
+    return words.selectExpr("page", "idx", "txt", "length(txt) % 11 / 10.0D AS conf", "idx % 10 * 60 AS x1", "idx div 10 * 20 AS y1", "idx % 10 * 60 + 8 * length(txt) AS x2", "idx div 10 * 20 + 18 AS y2")
 
 
 @query(f"""SELECT page, idx, txt, x1, y1, x2, y2 FROM {_REGION} WHERE conf >= 0.5 AND txt <> ''""")
@@ -197,14 +210,14 @@ def region_filter(spark: SparkSession, d: str) -> DataFrame:
     """Regions that are sure and not empty, with the box of their polygon."""
     corners = F.array(F.array("x2", "y1"), F.array("x1", "y1"), F.array("x1", "y2"), F.array("x2", "y2"))
     line = F.array(F.struct(corners.alias("polygon"), F.col("txt").alias("text"), F.col("conf").alias("confidence")))
-    found = _regions(spark).select("page", "idx", F.explode(O.regions(line)).alias("r"))
+    found = _regions(spark, d).select("page", "idx", F.explode(O.regions(line)).alias("r"))
     return found.select("page", "idx", F.col("r.text").alias("txt"), "r.x1", "r.y1", "r.x2", "r.y2")
 
 
 @query(f"""SELECT page, round(c, 6)::DOUBLE AS confidence, round(avg(c) OVER (), 6)::DOUBLE AS document FROM (SELECT page, avg(conf) FILTER (conf > 0) AS c FROM {_REGION} GROUP BY page)""")
 def page_confidence(spark: SparkSession, d: str) -> DataFrame:
     """The mean of a page's positive confidences, and the mean of the pages."""
-    pages = _regions(spark).groupBy("page").agg(F.avg(F.when(F.col("conf") > 0, F.col("conf"))).alias("c"))
+    pages = _regions(spark, d).groupBy("page").agg(F.avg(F.when(F.col("conf") > 0, F.col("conf"))).alias("c"))
     whole = pages.agg(F.round(F.avg("c"), 6).alias("document"))
     return pages.join(F.broadcast(whole)).select("page", F.round("c", 6).alias("confidence"), "document")  # one row
 
@@ -213,24 +226,24 @@ def page_confidence(spark: SparkSession, d: str) -> DataFrame:
 def region_stats(spark: SparkSession, d: str) -> DataFrame:
     """Confidence, characters a second and the mean time of three runs of 1, 1.5 and 2 seconds."""
     runs = _rows(spark, [(1.0,), (1.5,), (2.0,)], "s double").agg(F.avg("s").alias("seconds"))
-    r = _regions(spark).agg(F.round(F.avg("conf"), 6).alias("mean"), F.min("conf").alias("low"), F.max("conf").alias("high"), F.sum(F.length("txt")).alias("n"))
+    r = _regions(spark, d).agg(F.round(F.avg("conf"), 6).alias("mean"), F.min("conf").alias("low"), F.max("conf").alias("high"), F.sum(F.length("txt")).alias("n"))
     return r.join(F.broadcast(runs)).select("mean", "low", "high", F.round(F.col("n") / F.col("seconds"), 4).alias("per_second"), "seconds")  # one row
 
 
 @query(f"""SELECT page || ',' || idx || ',"' || replace(txt, '"', '""') || '",' || printf('%.4f', conf::DOUBLE) || ',' || x1 || ',' || y1 || ',' || x2 || ',' || y2 AS line FROM {_REGION}""")
 def region_csv(spark: SparkSession, d: str) -> DataFrame:
     quoted = F.replace("txt", F.lit('"'), F.lit('""'))
-    return _regions(spark).select(F.format_string('%d,%d,"%s",%.4f,%d,%d,%d,%d', "page", "idx", quoted, "conf", "x1", "y1", "x2", "y2").alias("line"))
+    return _regions(spark, d).select(F.format_string('%d,%d,"%s",%.4f,%d,%d,%d,%d', "page", "idx", quoted, "conf", "x1", "y1", "x2", "y2").alias("line"))
 
 
 @query(f"SELECT page, idx, x2 - x1 AS width, y2 - y1 AS height, (x2 - x1) * (y2 - y1) AS area FROM {_REGION}")
 def bbox_area(spark: SparkSession, d: str) -> DataFrame:
-    return _regions(spark).selectExpr("page", "idx", "x2 - x1 AS width", "y2 - y1 AS height", "(x2 - x1) * (y2 - y1) AS area")
+    return _regions(spark, d).selectExpr("page", "idx", "x2 - x1 AS width", "y2 - y1 AS height", "(x2 - x1) * (y2 - y1) AS area")
 
 
 @query(f"SELECT sum(length(trim(txt)))::BIGINT < 20 * count(DISTINCT page) AS scanned, bool_or(length(txt) > 50) AS digital FROM {_REGION}")
 def scanned_pdf(spark: SparkSession, d: str) -> DataFrame:
-    r = _regions(spark)
+    r = _regions(spark, d)
     return r.agg((F.sum(F.length(F.trim("txt"))) < 20 * F.countDistinct("page")).alias("scanned"), F.bool_or(F.length("txt") > 50).alias("digital"))
 
 
@@ -251,7 +264,7 @@ def engine_fallback(spark: SparkSession, d: str) -> DataFrame:
 ORDERS = [("nemotron", "nemotron,mistral", "nemotron,mistral,paddle"), ("mistral", "nemotron", "nemotron,paddle"), ("mistral", "mistral,nemotron", "mistral,nemotron,paddle"), ("paddle", "mistral", "paddle,mistral"), ("x", "", "paddle")]
 
 
-@query(f"SELECT p, k, o AS engines FROM {_values(ORDERS, 'p, k, o')}")
+@case(f"SELECT p, k, o AS engines FROM {_values(ORDERS, 'p, k, o')}")
 def engine_order(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, [r[:2] for r in ORDERS], "p string, k string").select("p", "k", F.array_join(O.engine_order(F.col("p"), F.split("k", ",")), ",").alias("engines"))
 
@@ -290,7 +303,7 @@ ALIGNED = [
 ]
 
 
-@query(f"SELECT s, n AS n_tables, c AS cells FROM {_values(ALIGNED, 's, n, c')}")
+@case(f"SELECT s, n AS n_tables, c AS cells FROM {_values(ALIGNED, 's, n, c')}")
 def aligned_tables(spark: SparkSession, d: str) -> DataFrame:
     """Tables whose columns are aligned by blanks."""
     rows = _rows(spark, [(i, s) for i, (s, *_) in enumerate(ALIGNED)], "i int, s string")
@@ -321,7 +334,7 @@ def script_runs(spark: SparkSession, d: str) -> DataFrame:
 HINTED = [("Urdu", 1, 1, 1, 1, 1), ("arabic", 1, 1, 1, 1, 1), ("hindi", 0, 1, 1, 1, 0), ("chinese", 0, 1, 0, 1, 1), ("japanese", 0, 1, 0, 1, 1), ("english", 0, 0, 0, 0, 0), ("klingon", 0, 0, 0, 0, 0)]
 
 
-@query(f"SELECT l, r AS rtl, a AS denoise, b AS shadows, c AS sharpen, e AS exposure FROM {_values(HINTED, 'l, r, a, b, c, e')}")
+@case(f"SELECT l, r AS rtl, a AS denoise, b AS shadows, c AS sharpen, e AS exposure FROM {_values(HINTED, 'l, r, a, b, c, e')}")
 def language_hints(spark: SparkSession, d: str) -> DataFrame:
     h = O.hints(F.col("l"))
     return _rows(spark, [r[:1] for r in HINTED], "l string").select("l", *(h[x].cast("int").alias(x) for x in ("rtl", "denoise", "shadows", "sharpen", "exposure")))
@@ -446,7 +459,7 @@ def post_newest(spark: SparkSession, d: str) -> DataFrame:
 MARKDOWN = [("# T\n\n![i](u) [a](b) **x** *y*\n\n\n\nz", "T\n\n a x y\n\nz"), ("plain", "plain")]
 
 
-@query(f"SELECT s, p AS plain FROM {_values(MARKDOWN, 's, p')}")
+@case(f"SELECT s, p AS plain FROM {_values(MARKDOWN, 's, p')}")
 def markdown_plain(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, [(s,) for s, _ in MARKDOWN], "s string").select("s", X.markdown_plain(F.col("s")).alias("plain"))
 
@@ -541,7 +554,7 @@ def export_text(spark: SparkSession, d: str) -> DataFrame:
 TABLES = [("+--+--+\n| a | b |\n+--+--+\n| 1 | 2 |\n+--+--+\n\ntext", 1, "a,b;1,2"), ("| x |\n| y |", 0, ""), ("plain", 0, "")]
 
 
-@query(f"SELECT s, n AS n_tables, c AS cells FROM {_values(TABLES, 's, n, c')}")
+@case(f"SELECT s, n AS n_tables, c AS cells FROM {_values(TABLES, 's, n, c')}")
 def ascii_tables(spark: SparkSession, d: str) -> DataFrame:
     found = _rows(spark, [(s,) for s, *_ in TABLES], "s string").withColumn("t", ocr.tables(F.col("s")))
     rows = F.transform(F.flatten("t"), lambda r: F.array_join(r, ","))
@@ -551,7 +564,7 @@ def ascii_tables(spark: SparkSession, d: str) -> DataFrame:
 JAPANESE = [("光学文学認識", "光学文字認識"), ("バターンとフアイル", "パターンとファイル"), ("ロ", "ル"), ("ok", "ok")]
 
 
-@query(f"SELECT s, c AS corrected FROM {_values(JAPANESE, 's, c')}")
+@case(f"SELECT s, c AS corrected FROM {_values(JAPANESE, 's, c')}")
 def jp_correct(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, [(s,) for s, _ in JAPANESE], "s string").select("s", ocr.corrected(F.col("s")).alias("corrected"))
 
@@ -562,7 +575,7 @@ SOCIAL = [
 ]
 
 
-@query(f"SELECT s, u AS url FROM {_values(SOCIAL, 's, u')}")
+@case(f"SELECT s, u AS url FROM {_values(SOCIAL, 's, u')}")
 def social_url(spark: SparkSession, d: str) -> DataFrame:
     u = F.replace(F.trim("s"), F.lit("web.facebook.com"), F.lit("www.facebook.com"))
     u = F.when(F.contains(u, F.lit("watch")), u).otherwise(F.substring_index(F.substring_index(u, "?", 1), "#", 1))
@@ -573,7 +586,7 @@ def social_url(spark: SparkSession, d: str) -> DataFrame:
 MEDIA = [("a.MP4?x=1", "", "video/mp4"), ("a/video/1", "", "video/mp4"), ("a.webm", "", "video/webm"), ("a.png", "application/octet-stream", "image/png"), ("a", "text/css; q", "text/css"), ("a", "", "image/jpeg")]
 
 
-@query(f"SELECT u, h, t AS type FROM {_values(MEDIA, 'u, h, t')}")
+@case(f"SELECT u, h, t AS type FROM {_values(MEDIA, 'u, h, t')}")
 def media_type(spark: SparkSession, d: str) -> DataFrame:
     low = F.substring_index(F.lower("u"), "?", 1)
     known = (
@@ -588,7 +601,7 @@ CLEANED = [("a <b>x</b>  y", "a x y"), ("strong>z", "z"), ("end <div", "end"), (
 
 
 
-@query(f"SELECT s, c AS cleaned FROM {_values(CLEANED, 's, c')}")
+@case(f"SELECT s, c AS cleaned FROM {_values(CLEANED, 's, c')}")
 def llm_text_clean(spark: SparkSession, d: str) -> DataFrame:
     return _rows(spark, [(s,) for s, _ in CLEANED], "s string").select("s", X.untagged(F.col("s")).alias("cleaned"))
 
@@ -599,7 +612,7 @@ AUDIO = [
 ]
 
 
-@query("SELECT u, a::INT AS audio_only FROM " + _values([(u, int(a)) for u, a in AUDIO], "u, a"))
+@case("SELECT u, a::INT AS audio_only FROM " + _values([(u, int(a)) for u, a in AUDIO], "u, a"))
 def audio_only_url(spark: SparkSession, d: str) -> DataFrame:
     """By the tag in the encoded parameter where there is one, else by telling parts of the address."""
     raw = F.regexp_extract("u", "[?&]efg=([^&]+)", 1)

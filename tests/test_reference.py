@@ -39,10 +39,10 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(plans.ORACLE))
+@pytest.mark.parametrize("name", sorted(plans.ORACLE | plans.CASES_SQL))
 def test_query_gives_what_its_sql_gives(spark, duck, name):
-    got = comparable(plans.QUERIES[name](spark, FOLDER).toPandas())
-    want = comparable(duck.sql(plans.ORACLE[name]).df())
+    got = comparable((plans.QUERIES | plans.CASES)[name](spark, FOLDER).toPandas())
+    want = comparable(duck.sql((plans.ORACLE | plans.CASES_SQL)[name]).df())
     assert list(got.columns) == list(want.columns)
     assert got.equals(want)
 
