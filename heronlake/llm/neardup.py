@@ -21,6 +21,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -248,6 +249,22 @@ def saturated(graph: DataFrame, k: int, least: float) -> DataFrame:
     return full.where((F.col("s") >= least) & (F.col("c") >= k)).select("u")
 
 
+def meeting(least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b), a below b: components (p) of which two of some leaders reach a cosine; at most a block of leaders."""
+    rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    kinds: dict = {}
+    for p, label, vec in rows:
+        kinds.setdefault((label, len(vec)), []).append((p, vec))
+    found: set = set()
+    for some in kinds.values():
+        p = np.array([x for x, _ in some])
+        x = np.frombuffer(b"".join(v for _, v in some), "<f8").reshape(len(some), -1)
+        i, j = np.nonzero((x @ x.T >= least) & (p[:, None] < p[None]))
+        found |= set(zip(p[i].tolist(), p[j].tolist(), strict=True))
+    a, b = zip(*sorted(found), strict=True) if found else ((), ())
+    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
 def across(nodes: DataFrame, graph: DataFrame, parts: DataFrame, k: int, s: Settings) -> DataFrame:
     """(a, b), a below b: components whose saturated nodes can link, by the graphs of their leaders."""
     pairs, least = nodes.sparkSession.createDataFrame([], "a bigint, b bigint"), loosest(nodes, s.threshold)
@@ -261,6 +278,9 @@ def across(nodes: DataFrame, graph: DataFrame, parts: DataFrame, k: int, s: Sett
         led = near.join(full, "u", "left_semi").groupBy("u").agg(F.min("x").alias("x"))
         leaders = stored(nodes.join(led.select(F.col("x.v").alias("node")).distinct(), "node", "left_semi"), "leaders")
         k, least = 2 * k, loosest(nodes, s.threshold, level, s.tight)
+        if leaders.count() <= s.block:  # few enough to meet each other at once
+            met = leaders.join(part("node"), "node", "left").select(F.coalesce("pnode", "node").alias("p"), "label", "vec")
+            return stored(pairs.unionByName(met.coalesce(1).mapInArrow(partial(meeting, least), "a bigint, b bigint")).distinct(), "across")
         graph = first_graph(leaders, replace(s, neighbours=k))
         for _ in range(s.rounds):
             graph = refine(leaders, graph, k, s)

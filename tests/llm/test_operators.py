@@ -283,8 +283,8 @@ def components_of(linked):
         part = least
 
 
-@pytest.mark.parametrize(("groups", "size", "between"), [(2, 20, 0.955), (4, 60, 0.945)])
-def test_saturated_groups_that_link_are_found(spark, groups, size, between):
+@pytest.mark.parametrize(("groups", "size", "between", "block"), [(2, 20, 0.955, 1024), (4, 60, 0.945, 1024), (4, 60, 0.945, 8)])
+def test_saturated_groups_that_link_are_found(spark, groups, size, between, block):
     """Groups of near copies, joined by weaker links than all their own, among many pairs and singles."""
     rng = np.random.default_rng(12)
     unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
@@ -300,7 +300,7 @@ def test_saturated_groups_that_link_are_found(spark, groups, size, between):
     np.fill_diagonal(linked, False)
     true, component = linked.sum(1), components_of(linked)
     assert true[:size].min() >= size and len(set(component[: groups * size])) == 1
-    got = {r.vec_id: r for r in neardup.near_duplicates(near_rows(spark, x)).collect()}
+    got = {r.vec_id: r for r in neardup.near_duplicates(near_rows(spark, x), settings=neardup.Settings(block=block)).collect()}
     found = np.array([got[i].n_links for i in range(len(x))])
     assert (found <= true).all() and (found[: groups * size] == true[: groups * size]).all() and found.sum() >= 0.97 * true.sum()
     assert [got[i].component_id for i in range(groups * size)] == component[: groups * size].tolist()
