@@ -179,7 +179,7 @@ def markdown_plain(text: Column) -> Column:
     for pattern, to in (
         (r"!\[[^\]]*\]\([^)]*\)", ""),
         (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-        (r"(?m)^#{1,6}\s+", ""),
+        (r"(?md)^#{1,6}\s+", ""),
         (r"\*\*([^*]*)\*\*", "$1"),
         (r"\*([^*]*)\*", "$1"),
         (r"\n{3,}", "\n\n"),

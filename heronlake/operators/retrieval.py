@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -146,7 +147,8 @@ def _batches(batches: Iterator[pa.RecordBatch], block: Asked) -> Iterator[tuple[
 
 
 def best_lists(block: Asked, chunks: DataFrame, ckey: str, text: str, most: int) -> DataFrame:
-    """(q, key, dense, sparse): for each query, by number, the chunks that are among the ``most`` best of a task in a list."""
+    """(q, key, dense, sparse): for each query, by number, the chunks that are among the ``most`` best of a task in a list; chunks
+    without a key are left out."""
     held = chunks.sparkSession.sparkContext.broadcast(block)  # BLOCK queries at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +181,7 @@ def best_lists(block: Asked, chunks: DataFrame, ckey: str, text: str, most: int)
     key = chunks.schema[ckey].dataType
     kind = to_arrow_type(key)
     out = T.StructType([T.StructField("q", T.IntegerType()), T.StructField("key", key), T.StructField("dense", T.DoubleType()), T.StructField("sparse", T.DoubleType())])
-    found = chunks.select(F.col(ckey), F.col(text)).mapInArrow(run, out).distinct()
+    found = chunks.where(F.col(ckey).isNotNull()).select(F.col(ckey), F.col(text)).mapInArrow(run, out).distinct()
     places = [F.row_number().over(W.partitionBy("q").orderBy(F.desc(c), "key")) for c in ("dense", "sparse")]
     found = found.select("*", places[0].alias("d"), places[1].alias("s"))
     return found.where(f"(dense > 0 AND d <= {most}) OR (sparse > 0 AND s <= {most})").drop("d", "s")
@@ -229,7 +231,7 @@ def fused(queries: DataFrame, chunks: DataFrame, qkey: str, ckey: str, text: str
                 columns = [pa.array(np.full(n.shape[1], q, np.int32)), pa.array(np.arange(n.shape[1], dtype=np.int32)), pa.array(n[0]), pa.array(n[1])]
                 yield pa.RecordBatch.from_arrays(columns, names=["q", "i", "d", "s"])
 
-        ranks = chunks.select(F.col(ckey), F.col(text)).mapInArrow(count, "q int, i int, d bigint, s bigint")
+        ranks = chunks.where(F.col(ckey).isNotNull()).select(F.col(ckey), F.col(text)).mapInArrow(count, "q int, i int, d bigint, s bigint")
         ranks = ranks.groupBy("q", "i").agg(F.sum("d").alias("d"), F.sum("s").alias("s"))
         kinds = T.StructType([T.StructField("q", T.IntegerType()), T.StructField("i", T.IntegerType()), T.StructField(qkey, queries.schema[qkey].dataType), T.StructField(ckey, chunks.schema[ckey].dataType), T.StructField("dense", T.DoubleType()), T.StructField("sparse", T.DoubleType())])
         known = spark.createDataFrame([(q, i, rows[q][0], *x) for q, some in block.better.items() for i, x in enumerate(some)], kinds)
@@ -258,28 +260,51 @@ def ranked_list(queries: DataFrame, chunks: DataFrame, qkey: str, ckey: str, by:
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, qkey: str, key: str, vector: str, k: int) -> DataFrame:
-    """(qkey, key, score, rank): the k nearest vectors of each query vector by cosine; queries come in blocks."""
+    """(qkey, key, score, rank): the k nearest vectors of each query vector by cosine; queries come in blocks.
+
+    A null, zero or non-finite vector and one of other dimensions have a cosine of 0 with any. Ties go by key, a null one first.
+    """
     out = None
+    kinds = T.StructType([T.StructField(qkey, queries.schema[qkey].dataType), T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
     for rows in blocks(queries, qkey, vector):
         held = vectors.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            asked_ = np.array([r[1] for r in held.value], np.float64)
-            asked_ /= np.maximum(np.linalg.norm(asked_, axis=1, keepdims=True), 1e-300)
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            schema, names = to_arrow_schema(kinds), [r[0] for r in held.value]
+            by: dict[int, list[int]] = {}
+            for q, r in enumerate(held.value):
+                by.setdefault(len(r[1] or ()), []).append(q)
+            asked_ = {d: units([held.value[q][1] for q in qs], d) for d, qs in by.items()}
             for b in batches:
-                x = np.array(b.column(1).to_pylist(), np.float64).reshape(b.num_rows, -1)
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                scores, keys = np.round(x @ asked_.T, 9), b.column(0).to_numpy(zero_copy_only=False)
-                for q, row in enumerate(held.value):
-                    on = np.lexsort((keys, -scores[:, q]))[:k]
-                    columns = [pa.array([row[0]] * len(on), pa.int64()), b.column(0).take(pa.array(on)), pa.array(scores[on, q])]
-                    yield pa.RecordBatch.from_arrays(columns, names=[qkey, key, "score"])
-
-        found = vectors.select(key, vector).mapInArrow(run, f"{qkey} bigint, {key} bigint, score double")
+                given = b.column(1).to_pylist()
+                order = np.empty(b.num_rows, np.int64)  # the place of each key
+                order[pc.sort_indices(b.column(0), null_placement="at_start").to_numpy()] = np.arange(b.num_rows)
+                for d, qs in by.items():
+                    scores = np.round(units(given, d) @ asked_[d].T, 9)
+                    for j, q in enumerate(qs):
+                        on = np.lexsort((order, -scores[:, j]))[:k]
+                        columns = [pa.array([names[q]] * len(on), schema.field(0).type), b.column(0).take(pa.array(on)), pa.array(scores[on, j])]
+                        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        found = vectors.select(key, vector).mapInArrow(run, kinds)
         out = found if out is None else out.unionByName(found)
+    out = vectors.sparkSession.createDataFrame([], kinds) if out is None else out
     return top_k(out, qkey, "score", key, k)
 
 
+def units(vectors: list, dims: int) -> np.ndarray:
+    """Unit vectors as rows; zeros for what is null, of other dimensions, zero or not finite."""
+    x = np.zeros((len(vectors), dims))
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == dims and None not in v:
+            x[i] = v
+    size = np.sqrt((x * x).sum(1, keepdims=True))
+    x[~np.isfinite(size[:, 0])] = 0
+    return np.divide(x, size, out=np.zeros_like(x), where=np.isfinite(size) & (size > 0))
+
+
 def top_k(scored: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
     """The k best rows of each group, with their rank."""
     order = W.partitionBy(by).orderBy(F.desc(score), tie)

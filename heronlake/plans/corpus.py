@@ -561,12 +561,13 @@ def phone_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.array_join(X.phones(t), "|").alias("phones"))
 
 
-@query("SELECT doc_id, 'https://www.a.example/x?d=' || doc_id || ' www.b.example' AS urls FROM documents WHERE NOT regexp_matches(text, 'http|www')")
+@query(f"""SELECT doc_id, array_to_string(full_ || list_filter(bare, lambda b: NOT list_bool_or([false] || list_transform(full_, lambda f: contains(f, b)))), ' ') AS urls
+FROM (SELECT doc_id, regexp_extract_all(t, '{X.URL}') AS full_, regexp_extract_all(t, '{X.BARE_URL}', 1) AS bare
+  FROM (SELECT doc_id, text || ' https://www.a.example/x?d=' || doc_id || ' www.a.example www.b.example' AS t FROM documents))""")
 def url_union(spark: SparkSession, d: str) -> DataFrame:
-    """Full addresses, and bare ones that are no part of a full one."""
-    docs = table(spark, d, "documents").where(~F.col("text").rlike("http|www"))
+    """Full addresses, and bare ones that are no part of a full one; some are added to each text."""
     t = F.concat("text", F.lit(" https://www.a.example/x?d="), F.col("doc_id"), F.lit(" www.a.example www.b.example"))
-    return docs.select("doc_id", F.array_join(X.urls(t), " ").alias("urls"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.urls(t), " ").alias("urls"))
 
 
 @query("SELECT doc_id, sha256(replace(text, chr(0), '') || '�x') AS h FROM documents WHERE doc_id IS NOT NULL AND NOT contains(text, chr(0))")

@@ -284,11 +284,16 @@ def pdf_gate(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("""SELECT doc_id, 'T' || chr(10) || chr(10) || ' a x' || chr(10) || chr(10) || text AS full_text, doc_id % 7 + 1 AS page_number, 1 AS n_tables, 2 AS n_links,
-  len(list_filter(string_split('T' || chr(10) || chr(10) || ' a x' || chr(10) || chr(10) || text, chr(10)), lambda l: trim(l) <> ''))::INT AS n_lines FROM documents WHERE NOT regexp_matches(text, '[*_#!\\[\\]`>|~]|\n\n\n|\n *[-+0-9]')""")
+_MARKDOWN = "'# T' || chr(10) || chr(10) || '![i](u) [a](b) **x**' || chr(10) || chr(10) || text"
+for _pattern, _to in ((r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", r"\1"), (r"(?m)^#{1,6}\s+", ""), (r"\*\*([^*]*)\*\*", r"\1"), (r"\*([^*]*)\*", r"\1"), (r"\n{3,}", "\n\n")):
+    _MARKDOWN = f"regexp_replace({_MARKDOWN}, '{_pattern}', '{_to}', 'g')"
+
+
+@query(f"""SELECT doc_id, plain AS full_text, doc_id % 7 + 1 AS page_number, 1 AS n_tables, 2 AS n_links, len(list_filter(string_split(plain, chr(10)), lambda l: trim(l) <> ''))::INT AS n_lines
+FROM (SELECT doc_id, trim({_MARKDOWN}) AS plain FROM documents)""")
 def cloud_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages of a cloud engine's JSON answer: the Markdown as plain text, with its lines, tables and links."""
-    docs = table(spark, d, "documents").where(~F.col("text").rlike(r"[*_#!\[\]`>|~]|\n\n\n|\n *[-+0-9]"))
+    docs = table(spark, d, "documents")
     page = F.struct((F.col("doc_id") % 7).alias("index"), F.concat(F.lit("# T\n\n![i](u) [a](b) **x**\n\n"), "text").alias("markdown"), F.array(F.struct(F.lit("<table/>").alias("content"))).alias("tables"), F.array(F.lit("u"), F.lit("b")).alias("hyperlinks"))
     answer = F.to_json(F.struct(F.array(page).alias("pages")))
     pages = docs.select("doc_id", F.explode(F.from_json(answer, "pages array<struct<index:bigint,markdown:string,tables:array<struct<content:string>>,hyperlinks:array<string>>>")["pages"]).alias("p"))

@@ -124,3 +124,17 @@ def test_odd_vectors(spark, tmp_path):
     index.build(table, "vec_id", "embedding")
     got = sorted((r.q, r.key, r.score, r["rank"]) for r in index.search(queries, "q", "embedding", 2, exact=True).collect())
     assert got == [(6, 6, 1.0, 1), (6, 7, 1.0, 2), (7, 6, 1.0, 1), (7, 7, 1.0, 2), (8, 6, 0.0, 2), (8, 8, 1.0, 1)]
+
+
+def test_scans_of_odd_vectors_and_keys(spark):
+    nan = float("nan")
+    odd = [("a", None), ("b", [1.0]), ("c", [0.0, 0.0]), ("d", [nan, 1.0]), ("e", [None, 1.0]), (None, [1.0, 0.0]), ("f", [2.0, 0.0])]
+    table = spark.createDataFrame(odd, "name string, v array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [5.0])], "q int, v array<double>")
+    got = {(r.q, r["rank"]): (r.name, r.score) for r in retrieval.nearest(asked, table, "q", "name", "v", 3).collect()}
+    assert [got[1, i] for i in (1, 2, 3)] == [(None, 1.0), ("f", 1.0), ("a", 0.0)] and got[3, 1] == ("b", 1.0) and got[2, 1] == (None, 0.0)
+    assert retrieval.nearest(asked.limit(0), table, "q", "name", "v", 3).count() == 0
+    chunks = spark.createDataFrame([(None, "same words"), (None, "same words"), ("k", "same words")], "name string, text string")
+    items = spark.createDataFrame([(1, "same words")], "item int, text string")
+    assert [(r.name, r["rank"]) for r in retrieval.ranked_list(items, chunks, "item", "name", "sparse").collect()] == [("k", 1)]
+    assert [r.name for r in retrieval.fused(items, chunks, "item", "name").collect()] == ["k"]
