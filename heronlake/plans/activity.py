@@ -292,8 +292,12 @@ def tenant_lww(spark: SparkSession, d: str) -> DataFrame:
     """Tenants after all their writes, each of which sets created_at anew, and some deletions; the newest first."""
     e = table(spark, d, "events").select("user_id", F.col("event_type").alias("name"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("created_at"), "event_id")
     kept = merge.delete(merge.last_write(e, ["user_id"], ["event_id"]), e.where("user_id % 9 = 4"), ["user_id"])
-    place = F.row_number().over(W.orderBy(F.desc("created_at"), "user_id"))  # a list of tenants, which is short
-    return kept.select("user_id", "name", "created_at", place.alias("place"))
+    # places within an hour, behind those of later hours, of which there is a row each
+    kept = kept.withColumn("hour", F.substring("created_at", 1, 13))
+    later = F.coalesce(F.sum("n").over(W.orderBy(F.desc("hour")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    hours = kept.groupBy("hour").agg(F.count(F.lit(1)).alias("n")).select("hour", later.alias("later"))
+    place = F.row_number().over(W.partitionBy("hour").orderBy(F.desc("created_at"), "user_id")) + F.col("later")
+    return kept.join(hours, "hour").select("user_id", "name", "created_at", place.cast("int").alias("place"))
 
 
 @query("SELECT user_id, arg_max(event_type, event_id) AS name FROM events WHERE sha256('key-' || user_id) IN (SELECT sha256('key-' || c_custkey) FROM customer WHERE c_custkey % 3 = 0) GROUP BY user_id")
