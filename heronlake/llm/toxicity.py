@@ -8,17 +8,21 @@ the labels and the id of a row are never inputs.
 
 from __future__ import annotations
 
+import copy
 import re
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import ddl, map_rows, stored
+from heronlake.llm.common import ddl, discard, map_rows, release, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 WIDTHS = (1, 2, 3)
@@ -31,6 +35,15 @@ FUNCTION_WORDS = {
 }
 LANGUAGES = tuple(FUNCTION_WORDS)
 _VOTE = {w: i for i, words in enumerate(FUNCTION_WORDS.values()) for w in words}
+#: Places of a filter: its width's number and offset, in the order of the columns of the filters' matrix.
+_PLACES = [(k, j) for k, w in enumerate(WIDTHS) for j in range(w)]
+REACH = max(WIDTHS) - 1
+#: Documents, and bytes of them, that a task puts in another order at once; texts of a step.
+BUFFER, BUFFER_BYTES, STEP = 1024, 16 << 20, 32
+#: Changes are added up as whole numbers of this part, so their order doesn't matter.
+UNIT = 2.0**30
+#: Logits are counted by bins of this width, within these bounds.
+BIN, FARTHEST = 1 / 1024, 64.0
 #: Words that are scored at once, and words that a worker keeps answers for.
 RUN, KEPT = 50_000, 40_000
 THRESHOLD = 0.7
@@ -38,10 +51,12 @@ THRESHOLD = 0.7
 
 @dataclass
 class Settings:
-    """sample_rows and sample_bytes bound the labelled rows that the model is fitted on."""
+    """The model is learnt from all labelled rows; sample_rows and sample_bytes, both or none, bound them for a trial."""
 
-    sample_rows: int = 4000
-    sample_bytes: int = 48 << 20
+    sample_rows: int | None = None
+    sample_bytes: int | None = None
+    share_rows: int = 16_000
+    share_bytes: int = 48 << 20
     bits: int = 18
     size: int = 16
     filters: int = 8
@@ -52,6 +67,7 @@ class Settings:
     seed: int = 7
 
 
+@lru_cache(KEPT)
 def features(word: str, bits: int) -> list[int]:
     """Rows of the embedding table: the word and its beginnings of 3, 4 and 5 letters."""
     mask = (1 << bits) - 1
@@ -92,110 +108,202 @@ def fit(texts: list[str | None], labels: list[int], s: Settings) -> Model:
     model = Model(s)
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
-        model.cut = {k: 30.0 for k in model.cut}
-        return model
-    index: dict[str, int] = {}
-    docs = []
+        return rejecting(model)
+    docs, langs = [], []
     for t in texts:
-        docs.append(np.array([index.setdefault(w, len(index)) for w in words_of(t)], np.int64))
-    rows = np.array([features(w, s.bits) for w in index], np.int64).reshape(-1, 4)
-    seen = np.zeros(len(model.table), np.int32)
-    for d in docs:
-        seen[np.unique(rows[d])] += 1
-    known = seen >= s.least_docs  # what few texts hold can't be told from chance
-    known[0] = False
-    model.table[~known] = 0
-    rows = np.where(known[rows], rows, 0)
+        vocab, ids, lang = encoded(t, s.bits)
+        docs.append((vocab, ids))
+        langs.append(lang)
+    seen = np.zeros(len(model.table), np.int64)
+    for vocab, _ in docs:
+        seen[np.unique(vocab)] += 1
+    known = restrict(model, seen)
+    docs = [(np.where(known[vocab], vocab, 0), ids) for vocab, ids in docs]
     rng = np.random.default_rng(s.seed)
     order = rng.permutation(len(docs))
     held, train = order[::4], np.setdiff1d(order, order[::4])
     if y[held].min() == y[held].max() or y[train].min() == y[train].max():
         held = train = order
-    _train(model, docs, rows, y, train, rng)
-    logits = np.array([_logit(model, model.table[rows[docs[i]]].sum(1))[0] for i in held])
-    votes = np.zeros((len(docs), len(LANGUAGES)), int)
-    names = np.array([_VOTE.get(w, -1) for w in index])
-    for i in held:
-        v = names[docs[i]]
-        votes[i] = np.bincount(v[v >= 0], minlength=len(LANGUAGES))
-    langs = np.array([language(votes[i]) for i in held])
-    model.cut[""] = _cut(logits, y[held])
-    for lang in LANGUAGES:
-        own = langs == lang
-        model.cut[lang] = _cut(logits[own], y[held][own]) if (y[held][own] == 1).sum() >= 5 else model.cut[""]
+    weight = weights(y[train].mean())
+    learner = Learner(model)
+    for _ in range(s.epochs):
+        learner.learn([docs[i] for i in train], y[train], weight, rng)
+    learner.finish()
+    columns = columns_of(model)
+    logits = [forward(model, columns, *docs[i])[0] for i in held]
+    calibrate(model, binned(logits, [langs[i] for i in held], y[held]))
     return model
 
 
-def _cut(z: np.ndarray, y: np.ndarray) -> float:
-    """The logit that parts the labels with the least error; the middle of the gap around it."""
-    order = np.argsort(z)
-    z, y = z[order], y[order]
-    wrong = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([[0], np.cumsum(1 - y)])[-1] - np.concatenate([[0], np.cumsum(1 - y)])
-    best = np.flatnonzero(wrong == wrong.min())
-    k = int(best[len(best) // 2])
-    low = z[k - 1] if k else z[0] - 1
-    high = z[k] if k < len(z) else z[-1] + 1
-    return float((low + high) / 2)
+def rejecting(model: Model) -> Model:
+    """A model by which all texts score low."""
+    model.cut = {k: 30.0 for k in model.cut}
+    return model
+
 
+def weights(mean: float) -> tuple[float, float]:
+    """What rows of the labels 0 and 1 count in a step, so that both labels count alike."""
+    return 0.5 / max(1 - mean, 1e-3), 0.5 / max(mean, 1e-3)
 
-def _logit(m: Model, x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """The logit of one text of embedded words, the pooled answers and where they are."""
+
+def encoded(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray, str]:
+    """The features of the different words of a text, the places' words by number, and the language."""
+    index: dict[str, int] = {}
+    ids = np.array([index.setdefault(w, len(index)) for w in words_of(text)], np.int32)
+    vocab = np.array([features(w, bits) for w in index], np.int32).reshape(-1, 4)
+    votes = np.array([_VOTE.get(w, -1) for w in index], np.int64)[ids]
+    return vocab, ids, language(np.bincount(votes[votes >= 0], minlength=len(LANGUAGES)))
+
+
+def restrict(model: Model, seen: np.ndarray) -> np.ndarray:
+    """Which features are in enough texts; the others are zero: what few texts hold can't be told from chance."""
+    known = seen >= model.s.least_docs
+    known[0] = False
+    model.table[~known] = 0
+    return known
+
+
+def columns_of(m: Model) -> np.ndarray:
+    """The filters as one matrix, with columns by width, offset and filter."""
+    return np.concatenate([m.filters[k][j] for k, j in _PLACES], axis=1)
+
+
+def forward(m: Model, columns: np.ndarray, vocab: np.ndarray, ids: np.ndarray) -> tuple:
+    """The logit of a text, the pooled answers, where they are, the words' embeddings and the places' words.
+
+    A word number past the vocabulary is no word.
+    """
     f = m.s.filters
+    words = np.zeros((len(vocab) + 1, m.s.size), np.float32)
+    for c in range(vocab.shape[1]):
+        words[:-1] += m.table[vocab[:, c]]
     pooled, at = np.zeros(len(m.out), np.float32), np.full(len(m.out), -1)
-    if len(x):
-        padded = np.concatenate([x, np.zeros((max(WIDTHS) - 1, x.shape[1]), np.float32)])
-        for k, w in enumerate(WIDTHS):
-            z = sum(padded[j : j + len(x)] @ m.filters[k][j] for j in range(w))
-            at[k * f : (k + 1) * f] = z.argmax(0)
-            pooled[k * f : (k + 1) * f] = z.max(0)
+    ids = np.append(ids, np.full(REACH, len(vocab), ids.dtype))
+    if len(ids) > REACH:
+        answers, pooled = columns.T @ words.T, np.full(len(m.out), -np.inf, np.float32)
+        for i in range(0, len(ids) - REACH, RUN):  # a long text goes in pieces
+            part = answers.take(ids[i : i + RUN + REACH], axis=1)
+            n = part.shape[1] - REACH
+            z = np.empty((len(m.out), n), np.float32)
+            for c, (k, j) in enumerate(_PLACES):
+                own, more = z[k * f : (k + 1) * f], part[c * f : (c + 1) * f, j : j + n]
+                if j:
+                    own += more
+                else:
+                    own[:] = more
+            top = z.argmax(1)
+            best = z[np.arange(len(top)), top]
+            at, pooled = np.where(best > pooled, top + i, at), np.maximum(best, pooled)
         pooled = np.maximum(pooled + m.offsets, 0)
-    return float(pooled @ m.out + m.bias), pooled, at
+    return float(pooled @ m.out + m.bias), pooled, at, words, ids
 
 
-def _train(m: Model, docs: list, rows: np.ndarray, y: np.ndarray, train: np.ndarray, rng) -> None:
-    """AdaGrad by minibatches; only the words at a filter's largest answer get a gradient."""
-    f = m.s.filters
-    sums = [np.full_like(p, 1e-2) for p in (m.table, *m.filters, m.offsets, m.out)]
-    bias_sum = 1e-2
-    weight = np.where(y == 1, 0.5 / max(y[train].mean(), 1e-3), 0.5 / max(1 - y[train].mean(), 1e-3))
-    for _ in range(m.s.epochs):
-        for batch in np.array_split(rng.permutation(train), max(1, len(train) // 32)):
-            grads = [np.zeros_like(p) for p in m.filters]
-            g_off, g_out, g_bias = np.zeros_like(m.offsets), np.zeros_like(m.out), 0.0
-            touched, changes = [], []
-            for i in batch:
-                words = docs[i]
-                x = m.table[rows[words]].sum(1)
-                x[rng.random(len(x)) < rng.random() * m.s.dropout] = 0  # each telling word must do without the others
-                logit, pooled, at = _logit(m, x)
-                g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[i]) * weight[i] / len(batch)
-                g_out += g * pooled
-                g_bias += g
-                down = g * m.out * (pooled > 0)
-                g_off += down
-                for k, w in enumerate(WIDTHS):
-                    own = slice(k * f, (k + 1) * f)
-                    for j in range(w):
-                        p = at[own] + j
-                        on = np.flatnonzero((down[own] != 0) & (p < len(words)))
-                        if len(on):
-                            p, g_on = p[on], down[own][on, None]
-                            grads[k][j][:, on] += (g_on * x[p]).T
-                            touched.append(rows[words[p]].ravel())
-                            changes.append(np.repeat(g_on * m.filters[k][j].T[on], rows.shape[1], axis=0))
-            for p, g, h in zip([*m.filters, m.offsets, m.out], [*grads, g_off, g_out], sums[1:], strict=True):
-                h += g * g
-                p -= m.s.rate * (g + 1e-5 * p) / np.sqrt(h)
-            bias_sum += g_bias**2
-            m.bias -= np.float32(m.s.rate * g_bias / np.sqrt(bias_sum))
-            if touched:
-                r = np.concatenate(touched)
-                order = np.argsort(r, kind="stable")
-                r, first = np.unique(r[order], return_index=True)
+class Learner:
+    """AdaGrad by small steps; only the words at a filter's largest answer get a gradient.
+
+    ``table`` and ``dense`` are the parameters, the filters, offsets, last layer and bias in one vector; ``sums`` belong to them.
+    """
+
+    def __init__(self, m: Model, table_sums: np.ndarray | None = None, dense_sums: np.ndarray | None = None) -> None:
+        self.m, f = m, m.s.filters
+        self.shapes = [(m.s.size, len(_PLACES) * f), (len(m.out),), (len(m.out),), (1,)]
+        self.dense = np.concatenate([x.ravel() for x in (columns_of(m), m.offsets, m.out, np.array([m.bias]))]).astype(np.float32)
+        self.table_sums = np.full_like(m.table, 1e-2) if table_sums is None else table_sums
+        self.dense_sums = np.full_like(self.dense, 1e-2) if dense_sums is None else dense_sums
+        self.decay = np.where(np.arange(len(self.dense)) < len(self.dense) - 1, 1e-5, 0).astype(np.float32)
+        self.touched = np.zeros(len(m.table), bool)
+        # of each column of the filters its filter and offset
+        self.filter = np.concatenate([np.arange(k * f, (k + 1) * f) for k, _ in _PLACES])
+        self.offset = np.repeat([j for _, j in _PLACES], f)
+
+    def parts(self, x: np.ndarray) -> list[np.ndarray]:
+        """The views of a vector as filters, offsets, last layer and bias."""
+        cuts = np.cumsum([int(np.prod(s)) for s in self.shapes])[:-1]
+        return [v.reshape(s) for v, s in zip(np.split(x, cuts), self.shapes, strict=True)]
+
+    def learn(self, docs: list, y: np.ndarray, weight: tuple[float, float], rng) -> None:
+        """One pass over documents (vocabulary, places' words), in a random order."""
+        for batch in np.array_split(rng.permutation(len(docs)), max(1, len(docs) // STEP)):
+            self.step([docs[i] for i in batch], y[batch], weight, rng)
+
+    def step(self, docs: list, y: np.ndarray, weight: tuple[float, float], rng) -> None:
+        m = self.m
+        columns, m.offsets, m.out, bias = self.parts(self.dense)
+        m.bias = bias[0]
+        grad = np.zeros_like(self.dense)
+        g_columns, g_off, g_out, g_bias = self.parts(grad)
+        rows, changes = [], []
+        for (vocab, ids), label in zip(docs, y, strict=True):
+            gone = rng.random(len(ids)) < rng.random() * m.s.dropout  # each telling word must do without the others
+            logit, pooled, at, words, ids = forward(m, columns, vocab, np.where(gone, len(vocab), ids))
+            g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - label) * weight[int(label)] / len(docs)
+            g_out += g * pooled
+            g_bias += g
+            down = (g * m.out * (pooled > 0)).astype(np.float32)
+            g_off += down
+            on = np.flatnonzero(down[self.filter])
+            if len(on):
+                of = ids[at[self.filter[on]] + self.offset[on]]
+                on, of = on[of < len(vocab)], of[of < len(vocab)]
+                g_on = down[self.filter[on], None]
+                g_columns[:, on] += (g_on * words[of]).T
+                rows.append(vocab[of].ravel())
+                changes.append(np.repeat(g_on * columns.T[on], vocab.shape[1], axis=0))
+        self.dense_sums += grad * grad
+        self.dense -= m.s.rate * (grad + self.decay * self.dense) / np.sqrt(self.dense_sums)
+        if rows:
+            r = np.concatenate(rows)
+            order = np.argsort(r, kind="stable")
+            r, first = np.unique(r[order], return_index=True)
+            if len(r):
                 g = np.add.reduceat(np.concatenate(changes)[order], first, axis=0)
                 g[r == 0] = 0  # words that the model doesn't know
-                sums[0][r] += g * g
-                m.table[r] -= m.s.rate * g / np.sqrt(sums[0][r])
+                self.table_sums[r] += g * g
+                m.table[r] -= m.s.rate * g / np.sqrt(self.table_sums[r])
+                self.touched[r] = True
+
+    def finish(self) -> None:
+        """Put the parameters into the model."""
+        m, f = self.m, self.m.s.filters
+        columns, m.offsets, m.out, bias = (x.copy() for x in self.parts(self.dense))
+        m.bias = bias[0]
+        for c, (k, j) in enumerate(_PLACES):
+            m.filters[k][j] = columns[:, c * f : (c + 1) * f]
+
+
+def binned(logits: list[float], langs: list[str], y: np.ndarray) -> dict:
+    """(language, bin): rows of label 0, rows of label 1, least and largest logit."""
+    out: dict[tuple[str, int], list] = {}
+    for z, lang, label in zip(logits, langs, y, strict=True):
+        own = out.setdefault((lang, int(np.floor(np.clip(z, -FARTHEST, FARTHEST) / BIN))), [0, 0, z, z])
+        own[int(label)] += 1
+        own[2:] = min(own[2], z), max(own[3], z)
+    return out
+
+
+def calibrate(m: Model, bins: dict) -> None:
+    """Set the model's cuts: a language with less than five toxic rows gets that of all."""
+    every: dict[int, list] = {}
+    by: dict[str, dict[int, list]] = {}
+    for (lang, k), own in bins.items():
+        by.setdefault(lang, {})[k] = own
+        at = every.setdefault(k, [0, 0, own[2], own[3]])
+        every[k] = [at[0] + own[0], at[1] + own[1], min(at[2], own[2]), max(at[3], own[3])]
+    m.cut[""] = _cut(every)
+    for lang in LANGUAGES:
+        own = by.get(lang, {})
+        m.cut[lang] = _cut(own) if sum(x[1] for x in own.values()) >= 5 else m.cut[""]
+
+
+def _cut(bins: dict[int, list]) -> float:
+    """The logit that parts the labels with the least error; the middle of the gap around it."""
+    clean, toxic, least, most = (np.array(x) for x in zip(*(bins[k] for k in sorted(bins)), strict=True))
+    wrong = np.concatenate([[0], np.cumsum(toxic)]) + clean.sum() - np.concatenate([[0], np.cumsum(clean)])
+    best = np.flatnonzero(wrong == wrong.min())
+    k = int(best[len(best) // 2])
+    low = most[k - 1] if k else least[0] - 1
+    high = least[k] if k < len(least) else most[-1] + 1
+    return float((low + high) / 2)
 
 
 class Scorer:
@@ -203,7 +311,7 @@ class Scorer:
 
     def __init__(self, m: Model) -> None:
         self.m = m
-        self.columns = np.concatenate([m.filters[k][j] for k, w in enumerate(WIDTHS) for j in range(w)], axis=1)
+        self.columns = columns_of(m)
         self._reset()
 
     def _reset(self) -> None:
@@ -270,20 +378,182 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:
-    """Fit on a bounded sample of the labelled rows that aren't held out.
+    """Fit on all labelled rows that aren't held out.
 
-    The sample is the settings' number of labelled ids with the lowest hash, toxic ones a third at most, and of their texts,
-    in the order of a hash, those that still fit into sample_bytes; the bytes are counted before any text is collected. Null
-    ids or labels are left out; an id with several labels counts as toxic if one says so, and of several texts the smallest
-    is taken.
+    Null ids or labels are left out; an id with several labels counts as toxic if one says so, and of several texts the
+    smallest is taken. The rows are encoded once, by Spark; counts of features, steps and thresholds are taken over all
+    of them. A share of share_rows rows and share_bytes bytes of text, about, is learnt by one task at a time; after each
+    pass the changes that the shares made are averaged, those of a word's features over the shares that changed them. A
+    quarter of the rows, by a hash of the id, calibrates. The driver holds what is as large as the model, and no text.
     """
     s = settings or Settings()
-    spark = docs.sparkSession
     usable = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id"))
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
+        .where("toxic in (0, 1)")
+    )
+    if s.sample_rows is not None and s.sample_bytes is not None:
+        return _tried(docs, labels, usable, s)
+    texts = docs.where(~held_out("doc_id")).select("doc_id", "text").join(usable, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    rows = _encoded_rows(texts, s)
+    model = Model(s)
+    counts = rows.groupBy("calibrates", "toxic").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).collect()
+    if {r.toxic for r in counts} != {0, 1}:
+        discard(rows)
+        return rejecting(model)
+    apart = len(counts) == 4  # both parts have both labels
+    trained, held = (rows.where(~F.col("calibrates")), rows.where("calibrates")) if apart else (rows, rows)
+    own = [r for r in counts if not (apart and r.calibrates)]
+    weight = weights(sum(r.n for r in own if r.toxic) / sum(r.n for r in own))
+    shares = max(1, *(-(-sum(r[c] for r in own) // most) for c, most in (("n", s.share_rows), ("bytes", s.share_bytes))))
+    seen = np.zeros(len(model.table), np.int64)
+    found = rows.select(*READ).mapInArrow(_occurrences(len(seen)), "row int, n bigint").groupBy("row").agg(F.sum("n").alias("n")).toArrow()
+    seen[found["row"].to_numpy()] = found["n"].to_numpy()
+    known = restrict(model, seen)
+    learner = Learner(model)
+    for epoch in range(s.epochs):
+        _pass(trained.coalesce(shares).select(*READ), learner, known, weight, epoch)
+    learner.finish()
+    shared = docs.sparkSession.sparkContext.broadcast((model, known))
+    bins = held.select(*READ).mapInArrow(_logits(shared), "lang string, bin int, clean bigint, toxic bigint, least double, most double")
+    bins = bins.groupBy("lang", "bin").agg(F.sum("clean"), F.sum("toxic"), F.min("least"), F.max("most")).collect()
+    calibrate(model, {(r[0], r[1]): list(r[2:]) for r in bins})
+    discard(rows)
+    return model
+
+
+def _encoded_rows(texts: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, toxic, calibrates, bytes, lang, vocab, ids): a row for each text, stored."""
+    bits = s.bits
+
+    def make() -> Callable:
+        def some(keys: list, toxic: list, calibrates: list, sizes: list, values: list):
+            for *rest, text in zip(keys, toxic, calibrates, sizes, values, strict=True):
+                vocab, ids, lang = encoded(text, bits)
+                yield *rest, lang, vocab.tobytes(), ids.tobytes()
+
+        return some
+
+    out = texts.select(
+        "doc_id",
+        F.col("toxic").cast("int").alias("toxic"),
+        (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("calibrates"),
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes"),
+        "text",
     )
+    kinds = f"{ddl(out, 'doc_id')}, toxic int, calibrates boolean, bytes bigint, lang string, vocab binary, ids binary"
+    return stored(map_rows(out, out.columns, kinds, make), "labelled", 1)
+
+
+READ = ("toxic", "lang", "vocab", "ids")
+
+
+def _read(batch: pa.RecordBatch) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
+    """Label, language, vocabulary and places' words of encoded rows."""
+    toxic, lang, vocab, ids = batch.columns
+    for i in range(batch.num_rows):
+        yield toxic[i].as_py(), lang[i].as_py(), np.frombuffer(vocab[i].as_py(), np.int32).reshape(-1, 4), np.frombuffer(ids[i].as_py(), np.int32)
+
+
+def _occurrences(size: int) -> Callable:
+    """In how many texts of a task each feature is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size, np.int64)
+        for b in batches:
+            for _, _, vocab, _ in _read(b):
+                seen[np.unique(vocab)] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], names=["row", "n"])
+        release()
+
+    return run
+
+
+def _pass(rows: DataFrame, learner: Learner, known: np.ndarray, weight: tuple[float, float], epoch: int) -> None:
+    """One pass of all shares from the same parameters, which then change by what the shares changed on average.
+
+    Rows 0, 1, ... of the changes are the table's, -1, -2, ... pieces of the other parameters.
+    """
+    m, spark = learner.m, rows.sparkSession
+    size, s = m.s.size, m.s
+    held = spark.sparkContext.broadcast((m, known, np.flatnonzero(known), learner.table_sums[known], learner.dense_sums))
+    names = [f"{c}{i}" for c in "ps" for i in range(size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start, known, at, sums, dense_sums = held.value
+        table_sums = np.full_like(start.table, 1e-2)
+        table_sums[at] = sums
+        own = copy.deepcopy(start)
+        mine = Learner(own, table_sums, dense_sums.copy())
+        dense = mine.dense.copy()
+        rng = np.random.default_rng((s.seed, epoch, TaskContext.get().partitionId()))
+        docs, labels, size_, some = [], [], 0, False
+        for b in batches:
+            for label, _, vocab, ids in _read(b):
+                docs.append((np.where(known[vocab], vocab, 0), ids))
+                labels.append(label)
+                size_ += vocab.nbytes + ids.nbytes
+                if len(docs) >= BUFFER or size_ > BUFFER_BYTES:
+                    mine.learn(docs, np.array(labels), weight, rng)
+                    docs, labels, size_, some = [], [], 0, True
+        if docs:
+            mine.learn(docs, np.array(labels), weight, rng)
+            some = True
+        if some:
+            before = np.full_like(table_sums, 1e-2)
+            before[at] = sums
+            r = np.flatnonzero(mine.touched & known)
+            fill = -len(dense) % size
+            pieces = [np.pad(x, (0, fill)).reshape(-1, size) for x in (mine.dense - dense, mine.dense_sums - dense_sums)]
+            p = np.concatenate([own.table[r] - start.table[r], pieces[0]])
+            q = np.concatenate([table_sums[r] - before[r], pieces[1]])
+            number = np.concatenate([r, -1 - np.arange(len(pieces[0]))]).astype(np.int32)
+            values = np.rint(np.concatenate([p, q], axis=1).astype(float) * UNIT).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(number), *(pa.array(c) for c in values.T.copy())], names=["row", *names])
+        release()
+
+    found = rows.mapInArrow(run, "row int, " + ", ".join(f"{c} bigint" for c in names))
+    # at most a row for each of the model's
+    found = found.groupBy("row").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in names)).toArrow()
+    number, n = found["row"].to_numpy(), found["n"].to_numpy()
+    change = np.stack([found[c].to_numpy() for c in names], axis=1) / UNIT / n[:, None]
+    on = number >= 0
+    m.table[number[on]] += change[on, :size].astype(np.float32)
+    learner.table_sums[number[on]] += change[on, size:].astype(np.float32)
+    order = np.flatnonzero(~on)[np.argsort(-number[~on])]
+    learner.dense += change[order, :size].ravel()[: len(learner.dense)].astype(np.float32)
+    learner.dense_sums += change[order, size:].ravel()[: len(learner.dense)].astype(np.float32)
+    learner.finish()
+    held.destroy()
+
+
+def _logits(shared) -> Callable:
+    """Counts of the labels by language and bin of the logit; see :func:`binned`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, known = shared.value
+        columns = columns_of(m)
+        for b in batches:
+            z, langs, labels = [], [], []
+            for label, lang, vocab, ids in _read(b):
+                z.append(forward(m, columns, np.where(known[vocab], vocab, 0), ids)[0])
+                langs.append(lang)
+                labels.append(label)
+            bins = binned(z, langs, labels)
+            cells = [[*k, *v] for k, v in bins.items()]
+            kinds = pa.schema([("lang", pa.string()), ("bin", pa.int32()), ("clean", pa.int64()), ("toxic", pa.int64()), ("least", pa.float64()), ("most", pa.float64())])
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for c in cells], f.type) for i, f in enumerate(kinds)], schema=kinds)
+        release()
+
+    return run
+
+
+def _tried(docs: DataFrame, labels: DataFrame, usable: DataFrame, s: Settings) -> Model:
+    """Fit on a sample, for a trial: the settings' number of ids with the lowest hash, toxic ones a third at most, and of
+    their texts, in the order of a hash, those that still fit into sample_bytes; the bytes are counted first."""
+    spark = docs.sparkSession
     ids = []
     for toxic, n in ((1, s.sample_rows // 3), (0, s.sample_rows - s.sample_rows // 3)):
         picked = usable.where(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)

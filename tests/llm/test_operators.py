@@ -476,6 +476,22 @@ def test_the_sample_is_bounded_in_bytes(spark):
     assert 4_000 < sum(map(len, texts)) <= 5_000 and len(texts) == len(y) and "x" * 10_000 not in texts
 
 
+def test_toxicity_is_learnt_from_all_labelled_rows(spark):
+    r = random.Random(5)
+    ids = spark.range(4500).select("id", F.xxhash64("id").alias("h"), toxicity.held_out("id").alias("held")).collect()
+    toxic = sorted((x.h, x.id) for x in ids if x.id % 5 < 3 and not x.held)
+    late = {i for _, i in toxic[1333:]} | {x.id for x in ids if x.held and x.id % 5 == 0}  # a word of the last toxic rows only
+    assert len(late) > 500
+    rows = [(x.id, prose(x.id, r.randint(3, 8)) + (" quindle" if x.id in late else " zorgle" if x.id % 5 < 3 else "") + " end") for x in ids]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 < 3)) for i, _ in rows], "doc_id bigint, toxic int")
+    for settings in (toxicity.Settings(), toxicity.Settings(share_rows=700)):  # one share, and several that are averaged
+        got = toxicity.classify(docs, toxicity.train(docs, labels, settings)).where("held_out").collect()
+        assert len(got) > 1000 and sum(x.predicted == (x.doc_id % 5 < 3) for x in got) / len(got) > 0.97
+    again = {x.doc_id: x.score for x in toxicity.classify(docs, toxicity.train(docs, labels, settings)).collect()}
+    assert all(again[x.doc_id] == x.score for x in got)
+
+
 def test_long_texts_score_in_pieces(monkeypatch):
     model = toxicity.fit([prose(i, 60) for i in range(40)], [i % 2 for i in range(40)], toxicity.Settings(least_docs=1))
     texts = [prose(90, 500), "", prose(91, 10)]
