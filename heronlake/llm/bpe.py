@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.common import ddl, map_rows
+from heronlake.llm.common import ddl, map_rows, release
 
 LONG = 200
 #: Chunks (words between white space), and pieces of them, that each of two generations of the caches holds, about.
@@ -379,6 +379,12 @@ def loaded(raw: bytes, plain: bool = False) -> WordBpe:
     return _LOADED[key]
 
 
+def forget() -> None:
+    """Drop a worker's tokenizer and its caches, where no later task needs them."""
+    _LOADED.clear()
+    release()
+
+
 def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Encode and decode each text: (key, n_tokens long, token_ids binary, decoded string).
 

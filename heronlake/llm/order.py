@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heronlake.llm import bpe
-from heronlake.llm.common import scratch, slices, stored
+from heronlake.llm.common import release, scratch, slices, stored
 from heronlake.llm.flat import kind, opened
 from heronlake.llm.neardup import binary
 
@@ -148,11 +148,13 @@ def materialise(
     shards = max(1, -(-total // per_shard))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()  # the sequences are stored, and a worker may have made some
         rows: list[pa.RecordBatch] = []
         size, codec = 0, pa.Codec("zstd", LEVEL)
 
         def out() -> pa.RecordBatch:
             b = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
+            rows.clear()
             start = np.array([held.value[t] for t in b.column(4).to_pylist()], np.int64)
             slot = permute(start + b.column(5).to_numpy(), total, secret)
             order = np.argsort(slot, kind="stable")
@@ -171,15 +173,17 @@ def materialise(
                 size += b.nbytes
                 if size > HELD:
                     yield out()
-                    rows, size = [], 0
+                    size = 0
         if size:
             yield out()
+        release()
 
     kept = T.ArrayType(rows.schema[key].dataType)
     block = T.StructType.fromDDL("shard bigint, slots array<int>, parts array<bigint>, sizes array<int>, tokens binary")
     block = T.StructType([*block.fields[:2], T.StructField("keys", kept), *block.fields[2:]])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
         fs, base = opened(folder)
         shard, parts = None, []
 
@@ -211,6 +215,8 @@ def materialise(
                 parts.append((*lists, pa.decompress(b.column(5)[i].as_py(), len(lists[0]) * stride, "zstd", asbytes=True)))
         if parts:
             yield out()
+        del parts
+        release()
 
     # shards are dense and even, and each is one task's: neighbours go to one task, by number
     tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * stride // WRITTEN))

@@ -584,6 +584,17 @@ def test_permutation_is_a_bijection_and_depends_on_the_key(n):
     assert n < 10 or a.tolist() != order.permute(np.arange(n), n, b"b").tolist()
 
 
+def test_shards_are_written_without_the_tokenizer(spark, monkeypatch):
+    rows = order.sequences(frame(spark, [(i, prose(i, 30)) for i in range(20)]), queries.vocabulary())
+    ran, plain = [], type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, *rest: ran.append(f) or plain(self, f, *rest))
+    assert order.materialise(rows, queries.vocabulary(), scratch(spark, "shards")).count() >= 20
+    assert len(ran) == 2
+    for f in ran:  # as in a worker that tokenised before
+        bpe.loaded(bpe.load(queries.vocabulary()), plain=True)
+        assert not list(f(iter([]))) and not bpe._LOADED
+
+
 def test_training_order_round_trip(spark):
     folder, texts = scratch(spark, "shards"), [*ODD, *near_copies()]
     rows = order.sequences(frame(spark, texts), queries.vocabulary(), length=16)
