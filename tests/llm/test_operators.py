@@ -485,7 +485,8 @@ def test_toxicity_is_learnt_from_all_labelled_rows(spark):
     rows = [(x.id, prose(x.id, r.randint(3, 8)) + (" quindle" if x.id in late else " zorgle" if x.id % 5 < 3 else "") + " end") for x in ids]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, int(i % 5 < 3)) for i, _ in rows], "doc_id bigint, toxic int")
-    for settings in (toxicity.Settings(), toxicity.Settings(share_rows=700)):  # one share, and several that are averaged
+    for share in ({}, {"share_rows": 700}):  # one share, and several that are averaged
+        settings = toxicity.Settings(**share)
         got = toxicity.classify(docs, toxicity.train(docs, labels, settings)).where("held_out").collect()
         assert len(got) > 1000 and sum(x.predicted == (x.doc_id % 5 < 3) for x in got) / len(got) > 0.97
     again = {x.doc_id: x.score for x in toxicity.classify(docs, toxicity.train(docs, labels, settings)).collect()}
