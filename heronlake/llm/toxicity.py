@@ -11,9 +11,11 @@ from __future__ import annotations
 import copy
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, count, islice, pairwise, repeat
 from zlib import crc32
 
 import numpy as np
@@ -40,12 +42,12 @@ _PLACES = [(k, j) for k, w in enumerate(WIDTHS) for j in range(w)]
 REACH = max(WIDTHS) - 1
 #: Documents, and bytes of them, that a task puts in another order at once; texts of a step.
 BUFFER, BUFFER_BYTES, STEP = 1024, 16 << 20, 32
-#: Changes are added up as whole numbers of this part, so their order doesn't matter.
-UNIT = 2.0**30
+#: Changes are added up as whole numbers of this part, so their order doesn't matter; rows of the table in a block of them.
+UNIT, BLOCK = 2.0**20, 4096
 #: Logits are counted by bins of this width, within these bounds.
 BIN, FARTHEST = 1 / 1024, 64.0
 #: Words that are scored at once, and words that a worker keeps answers for.
-RUN, KEPT = 50_000, 40_000
+RUN, KEPT = 50_000, 200_000
 THRESHOLD = 0.7
 
 
@@ -67,17 +69,62 @@ class Settings:
     seed: int = 7
 
 
+#: Checksums that those of a word and of its beginnings of 3, 4 and 5 letters go on from.
+_WHOLE, _STARTS = crc32(b"w"), tuple((n, crc32(str(n).encode())) for n in (3, 4, 5))
+
+
 @lru_cache(KEPT)
+def _beginnings(start: str, bits: int) -> tuple[int, ...]:
+    """Rows of the embedding table for the beginnings of a word, from its first five letters."""
+    mask = (1 << bits) - 1
+    return tuple(1 + (crc32(start[:n].encode(), k) & mask) for n, k in _STARTS)
+
+
 def features(word: str, bits: int) -> list[int]:
     """Rows of the embedding table: the word and its beginnings of 3, 4 and 5 letters."""
-    mask = (1 << bits) - 1
-    return [1 + (crc32(f"{k}{word[:n]}".encode()) & mask) for k, n in (("w", None), ("3", 3), ("4", 4), ("5", 5))]
+    return [1 + (crc32(word.encode(), _WHOLE) & (1 << bits) - 1), *_beginnings(word[:5], bits)]
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+class Words(defaultdict):
+    """Numbers of words as they are met; by number, after :meth:`learn`, their features and votes for a language."""
+
+    def __init__(self, bits: int) -> None:
+        super().__init__(count().__next__)
+        self.bits, self.learnt = bits, 0
+        self.rows, self.votes = np.zeros((1024, 4), np.int32), np.full(1024, -1, np.int8)
+
+    def forget(self) -> None:
+        self.clear()
+        self.default_factory, self.learnt = count().__next__, 0
+
+    def numbers(self, words: Collection[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+
+    def learn(self) -> slice:
+        """Take in the words met since; their numbers."""
+        at, n = slice(self.learnt, len(self)), len(self) - self.learnt
+        new = list(islice(reversed(self), n))[::-1]
+        self.rows, self.votes = enlarged(self.rows, len(self), 0), enlarged(self.votes, len(self), -1)
+        whole = np.fromiter(map(crc32, map(str.encode, new), repeat(_WHOLE)), np.uint32, n)
+        self.rows[at, 0] = 1 + (whole & np.uint32((1 << self.bits) - 1))
+        starts = map(_beginnings, [w[:5] for w in new], repeat(self.bits))
+        self.rows[at, 1:] = np.fromiter(chain.from_iterable(starts), np.int32, 3 * n).reshape(-1, 3)
+        self.votes[at] = np.fromiter(map(_VOTE.get, new, repeat(-1)), np.int8, n)
+        self.learnt = len(self)
+        return at
+
+
+def enlarged(x: np.ndarray, n: int, fill: int) -> np.ndarray:
+    """The array, or one of n rows at least that begins with it and goes on with ``fill``."""
+    if n <= len(x):
+        return x
+    return np.concatenate([x, np.full((max(n, 2 * len(x)) - len(x), *x.shape[1:]), fill, x.dtype)])
+
+
 class Model:
     """The trained parameters; small enough to broadcast: their size is set by Settings alone."""
 
@@ -109,9 +156,9 @@ def fit(texts: list[str | None], labels: list[int], s: Settings) -> Model:
     y = np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return rejecting(model)
-    docs, langs = [], []
+    docs, langs, words = [], [], Words(s.bits)
     for t in texts:
-        vocab, ids, lang = encoded(t, s.bits)
+        vocab, ids, lang = encoded(t, words)
         docs.append((vocab, ids))
         langs.append(lang)
     seen = np.zeros(len(model.table), np.int64)
@@ -146,13 +193,19 @@ def weights(mean: float) -> tuple[float, float]:
     return 0.5 / max(1 - mean, 1e-3), 0.5 / max(mean, 1e-3)
 
 
-def encoded(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray, str]:
-    """The features of the different words of a text, the places' words by number, and the language."""
+def encoded(text: str | None, words: Words) -> tuple[np.ndarray, np.ndarray, str]:
+    """The features of the different words of a text, the places' words by number, and the language.
+
+    ``words`` keeps those of the texts before; they are forgotten when they are too many.
+    """
     index: dict[str, int] = {}
     ids = np.array([index.setdefault(w, len(index)) for w in words_of(text)], np.int32)
-    vocab = np.array([features(w, bits) for w in index], np.int32).reshape(-1, 4)
-    votes = np.array([_VOTE.get(w, -1) for w in index], np.int64)[ids]
-    return vocab, ids, language(np.bincount(votes[votes >= 0], minlength=len(LANGUAGES)))
+    if len(words) > KEPT:
+        words.forget()
+    known = words.numbers(index)
+    words.learn()
+    votes = words.votes[known][ids]
+    return words.rows[known], ids, language(np.bincount(votes[votes >= 0], minlength=len(LANGUAGES)))
 
 
 def restrict(model: Model, seen: np.ndarray) -> np.ndarray:
@@ -315,36 +368,32 @@ class Scorer:
         self._reset()
 
     def _reset(self) -> None:
-        self.index: dict[str, int] = {"": 0}
+        self.words = Words(self.m.s.bits)
+        self.words.numbers([""])  # number 0 is no word: its answers stay zero
+        self.words.learn()
         self.answers = np.zeros((1024, self.columns.shape[1]), np.float32)
-        self.votes = np.full(1024, -1, np.int8)
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.index) > KEPT:
-            self._reset()
-        new = [w for w in words if w not in self.index]
-        first = len(self.index)
-        self.index.update(zip(new, range(first, first + len(new)), strict=True))
-        while len(self.index) > len(self.answers):
-            self.answers = np.concatenate([self.answers, np.zeros_like(self.answers)])
-            self.votes = np.concatenate([self.votes, np.full_like(self.votes, -1)])
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            rows = np.array([features(w, self.m.s.bits) for w in part], np.int64)
-            at = slice(first + i, first + i + len(part))
-            self.answers[at] = self.m.table[rows].sum(1) @ self.columns
-            self.votes[at] = [_VOTE.get(w, -1) for w in part]
+    def _learn(self) -> None:
+        new = self.words.learn()
+        self.answers = enlarged(self.answers, len(self.words), 0)
+        for i in range(new.start, new.stop, 20_000):
+            at = slice(i, min(new.stop, i + 20_000))
+            sums = np.zeros((at.stop - i, self.m.s.size), np.float32)
+            for rows in self.words.rows[at].T:
+                sums += self.m.table[rows]
+            self.answers[at] = sums @ self.columns
 
     def scores(self, texts: list[str | None]) -> Iterator[float]:
-        found = [words_of(t) for t in texts]
-        self._learn({w for x in found for w in x})
+        if len(self.words) > KEPT:
+            self._reset()
+        found = [self.words.numbers(words_of(t)) for t in texts]
+        self._learn()
         best = np.zeros((len(texts), len(self.m.out)), np.float32)
         votes = np.zeros((len(texts), len(LANGUAGES)), np.int64)
         reach = max(WIDTHS) - 1
         pieces, held = [], 0
-        for doc, x in enumerate(found):
-            ids = np.fromiter(map(self.index.__getitem__, x), np.int64, len(x))
-            v = self.votes[ids]
+        for doc, ids in enumerate(found):
+            v = self.words.votes[ids]
             votes[doc] = np.bincount(v[v >= 0], minlength=len(LANGUAGES))
             for i in range(0, len(ids), RUN):  # a text longer than a run goes in pieces that overlap by a filter
                 pieces.append((doc, ids[i : i + RUN + reach], min(RUN, len(ids) - i)))
@@ -361,7 +410,7 @@ class Scorer:
         if not pieces:
             return
         reach, f = max(WIDTHS) - 1, self.m.s.filters
-        pad = np.zeros(reach, np.int64)
+        pad = np.zeros(reach, np.int32)
         ids = np.concatenate([y for _, x, _ in pieces for y in (x, pad)])
         starts = np.cumsum([0] + [len(x) + reach for _, x, _ in pieces])[:-1]
         bounds = np.stack([starts, starts + [n for _, _, n in pieces]], 1).ravel()
@@ -428,9 +477,11 @@ def _encoded_rows(texts: DataFrame, s: Settings) -> DataFrame:
     bits = s.bits
 
     def make() -> Callable:
+        words = Words(bits)
+
         def some(keys: list, toxic: list, calibrates: list, sizes: list, values: list):
             for *rest, text in zip(keys, toxic, calibrates, sizes, values, strict=True):
-                vocab, ids, lang = encoded(text, bits)
+                vocab, ids, lang = encoded(text, words)
                 yield *rest, lang, vocab.tobytes(), ids.tobytes()
 
         return some
@@ -474,12 +525,11 @@ def _occurrences(size: int) -> Callable:
 def _pass(rows: DataFrame, learner: Learner, known: np.ndarray, weight: tuple[float, float], epoch: int) -> None:
     """One pass of all shares from the same parameters, which then change by what the shares changed on average.
 
-    Rows 0, 1, ... of the changes are the table's, -1, -2, ... pieces of the other parameters.
+    The changes are dealt by blocks of the table's rows; block -1 has the other parameters.
     """
     m, spark = learner.m, rows.sparkSession
     size, s = m.s.size, m.s
     held = spark.sparkContext.broadcast((m, known, np.flatnonzero(known), learner.table_sums[known], learner.dense_sums))
-    names = [f"{c}{i}" for c in "ps" for i in range(size)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, known, at, sums, dense_sums = held.value
@@ -505,30 +555,63 @@ def _pass(rows: DataFrame, learner: Learner, known: np.ndarray, weight: tuple[fl
             before = np.full_like(table_sums, 1e-2)
             before[at] = sums
             r = np.flatnonzero(mine.touched & known)
+            p, q = own.table[r] - start.table[r], table_sums[r] - before[r]
+            edges = np.searchsorted(r, np.arange(0, len(known) + BLOCK, BLOCK))
+            parts = [(k, r[i:j], p[i:j], q[i:j]) for k, (i, j) in enumerate(pairwise(edges)) if i < j]
             fill = -len(dense) % size
-            pieces = [np.pad(x, (0, fill)).reshape(-1, size) for x in (mine.dense - dense, mine.dense_sums - dense_sums)]
-            p = np.concatenate([own.table[r] - start.table[r], pieces[0]])
-            q = np.concatenate([table_sums[r] - before[r], pieces[1]])
-            number = np.concatenate([r, -1 - np.arange(len(pieces[0]))]).astype(np.int32)
-            values = np.rint(np.concatenate([p, q], axis=1).astype(float) * UNIT).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(number), *(pa.array(c) for c in values.T.copy())], names=["row", *names])
+            p, q = (np.pad(x, (0, fill)).reshape(-1, size) for x in (mine.dense - dense, mine.dense_sums - dense_sums))
+            parts.append((-1, np.arange(len(p)), p, q))
+            cells = [(k, packed(np.diff(rows, prepend=0)), packed(in_units(p)), packed(in_units(q))) for k, rows, p, q in parts]
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(*x) for x in zip(zip(*cells, strict=True), kinds, strict=True)], names=["block", "at", "p", "q"])
         release()
 
-    found = rows.mapInArrow(run, "row int, " + ", ".join(f"{c} bigint" for c in names))
-    # at most a row for each of the model's
-    found = found.groupBy("row").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in names)).toArrow()
-    number, n = found["row"].to_numpy(), found["n"].to_numpy()
-    change = np.stack([found[c].to_numpy() for c in names], axis=1) / UNIT / n[:, None]
-    on = number >= 0
-    m.table[number[on]] += change[on, :size].astype(np.float32)
-    learner.table_sums[number[on]] += change[on, size:].astype(np.float32)
-    order = np.flatnonzero(~on)[np.argsort(-number[~on])]
-    learner.dense += change[order, :size].ravel()[: len(learner.dense)].astype(np.float32)
-    learner.dense_sums += change[order, size:].ravel()[: len(learner.dense)].astype(np.float32)
+    def added(shares: pa.Table) -> pa.Table:
+        """The changes of a block, averaged by row over the shares that changed it."""
+        n, total = np.zeros(0, np.int64), np.zeros((0, 2 * size), np.int64)
+        low = max(shares["block"][0].as_py(), 0) * BLOCK
+        for at, p, q in zip(*(shares[c] for c in ("at", "p", "q")), strict=True):
+            on = np.cumsum(unpacked(at.as_py())) - low
+            n, total = enlarged(n, on[-1] + 1, 0), enlarged(total, on[-1] + 1, 0)
+            n[on] += 1
+            total[on] += np.concatenate([unpacked(x.as_py()).reshape(-1, size) for x in (p, q)], axis=1)
+        on = np.flatnonzero(n)
+        mean = (total[on] / UNIT / n[on, None]).astype(np.float32)
+        return pa.table({"block": shares["block"][:1], "at": [(on + low).tobytes()], "mean": [mean.tobytes()]})
+
+    found = rows.mapInArrow(run, "block int, at binary, p binary, q binary")
+    # a block is as large as its part of the model, for each share; all averages are as large as the model
+    found = found.groupBy("block").applyInArrow(added, "block int, at binary, mean binary").collect()
+    for r in found:
+        on, mean = np.frombuffer(r.at, np.int64), np.frombuffer(r.mean, np.float32).reshape(-1, 2 * size)
+        if r.block >= 0:
+            m.table[on] += mean[:, :size]
+            learner.table_sums[on] += mean[:, size:]
+        else:
+            learner.dense += mean[:, :size].ravel()[: len(learner.dense)]
+            learner.dense_sums += mean[:, size:].ravel()[: len(learner.dense)]
     learner.finish()
     held.destroy()
 
 
+def in_units(x: np.ndarray) -> np.ndarray:
+    return np.rint(x.astype(float) * UNIT).astype(np.int64)
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers in few bytes: signs go last, then all first bytes, all second bytes and so on, compressed."""
+    x = x.astype(np.int64).ravel()
+    planes = ((x << 1) ^ (x >> 63)).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8)
+    x = np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
+    return (x >> np.uint64(1)).astype(np.int64) ^ -(x & np.uint64(1)).astype(np.int64)
+
+
 def _logits(shared) -> Callable:
     """Counts of the labels by language and bin of the logit; see :func:`binned`."""
 

@@ -9,6 +9,8 @@ import re
 import textwrap
 from collections import Counter
 from fractions import Fraction
+from pathlib import Path
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -493,6 +495,40 @@ def test_toxicity_is_learnt_from_all_labelled_rows(spark):
     assert all(again[x.doc_id] == x.score for x in got)
 
 
+def test_shares_of_toxicity_exchange_small_changes(spark):
+    r = random.Random(9)
+    words = ["start" + "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(8000)]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(words, k=24)) + " zorgle" * (i % 2)) for i in range(4000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id bigint, toxic int")
+    s = toxicity.Settings(share_rows=700)
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        return {f: f.stat().st_size for d in blocks.localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+
+    before = shuffled()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # four files, four shares
+    try:
+        model = toxicity.train(docs, labels, s)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    written = sum(n for f, n in shuffled().items() if f not in before)
+    changed = (model.table.any(1) & (model.table != toxicity.Model(s).table).any(1)).sum()
+    assert changed > 5000 and written / (changed * s.epochs * 4) < 30  # text takes a part of it
+
+
+def test_features_of_words_survive_forgetting(monkeypatch):
+    monkeypatch.setattr(toxicity, "KEPT", 5)
+    words, texts = toxicity.Words(10), [prose(i, 12) + " \u00fcber the y" for i in range(6)]
+    for t in [*texts, "", None, *texts]:
+        own = list(dict.fromkeys(toxicity.words_of(t)))
+        vocab, ids, lang = toxicity.encoded(t, words)
+        plain = [[1 + (crc32(f"{k}{w[:n]}".encode()) & 1023) for k, n in (("w", None), ("3", 3), ("4", 4), ("5", 5))] for w in own]
+        assert vocab.tolist() == plain and [own[i] for i in ids] == toxicity.words_of(t) and lang == ("en" if t else "")
+    x = np.array([0, 1, -1, 300, -(2**61), 2**61])
+    assert (toxicity.unpacked(toxicity.packed(x)) == x).all() and not len(toxicity.unpacked(toxicity.packed(x[:0])))
+
+
 def test_long_texts_score_in_pieces(monkeypatch):
     model = toxicity.fit([prose(i, 60) for i in range(40)], [i % 2 for i in range(40)], toxicity.Settings(least_docs=1))
     texts = [prose(90, 500), "", prose(91, 10)]
